@@ -12,11 +12,9 @@ predictions diverge from those of its suffix: over its occurrences in training,
 log-likelihood must gain more than ``gain`` against the better of its suffixes' predictions.  A token is scored by the
 longest suffix of its past that is a node; a node's parent is the longest kept suffix of it.
 
-How it runs: documents are dealt into blocks by a hash of their key.  A block asks for the counts of its distinct n-grams
-(hashes of 64 bits for words, of at least 40 bits for longer ones); requests carry the block's own training counts, so that
-one shuffle by n-gram both adds up the counts and answers.  With the counts each block adds up what its occurrences say
-about every context; a second shuffle by context decides which are kept.  The last pass scores.  N-grams travel as sorted
-arrays, packed by their differences; a frequent n-gram is one entry per block, however often it occurs.
+How it runs (see ``packed.py``): documents are dealt into blocks by a hash of their key.  A first round counts words and
+pairs.  A second gathers what all occurrences say about contexts of one word, and counts those triples whose pairs were
+seen often enough; a third does the same for contexts of two words.  The last pass scores.
 
 Null texts are empty: one end.  Rows with a null key aren't learnt from, as ``train`` is null for them.  Repeated rows are
 scored and learnt from as often as they come.  Extra columns are ignored; an empty table gives an empty result.
@@ -24,8 +22,6 @@ scored and learnt from as often as they come.  Extra columns are ignored; an emp
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,43 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Scratch, mix, parallelism, word_hashes
+from .packed import ASK, SAID, TOLD, Lookup, by_level, dealt, pack, pack_keys, short, table_of, tell, unpack, unpack_keys
 
 END = np.uint64(0xE7D0_0000_0000_0001)
 _K2, _K3 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95)
-SHORT = np.uint64((1 << 40) - 1)
-
-
-# ---- arrays as bytes ----------------------------------------------------------------------------------------------
-
-
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys by their differences, byte plane by byte plane, so that the high planes compress."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return zlib.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
-
-
-def unpack_keys(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
-def pack(values: np.ndarray) -> bytes:
-    values = np.ascontiguousarray(values)
-    return zlib.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
-
-
-def unpack(data: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-
-
-def short(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Keys of n-grams of two words or more: the bucket, then 40 bits."""
-    return (keys >> np.uint64(40)) % np.uint64(buckets) << np.uint64(40) | keys & SHORT
 
 
 # ---- texts as n-grams ---------------------------------------------------------------------------------------------
@@ -104,49 +67,6 @@ class Grams:
         return (self.words, self.pairs, self.triples)[n - 1][at], at
 
 
-class Lookup:
-    """Values by sorted keys, found over a table of the keys' leading bits."""
-
-    def __init__(self, keys: np.ndarray, *values: np.ndarray):
-        self.keys, self.values = keys, values
-        if len(keys):
-            self.shift = np.uint64(max(0, int(keys[-1]).bit_length() - len(keys).bit_length() - 1))
-            lead = (keys >> self.shift).astype(np.int64)
-            self.starts = np.searchsorted(lead, np.arange(lead[-1] + 2))
-            self.longest = int(np.diff(self.starts).max())
-
-    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The queries that are there, and where."""
-        if not len(self.keys) or not len(wanted):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        lead = wanted >> self.shift
-        open_ = np.flatnonzero(lead < np.uint64(len(self.starts) - 1))
-        lead = lead[open_].astype(np.int64)
-        at, end = self.starts[lead], self.starts[lead + 1]
-        rows, places = [], []
-        for _ in range(self.longest):
-            live = at < end
-            open_, at, end = open_[live], at[live], end[live]
-            same = self.keys[at] == wanted[open_]
-            rows.append(open_[same])
-            places.append(at[same])
-            open_, at, end = open_[~same], at[~same] + 1, end[~same]
-        return np.concatenate(rows), np.concatenate(places)
-
-
-def _by_level(table: pa.Table, kind: type) -> dict[int, Lookup]:
-    """What came back for a block, by level."""
-    out, level = {}, table["level"].to_numpy()
-    for n in np.unique(level):
-        part = table.filter(pa.array(level == n))
-        lift = [np.uint64(b << 40 if n > 1 else 0) for b in part["bucket"].to_pylist()]
-        keys = np.concatenate([unpack_keys(b) | up for b, up in zip(part["keys"].to_pylist(), lift, strict=True)])
-        counts = np.concatenate([unpack(b, kind) for b in part["counts"].to_pylist()])
-        order = np.argsort(keys, kind="stable")
-        out[int(n)] = Lookup(keys[order], counts[order])
-    return out
-
-
 def _counts(grams: Grams, answers: dict[int, Lookup]) -> list[np.ndarray]:
     """For each token: c of its 1-, 2- and 3-gram (0 where there is none, or where it was seen once for n > 1)."""
     out = []
@@ -162,88 +82,66 @@ def _counts(grams: Grams, answers: dict[int, Lookup]) -> list[np.ndarray]:
 
 # ---- the rounds ---------------------------------------------------------------------------------------------------
 
-_ASK = "level int, bucket int, block int, keys binary, counts binary"
-_TOLD = "level int, bucket int, block int, keys binary, counts binary, n_distinct long, n_total long"
-_SAID = "level int, bucket int, block int, keys binary, counts binary, gains binary"
-_ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-
-
-def _table(kind: str, rows: list[tuple]) -> pa.Table:
-    fields = [f.split() for f in kind.split(", ")]
-    return pa.table([pa.array([r[i] for r in rows], _ARROW[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
-
-
-def _dealt(n: int, block: int, buckets: int, keys: np.ndarray, *values: np.ndarray) -> list[tuple]:
-    """Rows of packed keys and values, one for each bucket; keys are sorted and distinct."""
-    if n == 1:
-        bucket = bucket_of(keys, buckets)
-        order = np.argsort(bucket, kind="stable")
-        keys, bucket, values = keys[order], bucket[order], [v[order] for v in values]
-    else:
-        bucket = (keys >> np.uint64(40)).astype(np.int64)
-        keys = keys & SHORT
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-    return [(n, int(b), block, pack_keys(keys[cuts[b] : cuts[b + 1]]), *(pack(v[cuts[b] : cuts[b + 1]]) for v in values)) for b in np.flatnonzero(np.diff(cuts))]
-
-
 def _ask(buckets: int):
-    """A block's distinct n-grams with its counts in training."""
+    """A block's distinct words and pairs with its counts in training."""
 
     def run(table: pa.Table) -> pa.Table:
         grams = Grams(table["_text"], table["_train"].to_numpy().astype(bool), buckets)
-        rows = []
-        for n in (1, 2, 3):
-            h, at = grams.level(n)
-            keys, where = np.unique(h, return_inverse=True)
-            rows += _dealt(n, table["_block"][0].as_py(), buckets, keys, np.bincount(where, grams.learnt[at], len(keys)).astype(np.uint32))
-        return _table(_ASK, rows)
+        return table_of(ASK, [row for n in (1, 2) for row in _request(grams, n, grams.level(n)[1], table["_block"][0].as_py(), buckets)])
 
     return run
 
 
-def _tell(table: pa.Table) -> pa.Table:
-    """Adds up one bucket's counts and answers each block with those that matter: words seen in training, longer n-grams
-    seen twice or more.  The first row of words also has the bucket's number of words and of their occurrences."""
-    level, bucket = table["level"][0].as_py(), table["bucket"][0].as_py()
-    asked = [unpack_keys(b) for b in table["keys"].to_pylist()]
-    keys, where = np.unique(np.concatenate(asked), return_inverse=True)
-    total = np.bincount(where, np.concatenate([unpack(b, np.uint32) for b in table["counts"].to_pylist()]), len(keys)).astype(np.uint32)
-    told = total >= (1 if level == 1 else 2)
-    stats = (int((total > 0).sum()), int(total.sum(dtype=np.uint64))) if level == 1 else (0, 0)
-    rows, at = [], 0
-    for block, own in zip(table["block"].to_pylist(), asked, strict=True):
-        index = where[at : at + len(own)]
-        at += len(own)
-        good = told[index]
-        if good.any() or stats != (0, 0):
-            rows.append((level, bucket, block, pack_keys(own[good]), pack(total[index[good]]), *stats))
-            stats = (0, 0)
-    return _table(_TOLD, rows)
-
-
-def _say(buckets: int, z: float, least: int, prior: float):
-    """What a block's training occurrences say about each context that it has: the gain so far, and how many were followed
-    by a token that follows only once."""
+def _request(grams: Grams, n: int, at: np.ndarray, block: int, buckets: int) -> list[tuple]:
+    keys, where = np.unique((grams.words, grams.pairs, grams.triples)[n - 1][at], return_inverse=True)
+    return dealt(n, block, buckets, keys, np.bincount(where, grams.learnt[at], len(keys)).astype(np.uint32))
+
+
+def _evidence(n: int, grams: Grams, counts: list[np.ndarray], z: float, block: int, buckets: int, least: int, prior: float) -> list[tuple]:
+    """What a block's training occurrences say about each context of n words that it has: the gain so far, and how many were
+    followed by a token that follows only once."""
+    node, whole, follows = (grams.words, grams.pairs)[n - 1], counts[n - 1], counts[n]
+    at = np.flatnonzero(grams.place >= n)
+    at = at[whole[at - 1] >= least]
+    c, f, w = whole[at - 1], follows[at], grams.learnt[at]
+    better = (counts[0][at] + 0.5) / z
+    if n == 2:
+        better = np.maximum(better, counts[1][at] / (counts[0][at - 1] + prior))
+    twice = f >= 2
+    gain = np.where(w, np.where(twice, np.log10(np.maximum(f - 1, 1) / better), 0) - np.log10(c - 1 + prior), 0)
+    keys, where = np.unique(node[at - 1], return_inverse=True)
+    return dealt(n, block, buckets, keys, np.bincount(where, w & ~twice, len(keys)).astype(np.uint32), np.bincount(where, gain, len(keys)).astype(np.float32))
+
+
+def _say(step: int, buckets: int, z: float, least: int, prior: float):
+    """Step 1: evidence on contexts of one word, and requests for the triples that can have been seen twice and whose context
+    can be kept.  Step 2: evidence on contexts of two words."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return _table(_SAID, [])
+            return table_of(SAID, [])
+        block = docs["_block"][0].as_py()
         grams = Grams(docs["_text"], docs["_train"].to_numpy().astype(bool), buckets)
-        c1, c2, c3 = _counts(grams, _by_level(answers, np.uint32))
-        single = (c1 + 0.5) / z
-        rows = []
-        for n, node, whole, follows in ((1, grams.words, c1, c2), (2, grams.pairs, c2, c3)):
-            at = np.flatnonzero(grams.place >= n)
-            at = at[whole[at - 1] >= least]
-            c, f, w = whole[at - 1], follows[at], grams.learnt[at]
-            better = single[at] if n == 1 else np.maximum(single[at], c2[at] / (c1[at - 1] + prior))
-            twice = f >= 2
-            gain = np.where(w, np.where(twice, np.log10(np.maximum(f - 1, 1) / better), 0) - np.log10(c - 1 + prior), 0)
-            keys, where = np.unique(node[at - 1], return_inverse=True)
-            gains = np.bincount(where, gain, len(keys)).astype(np.float32)
-            once = np.bincount(where, w & ~twice, len(keys)).astype(np.uint32)
-            rows += _dealt(n, docs["_block"][0].as_py(), buckets, keys, once, gains)
-        return _table(_SAID, rows)
+        counts = _counts(grams, by_level(answers.filter(pa.array(answers["level"].to_numpy() < 10)), np.uint32))
+        rows = _evidence(step, grams, counts, z, block, buckets, least, prior)
+        if step == 1:
+            at = grams.level(3)[1]
+            at = at[(counts[1][at - 1] >= least) & (counts[1][at] >= 2)]
+            rows += [(*row, None) for row in _request(grams, 3, at, block, buckets)]
+        return table_of(SAID, rows)
+
+    return run
+
+
+def _answer(least_gain: float, prior: float):
+    """Decides on contexts, answers requests; decisions have level 10 and more."""
+    keep = _keep(least_gain, prior)
+
+    def run(table: pa.Table) -> pa.Table:
+        if table["level"][0].as_py() == 3:
+            return tell(table).select(["level", "bucket", "block", "keys", "counts"])
+        out = keep(table)
+        return out.set_column(0, "level", pa.array(out["level"].to_numpy() + 10, pa.int32()))
 
     return run
 
@@ -267,7 +165,7 @@ def _keep(least_gain: float, prior: float):
             good = kept[index]
             if good.any():
                 rows.append((level, bucket, block, pack_keys(own[good]), pack(once[index[good]])))
-        return _table(_ASK, rows)
+        return table_of(ASK, rows)
 
     return run
 
@@ -282,9 +180,9 @@ def _score(buckets: int, z: float, prior: float, key_type: pa.DataType):
             return pa.table([pa.array([], k) for k in kinds], names=names)
         grams = Grams(docs["_text"], docs["_train"].to_numpy().astype(bool), buckets)
         level = answers["level"].to_numpy()
-        counts = _by_level(answers.filter(pa.array(level < 10)), np.uint32)
+        counts = by_level(answers.filter(pa.array(level < 10)), np.uint32)
         kept = answers.filter(pa.array(level > 10))
-        kept = _by_level(kept.set_column(kept.schema.get_field_index("level"), "level", pa.array(kept["level"].to_numpy() - 10, pa.int32())), np.uint32)
+        kept = by_level(kept.set_column(kept.schema.get_field_index("level"), "level", pa.array(kept["level"].to_numpy() - 10, pa.int32())), np.uint32)
         c1, c2, c3 = _counts(grams, counts)
         p = base = (c1 + 0.5) / z
         for n, node, whole, follows in ((1, grams.words, c1, c2), (2, grams.pairs, c2, c3)):
@@ -305,22 +203,23 @@ def _score(buckets: int, z: float, prior: float, key_type: pa.DataType):
 def score_texts(df: DataFrame, key: str, text: str, train: Column, least: int = 3, gain: float = 1.0, prior: float = 0.5, blocks: int | None = None) -> DataFrame:
     """``(key, train, n_tokens, n_known, train_tokens, base_score, score)`` of every row.
 
-    ``blocks`` deals the documents out (twice the shuffle partitions if unset); it doesn't change the scores but for
+    ``blocks`` deals the documents out (the number of shuffle partitions if unset); it doesn't change the scores but for
     rounding and for the length of the n-grams' hashes.
     """
     spark = df.sparkSession
     buckets = parallelism(spark)
-    blocks = blocks or 2 * buckets
+    blocks = blocks or buckets
     docs = df.select(F.col(key).alias("_key"), F.coalesce(train, F.lit(False)).alias("_train"), F.col(text).alias("_text"), F.pmod(F.xxhash64(F.col(key), F.lit("block")), F.lit(blocks)).cast("int").alias("_block"))
     kind = docs.schema["_key"].dataType
     scratch = Scratch(spark, "suffix-tree")
-    told = scratch.write(docs.groupBy("_block").applyInArrow(_ask(buckets), _ASK).groupBy("level", "bucket").applyInArrow(_tell, _TOLD))
+    told = scratch.write(docs.groupBy("_block").applyInArrow(_ask(buckets), ASK).groupBy("level", "bucket").applyInArrow(tell, TOLD))
     n, v = told.agg(F.coalesce(F.sum("n_total"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0))).first()
     z = n + 0.5 * (v + 1)
-    counts = told.drop("n_distinct", "n_total")
-    said = docs.groupBy("_block").cogroup(counts.groupBy("block")).applyInArrow(_say(buckets, z, least, prior), _SAID)
-    kept = scratch.write(said.groupBy("level", "bucket").applyInArrow(_keep(gain, prior), _ASK))
-    answers = counts.unionByName(kept.withColumn("level", F.col("level") + 10))
+    answers = told.drop("n_distinct", "n_total")
+    for step in (1, 2):
+        said = docs.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(_say(step, buckets, z, least, prior), SAID)
+        answers = answers.unionByName(scratch.write(said.groupBy("level", "bucket").applyInArrow(_answer(gain, prior), ASK)))
+
     schema = f"_key {kind.simpleString()}, _train boolean, n_tokens long, n_known long, base_score double, score double"
     out = docs.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(_score(buckets, z, prior, to_arrow_type(kind)), schema)
     return out.select(F.col("_key").alias(key), F.col("_train").alias("train"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
