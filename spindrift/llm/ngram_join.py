@@ -2,8 +2,8 @@
 
 A document's set is its distinct n-word shingles, as 64-bit hashes.  Documents of equal sets form a class, of which only
 the smallest key goes on.  Two sets of Jaccard similarity t or more share a token among the first
-|x| - ceil(t |x|) + 1 of either in any common order of tokens (its prefix); tokens are ordered by rising frequency, which a
-count sketch of fixed size gives.
+|x| - ceil(t |x|) + 1 of either in any common order of tokens (its prefix).  Tokens are ordered by rising document frequency,
+which is counted over all documents (``packed.py``); prefix tokens that no other document has can't link and are left out.
 
 1. Every class tries to join the smallest class that it shares a prefix token with, so that copies of one document hang
    together without being paired with each other.  Connected classes are similar: they make up the groups, split into
@@ -24,11 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Scratch, mix, parallelism, word_hashes
-
-SKETCH = 1 << 20
-SLICES = 16
+from .packed import ASK, TOLD, by_level, dealt, short, table_of, tell
 
 
 def shingle_hashes(column, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,57 +55,59 @@ def shingle_hashes(column, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h, doc
 
 
-def _sketch(rows: DataFrame, n: int) -> np.ndarray:
-    """log2 of the number of documents per cell that a token falls in: SKETCH bytes, however large the corpus."""
-
-    def count(batches):
-        cells = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                h, _ = shingle_hashes(batch.column(1).slice(at, 1024), n)
-                cells += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
-        parts = cells.reshape(SLICES, -1).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "cells"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, np.uint64 if len(b) == 8 * SKETCH // SLICES else np.uint32).astype(np.uint64) for b in table["cells"].to_pylist())
-        return pa.table({"part": table["part"][:1].cast(pa.int32()), "cells": pa.array([total.tobytes()], pa.binary())})
-
-    kind = "part int, cells binary"
-    counted = rows.mapInArrow(count, kind)
-    # In two steps: the number of parts that meet in one group stays near the root of the number of tasks.
-    counted = counted.withColumn("lot", F.pmod(F.xxhash64("cells"), F.lit(32))).groupBy("part", "lot").applyInArrow(add, kind)
-    found = {r["part"]: np.frombuffer(r["cells"], np.uint64) for r in counted.groupBy("part").applyInArrow(add, kind).collect()}
-    if not found:
-        return np.zeros(SKETCH, np.uint8)
-    return np.log2(np.concatenate([found[k] for k in range(SLICES)]) + 1).astype(np.uint8)
-
-
-def _marks(rows: DataFrame, kind: str, n: int, percent: int, rank: np.ndarray) -> DataFrame:
-    """(_key, n, d1, d2, prefix): set size, the set's digest and its prefix tokens."""
-    shared = rows.sparkSession.sparkContext.broadcast(rank)
-
-    def mark(batches):
-        rank = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                h, doc = shingle_hashes(part.column(1), n)
-                size = np.bincount(doc, minlength=part.num_rows).astype(np.int64)
-                starts = np.cumsum(size) - size
-                digest = []
-                for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
-                    total = np.zeros(part.num_rows, np.uint64)
-                    if len(h):
-                        total[size > 0] = np.add.reduceat(mix(h ^ np.uint64(salt)), starts[size > 0])
-                    digest.append(pa.array(total.view(np.int64)))
-                order = np.lexsort((h, rank[(h >> np.uint64(44)).astype(np.int64)], doc))
-                length = np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
-                chosen = order[(np.arange(len(h)) - starts[doc]) < length[doc]]  # order keeps documents together
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(h[chosen].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int32)), *digest, lists], ["_key", "n", "d1", "d2", "prefix"])
-
-    return rows.mapInArrow(mark, f"_key {kind}, n int, d1 long, d2 long, prefix array<long>")
+def _ask(n: int, buckets: int):
+    """A block's distinct shingles with the number of its documents that have them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h, _ = shingle_hashes(table["_text"], n)
+        keys, count = np.unique(short(h, buckets), return_counts=True)
+        return table_of(ASK, dealt(3, table["_block"][0].as_py(), buckets, keys, count.astype(np.uint32)))
+
+    return run
+
+
+def _mark(n: int, percent: int, buckets: int, kind: pa.DataType):
+    """Set size, digest and those prefix tokens that another document has too."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        names, kinds = ["_key", "n", "d1", "d2", "prefix"], [kind, pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        if not docs.num_rows:
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        h, doc = shingle_hashes(docs["_text"], n)
+        size = np.bincount(doc, minlength=docs.num_rows).astype(np.int64)
+        starts = np.cumsum(size) - size
+        digest = []
+        for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
+            total = np.zeros(docs.num_rows, np.uint64)
+            if len(h):
+                total[size > 0] = np.add.reduceat(mix(h ^ np.uint64(salt)), starts[size > 0])
+            digest.append(pa.array(total.view(np.int64)))
+        seen = np.ones(len(h), np.uint32)
+        if answers.num_rows:
+            told = by_level(answers, np.uint32)[3]
+            rows, places = told.find(short(h, buckets))
+            seen[rows] = told.values[0][places]
+        order = np.lexsort((h, seen, doc))
+        place = np.arange(len(h)) - starts[doc]  # order keeps documents together
+        chosen = order[(place < (size - -(-percent * size // 100) + 1)[doc]) & (seen[order] > 1)]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(doc[chosen], minlength=docs.num_rows))])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[chosen].view(np.int64)))
+        columns = [docs["_key"], pa.array(size.astype(np.int32)), *digest, lists]
+        return pa.table(columns, names=names)
+
+    return run
+
+
+def _marks(rows: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
+    """(_key, n, d1, d2, prefix) of every row, the prefixes by rising document frequency."""
+    buckets = parallelism(rows.sparkSession)
+    docs = rows.withColumn("_block", F.pmod(F.xxhash64("_key", F.lit("block")), F.lit(buckets)).cast("int"))
+    told = scratch.write(docs.groupBy("_block").applyInArrow(_ask(n, buckets), ASK).groupBy("level", "bucket").applyInArrow(tell, TOLD).drop("n_distinct", "n_total"))
+    kind = rows.schema["_key"].dataType
+    made = docs.groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(_mark(n, percent, buckets, to_arrow_type(kind)), f"_key {kind.simpleString()}, n int, d1 long, d2 long, prefix array<long>")
+    out = scratch.write(made)
+    scratch.drop(told)
+    return out
 
 
 def _sets(rows: DataFrame, kind: str, n: int) -> DataFrame:
@@ -167,7 +168,7 @@ def jaccard_components(df: DataFrame, key: str, text: str, n: int = 3, percent:
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
     scratch = Scratch(spark, "jaccard")
-    marks = scratch.write(_marks(rows, kind, n, percent, _sketch(rows, n)))
+    marks = _marks(rows, scratch, n, percent)
     classes = marks.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("_key", "prefix")).alias("m")).select("d1", "d2", F.col("n"), F.col("m._key").alias("rep"), F.col("m.prefix").alias("prefix"))
     classes = scratch.write(classes)
 
@@ -178,10 +179,13 @@ def jaccard_components(df: DataFrame, key: str, text: str, n: int = 3, percent:
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     pairs = scratch.write(shared.filter((F.col("rep") != F.col("lead")) & fits(F.col("n"), F.col("lead_n"))).select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct())
 
-    candidates = shared.select(F.col("rep").alias("_key")).distinct()
-    sets = scratch.write(_sets(rows.join(candidates, "_key", "left_semi").dropDuplicates(["_key"]), kind, n))
-    own = lambda name, tokens: sets.select(F.col("_key").alias(name), F.col("tokens").alias(tokens))
-    links = scratch.write(_verify(pairs.join(own("a", "a_tokens"), "a").join(own("b", "b_tokens"), "b"), kind, percent))
+    def sets_of(keys: DataFrame) -> DataFrame:
+        return scratch.write(_sets(rows.join(keys.distinct(), "_key", "left_semi").dropDuplicates(["_key"]), kind, n))
+
+    own = lambda sets, name, tokens: sets.select(F.col("_key").alias(name), F.col("tokens").alias(tokens))
+    sets = sets_of(pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))))
+    links = scratch.write(_verify(pairs.join(own(sets, "a", "a_tokens"), "a").join(own(sets, "b", "b_tokens"), "b"), kind, percent))
+    scratch.drop(sets)
     groups = components(links, scratch)
 
     # Queries and blocks of different groups that meet in a prefix token.  Of two groups the one with fewer members asks.
@@ -198,9 +202,11 @@ def jaccard_components(df: DataFrame, key: str, text: str, n: int = 3, percent:
     queries = scratch.write(rated.join(blocks, "token").filter(asks).select("rep", "g", "g_lot").distinct())
 
     wanted = queries.select(F.col("g").alias("grp"), F.col("g_lot").alias("lot")).distinct()
-    opened = members.join(wanted, ["grp", "lot"]).select("grp", "lot", F.col("rep").alias("_key")).join(sets, "_key")
+    inside = scratch.write(members.join(wanted, ["grp", "lot"]).select("grp", "lot", F.col("rep").alias("_key")))
+    sets = sets_of(inside.select("_key").unionByName(queries.select(F.col("rep").alias("_key"))))
+    opened = inside.join(sets, "_key")
     unions = scratch.write(opened.withColumn("bucket", F.pmod(F.xxhash64("grp", "lot"), F.lit(4 * parallelism(spark)))).groupBy("bucket").applyInArrow(_block_rows(kind), f"grp {kind}, lot int, low int, tokens binary, members array<{kind}>, sets array<binary>"))
-    asked = queries.join(own("rep", "a_tokens"), "rep").join(unions.select(F.col("grp").alias("g"), F.col("lot").alias("g_lot"), "low", "tokens", "members", "sets"), ["g", "g_lot"])
+    asked = queries.join(own(sets, "rep", "a_tokens"), "rep").join(unions.select(F.col("grp").alias("g"), F.col("lot").alias("g_lot"), "low", "tokens", "members", "sets"), ["g", "g_lot"])
     more = scratch.write(_open(asked.select("rep", "a_tokens", "low", "tokens", "members", "sets"), kind, percent))
     scratch.drop(shared, pairs, sets, rated, queries, unions)
 
