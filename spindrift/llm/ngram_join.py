@@ -101,7 +101,7 @@ def _mark(n: int, percent: int, buckets: int, kind: pa.DataType):
 def _marks(rows: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
     """(_key, n, d1, d2, prefix) of every row, the prefixes by rising document frequency."""
     buckets = parallelism(rows.sparkSession)
-    docs = rows.withColumn("_block", F.pmod(F.xxhash64("_key", F.lit("block")), F.lit(buckets)).cast("int"))
+    docs = rows.withColumn("_block", F.pmod(F.xxhash64("_key", F.lit("block")), F.lit(2 * buckets)).cast("int"))
     told = scratch.write(docs.groupBy("_block").applyInArrow(_ask(n, buckets), ASK).groupBy("level", "bucket").applyInArrow(tell, TOLD).drop("n_distinct", "n_total"))
     kind = rows.schema["_key"].dataType
     made = docs.groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(_mark(n, percent, buckets, to_arrow_type(kind)), f"_key {kind.simpleString()}, n int, d1 long, d2 long, prefix array<long>")
