@@ -203,12 +203,12 @@ def _score(buckets: int, z: float, prior: float, key_type: pa.DataType):
 def score_texts(df: DataFrame, key: str, text: str, train: Column, least: int = 3, gain: float = 1.0, prior: float = 0.5, blocks: int | None = None) -> DataFrame:
     """``(key, train, n_tokens, n_known, train_tokens, base_score, score)`` of every row.
 
-    ``blocks`` deals the documents out (twice the shuffle partitions if unset); it doesn't change the scores but for
+    ``blocks`` deals the documents out (the number of shuffle partitions if unset); it doesn't change the scores but for
     rounding and for the length of the n-grams' hashes.
     """
     spark = df.sparkSession
     buckets = parallelism(spark)
-    blocks = blocks or 2 * buckets
+    blocks = blocks or buckets
     docs = df.select(F.col(key).alias("_key"), F.coalesce(train, F.lit(False)).alias("_train"), F.col(text).alias("_text"), F.pmod(F.xxhash64(F.col(key), F.lit("block")), F.lit(blocks)).cast("int").alias("_block"))
     kind = docs.schema["_key"].dataType
     scratch = Scratch(spark, "suffix-tree")
@@ -217,7 +217,7 @@ def score_texts(df: DataFrame, key: str, text: str, train: Column, least: int =
     z = n + 0.5 * (v + 1)
     answers = told.drop("n_distinct", "n_total")
     for step in (1, 2):
-        said = docs.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(_say(step, buckets, z, least, prior), SAID)
+        said = docs.groupBy("_block").cogroup(answers.filter("level < 10").groupBy("block")).applyInArrow(_say(step, buckets, z, least, prior), SAID)
         answers = answers.unionByName(scratch.write(said.groupBy("level", "bucket").applyInArrow(_answer(gain, prior), ASK)))
 
     schema = f"_key {kind.simpleString()}, _train boolean, n_tokens long, n_known long, base_score double, score double"
