@@ -1,11 +1,242 @@
 """Queries over the test tables, and the SQL that says the same."""
 
+from __future__ import annotations
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import text as T
+from .operators import prepare, retrieval, splits, tags
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and the parts that they ordered; a tenth of the quantity, rounded up, is the value."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.ceil(F.col("l_quantity") / 10).alias("v"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("at"))
+    return prepare.canonical(lines.join(orders, lines.l_orderkey == orders.o_orderkey), "o_custkey", "l_partkey", "v", "at")
+
+
+def liked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.threshold_binarize(interactions(spark, sf_dir), 4, 1)
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").cast("string").alias("item_id"), F.col("p_name").alias("title"), F.concat_ws("|", "p_type", "p_brand").alias("genres"), F.array("p_type", "p_brand").alias("categories"), "p_partkey")
+
+
+def joined(df: DataFrame, *columns: str) -> DataFrame:
+    """Lists as text, one space between members."""
+    return df.select(*[c for c in df.columns if c not in columns], *[F.array_join(c, " ").alias(c) for c in columns])
 
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_ALL = "i AS (SELECT CAST(o_custkey AS VARCHAR) AS user_id, CAST(l_partkey AS VARCHAR) AS item_id, CAST(ceil(l_quantity / 10) AS DOUBLE) AS value, CAST(epoch_us(o_orderdate) AS DOUBLE) AS timestamp FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+_LIKED = _ALL + ", x AS (SELECT user_id, item_id, CAST(1 AS DOUBLE) AS value, timestamp FROM i WHERE value >= 4)"
+_PARTS = "p AS (SELECT CAST(p_partkey AS VARCHAR) AS item_id, p_name AS title, concat_ws('|', p_type, p_brand) AS genres, p_type, p_brand, p_partkey FROM part)"
+_COLD = "r AS (SELECT item_id, row_number() OVER (ORDER BY md5(concat_ws(':', '42', item_id)), item_id) AS r FROM (SELECT DISTINCT item_id FROM x)), s AS (SELECT item_id, CASE WHEN r <= 50 THEN 'val' WHEN r <= 150 THEN 'test' ELSE 'train' END AS split FROM r)"
+_LLO = """n AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, item_id DESC) AS r FROM x),
+h AS (SELECT user_id, list_sort(list(DISTINCT item_id) FILTER (WHERE r > 1)) AS source, list(DISTINCT item_id) FILTER (WHERE r = 1) AS target FROM n WHERE n >= 2 GROUP BY user_id)"""
+_TEMPORAL = """c AS (SELECT quantile_cont(timestamp, 0.9) AS cutoff FROM x),
+h AS (SELECT user_id, list_sort(list(DISTINCT item_id) FILTER (WHERE timestamp <= cutoff)) AS source, list_sort(list(DISTINCT item_id) FILTER (WHERE timestamp > cutoff)) AS target FROM x, c GROUP BY user_id HAVING count(*) FILTER (WHERE timestamp <= cutoff) > 0 AND count(*) FILTER (WHERE timestamp > cutoff) > 0)"""
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+@query(f"WITH {_ALL} SELECT * FROM i")
+def canonical_interactions(spark, sf_dir):
+    return interactions(spark, sf_dir)
+
+
+@query(f"WITH {_LIKED} SELECT * FROM x")
+def threshold_binarize(spark, sf_dir):
+    return liked(spark, sf_dir)
+
+
+@query("SELECT event_id, try_cast(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS k FROM events WHERE try_cast(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) IS NOT NULL")
+def null_coercion(spark, sf_dir):
+    out = table(spark, sf_dir, "events").select("event_id", prepare.number(F.regexp_extract("props", "([0-9]+)", 1)).alias("k"))
+    return out.na.drop(subset=["k"])
+
+
+@query(f"WITH {_LIKED} SELECT * FROM x WHERE user_id IN (SELECT user_id FROM x GROUP BY 1 HAVING count(*) >= 15)")
+def user_support_rows(spark, sf_dir):
+    return prepare.with_support(liked(spark, sf_dir), "user_id", 15)
+
+
+@query(f"WITH {_LIKED} SELECT * FROM x WHERE user_id IN (SELECT user_id FROM x GROUP BY 1 HAVING count(DISTINCT item_id) >= 15)")
+def user_support_distinct(spark, sf_dir):
+    return prepare.with_support(liked(spark, sf_dir), "user_id", 15, distinct="item_id")
+
+
+def _kcore_sql(rounds: int = 12) -> str:
+    steps = []
+    for k in range(rounds):
+        before = "x" if k == 0 else f"u{k - 1}"
+        steps.append(f"t{k} AS MATERIALIZED (SELECT * FROM {before} WHERE item_id IN (SELECT item_id FROM {before} GROUP BY 1 HAVING count(*) >= 8))")
+        steps.append(f"u{k} AS MATERIALIZED (SELECT * FROM t{k} WHERE user_id IN (SELECT user_id FROM t{k} GROUP BY 1 HAVING count(*) >= 10))")
+    return f"WITH {_LIKED}, {', '.join(steps)} SELECT * FROM u{rounds - 1}"
+
+
+@query(_kcore_sql())
+def kcore_prune(spark, sf_dir):
+    return prepare.kcore(liked(spark, sf_dir), 10, 8)
+
+
+@query(f"WITH {_LIKED} SELECT * FROM x WHERE item_id IN (SELECT CAST(vec_id AS VARCHAR) FROM embeddings)")
+def restrict_to_metadata(spark, sf_dir):
+    return prepare.restrict(liked(spark, sf_dir), table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("item_id")))
+
+
+@query(f"WITH {_PARTS} SELECT item_id, title, lang, n_chars FROM p LEFT JOIN documents ON p_partkey = doc_id")
+def metadata_left_join(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("p_partkey"), "lang", "n_chars")
+    return parts(spark, sf_dir).join(docs, "p_partkey", "left").select("item_id", "title", "lang", "n_chars")
+
+
+@query(f"WITH {_LIKED}, v AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS item_idx FROM (SELECT DISTINCT item_id FROM x)) SELECT item_idx, item_id, lang FROM v LEFT JOIN (SELECT CAST(doc_id AS VARCHAR) AS item_id, lang FROM documents) USING (item_id)")
+def metadata_align(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("item_id"), "lang")
+    return prepare.vocabulary(liked(spark, sf_dir), "item_id", "item_idx").join(docs, "item_id", "left").select("item_idx", "item_id", "lang")
+
+
+@query("SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
+def dedup_keep_first(spark, sf_dir):
+    return prepare.keep_first(table(spark, sf_dir, "events"), "event_type", "ts", "event_id").select("event_type", "event_id", "value")
+
+
+@query(f"WITH {_LIKED} SELECT row_number() OVER (ORDER BY item_id) - 1 AS item_idx, item_id FROM (SELECT DISTINCT item_id FROM x)")
+def item_vocab(spark, sf_dir):
+    return prepare.vocabulary(liked(spark, sf_dir), "item_id", "item_idx")
+
+
+@query(f"WITH {_LIKED} SELECT row_number() OVER (ORDER BY user_id) - 1 AS user_idx, user_id FROM (SELECT DISTINCT user_id FROM x)")
+def user_vocab(spark, sf_dir):
+    return prepare.vocabulary(liked(spark, sf_dir), "user_id", "user_idx")
+
+
+@query(f"WITH {_LIKED}, u AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS user_idx, user_id FROM (SELECT DISTINCT user_id FROM x)), v AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS item_idx, item_id FROM (SELECT DISTINCT item_id FROM x)) SELECT user_idx, item_idx, CAST(sum(value) AS FLOAT) AS value FROM x JOIN u USING (user_id) JOIN v USING (item_id) GROUP BY 1, 2")
+def sparse_matrix(spark, sf_dir):
+    x = liked(spark, sf_dir)
+    return prepare.sparse_matrix(x, prepare.vocabulary(x, "user_id", "user_idx"), prepare.vocabulary(x, "item_id", "item_idx"))
+
+
+@query(f"WITH {_LIKED}, r AS (SELECT user_id, row_number() OVER (ORDER BY md5(concat_ws(':', '42', user_id)), user_id) AS r FROM (SELECT DISTINCT user_id FROM x)) SELECT user_id, CASE WHEN r <= 50 THEN 'val' WHEN r <= 150 THEN 'test' ELSE 'train' END AS split FROM r")
+def user_split(spark, sf_dir):
+    return splits.three_way(liked(spark, sf_dir).select("user_id").distinct(), "user_id", 50, 100, 42)
+
+
+@query(f"WITH {_LIKED}, {_COLD} SELECT item_id, split FROM s")
+def item_split(spark, sf_dir):
+    return splits.three_way(liked(spark, sf_dir).select("item_id").distinct(), "item_id", 50, 100, 42)
+
+
+@query(f"WITH {_LIKED}, d AS (SELECT DISTINCT user_id, item_id FROM x), n AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM d), e AS (SELECT *, unnest(range(5)) AS draw FROM n WHERE n >= 5) SELECT draw, user_id, item_id, row_number() OVER (PARTITION BY draw, user_id ORDER BY md5(concat_ws(':', '42', draw, user_id, item_id)), item_id) <= ceil(n * 0.2) AS is_target FROM e")
+def eval_fold_holdout(spark, sf_dir):
+    x = liked(spark, sf_dir)
+    return splits.fold_holdout(x, x, 42, draws=5, min_items=5)
+
+
+@query(f"WITH {_LIKED}, {_COLD}, h AS (SELECT user_id, list_sort(list(DISTINCT item_id) FILTER (WHERE split = 'train')) AS source, list_sort(list(DISTINCT item_id) FILTER (WHERE split = 'test')) AS target FROM x JOIN s USING (item_id) GROUP BY 1) SELECT user_id, array_to_string(source, ' ') AS source, array_to_string(target, ' ') AS target FROM h WHERE len(source) > 0 AND len(target) > 0")
+def item_cold_holdout(spark, sf_dir):
+    x = liked(spark, sf_dir)
+    return joined(splits.item_cold_holdout(x, splits.three_way(x.select("item_id").distinct(), "item_id", 50, 100, 42)), "source", "target")
+
+
+@query(f"WITH {_LIKED}, {_LLO} SELECT user_id, array_to_string(source, ' ') AS source, array_to_string(target, ' ') AS target FROM h WHERE len(source) > 0")
+def leave_last_out(spark, sf_dir):
+    return joined(splits.leave_last_out(liked(spark, sf_dir)), "source", "target")
+
+
+@query(f"WITH {_LIKED} SELECT quantile_cont(timestamp, 0.9) AS cutoff FROM x")
+def temporal_cutoff(spark, sf_dir):
+    return splits.temporal_cutoff(liked(spark, sf_dir), 0.1)
+
+
+@query(f"WITH {_LIKED}, {_TEMPORAL} SELECT user_id, array_to_string(source, ' ') AS source, array_to_string(target, ' ') AS target FROM h")
+def temporal_holdout(spark, sf_dir):
+    return joined(splits.temporal_holdout(liked(spark, sf_dir), 0.1), "source", "target")
+
+
+@query(f"WITH {_LIKED}, {_LLO} SELECT * FROM x WHERE item_id NOT IN (SELECT unnest(target) FROM h WHERE len(source) > 0)")
+def train_rows_leave_last_out(spark, sf_dir):
+    x = liked(spark, sf_dir)
+    return splits.train_rows(x, splits.leave_last_out(x))
+
+
+@query(f"WITH {_LIKED}, {_TEMPORAL} SELECT * FROM x WHERE item_id NOT IN (SELECT unnest(target) FROM h)")
+def train_rows_temporal(spark, sf_dir):
+    x = liked(spark, sf_dir)
+    return splits.train_rows(x, splits.temporal_holdout(x, 0.1))
+
+
+@query(f"WITH {_PARTS}, g AS (SELECT item_id, p_partkey AS o, unnest(list_zip(string_split(genres, '|'), range(len(string_split(genres, '|'))))) AS z FROM p), t AS (SELECT item_id, o, trim(z[1]) AS tag, z[2] AS q FROM g), f AS (SELECT tag, row_number() OVER (ORDER BY min((o, q))) - 1 AS tag_idx FROM t GROUP BY tag) SELECT item_id, tag, tag_idx, count(*) AS weight FROM t JOIN f USING (tag) GROUP BY ALL")
+def genre_tags(spark, sf_dir):
+    return tags.genre_tags(parts(spark, sf_dir), "genres", "p_partkey")
+
+
+@query("WITH t AS (SELECT CAST(l_partkey AS VARCHAR) AS item_id, lower(trim(o_orderpriority)) AS tag FROM lineitem JOIN orders ON l_orderkey = o_orderkey), k AS (SELECT tag FROM t GROUP BY 1 HAVING count(*) >= 100) SELECT item_id, tag, count(*) AS weight FROM t WHERE tag IN (FROM k) AND item_id IN (SELECT CAST(vec_id AS VARCHAR) FROM embeddings) GROUP BY 1, 2")
+def user_tags(spark, sf_dir):
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(F.col("l_partkey").cast("string").alias("item_id"), F.col("o_orderpriority").alias("tag"))
+    return tags.user_tags(rows, table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("item_id")), 100)
+
+
+@query("SELECT CAST(l_partkey AS VARCHAR) AS item_id, lower(trim(n_name)) AS tag, sum(l_quantity) AS weight FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE s_nationkey IN (SELECT s_nationkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1 HAVING sum(l_quantity) >= 30000) GROUP BY 1, 2")
+def weighted_tags(spark, sf_dir):
+    lines, suppliers = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
+    rows = lines.join(suppliers, lines.l_suppkey == suppliers.s_suppkey).select(F.col("l_partkey").cast("string").alias("item_id"), F.col("s_nationkey").alias("tag_id"), F.col("l_quantity").alias("count"))
+    return tags.weighted_tags(rows, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("tag_id"), F.col("n_name").alias("tag_name")), 30000)
+
+
+@query(f"WITH {_PARTS}, e AS (SELECT item_id, concat_ws('\n\n', 'Title: ' || trim(title), 'Categories: ' || p_type || ' > ' || p_brand) AS entity_text FROM p) SELECT * FROM e WHERE len(regexp_extract_all(entity_text, '\\S+')) >= 5")
+def entity_text_filter(spark, sf_dir):
+    return T.add_entity_text(parts(spark, sf_dir), ["title", "missing", "categories"], 5, labelled=True).select("item_id", "entity_text")
+
+
+@query("WITH u AS (SELECT page_id, '[{\"hi_res\": \"' || url || '\", \"large\": \"' || url || '\"}, {\"thumb\": \"t/' || url || '\"}]' AS js, url FROM pages) SELECT page_id, url AS image_url, url || ' t/' || url AS image_urls FROM u")
+def image_urls(spark, sf_dir):
+    js = F.concat(F.lit('[{"hi_res": "'), "url", F.lit('", "large": "'), "url", F.lit('"}, {"thumb": "t/'), "url", F.lit('"}]'))
+    out = table(spark, sf_dir, "pages").select("page_id", T.image_urls(T.parse_images(js)).alias("u"))
+    return out.select("page_id", F.coalesce(F.get("u", F.lit(0)), F.lit("")).alias("image_url"), F.array_join("u", " ").alias("image_urls"))
+
+
+def _vectors(spark, sf_dir):
+    return retrieval.unit(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("item_id"), F.col("embedding").alias("vector")), "vector")
+
+
+@query()
+def retrieval_top_k(spark, sf_dir):
+    vectors = _vectors(spark, sf_dir)
+    return retrieval.top_k(splits.temporal_holdout(prepare.restrict(liked(spark, sf_dir), vectors), 0.1), vectors, 20)
+
+
+@query()
+def retrieval_metrics(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query()
+def sparse_embeddings(spark, sf_dir):
+    return retrieval.sparsify(_vectors(spark, sf_dir), 8)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Temporal holdout, top 100 by item vectors, recall and nDCG at 20, 50 and 100."""
+    vectors = _vectors(spark, sf_dir)
+    holdout = splits.temporal_holdout(prepare.restrict(liked(spark, sf_dir), vectors), 0.1)
+    return retrieval.metrics(retrieval.top_k(holdout, vectors, 100), holdout)
