@@ -9,7 +9,8 @@ which is counted over all documents (``packed.py``); prefix tokens that no other
    together without being paired with each other.  Connected classes are similar: they make up the groups, split into
    blocks of ``block`` members.
 2. The matrix has a row per prefix token and block.  A class is a query for the blocks of *other* groups that it shares a
-   prefix token with.  Each block stores the union of its members' tokens; if the query's overlap with that union is below
+   prefix token with and that can still overlap enough from that token on: of a pair that links, all common tokens stand at
+   or after the first one in either order, which bounds the overlap by what is left of either set.  Each block stores the union of its members' tokens; if the query's overlap with that union is below
    the least overlap that any member could need, the block stays closed, else its members are compared until one links.
 3. The links of both steps are connected to components.
 
@@ -67,10 +68,10 @@ def _ask(n: int, buckets: int):
 
 
 def _mark(n: int, percent: int, buckets: int, kind: pa.DataType):
-    """Set size, digest and those prefix tokens that another document has too."""
+    """Set size, digest and those prefix tokens that another document has too, with their places in the order."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        names, kinds = ["_key", "n", "d1", "d2", "prefix"], [kind, pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        names, kinds = ["_key", "n", "d1", "d2", "prefix", "places"], [kind, pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         if not docs.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=names)
         h, doc = shingle_hashes(docs["_text"], n)
@@ -89,22 +90,23 @@ def _mark(n: int, percent: int, buckets: int, kind: pa.DataType):
             seen[rows] = told.values[0][places]
         order = np.lexsort((h, seen, doc))
         place = np.arange(len(h)) - starts[doc]  # order keeps documents together
-        chosen = order[(place < (size - -(-percent * size // 100) + 1)[doc]) & (seen[order] > 1)]
-        ends = np.concatenate([[0], np.cumsum(np.bincount(doc[chosen], minlength=docs.num_rows))])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[chosen].view(np.int64)))
-        columns = [docs["_key"], pa.array(size.astype(np.int32)), *digest, lists]
+        used = (place < (size - -(-percent * size // 100) + 1)[doc]) & (seen[order] > 1)
+        chosen = order[used]
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[chosen], minlength=docs.num_rows))]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (h[chosen].view(np.int64), place[used].astype(np.int32))]
+        columns = [docs["_key"], pa.array(size.astype(np.int32)), *digest, *lists]
         return pa.table(columns, names=names)
 
     return run
 
 
 def _marks(rows: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
-    """(_key, n, d1, d2, prefix) of every row, the prefixes by rising document frequency."""
+    """(_key, n, d1, d2, prefix, places) of every row, the prefixes by rising document frequency."""
     buckets = parallelism(rows.sparkSession)
     docs = rows.withColumn("_block", F.pmod(F.xxhash64("_key", F.lit("block")), F.lit(2 * buckets)).cast("int"))
     told = scratch.write(docs.groupBy("_block").applyInArrow(_ask(n, buckets), ASK).groupBy("level", "bucket").applyInArrow(tell, TOLD).drop("n_distinct", "n_total"))
     kind = rows.schema["_key"].dataType
-    made = docs.groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(_mark(n, percent, buckets, to_arrow_type(kind)), f"_key {kind.simpleString()}, n int, d1 long, d2 long, prefix array<long>")
+    made = docs.groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(_mark(n, percent, buckets, to_arrow_type(kind)), f"_key {kind.simpleString()}, n int, d1 long, d2 long, prefix array<long>, places array<int>")
     out = scratch.write(made)
     scratch.drop(told)
     return out
@@ -169,15 +171,17 @@ def jaccard_components(df: DataFrame, key: str, text: str, n: int = 3, percent:
     kind = rows.schema["_key"].dataType.simpleString()
     scratch = Scratch(spark, "jaccard")
     marks = _marks(rows, scratch, n, percent)
-    classes = marks.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("_key", "prefix")).alias("m")).select("d1", "d2", F.col("n"), F.col("m._key").alias("rep"), F.col("m.prefix").alias("prefix"))
+    classes = marks.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("_key", "prefix", "places")).alias("m")).select("d1", "d2", "n", F.col("m._key").alias("rep"), F.col("m.prefix").alias("prefix"), F.col("m.places").alias("places"))
     classes = scratch.write(classes)
 
     # Tokens that two classes or more have in their prefixes, with the smallest of these classes.
-    postings = classes.select("rep", "n", F.explode("prefix").alias("token"))
-    shared = postings.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    shared = scratch.write(postings.join(shared, "token").select("token", "rep", "n", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n")))
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    pairs = scratch.write(shared.filter((F.col("rep") != F.col("lead")) & fits(F.col("n"), F.col("lead_n"))).select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct())
+    # reach: a set of up to reach / percent tokens can link with the class if this is their first common token.
+    reach = 100 * F.col("n") - (100 + percent) * F.col("p.places")
+    postings = classes.select("rep", "n", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("rep", "n", F.col("p.prefix").alias("token"), reach.alias("reach"))
+    shared = postings.groupBy("token").agg(F.min(F.struct("rep", "n", "reach")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    shared = scratch.write(postings.join(shared, "token"))
+    fits = (F.col("reach") >= F.col("lead.n") * percent) & (F.col("lead.reach") >= F.col("n") * percent)
+    pairs = scratch.write(shared.filter((F.col("rep") != F.col("lead.rep")) & fits).select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).distinct())
 
     def sets_of(keys: DataFrame) -> DataFrame:
         return scratch.write(_sets(rows.join(keys.distinct(), "_key", "left_semi").dropDuplicates(["_key"]), kind, n))
@@ -193,12 +197,12 @@ def jaccard_components(df: DataFrame, key: str, text: str, n: int = 3, percent:
     members = members.join(members.groupBy("grp").agg(F.count(F.lit(1)).alias("members")), "grp")
     lots = F.greatest(F.lit(1), F.ceil(F.col("members") / block)).cast("int")
     members = scratch.write(members.withColumn("lot", F.pmod(F.xxhash64("rep"), lots).cast("int")))
-    rated = shared.select("token", "rep").join(members, "rep")
+    rated = shared.select("token", "rep", "reach").join(members, "rep")
     mixed = rated.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x <> y").select("token")
     rated = scratch.write(rated.join(mixed, "token"))
-    blocks = rated.groupBy("token", "grp", "lot", "members").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    blocks = blocks.select("token", F.col("grp").alias("g"), F.col("lot").alias("g_lot"), F.col("members").alias("g_members"), "low", "high")
-    asks = (F.struct("members", "grp") < F.struct(F.col("g_members").alias("members"), F.col("g").alias("grp"))) & (F.col("high") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("low") * percent)
+    blocks = rated.groupBy("token", "grp", "lot", "members").agg(F.min("n").alias("low"), F.max("reach").alias("most"))
+    blocks = blocks.select("token", F.col("grp").alias("g"), F.col("lot").alias("g_lot"), F.col("members").alias("g_members"), "low", "most")
+    asks = (F.struct("members", "grp") < F.struct(F.col("g_members").alias("members"), F.col("g").alias("grp"))) & (F.col("most") >= F.col("n") * percent) & (F.col("reach") >= F.col("low") * percent)
     queries = scratch.write(rated.join(blocks, "token").filter(asks).select("rep", "g", "g_lot").distinct())
 
     wanted = queries.select(F.col("g").alias("grp"), F.col("g_lot").alias("lot")).distinct()
