@@ -25,10 +25,16 @@ def list_text(c: Column, separator: str) -> Column:
     return F.coalesce(F.array_join(F.filter(F.transform(c, clean), lambda x: x != ""), separator), F.lit(""))
 
 
-def map_text(c: Column, separator: str) -> Column:
-    """``key: value`` for each entry whose value is not empty, joined."""
+def map_text(c: Column, separator: str, missing: str | None = "") -> Column:
+    """``key: value`` for each entry whose value is not empty, joined; ``missing`` for null."""
     entries = F.filter(F.map_entries(c), lambda e: clean(e["value"]) != "")
-    return F.coalesce(F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), clean(e["value"]))), separator), F.lit(""))
+    return F.coalesce(F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), clean(e["value"]))), separator), F.lit(missing))
+
+
+def details_text(c: Column, separator: str = "\n") -> Column:
+    """A JSON object as ``key: value`` entries; a text that isn't JSON stays as it is."""
+    given = clean(c)
+    return F.when(given.isin("", "{}"), "").otherwise(F.coalesce(map_text(F.from_json(F.when(F.get_json_object(given, "$").isNotNull(), given), "map<string, string>"), separator, None), given))
 
 
 def word_count(c: Column) -> Column:

@@ -208,6 +208,28 @@ def entity_text_filter(spark, sf_dir):
     return T.add_entity_text(parts(spark, sf_dir), ["title", "missing", "categories"], 5, labelled=True).select("item_id", "entity_text")
 
 
+@query(f"WITH {_PARTS} SELECT item_id, concat_ws('\n', nullif(trim(title), ''), nullif(trim(genres), '')) AS entity_text FROM p")
+def entity_text_base(spark, sf_dir):
+    return T.add_entity_text(parts(spark, sf_dir), ["title", "missing", "genres"]).select("item_id", "entity_text")
+
+
+@query(f"WITH {_PARTS} SELECT item_id, concat_ws('\n\n', 'Title: ' || trim(title), 'Categories: ' || p_type || ' > ' || p_brand) AS entity_text FROM p")
+def entity_text_labeled(spark, sf_dir):
+    return T.add_entity_text(parts(spark, sf_dir), ["title", "missing", "categories"], labelled=True).select("item_id", "entity_text")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN p_name || chr(10) || p_brand ELSE p_type || ' | ' || p_brand END AS encoder_text FROM part")
+def sbert_texts(spark, sf_dir):
+    large = lambda c: F.when(F.col("p_size") > 25, F.col(c)).otherwise(" ")
+    p = table(spark, sf_dir, "part").select("p_partkey", large("p_name").alias("title"), large("p_brand").alias("authors"), "p_type", "p_brand")
+    return p.select("p_partkey", T.encoder_texts(p, ["title", "authors"], fallback=["p_type", "missing", "p_brand"]).alias("encoder_text"))
+
+
+@query("SELECT event_id, 'k: ' || json_extract_string(props, '$.k') AS details, event_type AS plain FROM events")
+def json_details(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", T.details_text(F.col("props")).alias("details"), T.details_text(F.col("event_type")).alias("plain"))
+
+
 @query("WITH u AS (SELECT page_id, '[{\"hi_res\": \"' || url || '\", \"large\": \"' || url || '\"}, {\"thumb\": \"t/' || url || '\"}]' AS js, url FROM pages) SELECT page_id, url AS image_url, url || ' t/' || url AS image_urls FROM u")
 def image_urls(spark, sf_dir):
     js = F.concat(F.lit('[{"hi_res": "'), "url", F.lit('", "large": "'), "url", F.lit('"}, {"thumb": "t/'), "url", F.lit('"}]'))
@@ -219,6 +241,20 @@ def _vectors(spark, sf_dir):
     return retrieval.unit(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("item_id"), F.col("embedding").alias("vector")), "vector")
 
 
+@query(f"WITH {_LIKED}, {_LLO}, t AS (SELECT DISTINCT item_id FROM x WHERE item_id NOT IN (SELECT unnest(target) FROM h)), e AS (SELECT user_id, unnest(source) AS item_id FROM h) SELECT user_id AS row_id, user_id, array_to_string(list_sort(list(e.item_id)), ' ') AS source, any_value(target[1]) AS target FROM e JOIN t USING (item_id) JOIN h USING (user_id) GROUP BY user_id")
+def history_holdout(spark, sf_dir):
+    rows = liked(spark, sf_dir)
+    last = splits.leave_last_out(rows)
+    held_out = last.select(F.col("user_id").alias("row_id"), "user_id", F.get("target", F.lit(0)).alias("item_id"), F.array_join("source", "  ").alias("history"))
+    return joined(splits.history_holdout(held_out, splits.train_rows(rows, last)), "source", "target")
+
+
+@query(f"WITH {_ALL} SELECT * FROM i UNION ALL SELECT CAST(user_id AS VARCHAR), event_type, value, CAST(epoch_us(ts) AS DOUBLE) FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
+def union_sources(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    return interactions(spark, sf_dir).unionByName(prepare.canonical(events, "user_id", "event_type", "value", "at"))
+
+
 @query()
 def retrieval_top_k(spark, sf_dir):
     vectors = _vectors(spark, sf_dir)
