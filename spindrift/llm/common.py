@@ -90,6 +90,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_VALUE = np.where(_SPACE, np.uint64(0), _BYTE[_LOWER])
 _POWER = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15 | 1, dtype=np.uint64), dtype=np.uint64)
 
 
@@ -142,13 +143,15 @@ def _word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     starts = np.flatnonzero(first)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    index = np.cumsum(first, dtype=np.int64) - 1
-    place = np.arange(len(data), dtype=np.int64) - starts[np.maximum(index, 0)]
-    value = _BYTE[_LOWER[data]]
-    value *= _POWER[place & 0xFFFF]
-    value[~inside] = 0
+    last = inside
+    last[:-1] &= ~inside[1:] | first[1:]
+    size = (np.flatnonzero(last) + 1 - starts).astype(np.uint64)
+    place = np.arange(len(data), dtype=np.int32)
+    place[starts[0] :] -= np.repeat(starts.astype(np.int32), np.diff(starts, append=len(data)))
+    place &= 0xFFFF
+    value = _VALUE[data]
+    value *= _POWER[place]
     h = np.add.reduceat(value, starts)
-    size = np.add.reduceat(inside, starts, dtype=np.int64).astype(np.uint64)
     return mix(h + size * np.uint64(0xD6E8FEB86659FD93)), np.searchsorted(starts, at).astype(np.int64)
 
 

@@ -53,7 +53,7 @@ class Lookup:
         if len(keys):
             self.shift = np.uint64(max(0, int(keys[-1]).bit_length() - len(keys).bit_length() - 1))
             lead = (keys >> self.shift).astype(np.int64)
-            self.starts = np.searchsorted(lead, np.arange(lead[-1] + 2))
+            self.starts = np.searchsorted(lead, np.arange(lead[-1] + 2)).astype(np.int32)
             self.longest = int(np.diff(self.starts).max())
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

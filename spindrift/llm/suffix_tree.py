@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -53,8 +54,8 @@ class Grams:
         last = np.zeros(len(self.words), bool)
         last[ends - 1] = True
         self.words[last], self.words[~last] = END, h
-        self.doc = np.repeat(np.arange(len(n)), size)
-        self.place = np.arange(len(self.words)) - (ends - size)[self.doc]
+        self.doc = np.repeat(np.arange(len(n), dtype=np.int32), size)
+        self.place = np.arange(len(self.words), dtype=np.int32) - np.repeat((ends - size).astype(np.int32), size)
         self.size, self.learnt = size, train[self.doc]
         before = np.concatenate([self.words[:1], self.words[:-1]])
         pairs = mix(before * _K2 + self.words)
@@ -74,6 +75,9 @@ def _counts(grams: Grams, answers: dict[int, Lookup]) -> list[np.ndarray]:
         c = np.zeros(len(grams.words))
         h, at = grams.level(n)
         if n in answers:
+            if n > 1:  # what was seen has parts that were seen
+                seen = (out[-1][at] > 0) & (out[-1][at - 1] > 0)
+                h, at = h[seen], at[seen]
             rows, places = answers[n].find(h)
             c[at[rows]] = answers[n].values[0][places]
         out.append(c)
@@ -170,6 +174,17 @@ def _keep(least_gain: float, prior: float):
     return run
 
 
+def _slices(docs: pa.Table, most: int = 1 << 21) -> list[pa.Table]:
+    """Rows in order, a slice at a time, of about ``most`` bytes of text or one row."""
+    at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(docs["_text"]), 0).to_numpy(), dtype=np.int64)])
+    out, a = [], 0
+    while a < docs.num_rows:
+        b = max(a + 1, int(np.searchsorted(at, at[a] + most, "right")) - 1)
+        out.append(docs.slice(a, b - a))
+        a = b
+    return out
+
+
 def _score(buckets: int, z: float, prior: float, key_type: pa.DataType):
     """Scores of a block's texts.  Levels 1 to 3 of the answers are counts, 11 and 12 the kept contexts of one and two words."""
 
@@ -178,11 +193,15 @@ def _score(buckets: int, z: float, prior: float, key_type: pa.DataType):
         kinds = [key_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         if not docs.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=names)
-        grams = Grams(docs["_text"], docs["_train"].to_numpy().astype(bool), buckets)
         level = answers["level"].to_numpy()
         counts = by_level(answers.filter(pa.array(level < 10)), np.uint32)
         kept = answers.filter(pa.array(level > 10))
         kept = by_level(kept.set_column(kept.schema.get_field_index("level"), "level", pa.array(kept["level"].to_numpy() - 10, pa.int32())), np.uint32)
+        columns = [docs["_key"], docs["_train"], *(pa.chunked_array(c) for c in zip(*(sums(d, counts, kept) for d in _slices(docs)), strict=True))]
+        return pa.table([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    def sums(docs: pa.Table, counts: dict[int, Lookup], kept: dict[int, Lookup]) -> list[pa.Array]:
+        grams = Grams(docs["_text"], np.zeros(docs.num_rows, bool), buckets)
         c1, c2, c3 = _counts(grams, counts)
         p = base = (c1 + 0.5) / z
         for n, node, whole, follows in ((1, grams.words, c1, c2), (2, grams.pairs, c2, c3)):
@@ -192,10 +211,8 @@ def _score(buckets: int, z: float, prior: float, key_type: pa.DataType):
                 at = at[rows]
                 p = p.copy()
                 p[at] = (follows[at] + (kept[n].values[0][places] + prior) * p[at]) / (whole[at - 1] + prior)
-        texts = docs.num_rows
-        sums = [np.bincount(grams.doc, x, texts) for x in (c1 > 0, np.log10(base), np.log10(p))]
-        columns = [docs["_key"], docs["_train"], pa.array(grams.size), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
-        return pa.table([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        known, plain, score = (np.bincount(grams.doc, x, docs.num_rows) for x in (c1 > 0, np.log10(base), np.log10(p)))
+        return [pa.array(grams.size), pa.array(known.astype(np.int64)), pa.array(plain), pa.array(score)]
 
     return run
 
