@@ -18,10 +18,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; each row is judged by its own text, where it lies."""
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
-    rejected = toxicity.score(docs, "doc_id", "text", model).filter("score >= 0.5").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(rejected, "doc_id", "left_anti")
+    return toxicity.with_score(docs.select(*COLUMNS), "text", model).filter("score < 0.5").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -209,10 +209,21 @@ _words: dict[int, WordNumbers] = {}
 
 def score(df: DataFrame, key: str, text: str, model: ToxicityModel | None) -> DataFrame:
     """``(key, score double)`` of every row."""
+    return _scored(df.select(F.col(key), F.col(text).alias("_text")), "_text", model, [key])
+
+
+def with_score(df: DataFrame, text: str, model: ToxicityModel | None) -> DataFrame:
+    """df's rows with a column ``score`` (in place of one that df has), in the pass that scores them: nothing is shuffled."""
+    rows = df.drop("score")
+    return _scored(rows, text, model, rows.columns)
+
+
+def _scored(rows: DataFrame, text: str, model: ToxicityModel | None, passed: list[str]) -> DataFrame:
     if model is None:
-        return df.select(F.col(key), F.lit(0.0).alias("score"))
-    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    shared = df.sparkSession.sparkContext.broadcast(model)
+        return rows.select(*passed, F.lit(0.0).alias("score"))
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    at, places = rows.columns.index(text), [rows.columns.index(c) for c in passed]
+    kinds = ", ".join(f"`{c}` {rows.schema[i].dataType.simpleString()}" for i, c in zip(places, passed, strict=True))
 
     def run(batches):
         own = shared.value
@@ -221,7 +232,8 @@ def score(df: DataFrame, key: str, text: str, model: ToxicityModel | None) -> Da
             _words[id(own)] = WordNumbers(own)
         words = _words[id(own)]
         for batch in batches:
-            scores = [own.score(t, words) for at in range(0, batch.num_rows, 512) for t in batch.column(1).slice(at, 512).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["_key", "score"])
+            texts = batch.column(at)
+            scores = [own.score(t, words) for i in range(0, batch.num_rows, 512) for t in texts.slice(i, 512).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.array(scores, pa.float64())], [*passed, "score"])
 
-    return rows.mapInArrow(run, f"_key {rows.schema['_key'].dataType.simpleString()}, score double").withColumnRenamed("_key", key)
+    return rows.mapInArrow(run, f"{kinds}, score double")

@@ -259,6 +259,9 @@ def test_toxicity_learns_words_and_misspellings(spark, texts, no_texts):
     out = toxicity.score(texts, "doc_id", "text", model).collect()
     assert len(out) == 9 and all(0 <= r.score <= 1 for r in out)
     assert toxicity.score(no_texts, "doc_id", "text", model).collect() == []
+    beside = toxicity.with_score(texts, "text", model)
+    assert beside.columns == [*(c for c in texts.columns if c != "score"), "score"]
+    assert sorted((r["doc_id"] or 0, r["score"]) for r in beside.collect()) == sorted((r["doc_id"] or 0, r["score"]) for r in out)
     assert toxicity.train(["a b"], np.array([1])) is None
 
 
