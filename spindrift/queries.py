@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import prepare, retrieval, splits, tags
+from .operators import models, prepare, retrieval, splits, tags
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -271,6 +271,17 @@ def sparse_embeddings(spark, sf_dir):
     return retrieval.sparsify(_vectors(spark, sf_dir), 8)
 
 
+@query()
+def elsa_vectors(spark, sf_dir):
+    return models.fit_elsa(liked(spark, sf_dir), dim=16, epochs=1)[0]
+
+
+@query()
+def autoencoder_codes(spark, sf_dir):
+    vectors = _vectors(spark, sf_dir)
+    return models.sae_codes(vectors, models.fit_sae(vectors, hidden=128, k=8, epochs=1, batch=4096)[0], 8)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Temporal holdout, top 100 by item vectors, recall and nDCG at 20, 50 and 100."""
     vectors = _vectors(spark, sf_dir)
