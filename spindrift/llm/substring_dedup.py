@@ -1,9 +1,15 @@
-"""Substring dedup by hashing lines (operator 8).
+"""Substring dedup by hashing lines, sentences, paragraphs of short lines and word runs (operator 8).
 
-A text's units are its lines and, inside lines of several sentences, the sentences.  Units are normalised (lower case, runs
-of anything but letters and digits become one space) and those of ``min_words`` words or more are hashed to 128 bits.  Equal
-digests are grouped over all documents; the occurrence of the smallest (rank, key, start) stays, all others are cut out.
-A line that is a repeat goes with its line break; a repeated sentence goes with the white space after it.
+A text's units are its lines; inside lines of several sentences, the sentences; runs of consecutive lines that are each
+shorter than ``min_words``, as paragraphs; and runs of ``GRAM`` words wherever they lie.  Units are normalised (lower case,
+runs of anything but letters and digits become one space) and those of ``min_words`` words or more are hashed to 128 bits.
+Equal digests are grouped over all documents; the occurrence of the smallest (rank, key, start) stays, all others are cut
+out.  A line or paragraph that is a repeat goes with its line break; a sentence or word run goes with the blanks after it.
+
+Word runs are chosen by their content (winnowing): of each ``WINDOW`` consecutive ones that with the least hash is a unit.
+Every passage of GRAM + WINDOW - 1 words that two texts share has such a unit in both, whatever stands around it, and as no
+gap between units is longer than GRAM, at most WINDOW - 1 words at either end of a shared passage stay for this reason.
+Inside one text, a word run that overlaps its own first occurrence is cut only behind it.
 
 Every row is kept, with its other columns.  ``removed`` holds the spans that were cut, as offsets in code points of the
 original text; null texts stay null and have none.  Rows of the same key count as one document.  An empty table gives an
@@ -15,22 +21,85 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import _POWER, mix
 
 _JUNK = re.compile(r"[\W_]+")
 _SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+")
+_K = np.array([0x9FB21C651E98DF25, 0xD1342543DE82EF95], np.uint64)
+
+#: Words of a run, a power of two; and of how many consecutive runs one is a unit.
+GRAM, WINDOW = 16, 16
+
+
+@cache
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: whether it is a letter or digit, and a random value of its lower case, 0 for all others."""
+    code = [chr(c) for c in range(0x110000)]
+    inside = np.array([c.isalnum() for c in code])
+    lower = np.array([ord("σ" if c in "Σς" else c.lower()[0]) if w else 0 for c, w in zip(code, inside, strict=True)], np.uint64)
+    return inside, np.where(inside, mix(lower * _K[0]) | np.uint64(1), np.uint64(0))
+
+
+def word_runs(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, end, two hashes) of the runs of GRAM words that winnowing chooses."""
+    inside, value = _letters()
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    there = np.zeros(len(code) + 2, bool)
+    there[1:-1] = inside[code]
+    edges = np.flatnonzero(there[1:] != there[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if len(starts) < GRAM + WINDOW - 1:
+        return []
+    code = code[starts[0] : ends[-1]]
+    place = np.arange(len(code)) - np.repeat(starts - starts[0], np.append(starts[1:], ends[-1]) - starts)
+    place %= len(_POWER)
+    word = mix(np.add.reduceat(value[code] * _POWER[place], starts - starts[0]) + (ends - starts).astype(np.uint64) * _K[0])
+    lanes = []
+    for times in _K[:, None]:
+        h, n = word, 1
+        while n < GRAM:
+            h = h[:-n] * times + h[n:]
+            n, times = 2 * n, times * times
+        lanes.append(mix(h))
+    at = np.lib.stride_tricks.sliding_window_view(lanes[0], WINDOW).argmin(axis=1)
+    at += np.arange(len(at))
+    at = at[np.append(True, at[1:] != at[:-1])]
+    # Where a text repeats itself at once (filler), equal runs lie close together: one in GRAM / 2 words and the last do.
+    least = lanes[0][at]
+    again = np.append(False, (least[1:] == least[:-1]) & (at[1:] - at[:-1] <= GRAM // 2))
+    if again.any():
+        first = at[np.maximum.accumulate(np.where(again, 0, np.arange(len(at))))]
+        step = (at - first) // (GRAM // 2)
+        at = at[~again | np.append(False, step[1:] != step[:-1]) | ~np.append(again[1:], False)]
+    out, seen = [], {}
+    for p, *digest in zip(at.tolist(), *(h[at].view(np.int64).tolist() for h in lanes), strict=True):
+        first = seen.setdefault(tuple(digest), p)
+        end = int(ends[p + GRAM - 1])
+        while end < len(text) and text[end] in " \t":
+            end += 1
+        out.append((int(starts[p if p == first else max(p, first + GRAM)]), end, *digest))
+    return out
 
 
 def units(text: str, min_words: int) -> list[tuple[int, int, int, int]]:
-    """(start, end, two halves of the digest) of each unit; a line comes before its sentences."""
-    out, at = [], 0
+    """(start, end, two halves of the digest) of each unit; a line comes before its sentences, word runs come last."""
+    out, at, short = [], 0, []
+
+    def paragraph() -> None:
+        whole = " ".join(norm for _, _, norm in short)
+        if len(short) > 1 and whole.count(" ") + 1 >= min_words:
+            out.append((short[0][0], short[-1][1], *struct.unpack("<qq", hashlib.md5(b"P" + whole.encode()).digest())))
+        short.clear()
+
     for line in text.split("\n"):
-        end = at + len(line)
+        end, is_short = at + len(line), False
         if line:
             parts, norms, p = [], [], at
             for m in _SENTENCE.findall(line):
@@ -48,8 +117,14 @@ def units(text: str, min_words: int) -> list[tuple[int, int, int, int]]:
                             out.append((a, b, *struct.unpack("<qq", hashlib.md5(b"S" + norm.encode()).digest())))
                 else:
                     out.append((at, end, *struct.unpack("<qq", hashlib.md5(b"S" + whole.encode()).digest())))
+            elif whole:
+                is_short = True
+                short.append((at, min(end + 1, len(text)), whole))
+        if not is_short:
+            paragraph()
         at = end + 1
-    return out
+    paragraph()
+    return out + word_runs(text)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -72,7 +147,7 @@ def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
 
 def dedup(df: DataFrame, key: str, text: str, rank: str | None = None, min_words: int = 8) -> DataFrame:
     """df with repeated units cut out of ``text`` and the column ``removed array<struct<start, end>>``."""
-    spark, rank = df.sparkSession, rank or key
+    rank = rank or key
     rows = df.filter(F.col(text).isNotNull()).select(F.col(rank).alias("_rank"), F.col(key).alias("_key"), F.col(text).alias("_text"))
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("_rank", "_key")}
 
@@ -89,11 +164,10 @@ def dedup(df: DataFrame, key: str, text: str, rank: str | None = None, min_words
                 columns = [pa.array([u[k] for u in found], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), *columns], ["_rank", "_key", "start", "end", "d1", "d2"])
 
-    scratch = Scratch(spark, "units")
-    found = scratch.write(rows.mapInArrow(cut, f"_rank {kinds['_rank']}, _key {kinds['_key']}, start int, end int, d1 long, d2 long"))
-    place = F.struct("_rank", "_key", "start")
-    first = found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = found.join(first, ["d1", "d2"]).filter(~place.eqNullSafe(F.col("first")))
+    found = rows.mapInArrow(cut, f"_rank {kinds['_rank']}, _key {kinds['_key']}, start int, end int, d1 long, d2 long")
+    # One shuffle of the units; rank() is 1 for the first occurrence and for rows that repeat its key.
+    place = F.rank().over(Window.partitionBy("d1", "d2").orderBy("_rank", "_key", "start", "end"))
+    later = found.withColumn("_place", place).filter("_place > 1")
     spans = later.groupBy("_key").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
     names = df.columns
     inner = [f"c{i}" for i in range(len(names))]

@@ -220,6 +220,38 @@ def test_dedup_equals_brute_force(spark):
     assert {r.doc_id: r.text for r in Q.op8_line_dedup(spark, SF).collect()} == expected
 
 
+def test_dedup_leaves_no_shared_run_of_50_words(spark):
+    rng = np.random.default_rng(8)
+    fresh = lambda n: [f"{rng.choice(list('abcdefgh'))}{x}" for x in rng.integers(0, 10**9, n)]
+    passages = [fresh(n) for n in (50, 55, 70, 120)]
+    rows = []
+    for k in range(40):  # long sentences, other openings, one word changed in places
+        shared = list(passages[k % 4])
+        if k % 3 == 0 and len(shared) >= 70:
+            shared[-5] = "changed"
+        rows.append((k, " ".join([*fresh(rng.integers(1, 60)), *shared, *fresh(rng.integers(1, 60))]) + "."))
+    rows += [(100 + k, " ".join([*fresh(5), *["filler"] * (60 + 7 * k), *fresh(5)])) for k in range(4)]
+    rows += [(110 + k, "\n".join([*(" ".join(passages[2][i : i + 5]) for i in range(0, 70, 5)), f"own{k}"])) for k in range(3)]
+    rows.append((120, " ".join(passages[0][:16]) + " other"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in substring_dedup.dedup(docs, "doc_id", "text").collect()}
+    runs = lambda t: {tuple(w[i : i + 50]) for w in [t.replace(".", "").lower().split()] for i in range(len(w) - 49)}
+    seen = set()
+    for k, _ in rows:
+        assert not (own := runs(kept[k])) & seen, k
+        seen |= own
+    assert all(kept[k] == t for k, t in rows[:4]) and kept[120] == rows[-1][1]
+    words = {w for _, t in rows for w in t.replace(".", "").split()}
+    assert words == {w for t in kept.values() for w in t.replace(".", "").split()}  # a copy of everything stays
+
+
+def test_dedup_paragraphs_of_short_lines(spark):
+    block = "Home\nAbout our shop\nTerms of use\nContact and help"
+    docs = spark.createDataFrame([(1, f"{block}\n\nfirst"), (2, f"other\n\n{block}\n\nsecond"), (3, "Home\n\nthird")], "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in substring_dedup.dedup(docs, "doc_id", "text").collect()}
+    assert kept == {1: f"{block}\n\nfirst", 2: "other\n\n\nsecond", 3: "Home\n\nthird"}
+
+
 # ---- 7 ------------------------------------------------------------------------------------------------------------
 
 
