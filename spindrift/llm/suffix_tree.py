@@ -1,7 +1,7 @@
 """Language-model scores by a probabilistic suffix tree (operator 1).
 
-Symbols are words (``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased) and an end after each text.  Nodes are contexts of one or two
-words.  The root predicts by the smoothed counts of single tokens, P(w) = (c(w) + 1/2) / (N + (V + 1) / 2).  A node s below
+Symbols are words (``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased) and an end after each text.  Nodes are contexts of one
+word or more.  The root predicts by the smoothed counts of single tokens, P(w) = (c(w) + 1/2) / (N + (V + 1) / 2).  A node s below
 predicts by
 
     P(w | s) = (c(s w) + (r(s) + b) P(w | parent of s)) / (c(s) + b)
@@ -10,11 +10,13 @@ where c(s w) counts as 0 when it is 1, and r(s) is the number of occurrences of
 what was seen once is left to the shorter context.  A context is kept if it was seen ``least`` times or more and its
 predictions diverge from those of its suffix: over its occurrences in training, each left out of its own count, the
 log-likelihood must gain more than ``gain`` against the better of its suffixes' predictions.  A token is scored by the
-longest suffix of its past that is a node; a node's parent is the longest kept suffix of it.
+longest suffix of its past that is a node; a node's parent is the longest kept suffix of it.  Contexts grow by a word at a time
+up to ``depth`` words or, if it is unset, until no longer one can be kept: the gain of all extensions of a context is no more
+than what its own and its suffixes' predictions leave, the sum of -log10 of the best of them.
 
 How it runs (see ``packed.py``): documents are dealt into blocks by a hash of their key.  A first round counts words and
 pairs.  A second gathers what all occurrences say about contexts of one word, and counts those triples whose pairs were
-seen often enough; a third does the same for contexts of two words.  The last pass scores.
+seen often enough; a third does the same for contexts of two words and n-grams of four, and so on.  The last pass scores.
 
 Null texts are empty: one end.  Rows with a null key aren't learnt from, as ``train`` is null for them.  Repeated rows are
 scored and learnt from as often as they come.  Extra columns are ignored; an empty table gives an empty result.
@@ -33,6 +35,9 @@ from .common import Scratch, mix, parallelism, word_hashes
 from .packed import ASK, SAID, TOLD, Lookup, by_level, dealt, pack, pack_keys, short, table_of, tell, unpack, unpack_keys
 
 END = np.uint64(0xE7D0_0000_0000_0001)
+SAID_BOUNDS = f"{SAID}, bounds binary"
+#: Levels of decisions on contexts are their lengths and this.
+KEPT = 1 << 16
 _K2, _K3 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95)
 
 
@@ -42,10 +47,11 @@ _K2, _K3 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95)
 class Grams:
     """Tokens of a block of texts, ends included, and the n-grams that end at each of them.
 
-    ``words`` are 64-bit hashes; ``pairs`` and ``triples`` are valid from the second and third token of a text on.
+    ``words`` are 64-bit hashes; ``keys`` has them and those of longer n-grams up to ``most`` tokens, which are valid from
+    the n-th token of a text on.
     """
 
-    def __init__(self, column, train: np.ndarray, buckets: int):
+    def __init__(self, column, train: np.ndarray, buckets: int, most: int):
         h, at = word_hashes(column)
         n = np.diff(at)
         size = n + 1
@@ -57,21 +63,21 @@ class Grams:
         self.doc = np.repeat(np.arange(len(n), dtype=np.int32), size)
         self.place = np.arange(len(self.words), dtype=np.int32) - np.repeat((ends - size).astype(np.int32), size)
         self.size, self.learnt = size, train[self.doc]
-        before = np.concatenate([self.words[:1], self.words[:-1]])
-        pairs = mix(before * _K2 + self.words)
-        self.triples = short(mix(np.concatenate([pairs[:1], pairs[:-1]]) * _K3 + self.words), buckets)
-        self.pairs = short(pairs, buckets)
+        self.keys, whole = [self.words], self.words
+        for n in range(2, most + 1):
+            whole = mix(np.concatenate([whole[:1], whole[:-1]]) * (_K2 if n == 2 else _K3) + self.words)
+            self.keys.append(short(whole, buckets))
 
     def level(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the n-grams and the tokens that they end at."""
         at = np.flatnonzero(self.place >= n - 1)
-        return (self.words, self.pairs, self.triples)[n - 1][at], at
+        return self.keys[n - 1][at], at
 
 
 def _counts(grams: Grams, answers: dict[int, Lookup]) -> list[np.ndarray]:
-    """For each token: c of its 1-, 2- and 3-gram (0 where there is none, or where it was seen once for n > 1)."""
+    """For each token: c of its 1-gram, 2-gram and so on (0 where there is none, or where it was seen once for n > 1)."""
     out = []
-    for n in (1, 2, 3):
+    for n in range(1, len(grams.keys) + 1):
         c = np.zeros(len(grams.words))
         h, at = grams.level(n)
         if n in answers:
@@ -90,69 +96,73 @@ def _ask(buckets: int):
     """A block's distinct words and pairs with its counts in training."""
 
     def run(table: pa.Table) -> pa.Table:
-        grams = Grams(table["_text"], table["_train"].to_numpy().astype(bool), buckets)
+        grams = Grams(table["_text"], table["_train"].to_numpy().astype(bool), buckets, 2)
         return table_of(ASK, [row for n in (1, 2) for row in _request(grams, n, grams.level(n)[1], table["_block"][0].as_py(), buckets)])
 
     return run
 
 
 def _request(grams: Grams, n: int, at: np.ndarray, block: int, buckets: int) -> list[tuple]:
-    keys, where = np.unique((grams.words, grams.pairs, grams.triples)[n - 1][at], return_inverse=True)
+    keys, where = np.unique(grams.keys[n - 1][at], return_inverse=True)
     return dealt(n, block, buckets, keys, np.bincount(where, grams.learnt[at], len(keys)).astype(np.uint32))
 
 
-def _evidence(n: int, grams: Grams, counts: list[np.ndarray], z: float, block: int, buckets: int, least: int, prior: float) -> list[tuple]:
+def _evidence(n: int, grams: Grams, counts: list[np.ndarray], z: float, block: int, buckets: int, least: int, prior: float, bounds: bool) -> list[tuple]:
     """What a block's training occurrences say about each context of n words that it has: the gain so far, and how many were
-    followed by a token that follows only once."""
-    node, whole, follows = (grams.words, grams.pairs)[n - 1], counts[n - 1], counts[n]
+    followed by a token that follows only once; with ``bounds`` also what longer contexts can gain at most."""
+    node, whole, follows = grams.keys[n - 1], counts[n - 1], counts[n]
     at = np.flatnonzero(grams.place >= n)
     at = at[whole[at - 1] >= least]
     c, f, w = whole[at - 1], follows[at], grams.learnt[at]
     better = (counts[0][at] + 0.5) / z
-    if n == 2:
-        better = np.maximum(better, counts[1][at] / (counts[0][at - 1] + prior))
+    for k in range(1, n):
+        better = np.maximum(better, counts[k][at] / (counts[k - 1][at - 1] + prior))
     twice = f >= 2
     gain = np.where(w, np.where(twice, np.log10(np.maximum(f - 1, 1) / better), 0) - np.log10(c - 1 + prior), 0)
     keys, where = np.unique(node[at - 1], return_inverse=True)
-    return dealt(n, block, buckets, keys, np.bincount(where, w & ~twice, len(keys)).astype(np.uint32), np.bincount(where, gain, len(keys)).astype(np.float32))
+    sums = [gain]
+    if bounds:
+        sums.append(np.where(w & twice, np.maximum(0, -np.log10(np.maximum(better, f / (c + prior)))), 0))
+    return dealt(n, block, buckets, keys, np.bincount(where, w & ~twice, len(keys)).astype(np.uint32), *(np.bincount(where, x, len(keys)).astype(np.float32) for x in sums))
 
 
-def _say(step: int, buckets: int, z: float, least: int, prior: float):
-    """Step 1: evidence on contexts of one word, and requests for the triples that can have been seen twice and whose context
-    can be kept.  Step 2: evidence on contexts of two words."""
+def _say(step: int, last: bool, bounds: bool, buckets: int, z: float, least: int, prior: float):
+    """Evidence on contexts of ``step`` words and, but in the last step, requests for the n-grams two tokens longer that can
+    have been seen twice and whose context can be kept."""
+    kind = SAID_BOUNDS if bounds else SAID
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return table_of(SAID, [])
+            return table_of(kind, [])
         block = docs["_block"][0].as_py()
-        grams = Grams(docs["_text"], docs["_train"].to_numpy().astype(bool), buckets)
-        counts = _counts(grams, by_level(answers.filter(pa.array(answers["level"].to_numpy() < 10)), np.uint32))
-        rows = _evidence(step, grams, counts, z, block, buckets, least, prior)
-        if step == 1:
-            at = grams.level(3)[1]
-            at = at[(counts[1][at - 1] >= least) & (counts[1][at] >= 2)]
-            rows += [(*row, None) for row in _request(grams, 3, at, block, buckets)]
-        return table_of(SAID, rows)
+        grams = Grams(docs["_text"], docs["_train"].to_numpy().astype(bool), buckets, step + (1 if last else 2))
+        counts = _counts(grams, by_level(answers.filter(pa.array(answers["level"].to_numpy() < KEPT)), np.uint32))
+        rows = _evidence(step, grams, counts, z, block, buckets, least, prior, bounds)
+        if not last:
+            at = grams.level(step + 2)[1]
+            at = at[(counts[step][at - 1] >= least) & (counts[step][at] >= 2)]
+            rows += [(*row, None, *[None] * bounds) for row in _request(grams, step + 2, at, block, buckets)]
+        return table_of(kind, rows)
 
     return run
 
 
-def _answer(least_gain: float, prior: float):
-    """Decides on contexts, answers requests; decisions have level 10 and more."""
+def _answer(step: int, least_gain: float, prior: float):
+    """Decides on contexts of ``step`` words, answers requests; decisions have levels above KEPT."""
     keep = _keep(least_gain, prior)
 
     def run(table: pa.Table) -> pa.Table:
-        if table["level"][0].as_py() == 3:
+        if table["level"][0].as_py() != step:
             return tell(table).select(["level", "bucket", "block", "keys", "counts"])
         out = keep(table)
-        return out.set_column(0, "level", pa.array(out["level"].to_numpy() + 10, pa.int32()))
+        return out.set_column(0, "level", pa.array(out["level"].to_numpy() + KEPT, pa.int32()))
 
     return run
 
 
 def _keep(least_gain: float, prior: float):
     """The contexts of a bucket that diverge enough, for each block that has them, with r(s).  Occurrences that rare tokens
-    follow are predicted with a share of r(s) + b - 1, known only here; all else is in the blocks' sums."""
+    follow are predicted with a share of r(s) + b - 1, known only here; all else is in the blocks' sums.  A row of block -1 says that longer contexts can be kept."""
 
     def run(table: pa.Table) -> pa.Table:
         level, bucket = table["level"][0].as_py(), table["bucket"][0].as_py()
@@ -163,6 +173,10 @@ def _keep(least_gain: float, prior: float):
         gain += once * np.log10(np.maximum(once - 1 + prior, prior))
         kept, once = gain > least_gain, once.astype(np.uint32)
         rows, at = [], 0
+        if "bounds" in table.column_names:
+            bound = np.bincount(where, np.concatenate([unpack(b, np.float32) for b in table["bounds"].to_pylist()]), len(keys))
+            if (bound > least_gain).any():
+                rows.append((level, bucket, -1, pack_keys(keys[:0]), pack(once[:0])))
         for block, own in zip(table["block"].to_pylist(), said, strict=True):
             index = where[at : at + len(own)]
             at += len(own)
@@ -185,8 +199,8 @@ def _slices(docs: pa.Table, most: int = 1 << 21) -> list[pa.Table]:
     return out
 
 
-def _score(buckets: int, z: float, prior: float, key_type: pa.DataType):
-    """Scores of a block's texts.  Levels 1 to 3 of the answers are counts, 11 and 12 the kept contexts of one and two words."""
+def _score(depth: int, buckets: int, z: float, prior: float, key_type: pa.DataType):
+    """Scores of a block's texts.  Levels of the answers up to KEPT are counts, those above the kept contexts."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["_key", "_train", "n_tokens", "n_known", "base_score", "score"]
@@ -194,34 +208,35 @@ def _score(buckets: int, z: float, prior: float, key_type: pa.DataType):
         if not docs.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=names)
         level = answers["level"].to_numpy()
-        counts = by_level(answers.filter(pa.array(level < 10)), np.uint32)
-        kept = answers.filter(pa.array(level > 10))
-        kept = by_level(kept.set_column(kept.schema.get_field_index("level"), "level", pa.array(kept["level"].to_numpy() - 10, pa.int32())), np.uint32)
+        counts = by_level(answers.filter(pa.array(level < KEPT)), np.uint32)
+        kept = answers.filter(pa.array(level > KEPT))
+        kept = by_level(kept.set_column(kept.schema.get_field_index("level"), "level", pa.array(kept["level"].to_numpy() - KEPT, pa.int32())), np.uint32)
         columns = [docs["_key"], docs["_train"], *(pa.chunked_array(c) for c in zip(*(sums(d, counts, kept) for d in _slices(docs)), strict=True))]
         return pa.table([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     def sums(docs: pa.Table, counts: dict[int, Lookup], kept: dict[int, Lookup]) -> list[pa.Array]:
-        grams = Grams(docs["_text"], np.zeros(docs.num_rows, bool), buckets)
-        c1, c2, c3 = _counts(grams, counts)
-        p = base = (c1 + 0.5) / z
-        for n, node, whole, follows in ((1, grams.words, c1, c2), (2, grams.pairs, c2, c3)):
+        grams = Grams(docs["_text"], np.zeros(docs.num_rows, bool), buckets, depth + 1)
+        c = _counts(grams, counts)
+        p = base = (c[0] + 0.5) / z
+        for n in range(1, depth + 1):
+            node, whole, follows = grams.keys[n - 1], c[n - 1], c[n]
             if n in kept:
                 at = np.flatnonzero(grams.place >= n)
                 rows, places = kept[n].find(node[at - 1])
                 at = at[rows]
                 p = p.copy()
                 p[at] = (follows[at] + (kept[n].values[0][places] + prior) * p[at]) / (whole[at - 1] + prior)
-        known, plain, score = (np.bincount(grams.doc, x, docs.num_rows) for x in (c1 > 0, np.log10(base), np.log10(p)))
+        known, plain, score = (np.bincount(grams.doc, x, docs.num_rows) for x in (c[0] > 0, np.log10(base), np.log10(p)))
         return [pa.array(grams.size), pa.array(known.astype(np.int64)), pa.array(plain), pa.array(score)]
 
     return run
 
 
-def score_texts(df: DataFrame, key: str, text: str, train: Column, least: int = 3, gain: float = 1.0, prior: float = 0.5, blocks: int | None = None) -> DataFrame:
+def score_texts(df: DataFrame, key: str, text: str, train: Column, least: int = 3, gain: float = 1.0, prior: float = 0.5, blocks: int | None = None, depth: int | None = None) -> DataFrame:
     """``(key, train, n_tokens, n_known, train_tokens, base_score, score)`` of every row.
 
     ``blocks`` deals the documents out (the number of shuffle partitions if unset); it doesn't change the scores but for
-    rounding and for the length of the n-grams' hashes.
+    rounding and for the length of the n-grams' hashes.  ``depth`` is the most words of a context (no bound if unset).
     """
     spark = df.sparkSession
     buckets = parallelism(spark)
@@ -232,11 +247,15 @@ def score_texts(df: DataFrame, key: str, text: str, train: Column, least: int =
     told = scratch.write(docs.groupBy("_block").applyInArrow(_ask(buckets), ASK).groupBy("level", "bucket").applyInArrow(tell, TOLD))
     n, v = told.agg(F.coalesce(F.sum("n_total"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0))).first()
     z = n + 0.5 * (v + 1)
-    answers = told.drop("n_distinct", "n_total")
-    for step in (1, 2):
-        said = docs.groupBy("_block").cogroup(answers.filter("level < 10").groupBy("block")).applyInArrow(_say(step, buckets, z, least, prior), SAID)
-        answers = answers.unionByName(scratch.write(said.groupBy("level", "bucket").applyInArrow(_answer(gain, prior), ASK)))
+    answers, step, more = told.drop("n_distinct", "n_total"), 0, depth != 0
+    while more:
+        step += 1
+        counted = answers.filter(F.col("level") < KEPT).groupBy("block")
+        said = docs.groupBy("_block").cogroup(counted).applyInArrow(_say(step, step == depth, depth is None, buckets, z, least, prior), SAID if depth else SAID_BOUNDS)
+        new = scratch.write(said.groupBy("level", "bucket").applyInArrow(_answer(step, gain, prior), ASK))
+        answers = answers.unionByName(new.filter("block >= 0"))
+        more = step < depth if depth else not new.filter("block < 0").isEmpty()
 
     schema = f"_key {kind.simpleString()}, _train boolean, n_tokens long, n_known long, base_score double, score double"
-    out = docs.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(_score(buckets, z, prior, to_arrow_type(kind)), schema)
+    out = docs.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(_score(step, buckets, z, prior, to_arrow_type(kind)), schema)
     return out.select(F.col("_key").alias(key), F.col("_train").alias("train"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

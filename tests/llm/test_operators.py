@@ -35,6 +35,17 @@ def test_suffix_tree_equals_brute_force(spark):
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
 
 
+def test_suffix_tree_grows_until_no_context_is_kept(spark):
+    """Three words tell which word follows, two don't (no context of two words is kept); more than three say nothing new."""
+    rows = [(i, f"{a} b c {x}") for i, (a, x) in enumerate([("a", "d"), ("e", "f")] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    score = lambda depth: {r.doc_id: r.score for r in suffix_tree.score_texts(docs, "doc_id", "text", F.lit(True), depth=depth).collect()}
+    two, three, open_ = score(2), score(3), score(None)
+    assert open_ == pytest.approx(three) and all(three[k] > two[k] + 0.25 for k in two)
+    # The last word after three: (20 + b p) / (20 + b), where shorter contexts say p, about one half.
+    assert three[0] - two[0] == pytest.approx(np.log10((20 + 0.5 * 0.5) / 20.5) - np.log10(0.5), abs=0.02)
+
+
 def test_suffix_tree_odd_rows(spark, texts, no_texts):
     out = suffix_tree.score_texts(texts, "doc_id", "text", F.col("doc_id") != 7).collect()
     assert len(out) == 9 and all(r.score <= 0 for r in out)
