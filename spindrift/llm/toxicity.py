@@ -26,14 +26,19 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
 KEPT_WORDS = 500_000
+LONGEST = 40
 
 
 def word_list(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """Runs of letters and digits; longer ones than LONGEST as pieces that overlap by what the longest n-gram needs."""
+    words = WORD.findall((text or "").lower())
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [w[i : i + LONGEST] for w in words for i in range(0, max(1, len(w) - 4), LONGEST - 4)]
 
 
 def subwords(word: str, buckets: int) -> list[int]:
-    marked = f"<{word[:40]}>"
+    marked = f"<{word}>"
     grams = [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
     return [zlib.crc32(g.encode()) % buckets for g in (*grams, f"={word}")]
 

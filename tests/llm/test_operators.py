@@ -308,6 +308,16 @@ def test_toxicity_learns_words_and_misspellings(spark, texts, no_texts):
     assert toxicity.train(["a b"], np.array([1])) is None
 
 
+def test_toxicity_sees_all_of_a_long_word():
+    long = "".join(chr(0x4E00 + i) for i in range(300))
+    pieces = toxicity.word_list(f"short {long} end")
+    assert pieces[0] == "short" and pieces[-1] == "end" and all(len(p) <= 40 for p in pieces)
+    assert all(any(long[i : i + 5] in p for p in pieces) for i in range(296))
+    for n in (40, 41, 44, 45, 76, 77):
+        pieces = toxicity.word_list(long[:n])
+        assert set("".join(pieces)) == set(long[:n]) and (n > 40 or pieces == [long[:n]])
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     scored = Q.op9_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out")
