@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -74,7 +75,10 @@ def shuffles_freed(spark: SparkSession):
     try:
         yield
     finally:
-        spark.conf.set(key, before if before is not None else "false")
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -92,6 +96,8 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _VALUE = np.where(_SPACE, np.uint64(0), _BYTE[_LOWER])
 _POWER = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15 | 1, dtype=np.uint64), dtype=np.uint64)
+#: The same for each run of 65,536 places, so that no two places of a word below 2^32 bytes share a power.
+_STRIDE = np.cumprod(np.full(1 << 16, _POWER[-1], dtype=np.uint64), dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -103,6 +109,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def power(place: np.ndarray) -> np.ndarray:
+    """The multiplier of each place inside a word."""
+    out = _POWER[place & 0xFFFF]
+    if len(place) and place.max() > 0xFFFF:
+        far = place > 0xFFFF
+        out[far] *= _STRIDE[(place[far] >> 16) - 1]
+    return out
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all strings of a column in a row, and the n+1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -148,12 +163,39 @@ def _word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     size = (np.flatnonzero(last) + 1 - starts).astype(np.uint64)
     place = np.arange(len(data), dtype=np.int32)
     place[starts[0] :] -= np.repeat(starts.astype(np.int32), np.diff(starts, append=len(data)))
-    place &= 0xFFFF
     value = _VALUE[data]
-    value *= _POWER[place]
+    value *= power(place)
     h = np.add.reduceat(value, starts)
     return mix(h + size * np.uint64(0xD6E8FEB86659FD93)), np.searchsorted(starts, at).astype(np.int64)
 
 
-def concat_text(batches: list[pa.RecordBatch], name: str) -> pa.ChunkedArray:
-    return pa.chunked_array([b.column(name) for b in batches])
+def by_bytes(batch: pa.RecordBatch, column: int, most: int, rows: int = 1 << 30):
+    """Slices of a batch with the bytes of their texts: ``most`` bytes and ``rows`` rows at the most, or one row."""
+    at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    a = 0
+    while a < batch.num_rows:
+        b = min(a + rows, max(a + 1, int(np.searchsorted(at, at[a] + most, "right")) - 1))
+        yield batch.slice(a, b - a), int(at[b] - at[a])
+        a = b
+
+
+# ---- what a worker keeps ------------------------------------------------------------------------------------------
+
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make):
+    """What a Python worker keeps from one task to the next, made when first asked for.  Workers serve many operators: only
+    what the last one needed stays, so that the stages of a pipeline don't add up in memory."""
+    if name not in _kept:
+        _kept.clear()
+        gc.collect()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def release() -> None:
+    """For operators that keep nothing: what others kept goes."""
+    if _kept:
+        _kept.clear()
+        gc.collect()

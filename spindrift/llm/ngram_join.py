@@ -15,8 +15,11 @@ which is counted over all documents (``packed.py``); prefix tokens that no other
 3. The links of both steps are connected to components.
 
 No link between groups is lost: any such link shares a prefix token, and its block is opened unless the bound rules the link
-out.  Texts with fewer words than n are one shingle; texts without words (and null texts) have an empty set and link with
-nothing.  Repeated rows of one key give as many rows.  Extra columns are ignored; an empty table gives an empty result.
+out.  Classes are named by 128 bits of their sets; a row is told from others of its key by a hash of its text.  Texts with
+fewer words than n are one shingle; texts without words (and null texts) have an empty set and link with nothing.  Repeated
+rows of one key give as many rows; rows of one key with different texts are linked each by its own text.  A row with a null
+key links like any other, but names a component only if all its rows have null keys; then the component is null.  Extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,104 +30,114 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Scratch, mix, parallelism, word_hashes
-from .packed import ASK, TOLD, by_level, dealt, short, table_of, tell
-
-
-def shingle_hashes(column, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text, sorted within the text; and the text that each belongs to."""
-    words, at = word_hashes(column)
-    count = np.diff(at)
-    h = np.zeros(0, np.uint64)
-    doc = np.repeat(np.arange(len(count)), count)
-    if len(words):
-        h = words.copy()
-        for k in range(1, n):
-            following = np.zeros_like(words)
-            following[:-k or None] = words[k:] if k < len(words) else 0
-            inside = np.zeros(len(words), bool)
-            inside[: len(words) - k] = doc[: len(words) - k] == doc[k:] if k < len(words) else False
-            h = np.where(inside, mix(h * np.uint64(0x9FB21C651E98DF25) + following), h)
-        place = np.arange(len(words)) - at[:-1][doc]
-        keep = (place <= count[doc] - n) | ((count[doc] < n) & (place == 0))
-        h, doc = h[keep], doc[keep]
-        order = np.lexsort((h, doc))
-        h, doc = h[order], doc[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        h, doc = h[new], doc[new]
-    return h, doc
+from .common import Scratch, by_bytes, mix, parallelism, release, word_hashes
+from .packed import ASK, MOST_BUCKETS, TOLD, Block, Lookup, answered, blocks_of, dealt, packed_texts, short, table_of, tally, tell
+
+MARKS = "_tid long, n int, node binary, prefix array<long>, places array<int>"
+
+
+def shingles(words: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each of fewer than 2^16 texts, sorted within the text; and the text that each belongs to."""
+    doc = np.repeat(np.arange(len(count), dtype=np.uint16), count)
+    if not len(words):
+        return np.zeros(0, np.uint64), doc
+    place = np.arange(len(words)) - np.repeat(np.cumsum(count) - count, count)
+    left, h = np.repeat(count, count) - place, words.copy()
+    for k in range(1, n):
+        inside = np.flatnonzero(left > k)
+        h[inside] = mix(h[inside] * np.uint64(0x9FB21C651E98DF25) + words[inside + k])
+    keep = (left >= n) | (place == 0)
+    h, doc = h[keep], doc[keep]
+    order = np.argsort(h)
+    order = order[np.argsort(doc[order], kind="stable")]
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], doc[new]
+
+
+def _wanted(block: Block, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's distinct shingles with the number of its documents that have them."""
+    own = np.concatenate([short(shingles(block.words(a, b), block.sizes[a:b], n)[0], buckets) for a, b in block.slices()])
+    return tally(own, np.ones(len(own), bool))
 
 
 def _ask(n: int, buckets: int):
-    """A block's distinct shingles with the number of its documents that have them."""
+    """Requests for the document frequencies of a block's shingles."""
 
-    def run(table: pa.Table) -> pa.Table:
-        h, _ = shingle_hashes(table["_text"], n)
-        keys, count = np.unique(short(h, buckets), return_counts=True)
-        return table_of(ASK, dealt(3, table["_block"][0].as_py(), buckets, keys, count.astype(np.uint32)))
+    def run(batches):
+        release()
+        for batch in batches:
+            for block in blocks_of(batch):
+                yield from table_of(ASK, dealt(max(n, 2), block.number, buckets, *_wanted(block, n, buckets))).to_batches()
 
     return run
 
 
 def _mark(n: int, percent: int, buckets: int, kind: pa.DataType):
     """Set size, digest and those prefix tokens that another document has too, with their places in the order."""
+    names, kinds = ["_key", "_tid", "n", "node", "prefix", "places"], [kind, pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        names, kinds = ["_key", "n", "d1", "d2", "prefix", "places"], [kind, pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        release()
         if not docs.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=names)
-        h, doc = shingle_hashes(docs["_text"], n)
-        size = np.bincount(doc, minlength=docs.num_rows).astype(np.int64)
+        block = next(blocks_of(docs))
+        keys, _ = _wanted(block, n, buckets)
+        seen = answered(max(n, 2), keys, buckets, answers)
+        told = Lookup(keys[seen > 0], seen[seen > 0])
+        parts = [pa.table([block.keys.slice(a, b - a).cast(kind), pa.array(block.extra[a:b]), *part(block, a, b, told)], names=names) for a, b in block.slices()]
+        return pa.concat_tables(parts)
+
+    def part(block, a: int, b: int, told) -> list[pa.Array]:
+        h, doc = shingles(block.words(a, b), block.sizes[a:b], n)
+        size = np.bincount(doc, minlength=b - a).astype(np.int64)
         starts = np.cumsum(size) - size
-        digest = []
-        for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
-            total = np.zeros(docs.num_rows, np.uint64)
+        digest = np.zeros((b - a, 2), np.uint64)
+        for k, salt in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
             if len(h):
-                total[size > 0] = np.add.reduceat(mix(h ^ np.uint64(salt)), starts[size > 0])
-            digest.append(pa.array(total.view(np.int64)))
-        seen = np.ones(len(h), np.uint32)
-        if answers.num_rows:
-            told = by_level(answers, np.uint32)[3]
-            rows, places = told.find(short(h, buckets))
-            seen[rows] = told.values[0][places]
-        order = np.lexsort((h, seen, doc))
+                digest[size > 0, k] = np.add.reduceat(mix(h ^ np.uint64(salt)), starts[size > 0])
+        digest[:, 0] = mix(digest[:, 0] + size.astype(np.uint64))
+        seen = np.ones(len(h), np.uint64)
+        rows, places = told.find(short(h, buckets))
+        seen[rows] = told.values[0][places]
+        order = np.argsort(doc.astype(np.uint64) << np.uint64(32) | seen, kind="stable")  # and by hash, as they were
         place = np.arange(len(h)) - starts[doc]  # order keeps documents together
         used = (place < (size - -(-percent * size // 100) + 1)[doc]) & (seen[order] > 1)
         chosen = order[used]
-        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[chosen], minlength=docs.num_rows))]), pa.int32())
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[chosen], minlength=b - a))]), pa.int32())
         lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (h[chosen].view(np.int64), place[used].astype(np.int32))]
-        columns = [docs["_key"], pa.array(size.astype(np.int32)), *digest, *lists]
-        return pa.table(columns, names=names)
+        return [pa.array(size.astype(np.int32)), pa.array([d.tobytes() for d in digest], pa.binary()), *lists]
 
     return run
 
 
 def _marks(rows: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
-    """(_key, n, d1, d2, prefix, places) of every row, the prefixes by rising document frequency."""
-    buckets = parallelism(rows.sparkSession)
-    docs = rows.withColumn("_block", F.pmod(F.xxhash64("_key", F.lit("block")), F.lit(2 * buckets)).cast("int"))
-    told = scratch.write(docs.groupBy("_block").applyInArrow(_ask(n, buckets), ASK).groupBy("level", "bucket").applyInArrow(tell, TOLD).drop("n_distinct", "n_total"))
+    """(_key, _tid, n, node, prefix, places) of every row, the prefixes by rising document frequency."""
+    buckets = min(parallelism(rows.sparkSession), MOST_BUCKETS)
+    docs = packed_texts(rows.select("_key", F.col("_tid").alias("_extra"), "_text"), scratch)
+    told = scratch.write(docs.mapInArrow(_ask(n, buckets), ASK).groupBy("level", "bucket").applyInArrow(tell, TOLD).drop("n_distinct", "n_total"))
     kind = rows.schema["_key"].dataType
-    made = docs.groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(_mark(n, percent, buckets, to_arrow_type(kind)), f"_key {kind.simpleString()}, n int, d1 long, d2 long, prefix array<long>, places array<int>")
+    made = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_mark(n, percent, buckets, to_arrow_type(kind)), f"_key {kind.simpleString()}, {MARKS}")
     out = scratch.write(made)
-    scratch.drop(told)
+    scratch.drop(docs, told)
     return out
 
 
-def _sets(rows: DataFrame, kind: str, n: int) -> DataFrame:
-    """(_key, tokens): each set as sorted 64-bit values."""
+def _sets(rows: DataFrame, n: int) -> DataFrame:
+    """(node, tokens): the set of each row (node, _text) as sorted 64-bit values."""
 
     def sets(batches):
+        release()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                h, doc = shingle_hashes(part.column(1), n)
+            for part, _ in by_bytes(batch, 1, 1 << 21, 1024):
+                words, at = word_hashes(part.column(1))
+                h, doc = shingles(words, np.diff(at), n)
                 ends = np.searchsorted(doc, np.arange(part.num_rows + 1))
                 blobs = [h[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], ["_key", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], ["node", "tokens"])
 
-    return rows.mapInArrow(sets, f"_key {kind}, tokens binary")
+    return rows.mapInArrow(sets, "node binary, tokens binary")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -132,15 +145,15 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (a.size + b.size - common)
 
 
-def _verify(pairs: DataFrame, kind: str, percent: int) -> DataFrame:
-    """Of rows (a, b, a_tokens, b_tokens) those keys whose sets link."""
+def _verify(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of rows (a, b, a_tokens, b_tokens) those nodes whose sets link."""
 
     def check(batches):
         for batch in batches:
             ok = [_linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.select("a", "b", "a_tokens", "b_tokens").mapInArrow(check, f"a {kind}, b {kind}")
+    return pairs.select("a", "b", "a_tokens", "b_tokens").mapInArrow(check, "a binary, b binary")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -167,98 +180,102 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def jaccard_components(df: DataFrame, key: str, text: str, n: int = 3, percent: int = 90, block: int = 64) -> DataFrame:
     """``(key, n_shingles, component_id)`` of every row; the component's id is its smallest key."""
     spark = df.sparkSession
-    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    kind = rows.schema["_key"].dataType.simpleString()
+    rows = df.select(F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_tid"), F.col(text).alias("_text"))
     scratch = Scratch(spark, "jaccard")
     marks = _marks(rows, scratch, n, percent)
-    classes = marks.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("_key", "prefix", "places")).alias("m")).select("d1", "d2", "n", F.col("m._key").alias("rep"), F.col("m.prefix").alias("prefix"), F.col("m.places").alias("places"))
-    classes = scratch.write(classes)
+    # A class has the smallest key of its rows, nulls last, and the text that goes with it.
+    first = F.min(F.struct(F.col("_key").isNull().alias("no_key"), "_key", "_tid", "n", "prefix", "places")).alias("m")
+    classes = scratch.write(marks.filter("n > 0").groupBy("node").agg(first).select("node", "m._key", "m._tid", "m.n", "m.prefix", "m.places"))
 
     # Tokens that two classes or more have in their prefixes, with the smallest of these classes.
     # reach: a set of up to reach / percent tokens can link with the class if this is their first common token.
     reach = 100 * F.col("n") - (100 + percent) * F.col("p.places")
-    postings = classes.select("rep", "n", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("rep", "n", F.col("p.prefix").alias("token"), reach.alias("reach"))
-    shared = postings.groupBy("token").agg(F.min(F.struct("rep", "n", "reach")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    postings = classes.select("node", "n", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("node", "n", F.col("p.prefix").alias("token"), reach.alias("reach"))
+    shared = postings.groupBy("token").agg(F.min(F.struct("node", "n", "reach")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     shared = scratch.write(postings.join(shared, "token"))
     fits = (F.col("reach") >= F.col("lead.n") * percent) & (F.col("lead.reach") >= F.col("n") * percent)
-    pairs = scratch.write(shared.filter((F.col("rep") != F.col("lead.rep")) & fits).select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).distinct())
+    pairs = scratch.write(shared.filter((F.col("node") != F.col("lead.node")) & fits).select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct())
 
-    def sets_of(keys: DataFrame) -> DataFrame:
-        return scratch.write(_sets(rows.join(keys.distinct(), "_key", "left_semi").dropDuplicates(["_key"]), kind, n))
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = classes.join(nodes.distinct(), "node", "left_semi").select("node", F.col("_key").alias("k"), F.col("_tid").alias("t"))
+        found = rows.join(wanted, F.col("_key").eqNullSafe(F.col("k")) & (F.col("_tid") == F.col("t"))).select("node", "_text")
+        return scratch.write(_sets(found.dropDuplicates(["node"]), n))
 
-    own = lambda sets, name, tokens: sets.select(F.col("_key").alias(name), F.col("tokens").alias(tokens))
-    sets = sets_of(pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))))
-    links = scratch.write(_verify(pairs.join(own(sets, "a", "a_tokens"), "a").join(own(sets, "b", "b_tokens"), "b"), kind, percent))
+    own = lambda sets, name, tokens: sets.select(F.col("node").alias(name), F.col("tokens").alias(tokens))
+    sets = sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
+    links = scratch.write(_verify(pairs.join(own(sets, "a", "a_tokens"), "a").join(own(sets, "b", "b_tokens"), "b"), percent))
     scratch.drop(sets)
     groups = components(links, scratch)
 
     # Queries and blocks of different groups that meet in a prefix token.  Of two groups the one with fewer members asks.
-    members = shared.select("rep", "n").distinct().join(groups.withColumnRenamed("v", "rep"), "rep", "left").select("rep", "n", F.coalesce("label", "rep").alias("grp"))
+    members = shared.select("node", "n").distinct().join(groups.withColumnRenamed("v", "node"), "node", "left").select("node", "n", F.coalesce("label", "node").alias("grp"))
     members = members.join(members.groupBy("grp").agg(F.count(F.lit(1)).alias("members")), "grp")
     lots = F.greatest(F.lit(1), F.ceil(F.col("members") / block)).cast("int")
-    members = scratch.write(members.withColumn("lot", F.pmod(F.xxhash64("rep"), lots).cast("int")))
-    rated = shared.select("token", "rep", "reach").join(members, "rep")
+    members = scratch.write(members.withColumn("lot", F.pmod(F.xxhash64("node"), lots).cast("int")))
+    rated = shared.select("token", "node", "reach").join(members, "node")
     mixed = rated.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x <> y").select("token")
     rated = scratch.write(rated.join(mixed, "token"))
     blocks = rated.groupBy("token", "grp", "lot", "members").agg(F.min("n").alias("low"), F.max("reach").alias("most"))
     blocks = blocks.select("token", F.col("grp").alias("g"), F.col("lot").alias("g_lot"), F.col("members").alias("g_members"), "low", "most")
     asks = (F.struct("members", "grp") < F.struct(F.col("g_members").alias("members"), F.col("g").alias("grp"))) & (F.col("most") >= F.col("n") * percent) & (F.col("reach") >= F.col("low") * percent)
-    queries = scratch.write(rated.join(blocks, "token").filter(asks).select("rep", "g", "g_lot").distinct())
+    queries = scratch.write(rated.join(blocks, "token").filter(asks).select("node", "g", "g_lot").distinct())
 
     wanted = queries.select(F.col("g").alias("grp"), F.col("g_lot").alias("lot")).distinct()
-    inside = scratch.write(members.join(wanted, ["grp", "lot"]).select("grp", "lot", F.col("rep").alias("_key")))
-    sets = sets_of(inside.select("_key").unionByName(queries.select(F.col("rep").alias("_key"))))
-    opened = inside.join(sets, "_key")
-    unions = scratch.write(opened.withColumn("bucket", F.pmod(F.xxhash64("grp", "lot"), F.lit(4 * parallelism(spark)))).groupBy("bucket").applyInArrow(_block_rows(kind), f"grp {kind}, lot int, low int, tokens binary, members array<{kind}>, sets array<binary>"))
-    asked = queries.join(own(sets, "rep", "a_tokens"), "rep").join(unions.select(F.col("grp").alias("g"), F.col("lot").alias("g_lot"), "low", "tokens", "members", "sets"), ["g", "g_lot"])
-    more = scratch.write(_open(asked.select("rep", "a_tokens", "low", "tokens", "members", "sets"), kind, percent))
+    inside = scratch.write(members.join(wanted, ["grp", "lot"]).select("grp", "lot", "node"))
+    sets = sets_of(inside.select("node").unionByName(queries.select("node")))
+    opened = inside.join(sets, "node")
+    unions = scratch.write(opened.withColumn("bucket", F.pmod(F.xxhash64("grp", "lot"), F.lit(4 * parallelism(spark)))).groupBy("bucket").applyInArrow(_block_rows, BLOCK_ROWS))
+    asked = queries.join(own(sets, "node", "a_tokens"), "node").join(unions.select(F.col("grp").alias("g"), F.col("lot").alias("g_lot"), "low", "tokens", "members", "sets"), ["g", "g_lot"])
+    more = scratch.write(_open(asked.select("node", "a_tokens", "low", "tokens", "members", "sets"), percent))
     scratch.drop(shared, pairs, sets, rated, queries, unions)
 
     final = groups if more.isEmpty() else components(links.unionByName(more), scratch)
-    labelled = classes.select("d1", "d2", "n", "rep").join(final.withColumnRenamed("v", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("label", "rep").alias("label"))
-    out = marks.select("_key", "d1", "d2", "n").join(labelled, ["d1", "d2", "n"], "left")
-    return out.select(F.col("_key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "_key").alias("component_id"))
+    labelled = classes.join(final.withColumnRenamed("v", "node"), "node").select("node", "_key", "label")
+    named = labelled.groupBy("label").agg(F.min("_key").alias("component"))
+    labelled = labelled.join(named, "label").select("node", "component")
+    own_class = classes.select("node", F.col("_key").alias("own"))
+    out = marks.select("_key", "node", "n").join(own_class, "node", "left").join(labelled, "node", "left")
+    component = F.when(F.col("n") == 0, F.col("_key")).otherwise(F.coalesce("component", "own"))
+    return out.select(F.col("_key").alias(key), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
-def _block_rows(kind: str):
-    """Gathers blocks: one row with the union of tokens, the least set size, and the members with their sets."""
+BLOCK_ROWS = "grp binary, lot int, low int, tokens binary, members array<binary>, sets array<binary>"
+
 
-    def gather(table: pa.Table) -> pa.Table:
-        at: dict[tuple, list[int]] = {}
-        for i, k in enumerate(zip(table["grp"].to_pylist(), table["lot"].to_pylist(), strict=True)):
-            at.setdefault(k, []).append(i)
-        blobs, keys = table["tokens"].to_pylist(), table["_key"].to_pylist()
-        out = {c: [] for c in ("grp", "lot", "low", "tokens", "members", "sets")}
-        for (g, lot), rows in at.items():
-            own = [np.frombuffer(blobs[i], np.uint64) for i in rows]
-            values = (g, lot, min(x.size for x in own), np.unique(np.concatenate(own)).tobytes(), [keys[i] for i in rows], [blobs[i] for i in rows])
-            for c, v in zip(out, values, strict=True):
-                out[c].append(v)
-        key = table.schema.field("_key").type
-        kinds = (key, pa.int32(), pa.int32(), pa.binary(), pa.list_(key), pa.list_(pa.binary()))
-        return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
-
-    return gather
-
-
-def _open(asked: DataFrame, kind: str, percent: int) -> DataFrame:
+def _block_rows(table: pa.Table) -> pa.Table:
+    """Gathers blocks: one row with the union of tokens, the least set size, and the members with their sets."""
+    at: dict[tuple, list[int]] = {}
+    for i, k in enumerate(zip(table["grp"].to_pylist(), table["lot"].to_pylist(), strict=True)):
+        at.setdefault(k, []).append(i)
+    blobs, keys = table["tokens"].to_pylist(), table["node"].to_pylist()
+    out = {c: [] for c in ("grp", "lot", "low", "tokens", "members", "sets")}
+    for (g, lot), rows in at.items():
+        own = [np.frombuffer(blobs[i], np.uint64) for i in rows]
+        values = (g, lot, min(x.size for x in own), np.unique(np.concatenate(own)).tobytes(), [keys[i] for i in rows], [blobs[i] for i in rows])
+        for c, v in zip(out, values, strict=True):
+            out[c].append(v)
+    kinds = (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()))
+    return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+
+
+def _open(asked: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of queries with members of the blocks that their union doesn't rule out; one for each block."""
 
     def run(batches):
         for batch in batches:
             a, b = [], []
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = {name: batch.column(name)[i].as_py() for name in ("node", "a_tokens", "low", "tokens")}
                 q = np.frombuffer(r["a_tokens"], np.uint64)
                 common = np.intersect1d(q, np.frombuffer(r["tokens"], np.uint64), assume_unique=True).size
                 least = max(r["low"], -(-percent * q.size // 100))
                 if (100 + percent) * common < percent * (q.size + least):
                     continue
-                for m, blob in zip(r["members"], r["sets"], strict=True):
+                for m, blob in zip(batch.column("members")[i].as_py(), batch.column("sets")[i].as_py(), strict=True):
                     if _linked(q, np.frombuffer(blob, np.uint64), percent):
-                        a.append(r["rep"])
+                        a.append(r["node"])
                         b.append(m)
                         break
-            key = batch.schema.field("rep").type
-            yield pa.RecordBatch.from_arrays([pa.array(a, key), pa.array(b, key)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return asked.mapInArrow(run, f"a {kind}, b {kind}")
+    return asked.mapInArrow(run, "a binary, b binary")

@@ -1,39 +1,112 @@
-"""Global counts of hashed n-grams, as shuffles of packed arrays (used by operators 1 and 3).
-
-Documents are dealt into blocks.  A block asks for the counts of its distinct n-grams; requests carry the block's own counts,
-so that one shuffle by n-gram (to buckets of their hashes) both adds up and answers.  N-grams travel as sorted arrays, packed
-by their differences; a frequent n-gram is one entry per block, however often it occurs.  The number of buckets follows
-the session's shuffle partitions, so that the arrays that meet in one task stay of one size as the data grow.
+"""Texts as packed word hashes, and global counts of hashed n-grams as shuffles of packed arrays (operators 1 and 3).
+
+``packed_texts`` hashes words once: each task packs its texts, some megabytes at a time, into blocks (the block's distinct
+words and each token's place among them) and writes them; all later rounds read those.  A block asks for the counts of its
+distinct n-grams; requests carry the block's own counts, so that one shuffle by n-gram (to buckets of their hashes) both
+adds up and answers.  N-grams travel as sorted arrays, packed by their differences; a frequent n-gram is one entry per
+block, however often it occurs.  Answers name no n-grams: they have a bit for each one asked for, and the block works out
+again what it had asked.  Blocks are bounded by bytes, and the number of buckets follows the session's shuffle
+partitions, so that the arrays that meet in one task stay of one size as the data grow.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+
+from .common import Scratch, by_bytes, word_hashes
+
+#: Bits of a longer n-gram's name inside its bucket; with a bucket below 2^16 and one bit to spare they fill a word.
+BITS = 47
+SHORT, MOST_BUCKETS = np.uint64((1 << BITS) - 1), 1 << 16
+BLOCK_BYTES = 12 << 20
+
+
+def _press(values: np.ndarray) -> bytes:
+    """Byte plane by byte plane, so that the high planes compress."""
+    planes = values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def pack(values: np.ndarray) -> bytes:
+    return _press(np.ascontiguousarray(values))
 
-SHORT = np.uint64((1 << 40) - 1)
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys by their differences, byte plane by byte plane, so that the high planes compress."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return zlib.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    """Sorted keys by their differences."""
+    return _press(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
 
 
-def pack(values: np.ndarray) -> bytes:
-    values = np.ascontiguousarray(values)
-    return zlib.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
+# ---- texts --------------------------------------------------------------------------------------------------------
 
 
-def unpack(data: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+class Block:
+    """One packed block: keys and extra values of its texts, their numbers of words, distinct words, and tokens."""
+
+    def __init__(self, row: dict):
+        self.number, self.keys = row["block"], row["_keys"]
+        self.extra, self.sizes = unpack(row["extra"], np.int64), unpack(row["sizes"], np.uint32).astype(np.int64)
+        self.vocabulary, self.tokens = unpack_keys(row["vocabulary"]), unpack(row["tokens"], np.uint32)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+
+    def slices(self, most: int = 1 << 19):
+        """Pairs (a, b): texts a to b - 1, below 2^16 and of about ``most`` words together, or one."""
+        a = 0
+        while a < len(self.sizes):
+            b = min(a + (1 << 16) - 1, max(a + 1, int(np.searchsorted(self.starts, self.starts[a] + most, "right")) - 1))
+            yield a, b
+            a = b
+
+    def words(self, a: int, b: int) -> np.ndarray:
+        return self.vocabulary[self.tokens[self.starts[a] : self.starts[b]]]
+
+
+def blocks_of(table: pa.Table | pa.RecordBatch):
+    for i in range(table.num_rows):
+        yield Block({name: table.column(name)[i].values if name == "_keys" else table.column(name)[i].as_py() for name in table.schema.names})
+
+
+def packed_texts(rows: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows (_key, _extra long, _text) as written blocks; a text is never split, a null one has no words."""
+    kind = rows.schema["_key"].dataType.simpleString()
+
+    def packed(parts: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
+        h, at = word_hashes(pa.chunked_array([p.column(2) for p in parts]))
+        vocabulary, tokens = np.unique(h, return_inverse=True)
+        keys = pa.chunked_array([p.column(0) for p in parts]).combine_chunks()
+        extra = np.concatenate([p.column(1).to_numpy(zero_copy_only=False) for p in parts]).astype(np.int64)
+        cells = [pack(extra), pack(np.diff(at).astype(np.uint32)), pack_keys(vocabulary), pack(tokens.astype(np.uint32))]
+        listed = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), listed, *(pa.array([c], pa.binary()) for c in cells)], ["block", "_keys", "extra", "sizes", "vocabulary", "tokens"])
+
+    def run(batches):
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            for part, n in by_bytes(batch, 2, block_bytes):
+                if held and size + n > block_bytes:
+                    yield packed(held, number)
+                    number, held, size = number + 1, [], 0
+                held.append(part)
+                size += n
+        if held:
+            yield packed(held, number)
+
+    return scratch.write(rows.select("_key", "_extra", "_text").mapInArrow(run, f"block long, _keys array<{kind}>, extra binary, sizes binary, vocabulary binary, tokens binary"))
+
+
+# ---- keys ---------------------------------------------------------------------------------------------------------
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -41,8 +114,17 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def short(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Keys of n-grams of two words or more: the bucket, then 40 bits."""
-    return (keys >> np.uint64(40)) % np.uint64(buckets) << np.uint64(40) | keys & SHORT
+    """Keys of n-grams of two words or more: the bucket, then BITS bits."""
+    return (keys >> np.uint64(40)) % np.uint64(buckets) << np.uint64(BITS) | (keys ^ (keys >> np.uint64(BITS))) & SHORT
+
+
+def tally(keys: np.ndarray, learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct short keys, sorted, and how many of their occurrences are learnt from."""
+    marked = np.sort(keys << np.uint64(1) | learnt.astype(np.uint64))
+    keys = marked >> np.uint64(1)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    counts = np.add.reduceat(marked & np.uint64(1), first) if len(keys) else np.zeros(0)
+    return keys[first], counts.astype(np.uint32)
 
 
 class Lookup:
@@ -75,22 +157,10 @@ class Lookup:
         return np.concatenate(rows), np.concatenate(places)
 
 
-def by_level(table: pa.Table, kind: type) -> dict[int, Lookup]:
-    """What came back for a block, by level."""
-    out, level = {}, table["level"].to_numpy()
-    for n in np.unique(level):
-        part = table.filter(pa.array(level == n))
-        lift = [np.uint64(b << 40 if n > 1 else 0) for b in part["bucket"].to_pylist()]
-        keys = np.concatenate([unpack_keys(b) | up for b, up in zip(part["keys"].to_pylist(), lift, strict=True)])
-        counts = np.concatenate([unpack(b, kind) for b in part["counts"].to_pylist()])
-        order = np.argsort(keys, kind="stable")
-        out[int(n)] = Lookup(keys[order], counts[order])
-    return out
-
-
-ASK = "level int, bucket int, block int, keys binary, counts binary"
-TOLD = "level int, bucket int, block int, keys binary, counts binary, n_distinct long, n_total long"
-SAID = "level int, bucket int, block int, keys binary, counts binary, gains binary"
+ASK = "level int, bucket int, block long, keys binary, counts binary"
+SAID = "level int, bucket int, block long, keys binary, counts binary, gains binary"
+ANSWER = "level int, bucket int, block long, told binary, counts binary"
+TOLD = f"{ANSWER}, n_distinct long, n_total long"
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
@@ -106,12 +176,37 @@ def dealt(n: int, block: int, buckets: int, keys: np.ndarray, *values: np.ndarra
         order = np.argsort(bucket, kind="stable")
         keys, bucket, values = keys[order], bucket[order], [v[order] for v in values]
     else:
-        bucket = (keys >> np.uint64(40)).astype(np.int64)
+        bucket = (keys >> np.uint64(BITS)).astype(np.int64)
         keys = keys & SHORT
     cuts = np.searchsorted(bucket, np.arange(buckets + 1))
     return [(n, int(b), block, pack_keys(keys[cuts[b] : cuts[b + 1]]), *(pack(v[cuts[b] : cuts[b + 1]]) for v in values)) for b in np.flatnonzero(np.diff(cuts))]
 
 
+def answer(level: int, bucket: int, block: int, told: np.ndarray, values: np.ndarray) -> tuple:
+    """One row of ANSWER: a bit for each key asked for, and the values of those told, which are above 0."""
+    return level, bucket, block, np.packbits(told).tobytes(), pack(values[told])
+
+
+def answered(n: int, keys: np.ndarray, buckets: int, answers: pa.Table) -> np.ndarray:
+    """The value told for each of the sorted keys that a block had asked for at level n; 0 for the others."""
+    bucket = bucket_of(keys, buckets) if n == 1 else (keys >> np.uint64(BITS)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable") if n == 1 else slice(None)
+    cuts, dense = np.searchsorted(bucket[order], np.arange(buckets + 1)), np.zeros(len(keys), np.uint32)
+    for b, told, values in zip(*(answers[c].to_pylist() for c in ("bucket", "told", "counts")), strict=True):
+        size = int(cuts[b + 1] - cuts[b])
+        there = np.unpackbits(np.frombuffer(told, np.uint8), count=size).astype(bool)
+        dense[cuts[b] : cuts[b + 1]][there] = unpack(values, np.uint32)
+    if n > 1:
+        return dense
+    out = np.empty_like(dense)
+    out[order] = dense
+    return out
+
+
+def level_of(answers: pa.Table, n: int) -> pa.Table:
+    return answers.filter(pa.array(answers["level"].to_numpy() == n))
+
+
 def tell(table: pa.Table) -> pa.Table:
     """Adds up one bucket's counts and answers each block with those that matter: words seen in training, longer n-grams
     seen twice or more.  The first row of words also has the bucket's number of words and of their occurrences."""
@@ -125,8 +220,7 @@ def tell(table: pa.Table) -> pa.Table:
     for block, own in zip(table["block"].to_pylist(), asked, strict=True):
         index = where[at : at + len(own)]
         at += len(own)
-        good = told[index]
-        if good.any() or stats != (0, 0):
-            rows.append((level, bucket, block, pack_keys(own[good]), pack(total[index[good]]), *stats))
+        if told[index].any() or stats != (0, 0):
+            rows.append((*answer(level, bucket, block, told[index], total[index]), *stats))
             stats = (0, 0)
     return table_of(TOLD, rows)

@@ -19,7 +19,7 @@ def held_out(remainder: int):
 
 
 def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_tree.score_texts(table(spark, sf_dir, "documents"), "doc_id", "text", ~held_out(1), depth=2)
+    out = suffix_tree.score_texts(table(spark, sf_dir, "documents"), "doc_id", "text", ~held_out(1), depth=5)
     return out.select("doc_id", held_out(1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -14,9 +14,9 @@ longest suffix of its past that is a node; a node's parent is the longest kept s
 up to ``depth`` words or, if it is unset, until no longer one can be kept: the gain of all extensions of a context is no more
 than what its own and its suffixes' predictions leave, the sum of -log10 of the best of them.
 
-How it runs (see ``packed.py``): documents are dealt into blocks by a hash of their key.  A first round counts words and
-pairs.  A second gathers what all occurrences say about contexts of one word, and counts those triples whose pairs were
-seen often enough; a third does the same for contexts of two words and n-grams of four, and so on.  The last pass scores.
+How it runs (see ``packed.py``): words are hashed once, into blocks of texts.  A first round counts words and pairs.  A
+second gathers what all occurrences say about contexts of one word, and counts those triples whose pairs were seen often
+enough; a third does the same for contexts of two words and n-grams of four, and so on.  The last pass scores.
 
 Null texts are empty: one end.  Rows with a null key aren't learnt from, as ``train`` is null for them.  Repeated rows are
 scored and learnt from as often as they come.  Extra columns are ignored; an empty table gives an empty result.
@@ -24,15 +24,15 @@ scored and learnt from as often as they come.  Extra columns are ignored; an emp
 
 from __future__ import annotations
 
+import numpy as np
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Scratch, mix, parallelism, word_hashes
-from .packed import ASK, SAID, TOLD, Lookup, by_level, dealt, pack, pack_keys, short, table_of, tell, unpack, unpack_keys
+from .common import Scratch, mix, parallelism, release
+from .packed import ANSWER, ASK, BLOCK_BYTES, MOST_BUCKETS, SAID, TOLD, Block, Lookup, answer, answered, blocks_of, dealt, level_of, packed_texts, short, table_of, tally, tell, unpack, unpack_keys
 
 END = np.uint64(0xE7D0_0000_0000_0001)
 SAID_BOUNDS = f"{SAID}, bounds binary"
@@ -44,104 +44,118 @@ _K2, _K3 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95)
 # ---- texts as n-grams ---------------------------------------------------------------------------------------------
 
 
-class Grams:
-    """Tokens of a block of texts, ends included, and the n-grams that end at each of them.
+class Walk:
+    """A block's tokens, ends included, and what it asks and hears about the n-grams that end at each, level by level.
 
-    ``words`` are 64-bit hashes; ``keys`` has them and those of longer n-grams up to ``most`` tokens, which are valid from
-    the n-th token of a text on.
+    ``counts`` has, by level, each token's c of the n-gram that ends there (0 where there is none or it wasn't told), and
+    ``places`` where that n-gram stands among those told (or -1), which ``told`` has as keys and counts.
     """
 
-    def __init__(self, column, train: np.ndarray, buckets: int, most: int):
-        h, at = word_hashes(column)
-        n = np.diff(at)
-        size = n + 1
+    def __init__(self, block: Block, buckets: int, least: int):
+        self.buckets, self.least = buckets, least
+        size = block.sizes + 1
         ends = np.cumsum(size)
-        self.words = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
-        last = np.zeros(len(self.words), bool)
-        last[ends - 1] = True
-        self.words[last], self.words[~last] = END, h
-        self.doc = np.repeat(np.arange(len(n), dtype=np.int32), size)
-        self.place = np.arange(len(self.words), dtype=np.int32) - np.repeat((ends - size).astype(np.int32), size)
-        self.size, self.learnt = size, train[self.doc]
-        self.keys, whole = [self.words], self.words
-        for n in range(2, most + 1):
-            whole = mix(np.concatenate([whole[:1], whole[:-1]]) * (_K2 if n == 2 else _K3) + self.words)
-            self.keys.append(short(whole, buckets))
-
-    def level(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the n-grams and the tokens that they end at."""
+        end = int(np.searchsorted(block.vocabulary, END))
+        self.vocabulary = np.insert(block.vocabulary, end, END)
+        self.tokens = np.full(int(ends[-1]) if len(ends) else 0, end, np.uint32)
+        inner = np.ones(len(self.tokens), bool)
+        inner[ends - 1] = False
+        self.tokens[inner] = block.tokens + (block.tokens >= end)
+        self.doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        self.place = np.arange(len(self.tokens), dtype=np.int32) - np.repeat((ends - size).astype(np.int32), size)
+        self.size, self.learnt = size, block.extra.astype(bool)[self.doc]
+        self.whole, self.counts, self.places, self.told = None, [], [], []
+
+    def wanted(self) -> tuple[np.ndarray, np.ndarray]:
+        """The next level's distinct n-grams to ask for, and how often training texts of the block have each: all words and
+        pairs, and those longer n-grams that can have been seen twice and whose context can be kept."""
+        n = len(self.counts) + 1
+        if n == 1:
+            return self.vocabulary, np.bincount(self.tokens, self.learnt, len(self.vocabulary)).astype(np.uint32)
+        words = self.vocabulary[self.tokens]
+        before = words if n == 2 else self.whole
+        self.whole = mix(np.concatenate([before[:1], before[:-1]]) * (_K2 if n == 2 else _K3) + words)
         at = np.flatnonzero(self.place >= n - 1)
-        return self.keys[n - 1][at], at
-
-
-def _counts(grams: Grams, answers: dict[int, Lookup]) -> list[np.ndarray]:
-    """For each token: c of its 1-gram, 2-gram and so on (0 where there is none, or where it was seen once for n > 1)."""
-    out = []
-    for n in range(1, len(grams.keys) + 1):
-        c = np.zeros(len(grams.words))
-        h, at = grams.level(n)
-        if n in answers:
-            if n > 1:  # what was seen has parts that were seen
-                seen = (out[-1][at] > 0) & (out[-1][at - 1] > 0)
-                h, at = h[seen], at[seen]
-            rows, places = answers[n].find(h)
-            c[at[rows]] = answers[n].values[0][places]
-        out.append(c)
-    return out
+        if n > 2:
+            at = at[(self.counts[-1][at - 1] >= self.least) & (self.counts[-1][at] >= 2)]
+        self.at, self.key = at, short(self.whole[at], self.buckets)
+        return tally(self.key, self.learnt[at])
+
+    def hear(self, answers: pa.Table) -> None:
+        """Takes the answers to what ``wanted`` gives next."""
+        n = len(self.counts) + 1
+        keys, _ = self.wanted()
+        values = answered(n, keys, self.buckets, level_of(answers, n))
+        there = values > 0
+        keys, values = keys[there], values[there]
+        if n == 1:
+            place = np.where(there, np.cumsum(there) - 1, -1).astype(np.int32)[self.tokens]
+        else:
+            place = np.full(len(self.tokens), -1, np.int32)
+            seen = (self.counts[-1][self.at] > 1) & (self.counts[-1][self.at - 1] > 1)
+            at = self.at[seen]
+            rows, found = Lookup(keys).find(self.key[seen])
+            place[at[rows]] = found
+        self.told.append((keys, values))
+        self.counts.append(np.where(place >= 0, values[place] if len(values) else 0, 0).astype(np.uint32))
+        self.places.append(place)
+
+    def contexts(self, n: int) -> np.ndarray:
+        """Which n-grams told may be contexts."""
+        return self.told[n - 1][1] >= self.least
 
 
 # ---- the rounds ---------------------------------------------------------------------------------------------------
 
+
 def _ask(buckets: int):
     """A block's distinct words and pairs with its counts in training."""
 
-    def run(table: pa.Table) -> pa.Table:
-        grams = Grams(table["_text"], table["_train"].to_numpy().astype(bool), buckets, 2)
-        return table_of(ASK, [row for n in (1, 2) for row in _request(grams, n, grams.level(n)[1], table["_block"][0].as_py(), buckets)])
+    def run(batches):
+        release()
+        for batch in batches:
+            for block in blocks_of(batch):
+                walk = Walk(block, buckets, 0)
+                rows = dealt(1, block.number, buckets, *walk.wanted())
+                walk.counts.append(None)
+                yield from table_of(ASK, rows + dealt(2, block.number, buckets, *walk.wanted())).to_batches()
 
     return run
 
 
-def _request(grams: Grams, n: int, at: np.ndarray, block: int, buckets: int) -> list[tuple]:
-    keys, where = np.unique(grams.keys[n - 1][at], return_inverse=True)
-    return dealt(n, block, buckets, keys, np.bincount(where, grams.learnt[at], len(keys)).astype(np.uint32))
-
-
-def _evidence(n: int, grams: Grams, counts: list[np.ndarray], z: float, block: int, buckets: int, least: int, prior: float, bounds: bool) -> list[tuple]:
-    """What a block's training occurrences say about each context of n words that it has: the gain so far, and how many were
-    followed by a token that follows only once; with ``bounds`` also what longer contexts can gain at most."""
-    node, whole, follows = grams.keys[n - 1], counts[n - 1], counts[n]
-    at = np.flatnonzero(grams.place >= n)
-    at = at[whole[at - 1] >= least]
-    c, f, w = whole[at - 1], follows[at], grams.learnt[at]
+def _evidence(walk: Walk, n: int, z: float, prior: float) -> list[np.ndarray]:
+    """What a block's training occurrences say about each n-gram told as a context: how many were followed by a token that
+    follows only once, the gain so far, and what longer contexts can gain at most."""
+    counts = walk.counts
+    at = np.flatnonzero((walk.place >= n) & walk.learnt)
+    at = at[counts[n - 1][at - 1] >= walk.least]
+    c, f = counts[n - 1][at - 1].astype(np.float64), counts[n][at].astype(np.float64)
     better = (counts[0][at] + 0.5) / z
     for k in range(1, n):
         better = np.maximum(better, counts[k][at] / (counts[k - 1][at - 1] + prior))
     twice = f >= 2
-    gain = np.where(w, np.where(twice, np.log10(np.maximum(f - 1, 1) / better), 0) - np.log10(c - 1 + prior), 0)
-    keys, where = np.unique(node[at - 1], return_inverse=True)
-    sums = [gain]
-    if bounds:
-        sums.append(np.where(w & twice, np.maximum(0, -np.log10(np.maximum(better, f / (c + prior)))), 0))
-    return dealt(n, block, buckets, keys, np.bincount(where, w & ~twice, len(keys)).astype(np.uint32), *(np.bincount(where, x, len(keys)).astype(np.float32) for x in sums))
+    gain = np.where(twice, np.log10(np.maximum(f - 1, 1) / better), 0) - np.log10(c - 1 + prior)
+    bound = np.where(twice, np.maximum(0, -np.log10(np.maximum(better, f / (c + prior)))), 0)
+    return [np.bincount(walk.places[n - 1][at - 1], x, len(walk.told[n - 1][0])) for x in (~twice, gain, bound)]
 
 
 def _say(step: int, last: bool, bounds: bool, buckets: int, z: float, least: int, prior: float):
-    """Evidence on contexts of ``step`` words and, but in the last step, requests for the n-grams two tokens longer that can
-    have been seen twice and whose context can be kept."""
+    """Evidence on contexts of ``step`` words and, but in the last step, requests for the n-grams two tokens longer."""
     kind = SAID_BOUNDS if bounds else SAID
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        release()
         if not docs.num_rows:
             return table_of(kind, [])
-        block = docs["_block"][0].as_py()
-        grams = Grams(docs["_text"], docs["_train"].to_numpy().astype(bool), buckets, step + (1 if last else 2))
-        counts = _counts(grams, by_level(answers.filter(pa.array(answers["level"].to_numpy() < KEPT)), np.uint32))
-        rows = _evidence(step, grams, counts, z, block, buckets, least, prior, bounds)
+        block = next(blocks_of(docs))
+        walk = Walk(block, buckets, least)
+        for _ in range(step + 1):
+            walk.hear(answers)
+        there = walk.contexts(step)
+        once, *other = (x[there] for x in _evidence(walk, step, z, prior))
+        rows = dealt(step, block.number, buckets, walk.told[step - 1][0][there], once.astype(np.uint32), *(x.astype(np.float32) for x in other[: 1 + bounds]))
         if not last:
-            at = grams.level(step + 2)[1]
-            at = at[(counts[step][at - 1] >= least) & (counts[step][at] >= 2)]
-            rows += [(*row, None, *[None] * bounds) for row in _request(grams, step + 2, at, block, buckets)]
+            rows += [(*row, None, *[None] * bounds) for row in dealt(step + 2, block.number, buckets, *walk.wanted())]
         return table_of(kind, rows)
 
     return run
@@ -149,113 +163,96 @@ def _say(step: int, last: bool, bounds: bool, buckets: int, z: float, least: int
 
 def _answer(step: int, least_gain: float, prior: float):
     """Decides on contexts of ``step`` words, answers requests; decisions have levels above KEPT."""
-    keep = _keep(least_gain, prior)
-
-    def run(table: pa.Table) -> pa.Table:
-        if table["level"][0].as_py() != step:
-            return tell(table).select(["level", "bucket", "block", "keys", "counts"])
-        out = keep(table)
-        return out.set_column(0, "level", pa.array(out["level"].to_numpy() + KEPT, pa.int32()))
-
-    return run
-
-
-def _keep(least_gain: float, prior: float):
-    """The contexts of a bucket that diverge enough, for each block that has them, with r(s).  Occurrences that rare tokens
-    follow are predicted with a share of r(s) + b - 1, known only here; all else is in the blocks' sums.  A row of block -1 says that longer contexts can be kept."""
 
     def run(table: pa.Table) -> pa.Table:
-        level, bucket = table["level"][0].as_py(), table["bucket"][0].as_py()
-        said = [unpack_keys(b) for b in table["keys"].to_pylist()]
-        keys, where = np.unique(np.concatenate(said), return_inverse=True)
-        once = np.bincount(where, np.concatenate([unpack(b, np.uint32) for b in table["counts"].to_pylist()]), len(keys))
-        gain = np.bincount(where, np.concatenate([unpack(b, np.float32) for b in table["gains"].to_pylist()]), len(keys))
-        gain += once * np.log10(np.maximum(once - 1 + prior, prior))
-        kept, once = gain > least_gain, once.astype(np.uint32)
-        rows, at = [], 0
-        if "bounds" in table.column_names:
-            bound = np.bincount(where, np.concatenate([unpack(b, np.float32) for b in table["bounds"].to_pylist()]), len(keys))
-            if (bound > least_gain).any():
-                rows.append((level, bucket, -1, pack_keys(keys[:0]), pack(once[:0])))
-        for block, own in zip(table["block"].to_pylist(), said, strict=True):
-            index = where[at : at + len(own)]
-            at += len(own)
-            good = kept[index]
-            if good.any():
-                rows.append((level, bucket, block, pack_keys(own[good]), pack(once[index[good]])))
-        return table_of(ASK, rows)
+        release()
+        if table["level"][0].as_py() == step:
+            return _keep(table, least_gain, prior)
+        return tell(table).select(["level", "bucket", "block", "told", "counts"])
 
     return run
 
 
-def _slices(docs: pa.Table, most: int = 1 << 21) -> list[pa.Table]:
-    """Rows in order, a slice at a time, of about ``most`` bytes of text or one row."""
-    at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(docs["_text"]), 0).to_numpy(), dtype=np.int64)])
-    out, a = [], 0
-    while a < docs.num_rows:
-        b = max(a + 1, int(np.searchsorted(at, at[a] + most, "right")) - 1)
-        out.append(docs.slice(a, b - a))
-        a = b
-    return out
-
-
-def _score(depth: int, buckets: int, z: float, prior: float, key_type: pa.DataType):
+def _keep(table: pa.Table, least_gain: float, prior: float) -> pa.Table:
+    """The contexts of a bucket that diverge enough, for each block that has them, with r(s) + 1.  Occurrences that rare
+    tokens follow are predicted with a share of r(s) + b - 1, known only here; all else is in the blocks' sums.  A row of
+    block -1 says that longer contexts can be kept."""
+    level, bucket = table["level"][0].as_py() + KEPT, table["bucket"][0].as_py()
+    said = [unpack_keys(b) for b in table["keys"].to_pylist()]
+    keys, where = np.unique(np.concatenate(said), return_inverse=True)
+    once = np.bincount(where, np.concatenate([unpack(b, np.uint32) for b in table["counts"].to_pylist()]), len(keys))
+    gain = np.bincount(where, np.concatenate([unpack(b, np.float32) for b in table["gains"].to_pylist()]), len(keys))
+    gain += once * np.log10(np.maximum(once - 1 + prior, prior))
+    kept, once = gain > least_gain, once.astype(np.uint32) + np.uint32(1)
+    rows, at = [], 0
+    if "bounds" in table.column_names:
+        bound = np.bincount(where, np.concatenate([unpack(b, np.float32) for b in table["bounds"].to_pylist()]), len(keys))
+        if (bound > least_gain).any():
+            rows.append(answer(level, bucket, -1, kept[:0], once[:0]))
+    for block, own in zip(table["block"].to_pylist(), said, strict=True):
+        index = where[at : at + len(own)]
+        at += len(own)
+        if kept[index].any():
+            rows.append(answer(level, bucket, block, kept[index], once[index]))
+    return table_of(ANSWER, rows)
+
+
+def _score(depth: int, buckets: int, z: float, least: int, prior: float, key_type: pa.DataType):
     """Scores of a block's texts.  Levels of the answers up to KEPT are counts, those above the kept contexts."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        release()
         names = ["_key", "_train", "n_tokens", "n_known", "base_score", "score"]
         kinds = [key_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         if not docs.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=names)
-        level = answers["level"].to_numpy()
-        counts = by_level(answers.filter(pa.array(level < KEPT)), np.uint32)
-        kept = answers.filter(pa.array(level > KEPT))
-        kept = by_level(kept.set_column(kept.schema.get_field_index("level"), "level", pa.array(kept["level"].to_numpy() - KEPT, pa.int32())), np.uint32)
-        columns = [docs["_key"], docs["_train"], *(pa.chunked_array(c) for c in zip(*(sums(d, counts, kept) for d in _slices(docs)), strict=True))]
-        return pa.table([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    def sums(docs: pa.Table, counts: dict[int, Lookup], kept: dict[int, Lookup]) -> list[pa.Array]:
-        grams = Grams(docs["_text"], np.zeros(docs.num_rows, bool), buckets, depth + 1)
-        c = _counts(grams, counts)
-        p = base = (c[0] + 0.5) / z
+        block = next(blocks_of(docs))
+        walk = Walk(block, buckets, least)
+        for _ in range(depth + 1 if depth else 1):
+            walk.hear(answers)
+        c = walk.counts
+        base = (c[0] + 0.5) / z
+        p = base.copy()
         for n in range(1, depth + 1):
-            node, whole, follows = grams.keys[n - 1], c[n - 1], c[n]
-            if n in kept:
-                at = np.flatnonzero(grams.place >= n)
-                rows, places = kept[n].find(node[at - 1])
-                at = at[rows]
-                p = p.copy()
-                p[at] = (follows[at] + (kept[n].values[0][places] + prior) * p[at]) / (whole[at - 1] + prior)
-        known, plain, score = (np.bincount(grams.doc, x, docs.num_rows) for x in (c[0] > 0, np.log10(base), np.log10(p)))
-        return [pa.array(grams.size), pa.array(known.astype(np.int64)), pa.array(plain), pa.array(score)]
+            there = np.flatnonzero(walk.contexts(n))
+            rest = np.zeros(len(walk.told[n - 1][0]), np.int64)  # r(s) + 1 of kept contexts
+            rest[there] = answered(n, walk.told[n - 1][0][there], buckets, level_of(answers, n + KEPT))
+            at = np.flatnonzero(walk.place >= n)
+            place = walk.places[n - 1][at - 1]
+            at, place = at[place >= 0], place[place >= 0]
+            at, rest = at[rest[place] > 0], rest[place][rest[place] > 0]
+            p[at] = (c[n][at] + (rest - 1 + prior) * p[at]) / (c[n - 1][at - 1] + prior)
+        known, plain, score = (np.bincount(walk.doc, x, len(walk.size)) for x in (c[0] > 0, np.log10(base), np.log10(p)))
+        columns = [block.keys, *map(pa.array, (block.extra.astype(bool), walk.size, known.astype(np.int64), plain, score))]
+        return pa.table([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
 
-def score_texts(df: DataFrame, key: str, text: str, train: Column, least: int = 3, gain: float = 1.0, prior: float = 0.5, blocks: int | None = None, depth: int | None = None) -> DataFrame:
+def score_texts(df: DataFrame, key: str, text: str, train: Column, least: int = 2, gain: float = 1.0, prior: float = 0.5, block_bytes: int = BLOCK_BYTES, depth: int | None = None) -> DataFrame:
     """``(key, train, n_tokens, n_known, train_tokens, base_score, score)`` of every row.
 
-    ``blocks`` deals the documents out (the number of shuffle partitions if unset); it doesn't change the scores but for
-    rounding and for the length of the n-grams' hashes.  ``depth`` is the most words of a context (no bound if unset).
+    ``block_bytes`` bounds the texts that a task works on at a time; it doesn't change the scores but for rounding.
+    ``depth`` is the most words of a context (no bound if unset).
     """
     spark = df.sparkSession
-    buckets = parallelism(spark)
-    blocks = blocks or buckets
-    docs = df.select(F.col(key).alias("_key"), F.coalesce(train, F.lit(False)).alias("_train"), F.col(text).alias("_text"), F.pmod(F.xxhash64(F.col(key), F.lit("block")), F.lit(blocks)).cast("int").alias("_block"))
-    kind = docs.schema["_key"].dataType
+    buckets = min(parallelism(spark), MOST_BUCKETS)
     scratch = Scratch(spark, "suffix-tree")
-    told = scratch.write(docs.groupBy("_block").applyInArrow(_ask(buckets), ASK).groupBy("level", "bucket").applyInArrow(tell, TOLD))
+    rows = df.select(F.col(key).alias("_key"), F.coalesce(train, F.lit(False)).cast("int").cast("long").alias("_extra"), F.col(text).alias("_text"))
+    kind = rows.schema["_key"].dataType
+    docs = packed_texts(rows, scratch, block_bytes)
+    told = scratch.write(docs.mapInArrow(_ask(buckets), ASK).groupBy("level", "bucket").applyInArrow(tell, TOLD))
     n, v = told.agg(F.coalesce(F.sum("n_total"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0))).first()
     z = n + 0.5 * (v + 1)
     answers, step, more = told.drop("n_distinct", "n_total"), 0, depth != 0
     while more:
         step += 1
         counted = answers.filter(F.col("level") < KEPT).groupBy("block")
-        said = docs.groupBy("_block").cogroup(counted).applyInArrow(_say(step, step == depth, depth is None, buckets, z, least, prior), SAID if depth else SAID_BOUNDS)
-        new = scratch.write(said.groupBy("level", "bucket").applyInArrow(_answer(step, gain, prior), ASK))
+        said = docs.groupBy("block").cogroup(counted).applyInArrow(_say(step, step == depth, depth is None, buckets, z, least, prior), SAID if depth else SAID_BOUNDS)
+        new = scratch.write(said.groupBy("level", "bucket").applyInArrow(_answer(step, gain, prior), ANSWER))
         answers = answers.unionByName(new.filter("block >= 0"))
         more = step < depth if depth else not new.filter("block < 0").isEmpty()
 
     schema = f"_key {kind.simpleString()}, _train boolean, n_tokens long, n_known long, base_score double, score double"
-    out = docs.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(_score(step, buckets, z, prior, to_arrow_type(kind)), schema)
+    out = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(step, buckets, z, least, prior, to_arrow_type(kind)), schema)
     return out.select(F.col("_key").alias(key), F.col("_train").alias("train"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -34,13 +34,13 @@ def jaccard_components(rows, n, percent):
     return {k: (len(sets[k]), find(k)) for k in keys}
 
 
-def suffix_tree_scores(rows, least=3, gain=1.0, b=0.5):
+def suffix_tree_scores(rows, least=2, gain=1.0, b=0.5, depth=5):
     texts = {k: (*words(t), None) for k, t in rows}
     held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in texts}
-    c = [Counter(), Counter(), Counter()]
+    c = [Counter() for _ in range(depth + 1)]
     for k, w in texts.items():
         if not held[k]:
-            for n in (1, 2, 3):
+            for n in range(1, depth + 2):
                 c[n - 1].update(zip(*(w[i:] for i in range(n)), strict=False))
     total = sum(c[0].values())
     z = total + 0.5 * (len(c[0]) + 1)
@@ -57,8 +57,8 @@ def suffix_tree_scores(rows, least=3, gain=1.0, b=0.5):
         g = once * math.log10(max(once - 1 + b, b)) - seen * math.log10(seen - 1 + b)
         for gram, x in own:
             if x > 1:
-                single = (c[0][gram[-1:]] + 0.5) / z
-                g += x * math.log10((x - 1) / (single if len(s) == 1 else max(single, twice(gram[1:]) / (c[0][s[1:]] + b))))
+                shorter = [(c[0][gram[-1:]] + 0.5) / z, *(twice(gram[k:]) / (c[len(s) - k - 1][s[k:]] + b) for k in range(1, len(s)))]
+                g += x * math.log10((x - 1) / max(shorter))
         if g > gain:
             kept[s] = seen, once
     out = {}
@@ -67,7 +67,7 @@ def suffix_tree_scores(rows, least=3, gain=1.0, b=0.5):
         for i, x in enumerate(w):
             p = (c[0][(x,)] + 0.5) / z
             base += math.log10(p)
-            for n in (1, 2):
+            for n in range(1, depth + 1):
                 if i >= n and (s := w[i - n : i]) in kept:
                     p = (twice((*s, x)) + (kept[s][1] + b) * p) / (kept[s][0] + b)
             score += math.log10(p)

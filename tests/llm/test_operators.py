@@ -35,6 +35,12 @@ def test_suffix_tree_equals_brute_force(spark):
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
 
 
+def test_suffix_tree_in_small_blocks(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole, small = ({r.doc_id: r.score for r in suffix_tree.score_texts(docs, "doc_id", "text", F.lit(True), depth=3, **kw).collect()} for kw in ({}, {"block_bytes": 5000}))
+    assert small == pytest.approx(whole)
+
+
 def test_suffix_tree_grows_until_no_context_is_kept(spark):
     """Three words tell which word follows, two don't (no context of two words is kept); more than three say nothing new."""
     rows = [(i, f"{a} b c {x}") for i, (a, x) in enumerate([("a", "d"), ("e", "f")] * 20)]
@@ -72,13 +78,23 @@ def test_jaccard_chains_and_groups(spark):
 
 
 def test_jaccard_odd_rows(spark, texts, no_texts):
-    out = ngram_join.jaccard_components(texts.filter("doc_id is not null"), "doc_id", "text").collect()
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in out)
+    out = ngram_join.jaccard_components(texts, "doc_id", "text").collect()
+    assert [(r.n_shingles, r.component_id) for r in out if r.doc_id is None] == [(3, None)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in out if r.doc_id is not None)
     assert [x for x in got if x[0] in (1, 5)] == [(1, 8, 1), (5, 8, 1), (5, 8, 1)]
     assert [x for x in got if x[0] in (2, 3, 6)] == [(2, 0, 2), (3, 0, 3), (6, 0, 6)]
     assert ngram_join.jaccard_components(no_texts, "doc_id", "text").collect() == []
 
 
+def test_jaccard_null_and_repeated_keys(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "xy")
+    rows = [(None, one), (5, one), (6, one), (7, one), (7, two), (8, two), (None, "a lone text here"), (None, None)]
+    docs = spark.createDataFrame([(*r, "z", 1) for r in rows], "doc_id long, text string, node string, n int")
+    out = ngram_join.jaccard_components(docs, "doc_id", "text").collect()
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in out))
+    assert got == [(0, 0, 0), (0, 2, 0), (0, 28, 5), (5, 28, 5), (6, 28, 5), (7, 28, 5), (7, 28, 7), (8, 28, 7)]
+
+
 # ---- 2 and 10 -----------------------------------------------------------------------------------------------------
 
 
