@@ -16,7 +16,6 @@ from __future__ import annotations
 import gc
 import json
 import re
-from functools import lru_cache
 
 NO_RANK = -1
 _SYM = 10  # bits of a base symbol in a transition's key
@@ -107,6 +106,9 @@ class BpeTables:
             while s and s << _SYM | symbol not in self._trie:
                 s = self._fail[s]
             n = self._next[k] = self._trie.get(s << _SYM | symbol, 0)
+            if len(self._next) > len(self._trie) + 400_000:
+                self._next.clear()
+                self._next.update(self._trie)
         return n
 
     def open_suffixes(self, state: int) -> tuple[int, ...]:
@@ -126,7 +128,7 @@ class BpeTables:
         key = a << 17 | b
         fits = self._fits.get(key)
         if fits is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > 400_000:
                 self._fits.clear()
             fits = self._fits[key] = self._stay_apart(a, b)
         return fits
@@ -237,11 +239,10 @@ class PrefixMachine:
         return out
 
 
-@lru_cache(maxsize=2)
 def tables(path: str) -> BpeTables:
-    """The compiled vocabulary, once for each Python worker."""
+    """The compiled vocabulary; keep it while it is needed, as making it takes a second."""
     out = BpeTables(path)
-    gc.freeze()  # it lives as long as the worker: no need to visit it again and again
+    gc.freeze()  # no need to visit it again and again
     return out
 
 

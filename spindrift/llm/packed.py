@@ -22,7 +22,7 @@ from .common import Scratch, by_bytes, word_hashes
 #: Bits of a longer n-gram's name inside its bucket; with a bucket below 2^16 and one bit to spare they fill a word.
 BITS = 47
 SHORT, MOST_BUCKETS = np.uint64((1 << BITS) - 1), 1 << 16
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def _press(values: np.ndarray) -> bytes:

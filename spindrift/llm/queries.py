@@ -25,7 +25,7 @@ def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    out = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents"), "doc_id", "text", path), "ids", path)
+    out = bpe_codec.round_trip(table(spark, sf_dir, "documents"), "doc_id", "text", path)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

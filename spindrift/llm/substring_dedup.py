@@ -11,9 +11,13 @@ Every passage of GRAM + WINDOW - 1 words that two texts share has such a unit in
 gap between units is longer than GRAM, at most WINDOW - 1 words at either end of a shared passage stay for this reason.
 Inside one text, a word run that overlaps its own first occurrence is cut only behind it.
 
+Each Python batch first settles its own repeats, so that of a unit that very many documents have the global grouping sees
+one occurrence per batch.
+
 Every row is kept, with its other columns.  ``removed`` holds the spans that were cut, as offsets in code points of the
-original text; null texts stay null and have none.  Rows of the same key count as one document.  An empty table gives an
-empty result.
+original text (in place of a column that df has by that name); null texts stay null and have none.  Rows of the same key
+and text count as one document, rows of one key with different texts as several, ordered by a hash of their texts.  Null
+ranks and keys come last.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _POWER, mix
+from .common import by_bytes, mix, power, release
 
 _JUNK = re.compile(r"[\W_]+")
 _SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+")
@@ -59,8 +63,7 @@ def word_runs(text: str) -> list[tuple[int, int, int, int]]:
         return []
     code = code[starts[0] : ends[-1]]
     place = np.arange(len(code)) - np.repeat(starts - starts[0], np.append(starts[1:], ends[-1]) - starts)
-    place %= len(_POWER)
-    word = mix(np.add.reduceat(value[code] * _POWER[place], starts - starts[0]) + (ends - starts).astype(np.uint64) * _K[0])
+    word = mix(np.add.reduceat(value[code] * power(place), starts - starts[0]) + (ends - starts).astype(np.uint64) * _K[0])
     lanes = []
     for times in _K[:, None]:
         h, n = word, 1
@@ -145,46 +148,65 @@ def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join((*kept, text[at:]))
 
 
+def _repeats(order: list[tuple], digests: list[tuple]) -> list[bool]:
+    """Which units come after another one of the same digest."""
+    first: dict[tuple, tuple] = {}
+    for o, d in zip(order, digests, strict=True):
+        known = first.get(d)
+        if known is None or o < known:
+            first[d] = o
+    return [first[d] != o for o, d in zip(order, digests, strict=True)]
+
+
 def dedup(df: DataFrame, key: str, text: str, rank: str | None = None, min_words: int = 8) -> DataFrame:
     """df with repeated units cut out of ``text`` and the column ``removed array<struct<start, end>>``."""
-    rank = rank or key
-    rows = df.filter(F.col(text).isNotNull()).select(F.col(rank).alias("_rank"), F.col(key).alias("_key"), F.col(text).alias("_text"))
+    rank, df = rank or key, df.drop("removed") if "removed" not in (key, text, rank) else df
+    rows = df.filter(F.col(text).isNotNull()).select(F.col(rank).alias("_rank"), F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_tid"), F.col(text).alias("_text"))
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("_rank", "_key")}
+    names = ["_rank", "_key", "_tid", "start", "end", "d1", "d2", "again"]
 
     def cut(batches):
+        release()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part, _ in by_bytes(batch, 3, 1 << 21, 4096):
                 owner, found = [], []
-                for i, t in enumerate(part.column(2).to_pylist()):
+                for i, t in enumerate(part.column(3).to_pylist()):
                     own = units(t, min_words)
                     owner += [i] * len(own)
                     found += own
+                places = [(r is None, r, k is None, k, t) for r, k, t in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True)]
+                again = _repeats([(*places[i], u[0], u[1]) for i, u in zip(owner, found, strict=True)], [u[2:] for u in found])
+                # Repeats need no partner any more: they are dealt by their number.
+                digests = [(n, i) if later else u[2:] for n, (i, u, later) in enumerate(zip(owner, found, again, strict=True))]
                 take = pa.array(owner, pa.int64())
-                columns = [pa.array([u[k] for u in found], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), *columns], ["_rank", "_key", "start", "end", "d1", "d2"])
-
-    found = rows.mapInArrow(cut, f"_rank {kinds['_rank']}, _key {kinds['_key']}, start int, end int, d1 long, d2 long")
-    # One shuffle of the units; rank() is 1 for the first occurrence and for rows that repeat its key.
-    place = F.rank().over(Window.partitionBy("d1", "d2").orderBy("_rank", "_key", "start", "end"))
-    later = found.withColumn("_place", place).filter("_place > 1")
-    spans = later.groupBy("_key").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
-    names = df.columns
-    inner = [f"c{i}" for i in range(len(names))]
-    plain = df.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(names, inner, strict=True)])
-    joined = plain.join(spans, plain[inner[names.index(key)]] == spans["_key"], "left").drop("_key")
-    place_of_text = names.index(text)
+                columns = [pa.array([u[k] for u in found], pa.int32()) for k in (0, 1)] + [pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(take) for i in range(3)), *columns, pa.array(again, pa.bool_())], names)
+
+    found = rows.mapInArrow(cut, f"_rank {kinds['_rank']}, _key {kinds['_key']}, _tid long, start int, end int, d1 long, d2 long, again boolean")
+    # One shuffle of the units; rank() is 1 for the first occurrence and for rows that repeat its key and text.
+    order = [F.col("_rank").asc_nulls_last(), F.col("_key").asc_nulls_last(), "_tid", "start", "end"]
+    place = F.rank().over(Window.partitionBy("d1", "d2", "again").orderBy(*order))
+    later = found.withColumn("_place", place).filter("again or _place > 1")
+    spans = later.groupBy("_key", "_tid").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    names_in = df.columns
+    inner = [f"c{i}" for i in range(len(names_in))]
+    place_of_text = names_in.index(text)
+    plain = df.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(names_in, inner, strict=True)])
+    same = plain[inner[names_in.index(key)]].eqNullSafe(spans["_key"]) & (F.xxhash64(inner[place_of_text]) == spans["_tid"])
+    joined = plain.join(spans, same, "left").drop("_key", "_tid")
+    spans_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def apply(batches):
+        release()
         for batch in batches:
-            cut_spans = [merged([(s["start"], s["end"]) for s in x or ()]) for x in batch.column(len(names)).to_pylist()]
-            texts = [t if t is None or not s else cut_out(t, s) for t, s in zip(batch.column(place_of_text).to_pylist(), cut_spans, strict=True)]
-            columns = list(batch.columns[: len(names)])
-            columns[place_of_text] = pa.array(texts, pa.string())
-            spans_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            removed = pa.array([[{"start": a, "end": b} for a, b in s] for s in cut_spans], spans_kind)
-            yield pa.RecordBatch.from_arrays([*columns, removed], [*inner, "removed"])
+            for part, _ in by_bytes(batch, place_of_text, 1 << 21, 512):
+                cut_spans = [merged([(s["start"], s["end"]) for s in x or ()]) for x in part.column(len(inner)).to_pylist()]
+                texts = [t if t is None or not s else cut_out(t, s) for t, s in zip(part.column(place_of_text).to_pylist(), cut_spans, strict=True)]
+                columns = list(part.columns[: len(inner)])
+                columns[place_of_text] = pa.array(texts, pa.string())
+                removed = pa.array([[{"start": a, "end": b} for a, b in s] for s in cut_spans], spans_kind)
+                yield pa.RecordBatch.from_arrays([*columns, removed], [*inner, "removed"])
 
     schema = ", ".join(f"{i} {plain.schema[i].dataType.simpleString()}" for i in inner)
     out = joined.mapInArrow(apply, f"{schema}, removed array<struct<start: int, end: int>>")
-    return out.toDF(*names, "removed")
+    return out.toDF(*names_in, "removed")

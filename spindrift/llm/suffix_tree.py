@@ -64,7 +64,7 @@ class Walk:
         self.doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
         self.place = np.arange(len(self.tokens), dtype=np.int32) - np.repeat((ends - size).astype(np.int32), size)
         self.size, self.learnt = size, block.extra.astype(bool)[self.doc]
-        self.whole, self.counts, self.places, self.told = None, [], [], []
+        self.whole, self.hashed, self.counts, self.places, self.told = None, 1, [], [], []
 
     def wanted(self) -> tuple[np.ndarray, np.ndarray]:
         """The next level's distinct n-grams to ask for, and how often training texts of the block have each: all words and
@@ -72,12 +72,15 @@ class Walk:
         n = len(self.counts) + 1
         if n == 1:
             return self.vocabulary, np.bincount(self.tokens, self.learnt, len(self.vocabulary)).astype(np.uint32)
-        words = self.vocabulary[self.tokens]
-        before = words if n == 2 else self.whole
-        self.whole = mix(np.concatenate([before[:1], before[:-1]]) * (_K2 if n == 2 else _K3) + words)
         at = np.flatnonzero(self.place >= n - 1)
         if n > 2:
             at = at[(self.counts[-1][at - 1] >= self.least) & (self.counts[-1][at] >= 2)]
+        if self.hashed < n:  # in place: what later levels read was hashed at every level before
+            if n == 2:
+                self.whole = self.vocabulary[self.tokens]
+            words = self.vocabulary[self.tokens[at]]
+            self.whole[at] = mix(self.whole[at - 1] * (_K2 if n == 2 else _K3) + words)
+            self.hashed = n
         self.at, self.key = at, short(self.whole[at], self.buckets)
         return tally(self.key, self.learnt[at])
 
@@ -90,14 +93,15 @@ class Walk:
         keys, values = keys[there], values[there]
         if n == 1:
             place = np.where(there, np.cumsum(there) - 1, -1).astype(np.int32)[self.tokens]
+            count = np.where(place >= 0, values[place], 0).astype(np.uint32) if len(values) else np.zeros(len(place), np.uint32)
         else:
-            place = np.full(len(self.tokens), -1, np.int32)
+            place, count = np.full(len(self.tokens), -1, np.int32), np.zeros(len(self.tokens), np.uint32)
             seen = (self.counts[-1][self.at] > 1) & (self.counts[-1][self.at - 1] > 1)
-            at = self.at[seen]
             rows, found = Lookup(keys).find(self.key[seen])
-            place[at[rows]] = found
+            rows = self.at[seen][rows]
+            place[rows], count[rows] = found, values[found]
         self.told.append((keys, values))
-        self.counts.append(np.where(place >= 0, values[place] if len(values) else 0, 0).astype(np.uint32))
+        self.counts.append(count)
         self.places.append(place)
 
     def contexts(self, n: int) -> np.ndarray:

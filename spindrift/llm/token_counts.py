@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import LATIN, LATIN_LETTERS, LATIN_NUMBERS, SPACE, BpeTables, PrefixMachine, tables
+from .common import by_bytes, kept
 
 #: Fixed pattern of the vocabulary's word splitter.
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 LATIN_WORDS = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{LATIN_LETTERS}]+|[{LATIN_NUMBERS}]|[^{SPACE}{LATIN_LETTERS}{LATIN_NUMBERS}]+")
 FIRST_SPACE, LAST_SPACE = regex.compile(f"[{SPACE}]"), regex.compile(f"[{SPACE}](?=[^{SPACE}]*\\Z)")
 CHUNK = 1 << 15
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 
 
 class CountTransducer(PrefixMachine):
@@ -48,20 +49,17 @@ class Counts(dict):
 
     def __missing__(self, word: str) -> int:
         n = self.machine.count(word.encode())
-        if len(word) < 64:
+        if len(word) < 64 and len(self) < KEPT_WORDS:
             self[word] = n
         return n
 
 
-_kept: dict[str, Counts] = {}
-
-
 def counter(path: str) -> Counts:
-    if path not in _kept:
-        _kept[path] = Counts(tables(path))
-    if len(_kept[path]) > KEPT_WORDS:
-        _kept[path].clear()
-    return _kept[path]
+    """The worker's words; a new task starts afresh if no more can be kept."""
+    words = kept(f"counts {path}", lambda: Counts(tables(path)))
+    if len(words) >= KEPT_WORDS:
+        words.clear()
+    return words
 
 
 def _plain(text: str, words: Counts) -> int:
@@ -134,12 +132,11 @@ def token_counts(df: DataFrame, key: str, text: str, vocabulary: str, limit: int
     rows = df.select(F.col(key).alias("_key"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("_text"))
 
     def run(batches):
+        words = counter(vocabulary)
         for batch in batches:
-            out = []
-            for at in range(0, batch.num_rows, 512):
-                words = counter(vocabulary)
-                out += [count_tokens(t or "", words, chunk) for t in batch.column(2).slice(at, 512).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], ["_key", "n_bytes", "n_tokens"])
+            for part, _ in by_bytes(batch, 2, 1 << 20, 512):
+                counts = [count_tokens(t or "", words, chunk) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64())], ["_key", "n_bytes", "n_tokens"])
 
     counted = rows.mapInArrow(run, f"_key {rows.schema['_key'].dataType.simpleString()}, n_bytes long, n_tokens long")
     return counted.select(F.col("_key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > F.lit(limit)).alias("over_limit"))

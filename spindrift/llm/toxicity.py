@@ -17,6 +17,7 @@ Extra columns are ignored.  An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -24,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_bytes, kept
+
 WORD = re.compile(r"[^\W_]+")
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
 LONGEST = 40
 
 
@@ -209,9 +212,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     return [r["_text"] or "" for r in rows], np.array([r["_y"] for r in rows], np.float64)
 
 
-_words: dict[int, WordNumbers] = {}
-
-
 def score(df: DataFrame, key: str, text: str, model: ToxicityModel | None) -> DataFrame:
     """``(key, score double)`` of every row."""
     return _scored(df.select(F.col(key), F.col(text).alias("_text")), "_text", model, [key])
@@ -226,19 +226,16 @@ def with_score(df: DataFrame, text: str, model: ToxicityModel | None) -> DataFra
 def _scored(rows: DataFrame, text: str, model: ToxicityModel | None, passed: list[str]) -> DataFrame:
     if model is None:
         return rows.select(*passed, F.lit(0.0).alias("score"))
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared, name = rows.sparkSession.sparkContext.broadcast(model), f"toxicity {uuid.uuid4().hex}"
     at, places = rows.columns.index(text), [rows.columns.index(c) for c in passed]
     kinds = ", ".join(f"`{c}` {rows.schema[i].dataType.simpleString()}" for i, c in zip(places, passed, strict=True))
 
     def run(batches):
         own = shared.value
-        if id(own) not in _words:
-            _words.clear()
-            _words[id(own)] = WordNumbers(own)
-        words = _words[id(own)]
+        words = kept(name, lambda: WordNumbers(own))
         for batch in batches:
-            texts = batch.column(at)
-            scores = [own.score(t, words) for i in range(0, batch.num_rows, 512) for t in texts.slice(i, 512).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.array(scores, pa.float64())], [*passed, "score"])
+            for part, _ in by_bytes(batch, at, 1 << 20, 512):
+                scores = [own.score(t, words) for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), pa.array(scores, pa.float64())], [*passed, "score"])
 
     return rows.mapInArrow(run, f"{kinds}, score double")

@@ -102,11 +102,22 @@ def test_bpe_equals_library(spark, texts, no_texts):
     library = Tokenizer.from_file(BYTES)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(texts.select("doc_id", "text"))
     out = bpe_codec.decode(bpe_codec.encode(docs, "doc_id", "text", BYTES), "ids", BYTES)
+    both = bpe_codec.round_trip(docs, "doc_id", "text", BYTES)
+    assert sorted((r.doc_id or -1, r.ids, r.decoded) for r in both.collect()) == sorted((r.doc_id or -1, r.ids, r.decoded) for r in out.collect())
     expected = sorted((r.doc_id or -1, library.encode(r.text or "", add_special_tokens=False).ids, r.text or "") for r in docs.collect())
     assert sorted((r.doc_id or -1, r.ids, r.decoded) for r in out.collect()) == expected
     assert bpe_codec.encode(no_texts, "doc_id", "text", BYTES).collect() == []
 
 
+def test_bpe_decodes_any_ids(spark):
+    library = Tokenizer.from_file(BYTES)
+    whole = library.encode("日本 🙂 é", add_special_tokens=False).ids
+    rows = [(0, whole[:1]), (1, whole[1:2]), (2, None), (3, []), (4, whole[:-1]), (5, whole)]
+    df = spark.createDataFrame([(k, x, "clash") for k, x in rows], "k int, ids array<int>, decoded string")
+    got = {r.k: r.decoded for r in bpe_codec.decode(df, "ids", BYTES).collect()}
+    assert got == {k: library.decode(x or [], skip_special_tokens=False) for k, x in rows}
+
+
 def test_bpe_query_digests(spark):
     library = Tokenizer.from_file(BYTES)
     text = dict(documents(spark))
@@ -130,7 +141,7 @@ def test_both_vocabularies_on_random_text():
     rng = np.random.default_rng(3)
     pool = np.array(list("abcdehistnre  \n\t'.,!?-_AB01éñüßΣσς́İ中\x1c\x85🙂<|>#½١　"))
     a, b = Tokenizer.from_file(BYTES), Tokenizer.from_file(WORDS)
-    words, counts = bpe_codec.encoder(BYTES), token_counts.counter(WORDS)
+    words, counts = bpe_codec.Encoded(bpe_codec.tables(BYTES)), token_counts.Counts(token_counts.tables(WORDS))
     for _ in range(1500):
         t = "".join(rng.choice(pool, rng.integers(0, 50)))
         assert bpe_codec.encode_text(t, words) == a.encode(t, add_special_tokens=False).ids
@@ -272,6 +283,20 @@ def test_dedup_leaves_no_shared_run_of_50_words(spark):
     assert words == {w for t in kept.values() for w in t.replace(".", "").split()}  # a copy of everything stays
 
 
+def test_dedup_odd_rows(spark, texts):
+    line, other = "one two three four five six seven eight nine ten", "abc def ghi jkl mno pqr stu vwx yza bcd"
+    rows = [(None, f"{line}\nnull key"), (1, f"first\n{line}"), (2, f"{line}\n{other}"), (2, f"{other}\nzzzz"), (3, f"own\n{other}"), (None, f"{line}\nnull key")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, removed string")
+    out = substring_dedup.dedup(docs, "doc_id", "text")
+    assert out.columns == ["doc_id", "text", "removed"]
+    got = sorted((r.doc_id or 0, r.text) for r in out.collect())
+    one_of = [(2, other), (2, "zzzz")], [(2, ""), (2, f"{other}\nzzzz")]
+    assert got[:2] == [(0, "null key")] * 2 and (1, rows[1][1]) in got and (3, "own\n") in got
+    assert [x for x in got if x[0] == 2] in one_of
+    odd = substring_dedup.dedup(texts, "doc_id", "text")
+    assert odd.count() == 9 and odd.columns == [*texts.columns, "removed"]
+
+
 def test_dedup_paragraphs_of_short_lines(spark):
     block = "Home\nAbout our shop\nTerms of use\nContact and help"
     docs = spark.createDataFrame([(1, f"{block}\n\nfirst"), (2, f"other\n\n{block}\n\nsecond"), (3, "Home\n\nthird")], "doc_id long, text string")
