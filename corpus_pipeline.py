@@ -46,7 +46,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode_corpus(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with a digest of the text that they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    out = bpe_codec.decode(bpe_codec.encode(docs, "doc_id", "text", path), "ids", path)
+    out = bpe_codec.round_trip(docs, "doc_id", "text", path)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
