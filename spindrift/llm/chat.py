@@ -8,9 +8,10 @@ Template: ``<s>[INST]role[/INST]text</s>`` per turn.  Inside roles and texts eac
 followed by an inserted backslash, so that no control string can arise there; taking those backslashes out restores the
 text.
 
-Null texts, roles and fields are empty.  Records whose fingerprint no mapping knows get null turns and are kept.  Turns
-that share a number are ordered by role, then text; repeated rows stay.  Extra columns are ignored.  An empty table gives
-an empty result.
+Null texts, roles and fields are empty.  Records whose fingerprint no mapping knows get null turns and are kept.  The
+fingerprint is taken from the record without its texts, so that their length doesn't matter; a record of a known layout that
+can't be read is an error, not a null.  Turns that share a number are ordered by role, then text; repeated rows stay.  Null
+keys stay null.  Extra columns are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The parser's limit on one text, raised from its default of 20 million characters.
+READ = {"maxStringLen": "2147483647"}
+#: A field's name with its colon is kept, any other JSON string is emptied.
+_STRINGS = r'("[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:)|(")[^"\\]*+(?:\\.[^"\\]*+)*+(")'
 OPEN, SPLIT, CLOSE = "<s>[INST]", "[/INST]", "</s>"
 
 
@@ -26,7 +31,7 @@ OPEN, SPLIT, CLOSE = "<s>[INST]", "[/INST]", "</s>"
 
 def field_paths(record: Column) -> Column:
     """The nested field names of a JSON record in one string, without the kinds of its values."""
-    schema = F.schema_of_variant(F.try_parse_json(record))
+    schema = F.schema_of_variant(F.try_parse_json(F.regexp_replace(record, _STRINGS, "$1$2$3")))
     return F.regexp_replace(schema, r": (?:BIGINT|DOUBLE|STRING|BOOLEAN|VOID|DECIMAL\(\d+,\s*\d+\)|VARIANT)", "")
 
 
@@ -46,8 +51,12 @@ def _turns(items: Column, role: str, text: str, roles: dict[str, str] | None = N
     return F.transform(items, one)
 
 
+def _array(js: Column, field: str, schema: str) -> Column:
+    return F.coalesce(F.from_json(js, f"{field} array<struct<{schema}>>", READ)[field], F.raise_error(F.lit(f"a record with {field} can't be read")))
+
+
 def _list(schema: str, field: str, role: str, text: str, roles: dict[str, str] | None = None):
-    return lambda js: _turns(F.from_json(js, f"{field} array<struct<{schema}>>")[field], role, text, roles)
+    return lambda js: _turns(_array(js, field, schema), role, text, roles)
 
 
 def _pair(prompt: Column, answer: Column) -> Column:
@@ -57,15 +66,14 @@ def _pair(prompt: Column, answer: Column) -> Column:
 
 def _fields(names: str, make):
     def mapped(js: Column) -> Column:
-        row = F.from_json(js, ", ".join(f"{n} string" for n in names.split()))
+        row = F.from_json(js, ", ".join(f"{n} string" for n in names.split()), READ)
         return make(*(row[n] for n in names.split()))
 
     return mapped
 
 
 def _numbered(js: Column) -> Column:
-    rows = F.from_json(js, "turns array<struct<turn: bigint, role: string, text: string>>")["turns"]
-    return _turns(F.sort_array(rows), "role", "text")
+    return _turns(F.sort_array(_array(js, "turns", "turn: bigint, role: string, text: string")), "role", "text")
 
 
 def _with_input(instruction: Column, given: Column, output: Column) -> Column:

@@ -5,18 +5,35 @@ training documents and of the benchmark items are hashed, and equal hashes are j
 the alignment the tokens are compared, and the document is contaminated if some ``window`` tokens in a row (or the whole
 item, if shorter) agree in at least ``similarity`` of their positions.
 
-Tokens are runs of letters and digits in lower case.  Items shorter than the longest mask are never found.  The benchmark's
-seeds are broadcast only if there are no more than ``broadcast_seeds``; beyond that hits are joined by shuffle.  Null texts
-are empty.  Repeated rows give the same result once.  Extra columns are ignored.  An empty table gives an empty result.
+Tokens are runs of letters and digits in lower case.  Items of ``SHORT`` tokens or fewer, for which no mask would do, are
+cut into one piece more than they may have substitutions, so that one piece is always whole; pieces are masks without gaps.
+Documents are hashed for those lengths of pieces only that the benchmark has.  Seeds, hits and items are broadcast only if
+there are no more than ``broadcast_rows``; beyond that they are joined by shuffle.
+
+Null texts are empty.  Documents with null keys are found like others.  Repeated rows give the same result once, documents
+of one key with different texts the best of all.  Items with null keys count as one item each text.  Extra columns are
+ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Fixed masks: four positions each, spans of seven and eight tokens.
 MASKS = ((0, 1, 4, 6), (0, 2, 3, 7))
+SHORT = 10
+
+
+def pieces(length: int, similarity: float) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of a short item: one more than its allowed substitutions."""
+    parts = length - math.ceil(length * similarity) + 1
+    cuts = [length * k // parts for k in range(parts + 1)]
+    return list(zip(cuts[:-1], (b - a for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
 
 
 def token_hashes(text: Column) -> Column:
@@ -24,27 +41,43 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.array_remove(words, ""), lambda w: F.xxhash64(w))
 
 
-def seeds(h: Column, masks: tuple[tuple[int, ...], ...]) -> Column:
-    """``array<long>``: for each mask the hash at every window position, one mask after another; each has as many as the
-    longest mask has windows."""
-    span = 1 + max(m[-1] for m in masks)
-    at = F.when(F.size(h) >= span, F.sequence(F.lit(0), F.size(h) - span)).otherwise(F.array().cast("array<int>"))
+def seeds(h: Column, masks: list[tuple[int, ...]]) -> Column:
+    """``array<long>``: for each mask the hash at every token's position (null where the mask overruns the text), one mask
+    after another."""
+    at = F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1)).otherwise(F.array().cast("array<int>"))
 
-    def masked(n: int, mask: tuple[int, ...]) -> Column:
-        return F.transform(at, lambda i: F.xxhash64(F.lit(n), *[F.get(h, i + o) for o in mask]))
+    def masked(mask: tuple[int, ...]) -> Column:
+        name = F.lit(",".join(map(str, mask)))
+        return F.transform(at, lambda i: F.when(i + mask[-1] < F.size(h), F.xxhash64(name, *[F.get(h, i + o) for o in mask])))
 
-    return F.flatten(F.array(*[masked(n, m) for n, m in enumerate(masks)]))
+    return F.flatten(F.array(*[masked(m) for m in masks]))
 
 
-def _windows(df: DataFrame, name: str, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
-    """One row per seed: its text's key, position and hash.  Tokens don't travel with the seeds, or long texts would be
-    copied once per token."""
-    span = 1 + max(m[-1] for m in masks)
-    h = df.select(F.col("_key").alias(name), token_hashes(F.col("_text")).alias("_h"))
-    h = h.select(name, (F.size("_h") - span + 1).alias("_n"), seeds(F.col("_h"), masks).alias("_seeds"))
+def _hashed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(_key, _id, _h): tokens of each text, and a hash that tells it from other texts of its key."""
+    return df.select(F.col(key).alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_id"), token_hashes(F.col(text)).alias("_h"))
+
+
+def _windows(rows: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
+    """One row per seed: its text's key and id, the seed's position and hash.  Tokens don't travel with the seeds, or long
+    texts would be copied once per token."""
+    h = rows.select("_key", "_id", F.size("_h").alias("_n"), seeds(F.col("_h"), masks).alias("_seeds"))
     # An inner explode would have the optimiser test size(_seeds) > 0 beside the scan, with the hashing spelled out again.
-    rows = h.select(name, "_n", F.posexplode_outer("_seeds").alias("_p", "seed"))
-    return rows.filter(F.col("seed").isNotNull()).select(name, F.pmod("_p", "_n").alias(f"{name}_at"), "seed")
+    out = h.select("_key", "_id", "_n", F.posexplode_outer("_seeds").alias("_p", "seed"))
+    return out.filter(F.col("seed").isNotNull()).select("_key", "_id", F.pmod("_p", "_n").alias("_at"), "seed")
+
+
+def _item_seeds(items: DataFrame, masks: tuple[tuple[int, ...], ...], similarity: float) -> tuple[DataFrame, list[tuple[int, ...]]]:
+    """Seeds of all items, and the masks that documents need for them."""
+    lengths = sorted(r["n"] for r in items.select(F.size("_h").alias("n")).filter(f"n between 1 and {SHORT}").distinct().collect())  # at most SHORT rows
+    out, used = _windows(items.filter(F.size("_h") > SHORT), list(masks)), list(masks)
+    for n in lengths:
+        for start, size in pieces(n, similarity):
+            mask = tuple(range(size))
+            own = items.filter(F.size("_h") == n).withColumn("_h", F.slice("_h", start + 1, size))
+            out = out.unionByName(_windows(own, [mask]).filter("_at = 0").withColumn("_at", F.lit(start)))
+            used += [mask] if mask not in used else []
+    return out, used
 
 
 def _best(a: Column, b: Column, diagonal: Column, window: int) -> tuple[Column, Column, Column]:
@@ -58,19 +91,21 @@ def _best(a: Column, b: Column, diagonal: Column, window: int) -> tuple[Column,
 
 
 def contaminated(
-    docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, window: int = 13, similarity: float = 0.8, masks: tuple[tuple[int, ...], ...] = MASKS, broadcast_seeds: int = 500_000
+    docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, window: int = 13, similarity: float = 0.8, masks: tuple[tuple[int, ...], ...] = MASKS, broadcast_rows: int = 200_000
 ) -> DataFrame:
     """``(key, item_key, doc_start, tokens_compared, window_matches)``: the best alignment of each contaminated document
     and item; doc_start is the token of the document where the item's alignment starts."""
-    d = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    b = items.select(F.col(item_key).alias("_key"), F.col(item_text).alias("_text")).distinct()
-    item_seeds = _windows(b, "i", masks)
-    if item_seeds.count() <= broadcast_seeds:
-        item_seeds = F.broadcast(item_seeds)
-    pairs = _windows(d, "d", masks).join(item_seeds, "seed").select("d", "i", "d_at", "i_at")
-    pairs = pairs.groupBy("d", "i", (F.col("d_at") - F.col("i_at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("n"))
-    tokens = lambda t, n: t.select(F.col("_key").alias(n), token_hashes(F.col("_text")).alias(f"{n}_h"))
-    hits = pairs.join(tokens(b, "i"), "i").join(tokens(d, "d"), "d")
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    small = lambda t: F.broadcast(t) if t.count() <= broadcast_rows else t
+    d, b = _hashed(docs, key, text), _hashed(items, item_key, item_text).distinct()
+    item_seeds, used = _item_seeds(b, masks, similarity)
+    item_seeds = item_seeds.select(F.col("_key").alias("i"), F.col("_id").alias("i_id"), F.col("_at").alias("i_at"), "seed")
+    pairs = _windows(d, used).join(small(item_seeds), "seed")
+    pairs = scratch.write(pairs.select(F.col("_key").alias("d"), F.col("_id").alias("d_id"), "i", "i_id", (F.col("_at") - F.col("i_at")).alias("diagonal")).distinct())
+    own = b.select(F.col("_key").alias("k"), F.col("_id").alias("i_id"), F.col("_h").alias("i_h"))
+    hits = pairs.join(own, F.col("i").eqNullSafe(F.col("k")) & (pairs["i_id"] == own["i_id"])).select("d", "d_id", "i", "diagonal", "i_h")
+    hits = (F.broadcast(hits) if pairs.count() <= broadcast_rows else hits).alias("hits")
+    hits = d.join(hits, F.col("d").eqNullSafe(F.col("_key")) & (F.col("_id") == F.col("d_id"))).select("d", "i", "diagonal", F.col("_h").alias("d_h"), "i_h")
     diagonal = F.col("diagonal")
     length, size, best = _best(F.col("d_h"), F.col("i_h"), diagonal, window)
     hits = hits.select("d", "i", F.greatest(F.lit(0), diagonal).alias("doc_start"), length.alias("compared"), size.alias("_size"), best.alias("matches"))

@@ -43,6 +43,24 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     fixed = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     records = chat.turn_rows_to_records(rows.unionByName(fixed), "conv_id", "turn", "role", "text")
+    return _chat_digests(records)
+
+
+def chat_mixed_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for conversations that arrive in three layouts, by their ids."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id")
+    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    other = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
+    messages = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+    spoken = F.transform("turns", lambda t: F.struct(other(t["role"]).alias("from"), t["text"].alias("value")))
+    layouts = [F.to_json(F.struct(x.alias(n))) for n, x in (("turns", F.col("turns")), ("messages", messages), ("conversations", spoken))]
+    kind = F.pmod(F.col("conv_id"), F.lit(3))
+    records = rows.select("conv_id", F.when(kind == 0, layouts[0]).when(kind == 1, layouts[1]).otherwise(layouts[2]).alias("record"))
+    return _chat_digests(records)
+
+
+def _chat_digests(records: DataFrame) -> DataFrame:
     out = chat.format_chats(records, "conv_id", "record")
     turns, loss = chat.read_turns(F.col("formatted")), chat.masked_text(F.col("formatted"), F.col("loss_spans"))
     out = out.select("conv_id", turns.alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
@@ -103,6 +121,41 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", path, limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_bpe_codec, op3_ngram_jaccard, op4_chat_format, op5_tiff_media, op6_spaced_seeds, op7_hash_tree_shards, op8_line_dedup, op9_toxicity, op10_token_counts)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_bpe_codec, op3_ngram_jaccard, op4_chat_format, op5_tiff_media, op6_spaced_seeds, op7_hash_tree_shards, op8_line_dedup, op9_toxicity, op10_token_counts, chat_mixed_layouts)}
+
+_JACCARD = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+    FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh
+    FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reached AS (SELECT doc_id, doc_id AS r FROM w UNION SELECT reached.doc_id, both_ways.b FROM reached JOIN both_ways ON both_ways.a = reached.r)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id FROM reached LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+_CHAT = r"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    {more}
+), f AS (
+    SELECT *, 20 + length(role) + length(text) + length(regexp_replace(role || text, '[^<\[\\]', '', 'g')) AS chars FROM t
+), g AS (
+    SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, sum(chars) AS chars
+    FROM f GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM g
+"""
+
+#: The others rest on hashes, models, vocabularies or stored files that SQL has no words for; tests/llm has plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard": _JACCARD,
+    "op4_chat_format": _CHAT.format(more="UNION ALL SELECT -7, * FROM (VALUES (0, 'user', '</s>[INST] ok [/INST]'), (1, 'assistant', '</s>[INST] ok [/INST]'))"),
+    "chat_mixed_layouts": _CHAT.format(more=""),
+}

@@ -7,7 +7,7 @@ the subtree that changed.  ``grow`` hangs a new shard under a region of its own,
 rows that move go to the new shard.
 
 Rows with a null key share one key, the empty string.  Repeated rows get distinct slots.  Ties between draws go to the
-lower child.  An empty table gives an empty result.
+lower child.  Extra columns are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -4,8 +4,10 @@
 decoding PackBits, LZW or deflate strips and tiles and undoing horizontal differencing.  ``encode_text`` stores texts as
 8-bit grey pages.  Formats are those of the TIFF 6.0 specification.
 
-A null file gives no page.  A file that can't be read gives one row (page -1) with ``error`` set and no samples; other
-pages of the same file are kept.  An empty table gives an empty result, extra input columns are ignored.
+A null file gives no page.  A file that can't be read gives one row (page -1) with ``error`` set and no samples; a page that
+can't be read, that has no samples or that declares more than its data can hold gives a row with ``error``, and the other
+pages of the file are kept.  Repeated rows and null keys are worked on like all others, each by itself.  An empty table
+gives an empty result, extra input columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_SIZES = 322, 323, 324, 325
 FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
+#: Bytes that one byte of data can stand for at the most, by compression.
+_EXPANDS = {NONE: 1, LZW: 2730, DEFLATE: 1033, OLD_DEFLATE: 1033, PACKBITS: 64}
+
 PAGE_SCHEMA = "page int, width int, height int, samples int, compression int, predictor int, pixels binary, feature string, error string"
 
 
@@ -175,10 +180,17 @@ def read_page(data: bytes, fields: dict[int, list[int]]) -> np.ndarray:
     planar = one(PLANAR, 1) == 2 and samples > 1
     depth, planes = (1, samples) if planar else (samples, 1)
     tiled = TILE_OFFSETS in fields
+    if width < 1 or height < 1 or samples < 1:
+        raise ValueError("the page has no samples")
     w = one(TILE_WIDTH, width) if tiled else width
     h = one(TILE_HEIGHT, height) if tiled else min(one(ROWS_PER_STRIP, height), height)
     offsets, sizes = (fields[TILE_OFFSETS], fields[TILE_SIZES]) if tiled else (fields[STRIP_OFFSETS], fields[STRIP_SIZES])
+    if w < 1 or h < 1:
+        raise ValueError("strips or tiles without samples")
     across, down = -(-width // w), -(-height // h)
+    held = sum(len(data[at : at + n]) for at, n in zip(offsets, sizes, strict=True)) * _EXPANDS[one(COMPRESSION, NONE)]
+    if width * height * samples > held or (tiled and w * h * depth > held):
+        raise ValueError("the page is larger than its data")
     out = np.zeros((height, width, samples), np.uint8)
     for k, (at, n) in enumerate(zip(offsets, sizes, strict=True)):
         plane, k = divmod(k, across * down)
@@ -219,7 +231,7 @@ def pages_of(data: bytes) -> Iterator[tuple]:
         try:
             pixels = read_page(data, fields)
             yield page, *meta, pixels.tobytes(), page_feature(pixels), None
-        except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+        except (ValueError, KeyError, IndexError, OverflowError, MemoryError, struct.error, zlib.error) as e:
             yield page, *meta, None, None, str(e) or type(e).__name__
 
 

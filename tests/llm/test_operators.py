@@ -6,12 +6,14 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spindrift.llm import bpe_codec, chat, decontaminate, ngram_join, sharding, substring_dedup, suffix_tree, tiff, token_counts, toxicity
 from spindrift.llm import queries as Q
 
+from ..oracle import compare
 from .brute import jaccard_components, suffix_tree_scores
 
 SF = "/root/testdata/sf0.001"
@@ -184,6 +186,18 @@ def test_chat_ties_and_nulls(spark):
     assert got == {1: [("user", "a"), ("user", "a"), ("user", "b"), ("", "")], None: [("user", "x")]}
 
 
+@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
+def test_queries_equal_sql(spark, name):
+    assert compare(spark, name, Q.QUERIES[name], Q.ORACLE_SQL[name], SF) > 0
+
+
+def test_chat_keeps_very_long_texts(spark):
+    rows = spark.sql(r"select 1L as c, 0L as t, 'assistant' as role, repeat('ab\"<\\\\', 5000000) as text")
+    out = chat.format_chats(chat.turn_rows_to_records(rows, "c", "t", "role", "text"), "c", "record")
+    back = out.select(chat.read_turns(F.col("formatted"))[0]["text"].alias("text"))
+    assert rows.select(F.sha2("text", 256), F.length("text")).first() == back.select(F.sha2("text", 256), F.length("text")).first()
+
+
 # ---- 5 ------------------------------------------------------------------------------------------------------------
 
 
@@ -210,6 +224,29 @@ def test_tiff_operator(spark, texts, no_texts):
     assert tiff.encode_text(no_texts, "doc_id", "text").collect() == []
 
 
+def test_tiff_bad_sizes():
+    good = tiff.write_tiff([np.zeros((4, 8, 1), np.uint8)])
+    for tag in (tiff.WIDTH, tiff.HEIGHT, tiff.SAMPLES, tiff.ROWS_PER_STRIP):
+        for value in (0, 2**31 - 1):
+            bad = bytearray(good)
+            at = bad.index(tag.to_bytes(2, "little") + (4).to_bytes(2, "little"), 8)
+            bad[at + 8 : at + 12] = value.to_bytes(4, "little")
+            (page,) = tiff.pages_of(bytes(bad))
+            assert page[0] == 0 and ((page[-1] is None) == (tag == tiff.ROWS_PER_STRIP and value > 0))
+
+
+def test_tiff_query(spark):
+    text = dict(documents(spark))
+    for r in Q.op5_tiff_media(spark, SF).collect():
+        raw = (text[r.doc_id] or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        stored = tiff.write_tiff([np.frombuffer(payload, np.uint8).reshape(-1, 64, 1)])
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        values = np.frombuffer(payload, np.uint8)
+        assert f"mean={values.mean():.4f}" in r.feature and r.feature.startswith(f"64x{len(payload) // 64}x1;")
+
+
 # ---- 6 and 8 ------------------------------------------------------------------------------------------------------
 
 ITEM = "the quick brown fox jumps over a lazy dog while seven wise owls watch from old trees near rivers"
@@ -222,13 +259,50 @@ def test_decontamination_finds_substituted_passages(spark):
     rows = [(1, f"Intro text. {ITEM.upper()}! And more"), (2, "well, " + " ".join(changed)), (3, "the quick brown fox jumps and then nothing else of it is here at all today"), (4, None), (5, ""), (1, f"Intro text. {ITEM.upper()}! And more"), (6, " ".join(reversed(words)))]
     docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, item_id string")
     items = spark.createDataFrame([(10, ITEM), (11, "too short"), (12, None), (10, ITEM)], "item_id long, text string")
-    for limit in (10**6, 0):
-        out = decontaminate.contaminated(docs, items, "doc_id", "text", "item_id", "text", broadcast_seeds=limit).collect()
+    for limit in (10**5, 0):
+        out = decontaminate.contaminated(docs, items, "doc_id", "text", "item_id", "text", broadcast_rows=limit).collect()
         assert sorted((r.doc_id, r.item_id, r.doc_start) for r in out) == [(1, 10, 2), (2, 10, 1)]
     assert decontaminate.contaminated(docs.limit(0), items, "doc_id", "text", "item_id", "text").collect() == []
     assert decontaminate.contaminated(docs, items.limit(0), "doc_id", "text", "item_id", "text").collect() == []
 
 
+def test_decontamination_finds_short_items_and_null_keys(spark):
+    lengths, items, docs, expected = range(1, 15), [], [], set()
+    for n in lengths:
+        words = [f"k{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(words)))
+        most = n - int(np.ceil(0.8 * n))
+        for bits in range(1 << n):
+            if bin(bits).count("1") <= most + 1 and (n < 11 or bits % 7 == 0):
+                docs.append((len(docs), "pre fix " + " ".join("zz" if bits >> i & 1 else w for i, w in enumerate(words)) + " end"))
+                window = [bin(bits >> k & (1 << 13) - 1).count("1") for k in range(max(1, n - 12))]
+                if min(window) <= (most if n < 13 else 2):
+                    expected.add((docs[-1][0], n))
+    docs += [(None, docs[0][1]), (None, "nothing of note")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    out = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, i, "doc_id", "text", "item_id", "text").collect()}
+    found = {x for x in out if x[0] is not None}
+    assert out - found == {(None, 1)} and found <= expected and expected - found == set()
+
+
+def test_decontamination_query_equals_brute_force(spark):
+    tokens = lambda t: [w for w in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()) if w]
+    items = {r.item_id: tokens(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    expected = set()
+    for k, t in documents(spark):
+        words, places = tokens(t), {}
+        for at, w in enumerate(words):
+            places.setdefault(w, []).append(at)
+        for name, item in items.items():
+            size = min(13, len(item))
+            for diagonal in {at - i for i, w in enumerate(item) for at in places.get(w, ())}:
+                same_word = [0 <= i + diagonal < len(words) and words[i + diagonal] == w for i, w in enumerate(item)]
+                inside = [0 <= i + diagonal < len(words) for i in range(len(item))]
+                if any(all(inside[a : a + size]) and sum(same_word[a : a + size]) >= np.ceil(0.8 * size) for a in range(len(item) - size + 1)):
+                    expected.add((k, name))
+    assert expected and {(r.doc_id, r.item_id) for r in Q.op6_spaced_seeds(spark, SF).collect()} == expected
+
+
 def test_dedup_keeps_first_and_offsets(spark):
     line = "one two three four five six seven eight nine ten"
     passage = "First sentence with a good many words in it. Second sentence has quite a few more of them."
