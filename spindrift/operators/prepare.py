@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import Rounds
+
 
 def number(c: Column) -> Column:
     """A double, or null for anything that isn't a number; NaN is null."""
@@ -36,18 +38,16 @@ def with_support(df: DataFrame, key: str, at_least: int, distinct: str | None =
 def kcore(df: DataFrame, user_min: int, item_min: int, max_steps: int = 0) -> DataFrame:
     """Drops rare items, then rare users among what is left, until no row goes (or max_steps rounds).
 
-    Each round is cut off by a checkpoint in the shared folder: the plan stays short, and lost executors cost one round."""
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        from tempfile import mkdtemp
-
-        df.sparkSession.sparkContext.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or mkdtemp())
-    df = df.checkpoint()
-    n, step = df.count(), 0
+    Each round is a written table: the plan stays short, and lost executors cost one round.  Rows are counted as they are
+    written."""
+    rounds = Rounds(df.sparkSession)
+    kept, n = rounds.counted(df)
+    step = 0
     while True:
-        df = with_support(with_support(df, "item_id", item_min), "user_id", user_min).checkpoint()
-        step, before, n = step + 1, n, df.count()
+        kept, after = rounds.counted(with_support(with_support(kept, "item_id", item_min), "user_id", user_min), kept)
+        step, before, n = step + 1, n, after
         if n == before or (max_steps and step >= max_steps):
-            return df
+            return kept
 
 
 def restrict(df: DataFrame, items: DataFrame) -> DataFrame:
@@ -59,10 +59,15 @@ def keep_first(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.withColumn("_r", rank).filter("_r = 1").drop("_r")
 
 
+def ranges(df: DataFrame, key: str, parts: int = 64) -> DataFrame:
+    """df as a written table with the number ``_p`` of each row's range of keys."""
+    return Rounds(df.sparkSession).write(df.repartitionByRange(parts, key).withColumn("_p", F.spark_partition_id()))
+
+
 def vocabulary(df: DataFrame, key: str, index: str, parts: int = 64) -> DataFrame:
-    """(index, key): distinct keys numbered in order of their text.  Ranges are numbered apart, then shifted by the sizes of
-    the ranges before, so that no task holds all keys."""
-    keys = df.select(key).distinct().repartitionByRange(parts, key).withColumn("_p", F.spark_partition_id()).persist()
+    """(index, key): distinct keys numbered in order of their text.  Ranges are written, numbered apart, then shifted by the
+    sizes of the ranges before, so that no task holds all keys and every reader sees the same ranges."""
+    keys = ranges(df.select(key).distinct(), key, parts)
     sizes = keys.groupBy("_p").count()
     before = sizes.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     own = F.row_number().over(Window.partitionBy("_p").orderBy(key))

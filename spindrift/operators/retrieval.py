@@ -1,73 +1,153 @@
-"""Masked top-k retrieval from item vectors, and calibrated recall and nDCG."""
+"""Masked top-k retrieval from item vectors or sparse codes, calibrated recall and nDCG, and reports on them."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import Rounds
+
 
 def unit(df: DataFrame, vector: str) -> DataFrame:
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     return df.withColumn(vector, F.transform(vector, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12))))
 
 
-def top_k(holdout: DataFrame, vectors: DataFrame, k: int, most_items: int = 200_000) -> DataFrame:
+def profiles(holdout: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(user_id, profile, source): the sum of the vectors of each user's source items.  Vectors are added up batch by batch
+    where they meet, so that little more than a row for each user is shuffled."""
+
+    def add(table: pa.Table | pa.RecordBatch, users: pa.Array) -> pa.RecordBatch:
+        lists = table.column(1)
+        dim = len(lists[0])
+        flat = lists.combine_chunks().flatten() if isinstance(lists, pa.ChunkedArray) else lists.flatten()
+        names = users.dictionary_encode()
+        names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+        where, matrix = np.asarray(names.indices), np.asarray(flat, np.float64).reshape(-1, dim)
+        order = np.argsort(where, kind="stable")
+        total = np.add.reduceat(matrix[order], np.searchsorted(where[order], np.arange(len(names.dictionary))), axis=0)
+        ends = pa.array(np.arange(len(total) + 1, dtype=np.int32) * dim)
+        return pa.RecordBatch.from_arrays([names.dictionary, pa.ListArray.from_arrays(ends, pa.array(total.ravel()))], ["user_id", "profile"])
+
+    def partial(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield add(batch, batch.column(0))
+
+    def whole(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([add(table, table.column(0))])
+
+    kind = "user_id string, profile array<double>"
+    source = holdout.select("user_id", F.explode("source").alias("item_id"))
+    sums = source.join(vectors.select("item_id", "vector"), "item_id").select("user_id", "vector").mapInArrow(partial, kind)
+    return sums.groupBy("user_id").applyInArrow(whole, kind).join(holdout.select("user_id", "source"), "user_id")
+
+
+def top_k(holdout: DataFrame, vectors: DataFrame, k: int, block_bytes: int = 128 << 20) -> DataFrame:
     """(user_id, rank, item_id, score): scores relu(x E E') of items outside the source, ties by item id.
 
-    Vectors are broadcast in one matrix only up to ``most_items``; beyond, blocks of items are scored one after another by
-    every partition of users, and the blocks' best are merged."""
-    n = vectors.count()
-    block = F.pmod(F.xxhash64("item_id"), F.lit(-(-n // most_items) or 1)).cast("int")
+    Profiles are written once.  Items are broadcast in blocks of about ``block_bytes``, one after another, to where the
+    users' profiles lie; each block leaves k rows a user, and the blocks' best are merged."""
+    rounds = Rounds(holdout.sparkSession)
+    users = rounds.write(profiles(holdout, vectors))
+    vectors = rounds.write(vectors.select("item_id", "vector"))
+    n, dim = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    blocks = -(-n * dim * 8 // block_bytes) or 1
     found = None
-    for b in range(-(-n // most_items) or 1):
-        rows = vectors.filter(block == b).orderBy("item_id").collect()
-        part = _score_block(holdout, [r["item_id"] for r in rows], np.array([r["vector"] for r in rows], np.float64), k, vectors)
+    for b in range(blocks):
+        part = _score_block(users, vectors.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b), k)
         found = part if found is None else found.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id"))
     return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("user_id", "rank", "item_id", "score")
 
 
-def _score_block(holdout: DataFrame, ids: list[str], matrix: np.ndarray, k: int, vectors: DataFrame) -> DataFrame:
-    """Profiles are sums of the source items' vectors, joined by item, so that no worker needs all vectors at once."""
-    source = holdout.select("user_id", F.explode("source").alias("item_id"))
-    pieces = source.join(vectors, "item_id").select("user_id", F.posexplode("vector").alias("d", "x")).groupBy("user_id", "d").agg(F.sum("x").alias("x"))
-    profile = pieces.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("profile"))
-    users = profile.join(holdout.select("user_id", "source"), "user_id")
-    shared = holdout.sparkSession.sparkContext.broadcast((ids, matrix))
+def _score_block(users: DataFrame, block: DataFrame, k: int) -> DataFrame:
+    items = block.orderBy("item_id").toArrow()  # bounded by block_bytes
+    flat = items.column("vector").combine_chunks().flatten().to_numpy()
+    shared = users.sparkSession.sparkContext.broadcast((items.column("item_id").to_pylist(), flat.reshape(items.num_rows, -1 if items.num_rows else 0)))
 
     def run(batches):
         ids, matrix = shared.value
-        place = {i: n for n, i in enumerate(ids)}
+        place, names = {i: n for n, i in enumerate(ids)}, pa.array(ids, pa.string())
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                scores = np.round(np.maximum(np.array(part.column(1).to_pylist(), np.float64) @ matrix.T, 0), 9) if len(ids) else np.zeros((part.num_rows, 0))
+            for at in range(0, batch.num_rows if ids else 0, 256):
+                part = batch.slice(at, 256)
+                mine = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
+                scores = np.round(np.maximum(mine @ matrix.T, 0), 9)
                 for row, seen in enumerate(part.column(2).to_pylist()):
                     scores[row, [place[s] for s in seen if s in place]] = -1
                 order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                out = [(u, ids[c], float(s[c])) for u, o, s in zip(part.column(0).to_pylist(), order, scores, strict=True) for c in o if s[c] >= 0]
-                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["user_id", "item_id", "score"])
+                best = np.take_along_axis(scores, order, axis=1)
+                row, column = np.nonzero(best >= 0)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), names.take(pa.array(order[row, column])), pa.array(best[row, column])], ["user_id", "item_id", "score"])
 
     return users.select("user_id", "profile", "source").mapInArrow(run, "user_id string, item_id string, score double")
 
 
+def decoded(codes: DataFrame, decoder: np.ndarray) -> DataFrame:
+    """(item_id, vector): codes times the decoder's rows.  Scores of codes z under the kernel K = W W' are the scores of the
+    vectors z W, so that sparse codes are ranked in the decoded space by ``top_k(holdout, unit(decoded(codes, W)), k)``."""
+    shared = codes.sparkSession.sparkContext.broadcast(np.asarray(decoder, np.float64))
+
+    def run(batches):
+        w = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                out = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1) @ w
+                ends = pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], ["item_id", "vector"])
+
+    return codes.select("item_id", "vector").mapInArrow(run, "item_id string, vector array<double>")
+
+
+def kernel_top_k(holdout: DataFrame, codes: DataFrame, decoder: np.ndarray, k: int) -> DataFrame:
+    """``top_k`` of sparse codes by the decoder's kernel, each code scaled to length 1 under it."""
+    return top_k(holdout, unit(decoded(codes, decoder), "vector"), k)
+
+
+def _hits(predictions: DataFrame, holdout: DataFrame) -> DataFrame:
+    return predictions.join(holdout.select("user_id", F.explode("target").alias("item_id")), ["user_id", "item_id"])
+
+
+def _ideal(k: int, n: Column) -> Column:
+    return F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), n)), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + F.lit(1)))
+
+
 def metrics(predictions: DataFrame, holdout: DataFrame, ks: tuple[int, ...] = (20, 50, 100)) -> DataFrame:
     """One row: recall@k and ndcg@k averaged over users with targets, and the number of users.  One pass for all k."""
-    truth = holdout.select("user_id", F.explode("target").alias("item_id"))
-    hits = predictions.join(truth, ["user_id", "item_id"]).groupBy("user_id").agg(
+    hits = _hits(predictions, holdout).groupBy("user_id").agg(
         *[F.count(F.when(F.col("rank") <= k, 1)).alias(f"h{k}") for k in ks],
         *[F.sum(F.when(F.col("rank") <= k, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias(f"d{k}") for k in ks],
     )
-    per_user = holdout.filter(F.size("target") > 0).select("user_id", F.size("target").alias("n")).join(hits, "user_id", "left").na.fill(0)
+    per_user = holdout.select("user_id", F.size("target").alias("n")).join(hits, "user_id", "left").na.fill(0)
+    of_users = lambda x: F.coalesce(F.avg(F.when(F.col("n") > 0, x)), F.lit(0.0))
+    means = [of_users(F.col(f"h{k}") / F.least(F.lit(k), F.col("n"))).alias(f"recall_{k}") for k in ks]
+    means += [of_users(F.col(f"d{k}") / _ideal(k, F.greatest("n", F.lit(1)))).alias(f"ndcg_{k}") for k in ks]
+    return per_user.agg(*means, F.count(F.when(F.col("n") > 0, 1)).alias("n_users"), F.count(F.lit(1)).alias("n_eval_rows"))
+
+
+def debug_rows(predictions: DataFrame, holdout: DataFrame, k: int) -> DataFrame:
+    """(user_id, n_true, n_hits, first_hit_rank, hit_ranks, dcg, idcg, ndcg) of each user with targets."""
+    hits = _hits(predictions.filter(F.col("rank") <= k), holdout).groupBy("user_id").agg(F.sort_array(F.collect_list("rank")).alias("hit_ranks"))
+    out = holdout.filter(F.size("target") > 0).select("user_id", F.size("target").cast("long").alias("n_true")).join(hits, "user_id", "left")
+    out = out.withColumn("hit_ranks", F.coalesce("hit_ranks", F.array().cast("array<bigint>")))
+    dcg = F.aggregate("hit_ranks", F.lit(0.0), lambda s, r: s + 1 / F.log2(r + F.lit(1)))
+    out = out.withColumn("dcg", dcg).withColumn("idcg", _ideal(k, F.col("n_true")))
+    return out.select("user_id", "n_true", F.size("hit_ranks").cast("long").alias("n_hits"), F.get("hit_ranks", F.lit(0)).alias("first_hit_rank"), "hit_ranks", "dcg", "idcg", (F.col("dcg") / F.col("idcg")).alias("ndcg"))
+
+
+def percent_drop(base: Column, new: Column) -> Column:
+    """How much is lost against base, in per cent; 0 where base is 0."""
+    return F.when(base == 0, 0.0).otherwise((base - new) / base * 100)
 
-    def ideal(k: int):
-        return F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.col("n"))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + F.lit(1)))
 
-    means = [F.coalesce(F.avg(F.col(f"h{k}") / F.least(F.lit(k), F.col("n"))), F.lit(0.0)).alias(f"recall_{k}") for k in ks]
-    means += [F.coalesce(F.avg(F.col(f"d{k}") / ideal(k)), F.lit(0.0)).alias(f"ndcg_{k}") for k in ks]
-    return per_user.agg(*means, F.count(F.lit(1)).alias("n_users"))
+def size_report(vectors: DataFrame, k: int) -> DataFrame:
+    """(form, n_bytes, mb): what the vectors take as dense rows, and as k columns and values each, of four bytes."""
+    n = vectors.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dim"))
+    forms = F.explode(F.array(F.struct(F.lit("dense").alias("form"), (F.col("n") * F.col("dim") * 4).alias("n_bytes")), F.struct(F.lit("sparse").alias("form"), (F.col("n") * F.least(F.lit(k), F.col("dim")) * 8).alias("n_bytes"))))
+    return n.select(forms.alias("f")).select("f.form", F.col("f.n_bytes").cast("long").alias("n_bytes"), (F.col("f.n_bytes") / F.lit(float(1 << 20))).alias("mb"))
 
 
 def sparsify(vectors: DataFrame, k: int) -> DataFrame:

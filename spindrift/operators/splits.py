@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import prepare
+
 
 def draw(seed: int | str, *ids: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[i.cast("string") for i in ids]))
@@ -54,7 +56,17 @@ def leave_last_out(df: DataFrame, min_source: int = 1, min_target: int = 1) -> D
 def temporal_cutoff(df: DataFrame, test_frac: float) -> DataFrame:
     if not 0 < test_frac < 1:
         raise ValueError("test_frac must lie between 0 and 1")
-    return df.agg(F.percentile("timestamp", F.lit(1 - test_frac)).alias("cutoff"))
+    # Exact, and without all timestamps in one task: ranges of counted timestamps, and ranks inside the ones that matter.
+    cells = prepare.ranges(df.filter(F.col("timestamp").isNotNull()).groupBy("timestamp").count(), "timestamp")
+    sizes = cells.groupBy("_p").agg(F.sum("count").alias("size"))  # a row for each range
+    before = F.coalesce(F.sum("size").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = (F.sum("size").over(Window.partitionBy()) - 1) * F.lit(1 - test_frac)
+    sizes = sizes.select("_p", "size", before.alias("first"), at.alias("at")).filter("first <= ceil(at) and floor(at) < first + size")
+    here = cells.join(F.broadcast(sizes), "_p")
+    end = F.col("first") + F.sum("count").over(Window.partitionBy("_p").orderBy("timestamp"))
+    here = here.withColumn("end", end).filter("end - count <= ceil(at) and floor(at) < end")
+    low, high, at = F.min("timestamp"), F.max("timestamp"), F.first("at")
+    return here.agg(F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high).alias("cutoff"))
 
 
 def temporal_holdout(df: DataFrame, test_frac: float, min_source: int = 1, min_target: int = 1) -> DataFrame:

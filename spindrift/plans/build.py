@@ -174,5 +174,5 @@ def evaluate(spark: SparkSession, path: str, stages: Sequence[str] | None = None
     for s in found:
         unit = retrieval.unit(at.table(s, "vectors").select("item_id", "vector"), "vector")
         rows.append({"stage": s} | _evaluate(at.table("data", "test"), unit, ks))
-    columns = ["stage"] + [f"{m}_{k}" for m in ("recall", "ndcg") for k in ks] + ["n_users"]
-    return spark.createDataFrame([tuple(r[c] for c in columns) for r in rows], ", ".join(f"{c} {'string' if c == 'stage' else 'long' if c == 'n_users' else 'double'}" for c in columns))
+    columns = ["stage"] + [f"{m}_{k}" for m in ("recall", "ndcg") for k in ks] + ["n_users", "n_eval_rows"]
+    return spark.createDataFrame([tuple(r[c] for c in columns) for r in rows], ", ".join(f"{c} {'string' if c == 'stage' else 'long' if c.startswith('n_') else 'double'}" for c in columns))

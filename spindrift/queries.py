@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import models, prepare, retrieval, splits, tags
+from .operators.rounds import Rounds
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -255,20 +257,97 @@ def union_sources(spark, sf_dir):
     return interactions(spark, sf_dir).unionByName(prepare.canonical(events, "user_id", "event_type", "value", "at"))
 
 
-@query()
-def retrieval_top_k(spark, sf_dir):
+_UNIT = """e AS (SELECT CAST(vec_id AS VARCHAR) AS item_id, list_transform(embedding, lambda a: CAST(a AS DOUBLE)) AS v FROM embeddings),
+ed AS (SELECT item_id, unnest(range(1, len(v) + 1)) AS d, unnest(v) / greatest(sqrt(list_sum(list_transform(v, lambda a: a * a))), 1e-12) AS x FROM e)"""
+_HELD = _LIKED + ", " + _UNIT + ", y AS (SELECT * FROM x WHERE item_id IN (SELECT item_id FROM e)), " + _TEMPORAL.replace("FROM x", "FROM y")
+_RANKED = """{name} AS (
+    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank, item_id, score FROM (
+        SELECT u.user_id, i.item_id, round(greatest(sum(u.x * i.x), 0), 9) AS score
+        FROM (SELECT user_id, d, sum(x) AS x FROM (SELECT user_id, unnest(source) AS item_id FROM h) JOIN {vectors} USING (item_id) GROUP BY user_id, d) u
+        JOIN {vectors} i ON u.d = i.d GROUP BY u.user_id, i.item_id)
+    WHERE (user_id, item_id) NOT IN (SELECT user_id, unnest(source) FROM h))"""
+_TOP = _HELD + ", " + _RANKED.format(name="t", vectors="ed")
+_GAIN = "list_sum(list_transform(range(1, least({k}, n) + 1), lambda i: 1 / log2(i + 1)))"
+_USERS = """{name} AS (SELECT h.user_id, len(any_value(target)) AS n, {columns} FROM h LEFT JOIN {ranked} r ON r.user_id = h.user_id AND list_contains(target, r.item_id) GROUP BY h.user_id)"""
+_COUNTED = ", ".join(f"count(rank) FILTER (rank <= {k}) AS h{k}, coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= {k}), 0) AS d{k}" for k in (20, 50, 100))
+_MEANS = ", ".join([f"round(avg(h{k} / least({k}, n)), 9) AS recall_{k}, round(avg(d{k} / {_GAIN.format(k=k)}), 9) AS ndcg_{k}" for k in (20, 50, 100)])
+_KEPT = "k AS (SELECT item_id, d, x, row_number() OVER (PARTITION BY item_id ORDER BY abs(x) DESC, d) AS r FROM ed), kd AS (SELECT item_id, d, x FROM k WHERE r <= 8)"
+#: The decoder of the kernel's query: 64 rows of 16 numbers.
+_DECODER = "((7 * i + 3 * j) % 11 - 5) / 10.0"
+
+
+def _held_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A temporal holdout of items that have vectors, written once, and the vectors."""
     vectors = _vectors(spark, sf_dir)
-    return retrieval.top_k(splits.temporal_holdout(prepare.restrict(liked(spark, sf_dir), vectors), 0.1), vectors, 20)
+    holdout = splits.temporal_holdout(prepare.restrict(liked(spark, sf_dir), vectors), 0.1)
+    return Rounds(spark).write(holdout), vectors
 
 
-@query()
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Sums of doubles depend on their order in the last digits."""
+    return df.select(*[F.round(c, 9).alias(c) if c in columns else c for c in df.columns])
+
+
+@query(f"WITH {_TOP} SELECT user_id, rank, item_id, score FROM t WHERE rank <= 20")
+def retrieval_top_k(spark, sf_dir):
+    holdout, vectors = _held_out(spark, sf_dir)
+    return retrieval.top_k(holdout, vectors, 20)
+
+
+@query(f"WITH {_TOP}, {_USERS.format(name='m', columns=_COUNTED, ranked='t')} SELECT {_MEANS}, count(*) AS n_users, count(*) AS n_eval_rows FROM m")
 def retrieval_metrics(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
-@query()
+@query(f"WITH {_TOP}, {_USERS.format(name='m', columns='count(rank) AS n_hits, min(rank) AS first_hit_rank, list_sort(list(rank) FILTER (rank IS NOT NULL)) AS ranks', ranked='(SELECT * FROM t WHERE rank <= 100)')}, g AS (SELECT *, coalesce(list_sum(list_transform(ranks, lambda i: 1 / log2(i + 1))), 0) AS dcg, {_GAIN.format(k=100)} AS idcg FROM m) SELECT user_id, n AS n_true, n_hits, first_hit_rank, coalesce(array_to_string(ranks, ' '), '') AS hit_ranks, round(dcg, 9) AS dcg, round(idcg, 9) AS idcg, round(dcg / idcg, 9) AS ndcg FROM g")
+def debug_rows(spark, sf_dir):
+    holdout, vectors = _held_out(spark, sf_dir)
+    return _rounded(joined(retrieval.debug_rows(retrieval.top_k(holdout, vectors, 100), holdout, 100), "hit_ranks"), "dcg", "idcg", "ndcg")
+
+
+@query(f"WITH {_UNIT} SELECT item_id, d - 1 AS d, round(x, 9) AS x FROM ed")
+def l2_normalize(spark, sf_dir):
+    return _rounded(_vectors(spark, sf_dir).select("item_id", F.posexplode("vector").alias("d", "x")).withColumn("d", F.col("d").cast("long")), "x")
+
+
+@query(f"WITH {_UNIT}, {_KEPT} SELECT item_id, d - 1 AS d, round(x, 9) AS x FROM kd")
 def sparse_embeddings(spark, sf_dir):
-    return retrieval.sparsify(_vectors(spark, sf_dir), 8)
+    cells = retrieval.sparsify(_vectors(spark, sf_dir), 8).select("item_id", F.explode(F.arrays_zip("cols", "vals")).alias("c"))
+    return _rounded(cells.select("item_id", F.col("c.cols").cast("long").alias("d"), F.col("c.vals").alias("x")), "x")
+
+
+def _codes(spark, sf_dir) -> DataFrame:
+    """Vectors with all but their eight largest entries set to 0."""
+    dense = lambda r: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda d: F.coalesce(F.get("vals", (F.array_position("cols", d) - 1).cast("int")), F.lit(0.0)))
+    codes = retrieval.sparsify(_vectors(spark, sf_dir), 8)
+    return codes.select("item_id", dense(codes).alias("vector"))
+
+
+@query(f"WITH {_HELD}, {_KEPT}, w AS (SELECT i, j, {_DECODER} AS w FROM range(64) a(i), range(16) b(j)), z AS (SELECT item_id, j AS d, sum(x * w) AS x FROM kd JOIN w ON w.i = kd.d - 1 GROUP BY item_id, j), zn AS (SELECT item_id, d, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY item_id)), 1e-12) AS x FROM z), {_RANKED.format(name='t', vectors='zn')} SELECT user_id, rank, item_id, score FROM t WHERE rank <= 20")
+def kernel_topk(spark, sf_dir):
+    holdout, _ = _held_out(spark, sf_dir)
+    decoder = np.fromfunction(lambda i, j: ((7 * i + 3 * j) % 11 - 5) / 10, (64, 16))
+    return retrieval.kernel_top_k(holdout, _codes(spark, sf_dir), decoder, 20)
+
+
+@query(f"WITH {_HELD}, {_KEPT}, {_RANKED.format(name='t', vectors='ed')}, {_RANKED.format(name='t8', vectors='kd')}, {_USERS.format(name='m', columns=_COUNTED, ranked='t')}, {_USERS.format(name='m8', columns=_COUNTED, ranked='t8')}, a AS (UNPIVOT (SELECT {_MEANS} FROM m) ON COLUMNS(*) INTO NAME metric VALUE base), b AS (UNPIVOT (SELECT {_MEANS} FROM m8) ON COLUMNS(*) INTO NAME metric VALUE sparse) SELECT metric, base, sparse, round(CASE WHEN base = 0 THEN 0 ELSE (base - sparse) / base * 100 END, 6) AS percent_drop FROM a JOIN b USING (metric)")
+def percent_drop(spark, sf_dir):
+    """What is lost of each metric if vectors keep eight entries."""
+    holdout, vectors = _held_out(spark, sf_dir)
+    found = [retrieval.metrics(retrieval.top_k(holdout, v, 100), holdout) for v in (vectors, _codes(spark, sf_dir))]
+    names = [c for c in found[0].columns if not c.startswith("n_")]
+    base, sparse = (m.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.round(c, 9).alias("x")) for c in names])).alias("s")).select("s.metric", F.col("s.x").alias(n)) for m, n in zip(found, ("base", "sparse"), strict=True))
+    return base.join(sparse, "metric").withColumn("percent_drop", F.round(retrieval.percent_drop(F.col("base"), F.col("sparse")), 6))
+
+
+@query("SELECT form, count(*) * f AS n_bytes, count(*) * f / 1048576.0 AS mb FROM embeddings, (VALUES ('dense', 256), ('sparse', 64)) v(form, f) GROUP BY form, f")
+def size_report(spark, sf_dir):
+    return retrieval.size_report(_vectors(spark, sf_dir), 8)
+
+
+@query(f"WITH {_LIKED}, {_COLD}, s2 AS (SELECT item_id FROM s WHERE split = 'test') SELECT item_id FROM s2")
+def cold_target_items(spark, sf_dir):
+    return item_split(spark, sf_dir).filter("split = 'test'").select("item_id")
 
 
 @query()
@@ -284,6 +363,6 @@ def autoencoder_codes(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Temporal holdout, top 100 by item vectors, recall and nDCG at 20, 50 and 100."""
-    vectors = _vectors(spark, sf_dir)
-    holdout = splits.temporal_holdout(prepare.restrict(liked(spark, sf_dir), vectors), 0.1)
-    return retrieval.metrics(retrieval.top_k(holdout, vectors, 100), holdout)
+    holdout, vectors = _held_out(spark, sf_dir)
+    out = retrieval.metrics(retrieval.top_k(holdout, vectors, 100), holdout)
+    return _rounded(out, *[c for c in out.columns if not c.startswith("n_")])

@@ -2,8 +2,95 @@
 
 from pyspark.sql import functions as F
 
+import numpy as np
+import pytest
+
 from spindrift.functions import text as T
-from spindrift.operators import splits
+from spindrift.operators import prepare, retrieval, splits, tags
+
+T_ROWS = [("u1", "a", 1), ("u1", "b", 2), ("u1", "c", 3), ("u2", "a", 2), ("u2", "d", 4), ("u3", "e", 5)]
+
+
+@pytest.fixture
+def rows(spark):
+    return spark.createDataFrame([(u, i, 1.0, float(t)) for u, i, t in T_ROWS], "user_id string, item_id string, value double, timestamp double")
+
+
+def held(df):
+    return {r.user_id: (r.source, r.target) for r in df.collect()}
+
+
+def test_leave_last_out(rows):
+    last = splits.leave_last_out(rows)
+    assert held(last) == {"u1": (["a", "b"], ["c"]), "u2": (["a"], ["d"])}
+    train = splits.train_rows(rows, last)
+    assert sorted((r.user_id, r.item_id) for r in train.collect()) == [("u1", "a"), ("u1", "b"), ("u2", "a"), ("u3", "e")]
+
+
+def test_temporal(rows):
+    assert splits.temporal_cutoff(rows, 0.5).first().cutoff == 2.5
+    later = splits.temporal_holdout(rows, 0.5)
+    assert held(later) == {"u1": (["a", "b"], ["c"]), "u2": (["a"], ["d"])}
+    assert {r.item_id for r in splits.train_rows(rows, later).collect()} == {"a", "b", "e"}
+
+
+@pytest.mark.parametrize("share", [0.01, 0.1, 0.37, 0.5, 0.99])
+def test_cutoff_equals_percentile(spark, share):
+    df = spark.range(500).select(F.pmod(F.xxhash64("id"), F.lit(90)).cast("double").alias("timestamp")).unionByName(spark.sql("select cast(null as double) as timestamp"))
+    expected = df.agg(F.percentile("timestamp", F.lit(1 - share)).alias("c")).first().c
+    assert splits.temporal_cutoff(df, share).first().cutoff == pytest.approx(expected)
+    assert [r.cutoff for r in splits.temporal_cutoff(df.limit(0), share).collect()] == [None]
+
+
+def test_item_cold(spark, rows):
+    parts = spark.createDataFrame([("a", "train"), ("b", "train"), ("c", "test"), ("d", "test")], "item_id string, split string")
+    assert held(splits.item_cold_holdout(rows, parts)) == {"u1": (["a", "b"], ["c"]), "u2": (["a"], ["d"])}
+
+
+def test_pruning_ends_at_nothing(spark):
+    df = spark.createDataFrame([("u1", "a"), ("u1", "b"), ("u2", "a"), ("u2", "c"), ("u3", "b")], "user_id string, item_id string")
+    assert prepare.kcore(df, 2, 2, 1).count() == 2 and prepare.kcore(df, 2, 2).count() == 0
+
+
+def test_top_k_and_metrics(spark):
+    vectors = spark.createDataFrame([("0", [1.0, 0.0]), ("1", [0.0, 1.0]), ("2", [0.6, 0.8])], "item_id string, vector array<double>")
+    holdout = spark.createDataFrame([("u", ["0"], ["1"]), ("v", ["0"], [])], "user_id string, source array<string>, target array<string>")
+    for size in (1 << 27, 16):
+        top = retrieval.top_k(holdout, vectors, 2, size)
+        assert sorted((r.user_id, r["rank"], r.item_id) for r in top.collect()) == [("u", 1, "2"), ("u", 2, "1"), ("v", 1, "2"), ("v", 2, "1")]
+    row = retrieval.metrics(top, holdout, (1, 2)).first()
+    assert (row.recall_1, row.recall_2, row.n_users, row.n_eval_rows) == (0, 1, 1, 2) and row.ndcg_2 == pytest.approx(1 / np.log2(3))
+    given = spark.createDataFrame([("u", 1, "3", 0.0), ("u", 2, "0", 0.0), ("u", 3, "2", 0.0)], "user_id string, rank long, item_id string, score double")
+    truth = spark.createDataFrame([("u", ["9"], ["0", "5"])], "user_id string, source array<string>, target array<string>")
+    row = retrieval.metrics(given, truth, (3,)).first()
+    assert row.recall_3 == 0.5 and row.ndcg_3 == pytest.approx(0.386853, abs=1e-6)
+    (row,) = retrieval.debug_rows(given, truth, 3).collect()
+    assert (row.n_true, row.n_hits, row.first_hit_rank, row.hit_ranks) == (2, 1, 2, [2]) and row.ndcg == pytest.approx(0.386853, abs=1e-6)
+
+
+def test_kernel_scores_equal_plain_formula(spark):
+    rng = np.random.default_rng(5)
+    z, w = rng.normal(size=(12, 6)) * (rng.random((12, 6)) < 0.5), rng.normal(size=(6, 4))
+    codes = spark.createDataFrame([(f"{i:02d}", r.tolist()) for i, r in enumerate(z)], "item_id string, vector array<double>")
+    holdout = spark.createDataFrame([("u", ["01", "05"], ["02"])], "user_id string, source array<string>, target array<string>")
+    k = w @ w.T
+    scaled = z / np.sqrt(np.maximum((z @ k * z).sum(1), 1e-12))[:, None]
+    scores = np.maximum((scaled[1] + scaled[5]) @ k @ scaled.T, 0)
+    for r in retrieval.kernel_top_k(holdout, codes, w, 10).collect():
+        assert r.item_id not in ("01", "05") and r.score == pytest.approx(scores[int(r.item_id)], abs=1e-8)
+
+
+def test_drops_and_sizes(spark):
+    df = spark.createDataFrame([(0.5, 0.4), (0.0, 0.4)], "a double, b double")
+    assert [round(r[0], 9) for r in df.select(retrieval.percent_drop(F.col("a"), F.col("b"))).collect()] == [20.0, 0.0]
+    vectors = spark.createDataFrame([("a", [1.0, 2.0, 3.0])] * 4, "item_id string, vector array<double>")
+    assert {r.form: r.n_bytes for r in retrieval.size_report(vectors, 2).collect()} == {"dense": 48, "sparse": 64}
+
+
+def test_sparse_matrix_adds_cells(spark):
+    df = spark.createDataFrame([("u1", "a", 1.0), ("u1", "a", 1.0)], "user_id string, item_id string, value double")
+    users, items = prepare.vocabulary(df, "user_id", "user_idx"), prepare.vocabulary(df, "item_id", "item_idx")
+    assert [tuple(r) for r in prepare.sparse_matrix(df, users, items).collect()] == [(0, 0, 2.0)]
 
 
 def test_history_holdout(spark):
