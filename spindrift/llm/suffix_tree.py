@@ -15,8 +15,9 @@ up to ``depth`` words or, if it is unset, until no longer one can be kept: the g
 than what its own and its suffixes' predictions leave, the sum of -log10 of the best of them.
 
 How it runs (see ``packed.py``): words are hashed once, into blocks of texts.  A first round counts words and pairs.  A
-second gathers what all occurrences say about contexts of one word, and counts those triples whose pairs were seen often
-enough; a third does the same for contexts of two words and n-grams of four, and so on.  The last pass scores.
+second gathers what all occurrences say about contexts of one word, and counts those n-grams of three and four words whose
+pairs were all seen often enough; a third does the same for contexts of two and three words and n-grams of five and six, and
+so on.  The last pass scores.
 
 Null texts are empty: one end.  Rows with a null key aren't learnt from, as ``train`` is null for them.  Repeated rows are
 scored and learnt from as often as they come.  Extra columns are ignored; an empty table gives an empty result.
@@ -66,15 +67,16 @@ class Walk:
         self.size, self.learnt = size, block.extra.astype(bool)[self.doc]
         self.whole, self.hashed, self.counts, self.places, self.told = None, 1, [], [], []
 
-    def wanted(self) -> tuple[np.ndarray, np.ndarray]:
-        """The next level's distinct n-grams to ask for, and how often training texts of the block have each: all words and
+    def wanted(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct n-grams of level n to ask for, and how often training texts of the block have each: all words and
         pairs, and those longer n-grams that can have been seen twice and whose context can be kept."""
-        n = len(self.counts) + 1
         if n == 1:
             return self.vocabulary, np.bincount(self.tokens, self.learnt, len(self.vocabulary)).astype(np.uint32)
         at = np.flatnonzero(self.place >= n - 1)
-        if n > 2:
-            at = at[(self.counts[-1][at - 1] >= self.least) & (self.counts[-1][at] >= 2)]
+        if n > 2:  # levels are asked for two at a time: what was known then is the level before the first of the two
+            known = self.counts[n - 2 - (n % 2 == 0)]
+            for k in range(1 + (n % 2 == 0), -1, -1):
+                at = at[known[at - k] >= (self.least if k else 2)]
         if self.hashed < n:  # in place: what later levels read was hashed at every level before
             if n == 2:
                 self.whole = self.vocabulary[self.tokens]
@@ -87,7 +89,7 @@ class Walk:
     def hear(self, answers: pa.Table) -> None:
         """Takes the answers to what ``wanted`` gives next."""
         n = len(self.counts) + 1
-        keys, _ = self.wanted()
+        keys, _ = self.wanted(n)
         values = answered(n, keys, self.buckets, level_of(answers, n))
         there = values > 0
         keys, values = keys[there], values[there]
@@ -120,9 +122,8 @@ def _ask(buckets: int):
         for batch in batches:
             for block in blocks_of(batch):
                 walk = Walk(block, buckets, 0)
-                rows = dealt(1, block.number, buckets, *walk.wanted())
-                walk.counts.append(None)
-                yield from table_of(ASK, rows + dealt(2, block.number, buckets, *walk.wanted())).to_batches()
+                rows = dealt(1, block.number, buckets, *walk.wanted(1))
+                yield from table_of(ASK, rows + dealt(2, block.number, buckets, *walk.wanted(2))).to_batches()
 
     return run
 
@@ -143,34 +144,36 @@ def _evidence(walk: Walk, n: int, z: float, prior: float) -> list[np.ndarray]:
     return [np.bincount(walk.places[n - 1][at - 1], x, len(walk.told[n - 1][0])) for x in (~twice, gain, bound)]
 
 
-def _say(step: int, last: bool, bounds: bool, buckets: int, z: float, least: int, prior: float):
-    """Evidence on contexts of ``step`` words and, but in the last step, requests for the n-grams two tokens longer."""
+def _say(steps: range, ask: range, heard: int, bounds: bool, buckets: int, z: float, least: int, prior: float):
+    """Evidence on contexts of ``steps`` words, and requests for n-grams of ``ask`` tokens, when levels up to ``heard`` are
+    answered."""
     kind = SAID_BOUNDS if bounds else SAID
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         release()
         if not docs.num_rows:
             return table_of(kind, [])
-        block = next(blocks_of(docs))
+        block, rows = next(blocks_of(docs)), []
         walk = Walk(block, buckets, least)
-        for _ in range(step + 1):
+        for _ in range(heard):
             walk.hear(answers)
-        there = walk.contexts(step)
-        once, *other = (x[there] for x in _evidence(walk, step, z, prior))
-        rows = dealt(step, block.number, buckets, walk.told[step - 1][0][there], once.astype(np.uint32), *(x.astype(np.float32) for x in other[: 1 + bounds]))
-        if not last:
-            rows += [(*row, None, *[None] * bounds) for row in dealt(step + 2, block.number, buckets, *walk.wanted())]
+        for n in steps:
+            there = walk.contexts(n)
+            once, *other = (x[there] for x in _evidence(walk, n, z, prior))
+            rows += dealt(n, block.number, buckets, walk.told[n - 1][0][there], once.astype(np.uint32), *(x.astype(np.float32) for x in other[: 1 + bounds]))
+        for n in ask:
+            rows += [(*row, None, *[None] * bounds) for row in dealt(n, block.number, buckets, *walk.wanted(n))]
         return table_of(kind, rows)
 
     return run
 
 
-def _answer(step: int, least_gain: float, prior: float):
-    """Decides on contexts of ``step`` words, answers requests; decisions have levels above KEPT."""
+def _answer(steps: range, least_gain: float, prior: float):
+    """Decides on contexts of ``steps`` words, answers requests; decisions have levels above KEPT."""
 
     def run(table: pa.Table) -> pa.Table:
         release()
-        if table["level"][0].as_py() == step:
+        if table["level"][0].as_py() in steps:
             return _keep(table, least_gain, prior)
         return tell(table).select(["level", "bucket", "block", "told", "counts"])
 
@@ -248,14 +251,17 @@ def score_texts(df: DataFrame, key: str, text: str, train: Column, least: int =
     told = scratch.write(docs.mapInArrow(_ask(buckets), ASK).groupBy("level", "bucket").applyInArrow(tell, TOLD))
     n, v = told.agg(F.coalesce(F.sum("n_total"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0))).first()
     z = n + 0.5 * (v + 1)
-    answers, step, more = told.drop("n_distinct", "n_total"), 0, depth != 0
+    answers, step, heard = told.drop("n_distinct", "n_total"), 0, 2
+    more = depth != 0
     while more:
-        step += 1
+        steps = range(step + 1, heard if depth is None else min(heard, depth + 1))
+        ask = range(heard + 1, heard + 3 if depth is None else min(heard + 2, depth + 1) + 1)
         counted = answers.filter(F.col("level") < KEPT).groupBy("block")
-        said = docs.groupBy("block").cogroup(counted).applyInArrow(_say(step, step == depth, depth is None, buckets, z, least, prior), SAID if depth else SAID_BOUNDS)
-        new = scratch.write(said.groupBy("level", "bucket").applyInArrow(_answer(step, gain, prior), ANSWER))
+        said = docs.groupBy("block").cogroup(counted).applyInArrow(_say(steps, ask, heard, depth is None, buckets, z, least, prior), SAID if depth else SAID_BOUNDS)
+        new = scratch.write(said.groupBy("level", "bucket").applyInArrow(_answer(steps, gain, prior), ANSWER))
         answers = answers.unionByName(new.filter("block >= 0"))
-        more = step < depth if depth else not new.filter("block < 0").isEmpty()
+        step, heard = steps[-1], ask[-1] if ask else heard
+        more = step < depth if depth else not new.filter((F.col("block") < 0) & (F.col("level") == KEPT + step)).isEmpty()
 
     schema = f"_key {kind.simpleString()}, _train boolean, n_tokens long, n_known long, base_score double, score double"
     out = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(step, buckets, z, least, prior, to_arrow_type(kind)), schema)
