@@ -25,3 +25,18 @@ def test_stages(spark):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     out = {r.doc_id: r.ids for r in P.run(spark, SF).collect()}
     assert out == {k: library.encode(r.text or "", add_special_tokens=False).ids for k, r in seen[3][2].items()}
+
+
+def test_stages_on_odd_rows(spark, texts):
+    """Nulls, empty and repeated rows, ties and extra columns pass each stage; an empty table stays empty."""
+    rows = [(r.doc_id, r.text, None, None, None, "x", 1.0) for r in texts.collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, removed string, score double")
+    kept = {}
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, SF)
+        assert name == "bpe_encoding" or out.columns == list(P.COLUMNS)
+        kept[name] = sorted(r.doc_id or 0 for r in out.collect())
+        assert stage(spark, docs.limit(0), SF).collect() == [], name
+    ids = sorted(k or 0 for k, *_ in rows)
+    assert kept["toxicity"] == kept["substring_dedup"] == kept["benchmark_decontamination"] == kept["bpe_encoding"] == ids
+    assert kept["ngram_jaccard_join"] == [k for k in ids if k != 5]
