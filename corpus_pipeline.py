@@ -2,6 +2,10 @@
 
 A stage takes (spark, docs, sf_dir), works on all rows that the stage before kept and returns the columns of documents; the
 last one returns the encoded corpus.  Stages hand over Parquet tables in the shared folder.
+
+Null and empty texts are judged as empty and stay through all stages.  Rows with null keys are judged like others, but no stage
+that drops by key drops them.  Repeated rows of one key go or stay together.  Columns other than those of documents are left
+behind.  An empty table stays empty.
 """
 
 from __future__ import annotations
