@@ -25,8 +25,11 @@ def parser() -> argparse.ArgumentParser:
         return p
 
     build = command("build", data=str, ratings=str, metadata=str, split_mode=str, seed=int, val_users=int, test_users=int, user_min_support=int, item_min_support=int, min_value=float, set_values_to=float, eval_fold=int,
-                    val_items=int, test_items=int, item_val_frac=float, item_test_frac=float, temporal_test_frac=float, min_source_items=int, min_target_items=int, text_fields=str, min_text_words=int)
+                    val_items=int, test_items=int, item_val_frac=float, item_test_frac=float, temporal_test_frac=float, min_source_items=int, min_target_items=int, text_fields=str, min_text_words=int,
+                    category=str, annotation_source=str, annotation_min_count=int)
     build.add_argument("--dataset", required=True, choices=sorted(datasets.SPECS))
+    build.add_argument("--history", nargs=3, metavar=("TRAIN", "VALID", "TEST"), help="parts of a temporal split whose rows hold their past")
+    build.add_argument("--images", action="store_const", const=True, help="keep image addresses")
     elsa = dict(dim=int, epochs=int, batch=int, lr=float, ema=float, ema_every=int, clip=float, weight_decay=float, seed=int)
     command("train-elsa", **elsa)
     command("train-compressed-elsa", **elsa, k_target=int, stages=int, ste_alpha=float, score=str)
@@ -42,15 +45,22 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     command, path = given.pop("command"), given.pop("checkpoint")
     spark = spark or SparkSession.builder.appName(f"spindrift {command}").getOrCreate()
     if command == "build":
-        data, ratings, metadata = (given.pop(k, None) for k in ("data", "ratings", "metadata"))
-        options = plans.BuildOptions(**given)
-        if options.dataset == "amazon2023":
-            if not (ratings and metadata):
-                raise SystemExit("amazon2023 needs --ratings and --metadata")
-            rows, items = datasets.read_amazon(spark, ratings, metadata)
+        data, ratings, metadata, category, history, images = (given.pop(k, None) for k in ("data", "ratings", "metadata", "category", "history", "images"))
+        options = plans.BuildOptions(**given, labelled_text=given["dataset"] == "amazon2023")
+        data, past = data or "data", None
+        if options.dataset != "amazon2023":
+            rows, items = READERS[options.dataset](spark, data)
+        elif ratings and metadata:
+            rows, items = datasets.read_amazon(spark, ratings, metadata, bool(images), options.text_fields)
+        elif category:
+            rows, items = datasets.read_amazon_category(spark, data, category, bool(images), options.text_fields)
         else:
-            rows, items = READERS[options.dataset](spark, data or "data")
-        plans.build(spark, path, rows, options, items)
+            raise SystemExit("amazon2023 needs --category, or --ratings and --metadata")
+        if options.dataset == "amazon2023" and options.split_mode == "temporal":
+            if not (history or category):
+                raise SystemExit("a temporal split of amazon2023 needs --category or --history")
+            past = datasets.read_amazon_history(spark, *history) if history else datasets.read_amazon_category_history(spark, data, category)
+        plans.build(spark, path, rows, options, items, history=past, annotation_root=data)
     elif command in ("train-elsa", "train-compressed-elsa"):
         if command == "train-compressed-elsa":
             given.setdefault("k_target", 128)

@@ -55,7 +55,8 @@ def labelled_entity_text(df: DataFrame, fields: Sequence[str]) -> Column:
     parts = []
     for f in (f for f in fields if f in df.columns):
         kind, within = df.schema[f].dataType.typeName(), "\n" if f in ("features", "description", "details") else " > "
-        value = list_text(F.col(f), within) if kind == "array" else map_text(F.col(f), within) if kind == "map" else clean(F.col(f))
+        plain = details_text(F.col(f)) if (f, kind) == ("details", "string") else clean(F.col(f))
+        value = list_text(F.col(f), within) if kind == "array" else map_text(F.col(f), within) if kind == "map" else plain
         parts.append(F.when(value != "", F.concat(F.lit(f.replace("_", " ").title() + ": "), value)))
     return F.concat_ws("\n\n", *parts)
 

@@ -85,9 +85,10 @@ def history_holdout(held_out: DataFrame, train: DataFrame, min_source: int = 1)
     """(row_id, user_id, source, target) from rows (row_id, user_id, item_id, history) that come with their own past.
 
     A row counts if its item is no train item; its source is what the white-space separated history has of train items, each
-    once and sorted.  A user may own several rows."""
+    once and sorted.  The history may be a list too.  A user may own several rows."""
     items = train.select("item_id").distinct()
     rows = held_out.join(items, "item_id", "left_anti")
-    past = rows.select("row_id", F.explode(F.split("history", r"\s+")).alias("item_id")).join(items, "item_id", "left_semi")
+    given = F.col("history") if held_out.schema["history"].dataType.typeName() == "array" else F.split("history", r"\s+")
+    past = rows.select("row_id", F.explode(given).alias("item_id")).join(items, "item_id", "left_semi")
     source = past.groupBy("row_id").agg(F.sort_array(F.collect_set("item_id")).alias("source")).filter(F.size("source") >= min_source)
     return rows.join(source, "row_id").select("row_id", "user_id", "source", F.array("item_id").alias("target"))

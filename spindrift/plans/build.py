@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import models, prepare, retrieval, splits, text_vectors
+from ..operators import models, prepare, retrieval, splits, tags, text_vectors
+from ..sources import datasets
 from ..sources.datasets import SPECS
 from ..sources.store import Checkpoint, read, update
 
 SPLIT_MODES = ("user_split", "item_split", "leave_last_out", "temporal")
+ANNOTATIONS = ("genres", "ml20m_tags", "goodbooks_tags", "none")
 
 
 @dataclass(frozen=True)
@@ -40,6 +42,8 @@ class BuildOptions:
     text_fields: Sequence[str] = field(default=("title", "features", "description", "categories"))
     min_text_words: int = 0
     labelled_text: bool = False
+    annotation_source: str = "genres"
+    annotation_min_count: int = 100
 
     def __post_init__(self):
         if self.dataset not in SPECS:
@@ -48,6 +52,12 @@ class BuildOptions:
             raise ValueError(f"split_mode is one of {SPLIT_MODES}")
         if self.eval_fold not in (0, 1):
             raise ValueError("eval_fold is 0 (five draws) or 1 (one draw)")
+        if self.annotation_source not in ANNOTATIONS:
+            raise ValueError(f"annotation_source is one of {ANNOTATIONS}")
+        if self.annotation_source == "goodbooks_tags" and self.dataset != "goodbooks":
+            raise ValueError("goodbooks_tags belong to the data set goodbooks")
+        if self.annotation_min_count < 1:
+            raise ValueError("annotation_min_count is 1 or more")
         spec = SPECS[self.dataset]
         for f in ("seed", "val_users", "test_users", "user_min_support", "item_min_support", "min_value", "set_values_to"):
             if getattr(self, f) is None:
@@ -89,6 +99,37 @@ def _temporal(rows: DataFrame, o: BuildOptions) -> dict[str, DataFrame]:
     return {"train": splits.train_rows(rows, held), "val": held, "test": held}
 
 
+def _given_history(rows: DataFrame, history: dict[str, DataFrame], o: BuildOptions) -> dict[str, DataFrame]:
+    """A split that comes with the data: parts train, valid and test, whose rows hold their own past."""
+    own = {p: prepare.threshold_binarize(prepare.restrict(part, rows), o.min_value, o.set_values_to) for p, part in history.items()}
+    # A user may own several rows of a holdout, each with its own past.
+    name = F.concat_ws("#", "user_id", "row_id").alias("user_id")
+    held = {p: splits.history_holdout(own[q], own["train"], o.min_source_items).select(name, "source", "target") for p, q in (("val", "valid"), ("test", "test"))}
+    return {"train": own["train"].select("user_id", "item_id", "value", "timestamp")} | held
+
+
+def annotate(spark: SparkSession, o: BuildOptions, vocabulary: DataFrame, items: DataFrame | None, root: str | None) -> DataFrame | None:
+    """(item_id, tag, tag_idx, weight) of the vocabulary's items by ``annotation_source``, or None where it has none.
+
+    Genres come from the items' column and are numbered as first met; tags are read below root and numbered by name."""
+    if o.annotation_source == "none" or (o.annotation_source == "genres" and (items is None or "genres" not in items.columns)):
+        return None
+    if o.annotation_source == "genres":
+        found = tags.genre_tags(vocabulary.join(items.select("item_id", "genres"), "item_id"), "genres", "item_idx")
+        return None if found.isEmpty() else found
+    if root is None:
+        raise ValueError(f"{o.annotation_source} need the folder of their files")
+    if o.annotation_source == "ml20m_tags":
+        found = tags.user_tags(datasets.read_ml20m_tags(spark, root), vocabulary, o.annotation_min_count)
+    else:
+        rows, names, books = datasets.read_goodbooks_tags(spark, root)
+        own = tags.weighted_tags(rows, names, o.annotation_min_count).withColumnRenamed("item_id", "own_id")
+        found = prepare.restrict(own.join(books, "own_id").groupBy("item_id", "tag").agg(F.sum("weight").alias("weight")), vocabulary)
+    if found.isEmpty():
+        return None
+    return found.join(prepare.vocabulary(found, "tag", "tag_idx"), "tag").select("item_id", "tag", "tag_idx", "weight")
+
+
 _ASSEMBLERS = dict(zip(SPLIT_MODES, (_user_split, _item_split, _last_out, _temporal), strict=True))
 
 
@@ -104,21 +145,38 @@ def prepare_interactions(rows: DataFrame, o: BuildOptions, items: DataFrame | No
     return prepare.kcore(rows, o.user_min_support, o.item_min_support), items
 
 
-def build(spark: SparkSession, path: str, interactions: DataFrame, o: BuildOptions, items: DataFrame | None = None, item_tags: DataFrame | None = None) -> Checkpoint:
-    """Stage ``data``: interactions, vocabularies, train rows, holdouts, items and tags."""
+def build(
+    spark: SparkSession,
+    path: str,
+    interactions: DataFrame,
+    o: BuildOptions,
+    items: DataFrame | None = None,
+    item_tags: DataFrame | None = None,
+    history: dict[str, DataFrame] | None = None,
+    annotation_root: str | None = None,
+) -> Checkpoint:
+    """Stage ``data``: interactions, vocabularies, train rows, holdouts, items and tags.
+
+    A temporal split takes the parts of ``history`` where they are given.  Tags are ``item_tags``, or those of the options'
+    annotation source."""
     rows, items = prepare_interactions(interactions, o, items)
     if rows.isEmpty():
         raise ValueError("no interactions are left")
     vocabulary = prepare.vocabulary(rows, "item_id", "item_idx")
-    tables = {"interactions": rows, "items": vocabulary, "users": prepare.vocabulary(rows, "user_id", "user_idx")}
-    tables |= _ASSEMBLERS[o.split_mode](rows, o)
+    given = history if o.split_mode == "temporal" else None
+    tables = _given_history(rows, given, o) if given else _ASSEMBLERS[o.split_mode](rows, o)
+    # The users of a given split are those of its train rows, which needn't be among the pruned ones.
+    tables |= {"interactions": rows, "items": vocabulary, "users": prepare.vocabulary(tables["train"] if given else rows, "user_id", "user_idx")}
     tables["matrix"] = prepare.sparse_matrix(tables["train"], tables["users"], vocabulary)
     if items is not None:
         tables["metadata"] = vocabulary.join(items, "item_id", "left")
+    if item_tags is None:
+        item_tags = annotate(spark, o, vocabulary, items, annotation_root)
     if item_tags is not None:
         tables["tags"] = item_tags.join(vocabulary, "item_id")
+    details = asdict(o) | {"text_fields": list(o.text_fields), "given_split": bool(given), "annotated": item_tags is not None}
     with update(spark, path) as target:
-        target.put("data", tables, asdict(o) | {"text_fields": list(o.text_fields)})
+        target.put("data", tables, details)
     return read(spark, path)
 
 
