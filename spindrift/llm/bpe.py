@@ -189,14 +189,14 @@ class PrefixMachine:
     """
 
     KEPT_STATES = 200_000
+    START = (0, ((-1, 0),))
 
     def __init__(self, bpe: BpeTables):
         self.bpe = bpe
         self.reset()
 
     def reset(self) -> None:
-        start = (0, ((-1, 0),))
-        self.states, self.number = [start], {start: 0}
+        self.states, self.number = [self.START], {self.START: 0}
         self.moves: dict[int, int] = {}
 
     def _compile(self, state: int, symbol: int) -> int:
@@ -225,11 +225,13 @@ class PrefixMachine:
         move = self.moves[state << _SYM | symbol] = n << 8 | gained + 128
         return move
 
-    def path(self, symbols: list[int]) -> list[int]:
-        """The move for each symbol."""
+    def path(self, symbols: list[int], start: tuple = START) -> list[int]:
+        """The move for each symbol, from a state given by what it holds."""
         if len(self.states) > self.KEPT_STATES:
             self.reset()
-        state, get, out = 0, self.moves.get, []
+        state, get, out = self.number.setdefault(start, len(self.states)), self.moves.get, []
+        if state == len(self.states):
+            self.states.append(start)
         for c in symbols:
             move = get(state << _SYM | c)
             if move is None:

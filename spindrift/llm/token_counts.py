@@ -5,9 +5,11 @@ the encoding gains (or loses, when a merge joins tokens) by one more symbol.  It
 on: the suffix automaton's state, and the last tokens and relative counts of the prefixes that a token ending later can
 reach back to.  States are made when first reached and shared when equal.
 
-A text is cut into chunks.  A chunk's state map is (head, count, tail): the text before its first white space, the tokens
-between, and the text after its last white space; white space puts the transducer back to its start, so that no more of
-the state is needed.  Maps compose associatively and are combined by a scan in pairs.
+A text of more than ``chunk`` characters is cut into chunks.  A chunk's state map takes the transducer's state before the chunk to the state after
+it and the tokens between.  At white space, a number, or the change from a letter to a sign, a word ends whatever came before,
+so a map needs the start state only up to its first such place: it keeps the characters before that place, which any start
+state can run through, and a constant (tokens, end state) from there on.  Maps compose associatively and are combined in pairs.
+An end state holds where the word splitter is and, inside a word, the transducer's state; nothing is tokenised twice.
 
 A null text is empty and counts 0.  Special strings inside texts count as one token, as is the library's default.  Extra
 columns are ignored; an empty table gives an empty result.
@@ -30,7 +32,13 @@ from .common import by_bytes, kept
 #: Fixed pattern of the vocabulary's word splitter.
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 LATIN_WORDS = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{LATIN_LETTERS}]+|[{LATIN_NUMBERS}]|[^{SPACE}{LATIN_LETTERS}{LATIN_NUMBERS}]+")
-FIRST_SPACE, LAST_SPACE = regex.compile(f"[{SPACE}]"), regex.compile(f"[{SPACE}](?=[^{SPACE}]*\\Z)")
+LETTERS, OTHERS = regex.compile(r"\p{L}*"), regex.compile(rf"[^{SPACE}\p{{L}}\p{{N}}]*")
+#: Places where a word ends for every state before them.
+_BREAK = rf"[{SPACE}]|\p{{N}}|(?<=\p{{L}})(?=[^{SPACE}\p{{L}}\p{{N}}'])"
+FIRST_BREAK, LAST_BREAK = regex.compile(_BREAK), regex.compile("(?r)" + _BREAK)
+SPACES = frozenset(regex.findall(f"[{SPACE}]", "".join(map(chr, range(0x3001)))))
+#: Starts of contractions that more characters decide.
+HELD = ("'", "'r", "'v", "'l")
 CHUNK = 1 << 15
 KEPT_WORDS = 200_000
 
@@ -40,6 +48,11 @@ class CountTransducer(PrefixMachine):
         """Tokens of one word: the sum along its path."""
         return sum((move & 255) - 128 for move in self.path(self.bpe.symbols(word)))
 
+    def advance(self, state: tuple, symbols: list[int]) -> tuple[int, tuple]:
+        """Tokens gained by more symbols of a word, and the state after them."""
+        moves = self.path(symbols, state)
+        return sum((move & 255) - 128 for move in moves), self.states[moves[-1] >> 8] if moves else state
+
 
 class Counts(dict):
     """word -> tokens, by the transducer when first asked for."""
@@ -62,43 +75,122 @@ def counter(path: str) -> Counts:
     return words
 
 
-def _plain(text: str, words: Counts) -> int:
+def _normal(text: str) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # a final sigma is no special case here
-    text = text.lower()
-    return sum(map(words.__getitem__, (LATIN_WORDS if LATIN.fullmatch(text) else WORDS).findall(text)))
+    return text.lower()
 
 
-def count_text(text: str, words: Counts) -> int:
+def _split(text: str) -> list[str]:
+    return (LATIN_WORDS if LATIN.fullmatch(text) else WORDS).findall(text)
+
+
+def _pieces(text: str, words: Counts) -> list[str]:
+    """The text cut at special strings; those have odd places."""
     special = words.machine.bpe.special
-    if "<|" in text and any(s in text for s in special):
-        parts = regex.split("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")", text)
-        return sum(1 if p in special else _plain(p, words) for p in parts)
-    return _plain(text, words)
+    if "<|" not in text or not any(s in text for s in special):
+        return [text]
+    return regex.split("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")", text)
+
+
+def count_text(text: str, words: Counts) -> int:
+    pieces = _pieces(text, words)
+    return len(pieces) // 2 + sum(sum(map(words.__getitem__, _split(_normal(p)))) for p in pieces[::2])
+
+
+class State(NamedTuple):
+    """Between two characters: ``kind`` is "" outside words, "letters" or "others" inside one, or "held" where ``held``, an
+    apostrophe and perhaps a letter, may yet become a contraction.  Inside a word, ``inner`` is the transducer's state before the
+    word's ``last`` byte, whose symbol depends on whether the word goes on."""
+
+    kind: str
+    held: str = ""
+    inner: tuple = ()
+    last: int = 0
+
+
+OUTSIDE = State("")
+
+
+def _open(kind: str, word: str, words: Counts) -> tuple[int, State]:
+    data, machine = word.encode(), words.machine
+    n, inner = machine.advance(machine.START, [machine.bpe.inner_code[b] for b in data[:-1]])
+    return n, State(kind, inner=inner, last=data[-1])
+
+
+def _start(text: str, words: Counts) -> tuple[int, State]:
+    """Tokens of a text from outside words, without those that the state after it still withholds."""
+    found = _split(text)
+    if not found or text[-1] in SPACES:
+        return sum(map(words.__getitem__, found)), OUTSIDE
+    for k in (1, 2):
+        if "".join(found[-k:]) in HELD and found[-k] == "'":
+            return sum(map(words.__getitem__, found[:-k])), State("held", "".join(found[-k:]))
+    before, word = sum(map(words.__getitem__, found[:-1])), found[-1]
+    for kind, pattern in (("letters", LETTERS), ("others", OTHERS)):
+        if pattern.fullmatch(word):
+            n, state = _open(kind, word, words)
+            return before + n, state
+    return before + words[word], OUTSIDE
+
+
+def run(state: State, text: str, words: Counts) -> tuple[int, State]:
+    """The transducer from a state over a normalised text: tokens and the state after it."""
+    if not text or state.kind in ("", "held"):
+        return _start(state.held + text, words) if text else (0, state)
+    more = (LETTERS if state.kind == "letters" else OTHERS).match(text).group()
+    n = 0
+    if more:
+        data, machine = more.encode(), words.machine
+        n, inner = machine.advance(state.inner, [machine.bpe.inner_code[b] for b in (state.last, *data[:-1])])
+        state = State(state.kind, inner=inner, last=data[-1])
+    if len(more) == len(text):
+        return n, state
+    rest, after = _start(text[len(more) :], words)
+    return n + finish(state, words) + rest, after
+
+
+def finish(state: State, words: Counts) -> int:
+    """Tokens that a state withholds, if its word ends here."""
+    if state.kind in ("", "held"):
+        return sum(map(words.__getitem__, _split(state.held)))
+    return words.machine.advance(state.inner, [words.machine.bpe.final_code[state.last]])[0]
 
 
 class StateMap(NamedTuple):
-    """head: text before the first white space, or the whole chunk if it has none (then count is None)."""
+    """start -> run(start, head), and from there, if ``end`` is set, the word ends and ``count`` tokens lead to ``end``."""
 
     head: str
-    count: int | None
-    tail: str
+    count: int = 0
+    end: State | None = None
+
+    def __call__(self, start: State, words: Counts) -> tuple[int, State]:
+        n, state = run(start, self.head, words)
+        return (n, state) if self.end is None else (n + finish(state, words) + self.count, self.end)
+
+
+SPECIAL = StateMap("", 1, OUTSIDE)
 
 
 def state_map(chunk: str, words: Counts) -> StateMap:
-    first = FIRST_SPACE.search(chunk)
+    return scan([SPECIAL if i % 2 else _plain_map(_normal(p), words) for i, p in enumerate(_pieces(chunk, words))], words)
+
+
+def _plain_map(text: str, words: Counts) -> StateMap:
+    first = FIRST_BREAK.search(text)
     if first is None:
-        return StateMap(chunk, None, "")
-    last = LAST_SPACE.search(chunk)
-    return StateMap(chunk[: first.start()], count_text(chunk[first.start() : last.end()], words), chunk[last.end() :])
+        return StateMap(text)
+    a, b = first.start(), LAST_BREAK.search(text).start()
+    n, end = _start(text[b:], words)
+    return StateMap(text[:a], sum(map(words.__getitem__, _split(text[a:b]))) + n, end)
 
 
 def compose(a: StateMap, b: StateMap, words: Counts) -> StateMap:
-    if a.count is None:
-        return StateMap(a.head + b.head, b.count, b.tail)
-    if b.count is None:
-        return StateMap(a.head, a.count, a.tail + b.head)
-    return StateMap(a.head, a.count + count_text(a.tail + b.head, words) + b.count, b.tail)
+    """First a, then b."""
+    if a.end is None:
+        return StateMap(a.head + b.head, b.count, b.end)
+    n, end = b(a.end, words)
+    return StateMap(a.head, a.count + n, end)
 
 
 def scan(maps: list[StateMap], words: Counts) -> StateMap:
@@ -108,13 +200,21 @@ def scan(maps: list[StateMap], words: Counts) -> StateMap:
     return maps[0]
 
 
-def cut(text: str, size: int) -> list[str]:
-    """Chunks of about size characters; each but the first starts with an ASCII character, which nothing before composes with."""
-    out, at = [], 0
+def cut(text: str, size: int, special: list[str] | tuple[str, ...] = ()) -> list[str]:
+    """Chunks of about size characters; each but the first starts with an ASCII character, which nothing before composes with, and
+    no special string lies across a border."""
+    out, at, reach = [], 0, max(map(len, special), default=1) - 1
     while at < len(text):
         end = at + size
-        while end < len(text) and text[end] > "\x7f":
-            end += 1
+        while end < len(text):
+            near = max(at, end - reach)
+            inside = [k + len(s) for s in special if 0 <= (k := text.find(s, near, end + reach)) - near < end - near < k + len(s) - near]
+            if inside:
+                end = inside[0]
+            elif text[end] > "\x7f":
+                end += 1
+            else:
+                break
         out.append(text[at:end])
         at = end
     return out or [""]
@@ -123,8 +223,8 @@ def cut(text: str, size: int) -> list[str]:
 def count_tokens(text: str, words: Counts, chunk: int = CHUNK) -> int:
     if len(text) <= chunk:
         return count_text(text, words)
-    m = scan([state_map(c, words) for c in cut(text, chunk)], words)
-    return count_text(m.head, words) + (0 if m.count is None else m.count + count_text(m.tail, words))
+    n, end = scan([state_map(c, words) for c in cut(text, chunk, list(words.machine.bpe.special))], words)(OUTSIDE, words)
+    return n + finish(end, words)
 
 
 def token_counts(df: DataFrame, key: str, text: str, vocabulary: str, limit: int, chunk: int = CHUNK) -> DataFrame:

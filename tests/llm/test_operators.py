@@ -139,6 +139,31 @@ def test_token_counts_equal_library(spark, texts, no_texts, chunk):
     assert token_counts.token_counts(no_texts, "doc_id", "text", WORDS, 20).collect() == []
 
 
+def test_state_maps_compose_to_the_library_counts():
+    """Any grouping of the chunks, from any state before them, gives the same end state and count."""
+    rng = np.random.default_rng(4)
+    pool = np.array(["'", "'s", "'r", "e", "'re", "l", "v", "hello", "World", " ", "\n", "5", "½", "!", "。", "日本", "é", "ΑΣ", "<|endoftext|>", "<|", "🙂", "İ"])
+    library, words = Tokenizer.from_file(WORDS), token_counts.Counts(token_counts.tables(WORDS))
+    special = list(words.machine.bpe.special)
+    for _ in range(400):
+        t = "".join(rng.choice(pool, rng.integers(1, 40)))
+        chunks = token_counts.cut(t, int(rng.integers(1, 8)), special)
+        assert "".join(chunks) == t
+        maps = [token_counts.state_map(c, words) for c in chunks]
+        left = maps[0]
+        for m in maps[1:]:
+            left = token_counts.compose(left, m, words)
+        right = maps[-1]
+        for m in reversed(maps[:-1]):
+            right = token_counts.compose(m, right, words)
+        starts = [token_counts.run(token_counts.OUTSIDE, s, words)[1] for s in ("", "'", "'r", "abc", "?!")]
+        for start in starts:
+            ends = {m(start, words) for m in (left, right, token_counts.scan(maps, words))}
+            assert len(ends) == 1
+        n, end = left(token_counts.OUTSIDE, words)
+        assert n + token_counts.finish(end, words) == len(library.encode(t, add_special_tokens=False).ids)
+
+
 def test_both_vocabularies_on_random_text():
     rng = np.random.default_rng(3)
     pool = np.array(list("abcdehistnre  \n\t'.,!?-_AB01éñüßΣσς́İ中\x1c\x85🙂<|>#½١　"))
