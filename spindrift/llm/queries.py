@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat, decontaminate, ngram_join, sharding, substring_dedup, suffix_tree, tiff, token_counts, toxicity
+from . import bpe_codec, chat, decontaminate, divergence, ngram_join, packing, sharding, substring_dedup, suffix_tree, tiff, token_counts, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,7 +121,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", path, limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_bpe_codec, op3_ngram_jaccard, op4_chat_format, op5_tiff_media, op6_spaced_seeds, op7_hash_tree_shards, op8_line_dedup, op9_toxicity, op10_token_counts, chat_mixed_layouts)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), "text", "lang", "source", least=3, top=200)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=8)
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", path, capacity=2048, with_ids=False).drop("ids")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_bpe_codec, op3_ngram_jaccard, op4_chat_format, op5_tiff_media, op6_spaced_seeds, op7_hash_tree_shards, op8_line_dedup, op9_toxicity, op10_token_counts, op11_source_divergence, op12_whitening, op13_configuration_packing, chat_mixed_layouts)}
 
 _JACCARD = r"""
 WITH RECURSIVE w AS (
@@ -153,9 +167,31 @@ WITH t AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM g
 """
 
+_DIVERGENCE = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), e AS (SELECT id, lang, source, unnest(terms) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM e GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM e GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, k.n::HUGEINT AS ln FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+t AS (SELECT lang, source, sum(n) AS total, count(*) AS v, sum(ln) AS ltotal FROM s GROUP BY lang, source),
+p AS (SELECT lang, source, term, n, 1 + 1000000000 * (n + 1) // (total + v) AS p, 1 + 1000000000 * (ln + 1) // (ltotal + v) AS lp FROM s JOIN t USING (lang, source)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, (p - lp) * (p - lp) // lp FROM p WHERE n > 0 AND p > lp
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x) WHERE part = 'pair' OR rank <= 200
+"""
+
 #: The others rest on hashes, models, vocabularies or stored files that SQL has no words for; tests/llm has plain versions.
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard": _JACCARD,
     "op4_chat_format": _CHAT.format(more="UNION ALL SELECT -7, * FROM (VALUES (0, 'user', '</s>[INST] ok [/INST]'), (1, 'assistant', '</s>[INST] ok [/INST]'))"),
     "chat_mixed_layouts": _CHAT.format(more=""),
+    "op11_source_divergence": _DIVERGENCE,
 }
