@@ -29,7 +29,7 @@ from .common import Scratch, by_bytes, parallelism, release
 #: What separates terms, which are runs of ASCII letters and of characters beyond ASCII.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE = 1_000_000_000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 16 << 20
 _GROUP = ("lang", "source")
 
 
@@ -74,8 +74,10 @@ def _salted(rows: DataFrame, groups: DataFrame, on: list[str], parts: int) -> Da
 
 
 def _share(count: Column, total: Column, kept: Column) -> Column:
-    scaled = F.lit(SCALE).cast("decimal(10,0)") * (count + 1).cast("decimal(20,0)")
-    return 1 + F.call_function("div", scaled, (total + kept).cast("decimal(20,0)"))
+    """Exact for counts of any size: decimals where the product doesn't fit 64 bits."""
+    div = lambda a, b: F.call_function("div", a, b)
+    wide = div(F.lit(SCALE).cast("decimal(10,0)") * (count + 1).cast("decimal(20,0)"), (total + kept).cast("decimal(20,0)"))
+    return 1 + F.when(count < (1 << 62) // SCALE, div(F.lit(SCALE).cast("long") * (count + 1), total + kept)).otherwise(wide)
 
 
 def _parts(p: Column, q: Column) -> Column:
