@@ -30,11 +30,11 @@ def parser() -> argparse.ArgumentParser:
     build.add_argument("--dataset", required=True, choices=sorted(datasets.SPECS))
     build.add_argument("--history", nargs=3, metavar=("TRAIN", "VALID", "TEST"), help="parts of a temporal split whose rows hold their past")
     build.add_argument("--images", action="store_const", const=True, help="keep image addresses")
-    elsa = dict(dim=int, epochs=int, batch=int, lr=float, ema=float, ema_every=int, clip=float, weight_decay=float, seed=int)
+    elsa = dict(dim=int, epochs=int, batch=int, lr=float, ema=float, ema_every=int, clip=float, accumulate=int, weight_decay=float, seed=int)
     command("train-elsa", **elsa)
-    command("train-compressed-elsa", **elsa, k_target=int, stages=int, ste_alpha=float, score=str)
+    command("train-compressed-elsa", **elsa, k_target=int, stages=int, mask_every=int, window=int, threshold=float, ste_alpha=float, score=str)
     command("train-text", dim=int)
-    command("train-sae", stage=str, hidden=int, k=int, loss=str, epochs=int, batch=int, lr=float, seed=int, score=str)
+    command("train-sae", stage=str, hidden=int, k=int, loss=str, epochs=int, batch=int, lr=float, seed=int, score=str, ste_alpha=float, norm_p=float)
     evaluate = command("evaluate")
     evaluate.add_argument("--stages", nargs="*")
     return top

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,10 +136,10 @@ _ASSEMBLERS = dict(zip(SPLIT_MODES, (_user_split, _item_split, _last_out, _tempo
 def prepare_interactions(rows: DataFrame, o: BuildOptions, items: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Restricted to items whose text is long enough, thresholded and pruned; and the items with their entity_text."""
     if items is not None:
-        fields = [f for f in o.text_fields if f in items.columns]
-        if fields:
-            items = T.add_entity_text(items, fields, o.min_text_words, labelled=o.labelled_text)
-        items = prepare.keep_first(items, "item_id", *(["entity_text"] if fields else ["item_id"]))
+        given = [f for f in o.text_fields if f in items.columns]
+        if given:
+            items = T.add_entity_text(items, given, o.min_text_words, labelled=o.labelled_text)
+        items = prepare.keep_first(items, "item_id", *(["entity_text"] if given else ["item_id"]))
         rows = prepare.restrict(rows, items)
     rows = prepare.threshold_binarize(rows, o.min_value, o.set_values_to)
     return prepare.kcore(rows, o.user_min_support, o.item_min_support), items
@@ -189,7 +189,12 @@ def train_elsa(spark: SparkSession, path: str, k_target: int | None = None, vali
     at = read(spark, path)
     val = at.table("data", "val")
     callback = (lambda epoch, vectors: _evaluate(val, vectors, ks)) if validate else None
-    vectors, history = models.fit_elsa(at.table("data", "train"), k_target=k_target, callback=callback, **settings)
+    if k_target:
+        how = models.Optimizer(**({"lr": 0.01} | {f.name: settings[f.name] for f in fields(models.Optimizer) if f.name in settings}))
+        rest = {name: v for name, v in settings.items() if name not in asdict(how)}
+        vectors, history = models.fit_compressed_elsa(at.table("data", "train"), k_target=k_target, how=how, callback=callback, **rest)
+    else:
+        vectors, history = models.fit_elsa(at.table("data", "train"), callback=callback, **settings)
     with update(spark, path) as target:
         tables = {"vectors": vectors} | ({"sparse": retrieval.sparsify(vectors, k_target)} if k_target else {})
         target.put("compressed_elsa" if k_target else "elsa", tables, {"history": history, "settings": settings, "k_target": k_target})
@@ -205,20 +210,22 @@ def train_text(spark: SparkSession, path: str, encode=text_vectors.hashed_tfidf,
         target.put("text", {"vectors": encode(items, "item_id", "entity_text", **settings)}, {"settings": settings})
 
 
-def train_sae(spark: SparkSession, path: str, stage: str = "elsa", k: int = 128, hidden: int = 4096, score: str = "abs", **settings) -> list[dict]:
-    """Stage ``sae`` from elsa, ``text_sae`` from text: fitted on train items, codes of all."""
+def train_sae(spark: SparkSession, path: str, stage: str = "elsa", k: int = 128, hidden: int = 4096, score: str = "abs", norm_p: float | None = None, validate: bool = True, ks: tuple[int, ...] = (20, 50, 100), **settings) -> list[dict]:
+    """Stage ``sae`` from elsa, ``text_sae`` from text: fitted on train items, codes of all, which each epoch validates."""
     name = {"elsa": "sae", "text": "text_sae"}.get(stage)
     if name is None:
         raise ValueError("stage is elsa or text")
     at = read(spark, path)
     vectors = at.table(stage, "vectors")
     known = prepare.restrict(vectors, at.table("data", "train"))
-    w, history = models.fit_sae(known, hidden=hidden, k=k, score=score, **settings)
-    codes = models.sae_codes(vectors, w, k, score)
+    val, coded = at.table("data", "val"), lambda w: models.sae_codes(vectors, w, k, score, norm_p)
+    callback = (lambda epoch, w: _evaluate(val, retrieval.unit(coded(w), "vector"), ks)) if validate else None
+    w, history = models.fit_sae(known, hidden=hidden, k=k, score=score, norm_p=norm_p, callback=callback, **settings)
+    codes = coded(w)
     parameters = spark.createDataFrame([(p, i, row.tolist()) for p, m in w.items() for i, row in enumerate(m)], "name string, row int, vec array<double>")
     dead = models.dead_features(codes, hidden).count()
     with update(spark, path) as target:
-        target.put(name, {"vectors": codes, "sparse": retrieval.sparsify(codes, k), "model": parameters}, {"history": history, "settings": settings | {"k": k, "hidden": hidden, "score": score}, "dead_features": dead})
+        target.put(name, {"vectors": codes, "sparse": retrieval.sparsify(codes, k), "model": parameters}, {"history": history, "settings": settings | {"k": k, "hidden": hidden, "score": score, "norm_p": norm_p}, "dead_features": dead})
     return history
 
 

@@ -355,12 +355,23 @@ def elsa_vectors(spark, sf_dir):
     return models.fit_elsa(liked(spark, sf_dir), dim=16, epochs=1)[0]
 
 
+@query()
+def compressed_elsa(spark, sf_dir):
+    how = models.Optimizer(lr=0.05)
+    return models.fit_compressed_elsa(liked(spark, sf_dir), dim=16, k_target=4, stages=2, epochs=1, mask_every=2, window=1, threshold=0.1, how=how)[0]
+
+
 @query()
 def autoencoder_codes(spark, sf_dir):
     vectors = _vectors(spark, sf_dir)
     return models.sae_codes(vectors, models.fit_sae(vectors, hidden=128, k=8, epochs=1, batch=4096)[0], 8)
 
 
+@query()
+def dead_features(spark, sf_dir):
+    return models.dead_features(autoencoder_codes(spark, sf_dir), 128)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Temporal holdout, top 100 by item vectors, recall and nDCG at 20, 50 and 100."""
     holdout, vectors = _held_out(spark, sf_dir)

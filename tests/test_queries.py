@@ -11,5 +11,4 @@ def test_equals_sql(spark, name):
 
 
 def test_flagship(spark):
-    row = flagship(spark, "/root/testdata/sf0.001").first().asDict()
-    assert all(0 <= v <= 1 for k, v in row.items() if k != "n_users")
+    assert compare(spark, "flagship", flagship, ORACLE_SQL["retrieval_metrics"], "/root/testdata/sf0.001") == 1
