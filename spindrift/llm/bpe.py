@@ -18,7 +18,8 @@ import json
 import re
 
 NO_RANK = -1
-_SYM = 10  # bits of a base symbol in a transition's key
+#: Bits of a base symbol, of a token and of a move's gain in packed keys; vocabularies beyond them are refused.
+_SYM, _ID, _GAIN = 10, 24, 24
 
 
 def byte_characters() -> list[str]:
@@ -42,12 +43,16 @@ class BpeTables:
         self.end = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max(*vocab.values(), *self.special.values()) + 1
+        if size > 1 << _ID:
+            raise ValueError(f"ids up to {size - 1}; {(1 << _ID) - 1} is the highest that can be worked with")
         self.rank, self.left, self.right = [NO_RANK] * size, [0] * size, [0] * size
         self.merge: dict[int, int] = {}
         chars = byte_characters()
         self.inner = [vocab[c] for c in chars]
         self.final = [vocab[c + self.end] for c in chars] if self.end else self.inner
         base = {*self.inner, *self.final}
+        if len(base) > 1 << _SYM:
+            raise ValueError(f"{len(base)} base symbols; {1 << _SYM} at the most")
         code = {t: n for n, t in enumerate(sorted(base))}
         self.inner_code, self.final_code = [code[t] for t in self.inner], [code[t] for t in self.final]
         spelled: dict[int, tuple[int, ...]] = {t: (n,) for t, n in code.items()}
@@ -57,7 +62,7 @@ class BpeTables:
             if t not in spelled:
                 self.rank[t], self.left[t], self.right[t] = r, x, y
                 spelled[t] = spelled[x] + spelled[y]
-            self.merge[x << 17 | y] = r
+            self.merge[x << _ID | y] = r
         raw = {t: bytes((b,)) for b, t in [*enumerate(self.inner), *enumerate(self.final)]}
         self.bytes_of = [b""] * size
         for t in spelled:
@@ -125,7 +130,7 @@ class BpeTables:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether tokens a, b side by side stay apart: at no point of undoing them does the pair at the border come first."""
-        key = a << 17 | b
+        key = a << _ID | b
         fits = self._fits.get(key)
         if fits is None:
             if len(self._fits) > 400_000:
@@ -136,7 +141,7 @@ class BpeTables:
     def _stay_apart(self, a: int, b: int) -> bool:
         rank, limit = self.rank, len(self.merge) + 1
         while True:
-            r = self.merge.get(a << 17 | b)
+            r = self.merge.get(a << _ID | b)
             if r is not None and r < limit:
                 return False
             if rank[a] > rank[b]:
@@ -163,7 +168,7 @@ class BpeTables:
             t = longest[state]
             while j := i - length[t]:
                 before = last[j - 1]
-                known = fits(before << 17 | t)
+                known = fits(before << _ID | t)
                 if self.compatible(before, t) if known is None else known:
                     break
                 t = shorter[t]
@@ -185,7 +190,8 @@ class PrefixMachine:
 
     A state holds all that later prefixes depend on: the automaton's state, and the last token and the number of tokens
     (relative to the whole prefix) of the prefix before each suffix that a longer token may still start with.  States are
-    made when first reached, and equal ones are shared.  A move is target << 8 | tokens gained + 128.
+    made when first reached, and equal ones are shared.  A move holds the target and, in its
+    low bits, the tokens gained (``gain``).
     """
 
     KEPT_STATES = 200_000
@@ -222,9 +228,18 @@ class PrefixMachine:
         if n is None:
             n = self.number[target] = len(self.states)
             self.states.append(target)
-        move = self.moves[state << _SYM | symbol] = n << 8 | gained + 128
+        move = self.moves[state << _SYM | symbol] = n << _GAIN | gained + (1 << _GAIN - 1)
         return move
 
+    @staticmethod
+    def gain(moves: list[int]) -> int:
+        """Tokens that a path's moves add."""
+        return sum(move & (1 << _GAIN) - 1 for move in moves) - (len(moves) << _GAIN - 1)
+
+    @staticmethod
+    def target(move: int) -> int:
+        return move >> _GAIN
+
     def path(self, symbols: list[int], start: tuple = START) -> list[int]:
         """The move for each symbol, from a state given by what it holds."""
         if len(self.states) > self.KEPT_STATES:
@@ -236,7 +251,7 @@ class PrefixMachine:
             move = get(state << _SYM | c)
             if move is None:
                 move = self._compile(state, c)
-            state = move >> 8
+            state = move >> _GAIN
             out.append(move)
         return out
 

@@ -9,8 +9,8 @@ followed by an inserted backslash, so that no control string can arise there; ta
 text.
 
 Null texts, roles and fields are empty.  Records whose fingerprint no mapping knows get null turns and are kept.  The
-fingerprint is taken from the record without its texts, so that their length doesn't matter; a record of a known layout that
-can't be read is an error, not a null.  Turns that share a number are ordered by role, then text; repeated rows stay.  Null
+fingerprint is taken from the record without its texts, so that their length doesn't matter.  A record of a known layout that
+can't be read, for a wrong escape or a raw control character inside a text, gets null turns too, and its ``error`` says so.  Turns that share a number are ordered by role, then text; repeated rows stay.  Null
 keys stay null.  Extra columns are ignored.  An empty table gives an empty result.
 """
 
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 READ = {"maxStringLen": "2147483647"}
 #: A field's name with its colon is kept, any other JSON string is emptied.
 _STRINGS = r'("[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:)|(")[^"\\]*+(?:\\.[^"\\]*+)*+(")'
+BROKEN = "_unreadable"
 OPEN, SPLIT, CLOSE = "<s>[INST]", "[/INST]", "</s>"
 
 
@@ -51,8 +52,14 @@ def _turns(items: Column, role: str, text: str, roles: dict[str, str] | None = N
     return F.transform(items, one)
 
 
+def _read(js: Column, schema: str) -> Column:
+    """The fields of a record, or null if it can't be read (a wrong escape, a raw control character in a string)."""
+    row = F.from_json(js, f"{schema}, `{BROKEN}` string", READ | {"columnNameOfCorruptRecord": BROKEN})
+    return F.when(row[BROKEN].isNull(), row)
+
+
 def _array(js: Column, field: str, schema: str) -> Column:
-    return F.coalesce(F.from_json(js, f"{field} array<struct<{schema}>>", READ)[field], F.raise_error(F.lit(f"a record with {field} can't be read")))
+    return _read(js, f"{field} array<struct<{schema}>>")[field]
 
 
 def _list(schema: str, field: str, role: str, text: str, roles: dict[str, str] | None = None):
@@ -66,8 +73,8 @@ def _pair(prompt: Column, answer: Column) -> Column:
 
 def _fields(names: str, make):
     def mapped(js: Column) -> Column:
-        row = F.from_json(js, ", ".join(f"{n} string" for n in names.split()), READ)
-        return make(*(row[n] for n in names.split()))
+        row = _read(js, ", ".join(f"{n} string" for n in names.split()))
+        return F.when(row.isNotNull(), make(*(row[n] for n in names.split())))
 
     return mapped
 
@@ -93,8 +100,14 @@ LAYOUTS = [
 ]
 
 
+def known_layout(record: Column) -> Column:
+    """Whether a mapping knows the record's layout; false for what is no JSON even without its texts."""
+    return F.coalesce(fingerprint(record).isin(*[fingerprint(F.lit(example)) for example, _ in LAYOUTS]) & field_paths(record).isNotNull(), F.lit(False))
+
+
 def canonical_turns(record: Column) -> Column:
-    """``array<struct<role, text>>`` of a JSON record, by the mapping that its fingerprint selects; null if there is none."""
+    """``array<struct<role, text>>`` of a JSON record, by the mapping that its fingerprint selects; null if there is none or if the
+    record can't be read."""
     mark, out = fingerprint(record), F.lit(None).cast("array<struct<role: string, text: string>>")
     for example, mapping in reversed(LAYOUTS):
         out = F.when(mark == fingerprint(F.lit(example)), mapping(record)).otherwise(out)
@@ -140,10 +153,12 @@ def loss_spans(written: Column) -> Column:
 
 
 def format_chats(df: DataFrame, key: str, record: str) -> DataFrame:
-    """``(key, formatted, loss_spans)`` of every JSON record; nulls where no mapping knows its layout."""
-    rows = df.select(F.col(key).alias("_key"), canonical_turns(F.col(record)).alias("_turns"))
-    rows = rows.withColumn("_written", written_turns(F.col("_turns")))
-    return rows.select(F.col("_key").alias(key), formatted(F.col("_written")).alias("formatted"), loss_spans(F.col("_written")).alias("loss_spans"))
+    """``(key, formatted, loss_spans, error)`` of every JSON record; nulls where no mapping knows its layout or it can't be read, and
+    ``error`` says which of both."""
+    rows = df.select(F.col(key).alias("_key"), canonical_turns(F.col(record)).alias("_turns"), known_layout(F.col(record)).alias("_known"))
+    error = F.when(F.col("_turns").isNull(), F.when(F.col("_known"), "unreadable").otherwise("unknown layout"))
+    rows = rows.select("_key", error.alias("error"), written_turns(F.col("_turns")).alias("_written"))
+    return rows.select(F.col("_key").alias(key), formatted(F.col("_written")).alias("formatted"), loss_spans(F.col("_written")).alias("loss_spans"), "error")
 
 
 def read_turns(text: Column) -> Column:

@@ -178,7 +178,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def jaccard_components(df: DataFrame, key: str, text: str, n: int = 3, percent: int = 90, block: int = 64) -> DataFrame:
-    """``(key, n_shingles, component_id)`` of every row; the component's id is its smallest key."""
+    """``(key, n_shingles, component_id, text_id)`` of every row; the component's id is its smallest key, ``text_id`` the xxhash64 of
+    the row's text, by which rows of one key can be told apart."""
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_tid"), F.col(text).alias("_text"))
     scratch = Scratch(spark, "jaccard")
@@ -234,9 +235,9 @@ def jaccard_components(df: DataFrame, key: str, text: str, n: int = 3, percent:
     named = labelled.groupBy("label").agg(F.min("_key").alias("component"))
     labelled = labelled.join(named, "label").select("node", "component")
     own_class = classes.select("node", F.col("_key").alias("own"))
-    out = marks.select("_key", "node", "n").join(own_class, "node", "left").join(labelled, "node", "left")
+    out = marks.select("_key", "_tid", "node", "n").join(own_class, "node", "left").join(labelled, "node", "left")
     component = F.when(F.col("n") == 0, F.col("_key")).otherwise(F.coalesce("component", "own"))
-    return out.select(F.col("_key").alias(key), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    return out.select(F.col("_key").alias(key), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("_tid").alias("text_id"))
 
 
 BLOCK_ROWS = "grp binary, lot int, low int, tokens binary, members array<binary>, sets array<binary>"

@@ -35,7 +35,7 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), "doc_id", "text", n=3, percent=90)
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), "doc_id", "text", n=3, percent=90).drop("text_id")
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

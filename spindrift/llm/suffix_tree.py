@@ -11,7 +11,7 @@ what was seen once is left to the shorter context.  A context is kept if it was
 predictions diverge from those of its suffix: over its occurrences in training, each left out of its own count, the
 log-likelihood must gain more than ``gain`` against the better of its suffixes' predictions.  A token is scored by the
 longest suffix of its past that is a node; a node's parent is the longest kept suffix of it.  Contexts grow by a word at a time
-up to ``depth`` words or, if it is unset, until no longer one can be kept: the gain of all extensions of a context is no more
+up to ``depth`` words or, if it is None, until no longer one can be kept: the gain of all extensions of a context is no more
 than what its own and its suffixes' predictions leave, the sum of -log10 of the best of them.
 
 How it runs (see ``packed.py``): words are hashed once, into blocks of texts.  A first round counts words and pairs.  A
@@ -236,11 +236,12 @@ def _score(depth: int, buckets: int, z: float, least: int, prior: float, key_typ
     return run
 
 
-def score_texts(df: DataFrame, key: str, text: str, train: Column, least: int = 2, gain: float = 1.0, prior: float = 0.5, block_bytes: int = BLOCK_BYTES, depth: int | None = None) -> DataFrame:
+def score_texts(df: DataFrame, key: str, text: str, train: Column, least: int = 2, gain: float = 1.0, prior: float = 0.5, block_bytes: int = BLOCK_BYTES, depth: int | None = 5) -> DataFrame:
     """``(key, train, n_tokens, n_known, train_tokens, base_score, score)`` of every row.
 
     ``block_bytes`` bounds the texts that a task works on at a time; it doesn't change the scores but for rounding.
-    ``depth`` is the most words of a context (no bound if unset).
+    ``depth`` is the most words of a context.  With None there is no bound: a run of one repeated word then costs a round for every
+    two of its words.
     """
     spark = df.sparkSession
     buckets = min(parallelism(spark), MOST_BUCKETS)

@@ -46,12 +46,12 @@ KEPT_WORDS = 200_000
 class CountTransducer(PrefixMachine):
     def count(self, word: bytes) -> int:
         """Tokens of one word: the sum along its path."""
-        return sum((move & 255) - 128 for move in self.path(self.bpe.symbols(word)))
+        return self.gain(self.path(self.bpe.symbols(word)))
 
     def advance(self, state: tuple, symbols: list[int]) -> tuple[int, tuple]:
         """Tokens gained by more symbols of a word, and the state after them."""
         moves = self.path(symbols, state)
-        return sum((move & 255) - 128 for move in moves), self.states[moves[-1] >> 8] if moves else state
+        return self.gain(moves), self.states[self.target(moves[-1])] if moves else state
 
 
 class Counts(dict):

@@ -164,6 +164,27 @@ def test_state_maps_compose_to_the_library_counts():
         assert n + token_counts.finish(end, words) == len(library.encode(t, add_special_tokens=False).ids)
 
 
+def test_large_vocabularies(tmp_path):
+    """Ids beyond 131,072, as in vocabularies of 200,000 tokens; ids and symbols beyond the packed keys are refused."""
+    import json
+
+    with open(BYTES, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["vocab"] = {t: i * 17 + 3 for t, i in spec["model"]["vocab"].items()}
+    spec["added_tokens"] = []
+    path = tmp_path / "large.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    library, words = Tokenizer.from_file(str(path)), bpe_codec.Encoded(bpe_codec.tables(str(path)))
+    rng, pool = np.random.default_rng(11), [r for _, r in zip(range(300), open(__file__, encoding="utf-8").read().split(" "), strict=False)]
+    for _ in range(300):
+        t = " ".join(rng.choice(pool, 12))
+        assert bpe_codec.encode_text(t, words) == library.encode(t, add_special_tokens=False).ids
+    spec["model"]["vocab"]["!"] = 1 << 24
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="highest"):
+        bpe_codec.tables(str(path))
+
+
 def test_both_vocabularies_on_random_text():
     rng = np.random.default_rng(3)
     pool = np.array(list("abcdehistnre  \n\t'.,!?-_AB01éñüßΣσς́İ中\x1c\x85🙂<|>#½١　"))
@@ -204,6 +225,19 @@ def test_chat_layouts(spark):
     assert chat.format_chats(df.limit(0), "id", "record").collect() == []
 
 
+def test_chat_unreadable_records(spark):
+    """A wrong escape or a raw line break inside a text: neither emptied nor fatal, whatever the layout."""
+    bad = [r'"p\q"', '"a\nb"', '"tab\there"', '"\x01"']
+    layouts = ['{"prompt": %s, "response": "r"}', '{"question": "q", "answer": %s}', '{"instruction": %s, "input": "", "output": "o"}', '{"messages": [{"role": "user", "content": %s}]}', '{"turns": [{"turn": 0, "role": "user", "text": %s}]}', '{"conversations": [{"from": "human", "value": %s}]}']
+    rows = [(x % b, "unreadable") for x in layouts for b in bad] + [(x % '"fine"', None) for x in layouts]
+    rows += [('{"prompt": null, "response": null}', "unknown"), ('{"other": 1}', "unknown layout"), ("no json", "unknown layout"), (None, "unknown layout")]
+    df = spark.createDataFrame([(i, r, "clash") for i, (r, _) in enumerate(rows)], "id int, record string, error string")
+    found = {r.id: r for r in chat.format_chats(df, "id", "record").collect()}
+    for i, (_, error) in enumerate(rows):
+        if error != "unknown":
+            assert (found[i].error, found[i].formatted is None, found[i].loss_spans is None) == (error, error is not None, error is not None), rows[i]
+
+
 def test_chat_ties_and_nulls(spark):
     rows = spark.createDataFrame([(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, None, None), (None, 0, "user", "x")], "c int, t int, role string, text string")
     out = chat.format_chats(chat.turn_rows_to_records(rows, "c", "t", "role", "text"), "c", "record")

@@ -40,3 +40,12 @@ def test_stages_on_odd_rows(spark, texts):
     ids = sorted(k or 0 for k, *_ in rows)
     assert kept["toxicity"] == kept["substring_dedup"] == kept["benchmark_decontamination"] == kept["bpe_encoding"] == ids
     assert kept["ngram_jaccard_join"] == [k for k in ids if k != 5]
+
+
+def test_near_duplicates_go_by_text(spark):
+    """A row that repeats nothing stays, though another row of its key goes."""
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "xy")
+    rows = [(1, one), (2, one), (2, two), (3, None), (3, "")]
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted((r.doc_id, r.text or "") for r in out) == [(1, one), (2, two), (3, ""), (3, "")]
