@@ -4,7 +4,8 @@ A stage takes (spark, docs, sf_dir), works on all rows that the stage before kep
 last one returns the encoded corpus.  Stages hand over Parquet tables in the shared folder.
 
 Null and empty texts are judged as empty and stay through all stages.  Rows with null keys are judged like others, but no stage
-that drops by key drops them.  Repeated rows of one key go or stay together.  Columns other than those of documents are left
+that drops by key drops them.  Repeated rows go or stay together; rows of one key but other texts are judged apart in the
+near-duplicate stage and together in decontamination.  Columns other than those of documents are left
 behind.  An empty table stays empty.
 """
 
@@ -28,10 +29,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a Jaccard similarity of 0.8 of five-word shingles, the smallest id stays."""
+    """Of each group of documents linked by a Jaccard similarity of 0.8 of five-word shingles, the smallest id stays.  Rows of one
+    key go or stay by their own text."""
     groups = ngram_join.jaccard_components(docs, "doc_id", "text", n=5, percent=80)
-    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    gone = groups.filter("component_id <> doc_id").select("doc_id", "text_id").distinct()
+    return docs.select(*COLUMNS).withColumn("text_id", F.xxhash64("text")).join(gone, ["doc_id", "text_id"], "left_anti").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
