@@ -11,7 +11,7 @@ from .rounds import Rounds
 
 
 def unit(df: DataFrame, vector: str) -> DataFrame:
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    norm = _size(vector)
     return df.withColumn(vector, F.transform(vector, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12))))
 
 
@@ -45,45 +45,89 @@ def profiles(holdout: DataFrame, vectors: DataFrame) -> DataFrame:
     return sums.groupBy("user_id").applyInArrow(whole, kind).join(holdout.select("user_id", "source"), "user_id")
 
 
-def top_k(holdout: DataFrame, vectors: DataFrame, k: int, block_bytes: int = 128 << 20) -> DataFrame:
+def top_k(holdout: DataFrame, vectors: DataFrame, k: int, block_bytes: int = 32 << 20) -> DataFrame:
     """(user_id, rank, item_id, score): scores relu(x E E') of items outside the source, ties by item id.
 
-    Profiles are written once.  Items are broadcast in blocks of about ``block_bytes``, one after another, to where the
-    users' profiles lie; each block leaves k rows a user, and the blocks' best are merged."""
+    Users and items are dealt to blocks of about ``block_bytes``, items by falling length, and blocks meet by cogroup, so that no
+    vector passes the driver and a task holds one block of each.  All users meet the first block; a user meets a later one only
+    if the length of its profile times the largest length there reaches the k-th score that it has already.  What the blocks
+    leave, k rows of each for a user at the most, is ranked together.
+
+    Items without a vector are no candidates.  Vectors of unequal length, entries that are null and ids that occur twice are
+    errors.  A user whose source has no vectors has no profile and no rows."""
     rounds = Rounds(holdout.sparkSession)
-    users = rounds.write(profiles(holdout, vectors))
-    vectors = rounds.write(vectors.select("item_id", "vector"))
-    n, dim = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
-    blocks = -(-n * dim * 8 // block_bytes) or 1
-    found = None
-    for b in range(blocks):
-        part = _score_block(users, vectors.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b), k)
-        found = part if found is None else found.unionByName(part)
+    clean, dim = _checked(rounds.write(vectors.select("item_id", "vector").filter("vector is not null")))
+    users = rounds.write(profiles(holdout, clean))
+    blocks = lambda n: max(1, -(-n * dim * 8 // block_bytes))
+    deal = blocks(users.count())
+    users = users.withColumn("ub", F.pmod(F.xxhash64("user_id"), F.lit(deal)).cast("int"))
+    items = rounds.write(item_blocks(clean, blocks(clean.count())))
+    found = rounds.write(_meet(users.withColumn("ib", F.lit(0)), items.filter("ib = 0").withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(deal - 1)))), k))
+    longest = [r["m"] for r in items.groupBy("ib").agg(F.max("norm").alias("m")).orderBy("ib").collect()]  # one number a block
+    if len(longest) > 1:
+        later = rounds.write(open_blocks(users, found, longest, k).filter("last > 0"))
+        of_items = later.groupBy("ub").agg(F.max("last").alias("last")).select("ub", F.explode(F.sequence(F.lit(1), "last")).alias("ib"))
+        each = later.withColumn("ib", F.explode(F.sequence(F.lit(1), "last"))).drop("last")
+        found = found.unionByName(_meet(each, items.join(of_items, "ib"), k))
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id"))
     return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("user_id", "rank", "item_id", "score")
 
 
-def _score_block(users: DataFrame, block: DataFrame, k: int) -> DataFrame:
-    items = block.orderBy("item_id").toArrow()  # bounded by block_bytes
-    flat = items.column("vector").combine_chunks().flatten().to_numpy()
-    shared = users.sparkSession.sparkContext.broadcast((items.column("item_id").to_pylist(), flat.reshape(items.num_rows, -1 if items.num_rows else 0)))
-
-    def run(batches):
-        ids, matrix = shared.value
-        place, names = {i: n for n, i in enumerate(ids)}, pa.array(ids, pa.string())
-        for batch in batches:
-            for at in range(0, batch.num_rows if ids else 0, 256):
-                part = batch.slice(at, 256)
-                mine = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
-                scores = np.round(np.maximum(mine @ matrix.T, 0), 9)
-                for row, seen in enumerate(part.column(2).to_pylist()):
+def _checked(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """Vectors, and their length; an error where they can't be scored."""
+    bad = F.count_if(F.exists("vector", lambda x: x.isNull()))
+    low, high, nulls = vectors.agg(F.min(F.size("vector")), F.max(F.size("vector")), bad).first()
+    if low != high:
+        raise ValueError(f"vectors of {low} to {high} numbers")
+    if nulls:
+        raise ValueError(f"{nulls} vectors hold nulls")
+    if not vectors.groupBy("item_id").count().filter("count > 1").isEmpty():
+        raise ValueError("item ids occur twice")
+    return vectors, low or 1
+
+
+def _size(vector: str) -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+
+
+def item_blocks(vectors: DataFrame, n: int) -> DataFrame:
+    """(item_id, vector, norm, ib): blocks of about equal size by falling length."""
+    sized = vectors.withColumn("norm", _size("vector"))
+    return sized.repartitionByRange(n, F.desc("norm"), "item_id").withColumn("ib", F.spark_partition_id())
+
+
+def open_blocks(users: DataFrame, found: DataFrame, longest: list[float], k: int) -> DataFrame:
+    """users with ``last``, the last block that can hold an item that belongs to the user's k best; 0 if none but the first."""
+    kth = found.groupBy("user_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
+    need = (F.coalesce("kth", F.lit(0.0)) - 2e-9) / F.greatest(_size("profile"), F.lit(1e-300))  # scores are rounded to 9 places
+    longest = F.array(*[F.lit(float(x)) for x in longest])
+    return users.join(kth, "user_id", "left").withColumn("last", F.size(F.filter(longest, lambda x: x >= need)) - 1).drop("kth")
+
+
+def _meet(users: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """(user_id, item_id, score): each user's k best of each item block that meets it, by (ub, ib)."""
+
+    def score(_key, mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        out = [pa.table({"user_id": pa.array([], pa.string()), "item_id": pa.array([], pa.string()), "score": pa.array([], pa.float64())})]
+        if mine.num_rows and theirs.num_rows:
+            theirs = theirs.sort_by("item_id")
+            names = theirs["item_id"].combine_chunks()
+            place = {name: n for n, name in enumerate(names.to_pylist())}
+            matrix = theirs["vector"].combine_chunks().flatten().to_numpy().reshape(len(names), -1).astype(np.float64)
+            for at in range(0, mine.num_rows, 256):
+                part = mine.slice(at, 256)
+                profile = part["profile"].combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1)
+                scores = np.round(np.maximum(profile @ matrix.T, 0), 9)
+                for row, seen in enumerate(part["source"].to_pylist()):
                     scores[row, [place[s] for s in seen if s in place]] = -1
                 order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                 best = np.take_along_axis(scores, order, axis=1)
                 row, column = np.nonzero(best >= 0)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), names.take(pa.array(order[row, column])), pa.array(best[row, column])], ["user_id", "item_id", "score"])
+                out.append(pa.table({"user_id": part["user_id"].take(pa.array(row)), "item_id": names.take(pa.array(order[row, column])), "score": pa.array(best[row, column])}))
+        return pa.concat_tables(out)
 
-    return users.select("user_id", "profile", "source").mapInArrow(run, "user_id string, item_id string, score double")
+    users, items = users.select("ub", "ib", "user_id", "profile", "source"), items.select(F.col("ub").alias("ub"), F.col("ib").alias("ib"), "item_id", "vector")
+    return users.groupBy("ub", "ib").cogroup(items.groupBy("ub", "ib")).applyInArrow(score, "user_id string, item_id string, score double")
 
 
 def decoded(codes: DataFrame, decoder: np.ndarray) -> DataFrame:

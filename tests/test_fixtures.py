@@ -1,9 +1,8 @@
 """Small cases worked out by hand."""
 
-from pyspark.sql import functions as F
-
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
 from spindrift.operators import prepare, retrieval, splits, tags
@@ -105,3 +104,36 @@ def test_details(spark):
     given = ['{"Brand": "X", "Empty": " ", "N": 3}', "{}", "", None, "plain {", "[1, 2]"]
     out = spark.createDataFrame([(i, g) for i, g in enumerate(given)], "i int, d string").select("i", T.details_text(F.col("d")).alias("t")).orderBy("i").collect()
     assert [r.t for r in out] == ["Brand: X\nN: 3", "", "", "", "plain {", "[1, 2]"]
+
+
+def test_top_k_in_blocks_equals_one_matrix(spark):
+    """Items of very unequal length in eight blocks, users in several: the same ranks, and most users leave out most blocks."""
+    rng = np.random.default_rng(3)
+    e = rng.normal(size=(160, 4)) * 3.0 ** -np.arange(160)[:, None].clip(0, 40) ** 0.5
+    items = [f"i{i:03}" for i in range(160)]
+    users = [(f"u{u}", [items[j] for j in rng.choice(160, 3, replace=False)]) for u in range(40)] + [("nobody", ["unknown"])]
+    holdout = spark.createDataFrame([(u, s, ["i000"]) for u, s in users], "user_id string, source array<string>, target array<string>")
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in zip(items, e, strict=True)] + [("none", None)], "item_id string, vector array<double>")
+    found = {(r.user_id, r.rank): r.item_id for r in retrieval.top_k(holdout, vectors, 5, 20 * 4 * 8).collect()}
+    expected = {}
+    for u, source in users[:-1]:
+        seen = [items.index(s) for s in source]
+        score = np.round(np.maximum(e[seen].sum(0) @ e.T, 0), 9)
+        score[seen] = -1
+        expected |= {(u, n): items[j] for n, j in enumerate(np.argsort(-score, kind="stable")[:5], 1)}
+    assert found == expected
+    blocks = retrieval.item_blocks(vectors.filter("vector is not null"), 8).cache()
+    longest = [r.m for r in blocks.groupBy("ib").agg(F.max("norm").alias("m")).orderBy("ib").collect()]
+    assert len(longest) == 8 and longest == sorted(longest, reverse=True)
+    profiles = retrieval.profiles(holdout, vectors.filter("vector is not null"))
+    first = retrieval._meet(profiles.selectExpr("*", "0 ub", "0 ib"), blocks.filter("ib = 0").selectExpr("*", "0 ub"), 5)
+    last = [r["last"] for r in retrieval.open_blocks(profiles, first, longest, 5).collect()]
+    assert len(last) == 40 and sum(last) < 40 * 7 / 2 and min(last) == 0
+
+
+def test_top_k_refuses_what_it_cannot_score(spark):
+    holdout = spark.createDataFrame([("u", ["a"], ["b"])], "user_id string, source array<string>, target array<string>")
+    for bad, what in (([("a", [1.0]), ("b", [1.0, 2.0])], "1 to 2 numbers"), ([("a", [1.0]), ("a", [2.0])], "twice"), ([("a", [None])], "nulls")):
+        with pytest.raises(ValueError, match=what):
+            retrieval.top_k(holdout, spark.createDataFrame(bad, "item_id string, vector array<double>"), 2)
+    assert retrieval.top_k(holdout, spark.createDataFrame([("a", None)], "item_id string, vector array<double>"), 2).collect() == []
