@@ -28,7 +28,7 @@ def liked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    return p.select(F.col("p_partkey").cast("string").alias("item_id"), F.col("p_name").alias("title"), F.concat_ws("|", "p_type", "p_brand").alias("genres"), F.array("p_type", "p_brand").alias("categories"), "p_partkey")
+    return p.select(F.col("p_partkey").cast("string").alias("item_id"), F.col("p_name").alias("title"), F.concat_ws("|", "p_type", "p_brand").alias("genres"), F.array("p_type", "p_brand").alias("categories"), "p_partkey", "p_size")
 
 
 def joined(df: DataFrame, *columns: str) -> DataFrame:
@@ -41,7 +41,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 _ALL = "i AS (SELECT CAST(o_custkey AS VARCHAR) AS user_id, CAST(l_partkey AS VARCHAR) AS item_id, CAST(ceil(l_quantity / 10) AS DOUBLE) AS value, CAST(epoch_us(o_orderdate) AS DOUBLE) AS timestamp FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 _LIKED = _ALL + ", x AS (SELECT user_id, item_id, CAST(1 AS DOUBLE) AS value, timestamp FROM i WHERE value >= 4)"
-_PARTS = "p AS (SELECT CAST(p_partkey AS VARCHAR) AS item_id, p_name AS title, concat_ws('|', p_type, p_brand) AS genres, p_type, p_brand, p_partkey FROM part)"
+_PARTS = "p AS (SELECT CAST(p_partkey AS VARCHAR) AS item_id, p_name AS title, concat_ws('|', p_type, p_brand) AS genres, p_type, p_brand, p_partkey, p_size FROM part)"
 _COLD = "r AS (SELECT item_id, row_number() OVER (ORDER BY md5(concat_ws(':', '42', item_id)), item_id) AS r FROM (SELECT DISTINCT item_id FROM x)), s AS (SELECT item_id, CASE WHEN r <= 50 THEN 'val' WHEN r <= 150 THEN 'test' ELSE 'train' END AS split FROM r)"
 _LLO = """n AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, item_id DESC) AS r FROM x),
 h AS (SELECT user_id, list_sort(list(DISTINCT item_id) FILTER (WHERE r > 1)) AS source, list(DISTINCT item_id) FILTER (WHERE r = 1) AS target FROM n WHERE n >= 2 GROUP BY user_id)"""
@@ -205,9 +205,11 @@ def weighted_tags(spark, sf_dir):
     return tags.weighted_tags(rows, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("tag_id"), F.col("n_name").alias("tag_name")), 30000)
 
 
-@query(f"WITH {_PARTS}, e AS (SELECT item_id, concat_ws('\n\n', 'Title: ' || trim(title), 'Categories: ' || p_type || ' > ' || p_brand) AS entity_text FROM p) SELECT * FROM e WHERE len(regexp_extract_all(entity_text, '\\S+')) >= 5")
+@query(f"WITH {_PARTS}, e AS (SELECT item_id, concat_ws('\n\n', CASE WHEN p_size > 25 THEN 'Title: ' || trim(title) END, 'Categories: ' || p_type || ' > ' || p_brand) AS entity_text FROM p) SELECT * FROM e WHERE len(regexp_extract_all(entity_text, '\\S+')) >= 5")
 def entity_text_filter(spark, sf_dir):
-    return T.add_entity_text(parts(spark, sf_dir), ["title", "missing", "categories"], 5, labelled=True).select("item_id", "entity_text")
+    """Small parts go without a title, and what is left of them has too few words."""
+    p = parts(spark, sf_dir).withColumn("title", F.when(F.col("p_size") > 25, F.col("title")))
+    return T.add_entity_text(p, ["title", "missing", "categories"], 5, labelled=True).select("item_id", "entity_text")
 
 
 @query(f"WITH {_PARTS} SELECT item_id, concat_ws('\n', nullif(trim(title), ''), nullif(trim(genres), '')) AS entity_text FROM p")

@@ -12,3 +12,9 @@ def test_equals_sql(spark, name):
 
 def test_flagship(spark):
     assert compare(spark, "flagship", flagship, ORACLE_SQL["retrieval_metrics"], "/root/testdata/sf0.001") == 1
+
+
+def test_word_count_drops_items(spark):
+    sf = "/root/testdata/sf0.001"
+    kept, whole = QUERIES["entity_text_filter"](spark, sf).count(), QUERIES["entity_text_labeled"](spark, sf).count()
+    assert 0 < kept < whole
