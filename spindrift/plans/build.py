@@ -206,6 +206,8 @@ def train_text(spark: SparkSession, path: str, encode=text_vectors.hashed_tfidf,
     items = read(spark, path).table("data", "metadata")
     if "entity_text" not in items.columns:
         raise ValueError("the items have no entity_text")
+    if items.filter(F.trim("entity_text") != "").isEmpty():
+        raise ValueError("all texts are empty")
     with update(spark, path) as target:
         target.put("text", {"vectors": encode(items, "item_id", "entity_text", **settings)}, {"settings": settings})
 

@@ -105,6 +105,14 @@ def test_training_and_evaluation(spark, tmp_path, ratings, items):
         plans.train_sae(spark, path, "other")
 
 
+def test_empty_texts_are_refused(spark, tmp_path):
+    path = f"file://{tmp_path}/c"
+    with store.update(spark, path) as target:
+        target.put("data", {"metadata": spark.createDataFrame([("a", " "), ("b", None)], "item_id string, entity_text string")}, {})
+    with pytest.raises(ValueError, match="all texts are empty"):
+        plans.train_text(spark, path)
+
+
 def test_text_vectors(spark):
     df = spark.createDataFrame([("a", "one two"), ("b", None), ("c", "one")], "k string, t string")
     out = {r.item_id: np.array(r.vector) for r in text_vectors.hashed_tfidf(df, "k", "t", 32).collect()}
