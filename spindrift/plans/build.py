@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field, fields
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -195,7 +196,7 @@ def train_elsa(spark: SparkSession, path: str, k_target: int | None = None, vali
         vectors, history = models.fit_compressed_elsa(at.table("data", "train"), k_target=k_target, how=how, callback=callback, **rest)
     else:
         vectors, history = models.fit_elsa(at.table("data", "train"), callback=callback, **settings)
-    with update(spark, path) as target:
+    with update(spark, path, at) as target:
         tables = {"vectors": vectors} | ({"sparse": retrieval.sparsify(vectors, k_target)} if k_target else {})
         target.put("compressed_elsa" if k_target else "elsa", tables, {"history": history, "settings": settings, "k_target": k_target})
     return history
@@ -203,13 +204,17 @@ def train_elsa(spark: SparkSession, path: str, k_target: int | None = None, vali
 
 def train_text(spark: SparkSession, path: str, encode=text_vectors.hashed_tfidf, **settings) -> None:
     """Stage ``text``: vectors of the items' entity_text by ``encode(items, id column, text column, **settings)``."""
-    items = read(spark, path).table("data", "metadata")
+    at = read(spark, path)
+    items = at.table("data", "metadata")
     if "entity_text" not in items.columns:
         raise ValueError("the items have no entity_text")
     if items.filter(F.trim("entity_text") != "").isEmpty():
         raise ValueError("all texts are empty")
-    with update(spark, path) as target:
+    with update(spark, path, at) as target:
         target.put("text", {"vectors": encode(items, "item_id", "entity_text", **settings)}, {"settings": settings})
+        made, asked = target.staged("text", "vectors").count(), items.count()
+        if made != asked:
+            raise ValueError(f"the encoder gave {made} vectors for {asked} items")
 
 
 def train_sae(spark: SparkSession, path: str, stage: str = "elsa", k: int = 128, hidden: int = 4096, score: str = "abs", norm_p: float | None = None, validate: bool = True, ks: tuple[int, ...] = (20, 50, 100), **settings) -> list[dict]:
@@ -226,20 +231,75 @@ def train_sae(spark: SparkSession, path: str, stage: str = "elsa", k: int = 128,
     codes = coded(w)
     parameters = spark.createDataFrame([(p, i, row.tolist()) for p, m in w.items() for i, row in enumerate(m)], "name string, row int, vec array<double>")
     dead = models.dead_features(codes, hidden).count()
-    with update(spark, path) as target:
+    with update(spark, path, at) as target:
         target.put(name, {"vectors": codes, "sparse": retrieval.sparsify(codes, k), "model": parameters}, {"history": history, "settings": settings | {"k": k, "hidden": hidden, "score": score, "norm_p": norm_p}, "dead_features": dead})
     return history
 
 
+def _decoder(at: Checkpoint, stage: str) -> np.ndarray | None:
+    """An autoencoder's decoder, hidden x dim numbers as in training, or None where the stage has no model."""
+    if "model" not in at.manifest()["stages"][stage]["tables"]:
+        return None
+    return np.array([r.vec for r in at.table(stage, "model").filter("name = 'dec'").orderBy("row").select("vec").collect()])
+
+
+def _measure(at: Checkpoint, stage: str, form: str, ks: tuple[int, ...]) -> dict | None:
+    """Metrics over the test holdout and sizes in MB, of a stage's vectors or of its codes under the decoder's kernel."""
+    vectors = at.table(stage, "vectors").select("item_id", "vector")
+    decoder = _decoder(at, stage) if form == "kernel" else None
+    if form == "kernel" and decoder is None:
+        return None
+    scored = vectors if decoder is None else retrieval.decoded(vectors, decoder)
+    out = _evaluate(at.table("data", "test"), retrieval.unit(scored, "vector"), ks)
+    dense = retrieval.size_report(vectors, 1).filter("form = 'dense'").first()
+    sizes = {"dense_mb": dense.mb if dense else 0.0}
+    if "sparse" in at.manifest()["stages"][stage]["tables"]:
+        sizes["sparse_mb"] = (at.table(stage, "sparse").agg(F.sum(F.size("cols"))).first()[0] or 0) * 8 / (1 << 20)
+    if decoder is not None:
+        sizes["kernel_mb"] = len(decoder) ** 2 * 4 / (1 << 20)
+    return out | sizes
+
+
+def _measured(spark: SparkSession, path: str, stage: str, form: str, ks: tuple[int, ...]) -> tuple[dict | None, bool]:
+    """What is kept in the checkpoint for these vectors, this holdout and these k, else measured and kept; and whether it was."""
+    at = read(spark, path)
+    of = " ".join([form, at.version(stage, "vectors"), at.version("data", "test"), *map(str, ks)])
+    kept = at.metrics(stage, of)
+    if kept is not None:
+        return kept, True
+    found = _measure(at, stage, form, ks)
+    if found is not None:
+        with update(spark, path) as target:
+            target.note(stage, of, found)
+    return found, False
+
+
+#: The stage with which another is compared.
+BASES = {"compressed_elsa": "elsa", "sae": "elsa", "text_sae": "text"}
+
+
 def evaluate(spark: SparkSession, path: str, stages: Sequence[str] | None = None, ks: tuple[int, ...] = (20, 50, 100)) -> DataFrame:
-    """(stage, recall and ndcg at each k, n_users) over the test holdout, for each stage that has vectors."""
+    """A report over the test holdout: (stage, form, base, recall and ndcg at each k, n_users, n_eval_rows, the drops of each metric
+    against the base in per cent, dense_mb, sparse_mb, kernel_mb, stored).
+
+    The form is vectors, and kernel too for the codes of an autoencoder.  Metrics are kept in the checkpoint and serve again as long
+    as neither the vectors nor the holdout have been written anew; ``stored`` says so.  A stage without its base has null drops."""
     at = read(spark, path)
-    found = [s for s in (stages or at.stages()) if "vectors" in at.manifest()["stages"].get(s, {}).get("tables", {})]
+    having = [s for s in at.stages() if "vectors" in at.manifest()["stages"][s]["tables"]]
+    found = [s for s in (stages or having) if s in having]
     if not found:
         raise ValueError("no stage with vectors")
+    names = [f"{m}_{k}" for m in ("recall", "ndcg") for k in ks]
+    sizes = ("dense_mb", "sparse_mb", "kernel_mb")
     rows = []
     for s in found:
-        unit = retrieval.unit(at.table(s, "vectors").select("item_id", "vector"), "vector")
-        rows.append({"stage": s} | _evaluate(at.table("data", "test"), unit, ks))
-    columns = ["stage"] + [f"{m}_{k}" for m in ("recall", "ndcg") for k in ks] + ["n_users", "n_eval_rows"]
-    return spark.createDataFrame([tuple(r[c] for c in columns) for r in rows], ", ".join(f"{c} {'string' if c == 'stage' else 'long' if c.startswith('n_') else 'double'}" for c in columns))
+        base = BASES.get(s) if BASES.get(s) in having else None
+        against = _measured(spark, path, base, "vectors", ks)[0] if base else None
+        for form in ("vectors", "kernel") if s in ("sae", "text_sae") else ("vectors",):
+            own, stored = _measured(spark, path, s, form, ks)
+            if own is not None:
+                drops = [None if against is None else 0.0 if against[n] == 0 else (against[n] - own[n]) / against[n] * 100 for n in names]
+                rows.append((s, form, base, *[own[n] for n in names], own["n_users"], own["n_eval_rows"], *drops, *[own.get(n) for n in sizes], stored))
+    kind = ["stage string", "form string", "base string", *[f"{n} double" for n in names], "n_users long", "n_eval_rows long"]
+    kind += [f"drop_{n} double" for n in names] + [f"{n} double" for n in sizes] + ["stored boolean"]
+    return spark.createDataFrame(rows, ", ".join(kind))

@@ -41,6 +41,92 @@ def test_update_is_all_or_nothing(spark, tmp_path):
             missing()
 
 
+def folder(spark, path, n):
+    with store.update(spark, path) as c:
+        c.put("data", {"train": spark.createDataFrame([("u", "a", 1.0), ("u", "a", 1.0), ("v", "b", 1.0)], "user_id string, item_id string, value double"), "items": spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")][:n], "item_idx long, item_id string")})
+
+
+@pytest.mark.parametrize("renaming", [store.RENAMING, ()])
+def test_two_open_updates(spark, tmp_path, monkeypatch, renaming):
+    monkeypatch.setattr(store, "RENAMING", renaming)
+    path = f"file://{tmp_path}/c"
+    folder(spark, path, 3)
+    with store.update(spark, path) as first:
+        first.put("elsa", {"vectors": numbers(spark, 1)})
+        with store.update(spark, path) as second:
+            second.put("text", {"vectors": numbers(spark, 2)})
+    at = store.read(spark, path)
+    assert at.stages() == ["data", "elsa", "text"] and at.newest() == 3 and at.table("text", "vectors").first().x == 2
+    with pytest.raises(store.ConcurrentUpdate), store.update(spark, path) as first:
+        first.put("text", {"vectors": numbers(spark, 3)})
+        folder(spark, path, 2)
+    with pytest.raises(store.ConcurrentUpdate), store.update(spark, path, at) as late:
+        late.put("elsa", {"vectors": numbers(spark, 4)})
+    assert store.read(spark, path).stages() == ["data"] and len([p for p in (tmp_path / "c").iterdir() if p.is_dir()]) == 1
+
+
+def test_a_number_is_given_once(spark, tmp_path):
+    path = f"file://{tmp_path}/c"
+    folder(spark, path, 3)
+    at = store.read(spark, path)
+    assert not at._publish(1, {}) and at.manifest()["stages"].keys() == {"data"}
+    assert not [p for p in (tmp_path / "c").iterdir() if "draft" in p.name]
+
+
+def test_older_layout_and_defaults(spark, tmp_path):
+    path = f"file://{tmp_path}/c"
+    folder(spark, path, 3)
+    for p in (tmp_path / "c").glob(".manifest*.crc"):
+        p.unlink()
+    (tmp_path / "c" / "manifest-00000001.json").rename(tmp_path / "c" / store.FIRST)
+    found = store.load_split(store.read(spark, path))
+    assert sorted(map(tuple, found["matrix"].collect())) == [(0, 0, 2.0), (1, 1, 1.0)] == sorted(map(tuple, found["train_target"].collect()))
+    assert {tuple(r) for r in found["item_parts"].collect()} == {(i, "train") for i in "abc"}
+    assert found["metadata"] is None and found["tags"] is None and found["val"].count() == 0 == found["test_source"].count()
+    with store.update(spark, path) as c:
+        c.put("data", {"train": found["train"], "items": found["items"], "test": spark.createDataFrame([("w", ["a", "x"], ["c"])], store.HOLDOUT)})
+    at = store.read(spark, path)
+    found = store.load_split(at)
+    assert at.newest() == 1 and [tuple(r) for r in found["test_source"].collect()] == [("w", 0, 1.0)] and [tuple(r) for r in found["test_target"].collect()] == [("w", 2, 1.0)]
+
+
+def test_stored_metrics(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/c"
+    vectors = lambda *v: spark.createDataFrame([(i, list(x)) for i, x in zip("abc", v, strict=True)], "item_id string, vector array<double>")
+    test = spark.createDataFrame([("u", ["a"], ["b"])], store.HOLDOUT)
+    model = spark.createDataFrame([("dec", 1, [0.0, 1.0]), ("dec", 0, [1.0, 0.0]), ("enc", 0, [9.0, 9.0])], "name string, row int, vec array<double>")
+    with store.update(spark, path) as c:
+        c.put("data", {"test": test})
+        c.put("elsa", {"vectors": vectors((1.0, 0.0), (0.9, 0.1), (0.0, 1.0))})
+        c.put("sae", {"vectors": vectors((1.0, 0.0), (0.0, 1.0), (1.0, 0.0)), "sparse": spark.createDataFrame([([0], [1.0])] * 3, "cols array<int>, vals array<double>"), "model": model})
+    first = plans.evaluate(spark, path, ks=(1,)).collect()
+    assert [(r.stage, r.form, r.base, r.recall_1, r.drop_recall_1, r.stored) for r in first] == [("elsa", "vectors", None, 1.0, None, False), ("sae", "vectors", "elsa", 0.0, 100.0, False), ("sae", "kernel", "elsa", 0.0, 100.0, False)]
+    assert [(r.dense_mb, r.sparse_mb, r.kernel_mb) for r in first] == [(24 / 2**20, None, None), (24 / 2**20, 24 / 2**20, None), (24 / 2**20, 24 / 2**20, 16 / 2**20)]
+
+    def never(*_):
+        raise AssertionError("scored again")
+
+    with monkeypatch.context() as m:
+        m.setattr(plans, "_evaluate", never)
+        again = plans.evaluate(spark, path, ks=(1,)).collect()
+        assert [tuple(r)[:-1] for r in again] == [tuple(r)[:-1] for r in first] and all(r.stored for r in again)
+        with pytest.raises(AssertionError):
+            plans.evaluate(spark, path, ks=(2,))
+    with store.update(spark, path) as c:
+        c.put("data", {"test": spark.createDataFrame([("u", ["a"], ["c"])], store.HOLDOUT)})
+        c.put("elsa", {"vectors": vectors((1.0, 0.0), (0.9, 0.1), (0.0, 1.0))})
+    assert [(r.stage, r.recall_1, r.stored) for r in plans.evaluate(spark, path, ks=(1,)).collect()] == [("elsa", 0.0, False)]
+
+
+def test_encoders_give_a_vector_for_each_item(spark, tmp_path):
+    path = f"file://{tmp_path}/c"
+    with store.update(spark, path) as target:
+        target.put("data", {"metadata": spark.createDataFrame([("a", "x"), ("b", "y")], "item_id string, entity_text string")})
+    with pytest.raises(ValueError, match="1 vectors for 2 items"):
+        plans.train_text(spark, path, lambda items, key, text: items.limit(1).selectExpr(key, "array(1D) as vector"))
+    assert store.read(spark, path).stages() == ["data"]
+
+
 def test_clusters(spark, tmp_path):
     rows = [("r", [], [0, 1]), ("s", ["r"], [])]
     with store.update(spark, f"file://{tmp_path}/c") as c:
