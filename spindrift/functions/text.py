@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 _EDGE = r"^[\s\x1c-\x1f\x85\xa0]+|[\s\x1c-\x1f\x85\xa0]+$"
 
@@ -31,6 +32,28 @@ def map_text(c: Column, separator: str, missing: str | None = "") -> Column:
     return F.coalesce(F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), clean(e["value"]))), separator), F.lit(missing))
 
 
+def value_text(c: Column, kind: DataType, separator: str = " ") -> Column:
+    """A column of any depth as text: members of lists, ``key: text`` of maps and structs, each where the text isn't empty.
+
+    The expression follows the type ``kind``; null and NaN are empty, True and False are written so."""
+    name = kind.typeName()
+    joined = lambda texts: strip(F.array_join(F.filter(texts, lambda x: x != ""), separator))
+    entry = lambda key, text: F.when(text != "", F.concat(key, F.lit(": "), text)).otherwise("")
+    if name == "array":
+        out = joined(F.transform(c, lambda x: value_text(x, kind.elementType, separator)))
+    elif name == "map":
+        out = joined(F.transform(F.map_entries(c), lambda e: entry(e["key"].cast("string"), value_text(e["value"], kind.valueType, separator))))
+    elif name == "struct":
+        out = joined(F.array(*[entry(F.lit(f.name), value_text(c.getField(f.name), f.dataType, separator)) for f in kind.fields]))
+    elif name == "boolean":
+        out = F.initcap(c.cast("string"))
+    elif name in ("double", "float"):
+        out = F.when(~F.isnan(c), c.cast("string"))
+    else:
+        out = strip(c.cast("string"))
+    return F.when(c.isNotNull(), F.coalesce(out, F.lit(""))).otherwise("")
+
+
 def details_text(c: Column, separator: str = "\n") -> Column:
     """A JSON object as ``key: value`` entries; a text that isn't JSON stays as it is."""
     given = clean(c)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import prepare
+from .rounds import Rounds
 
 
 def draw(seed: int | str, *ids: Column) -> Column:
@@ -13,14 +14,21 @@ def draw(seed: int | str, *ids: Column) -> Column:
 
 
 def three_way(keys: DataFrame, key: str, n_val: int, n_test: int, seed: int) -> DataFrame:
-    """(key, split): the first n_val of the seeded order are val, the next n_test test, the rest train."""
-    total = keys.count()
+    """(key, split): the first n_val of the seeded order are val, the next n_test test, the rest train.
+
+    The draws' first four digits cut the order into 65,536 cells; a count of each says where the two ends lie, and only keys of
+    those cells are ranked, each cell apart.  So any share may be held out."""
+    drawn, total = Rounds(keys.sparkSession).counted(keys.select(key, draw(seed, F.col(key)).alias("_d")).withColumn("_c", F.substring("_d", 1, 4)))
     if n_val + n_test >= total:
         raise ValueError(f"val and test take {n_val + n_test} of {total}")
-    held = keys.select(key, draw(seed, F.col(key)).alias("_d")).orderBy("_d", key).limit(n_val + n_test)
-    ranked = held.withColumn("_r", F.row_number().over(Window.orderBy("_d", key)))  # bounded by n_val + n_test rows
-    split = F.when(F.col("_r").isNull(), "train").when(F.col("_r") <= n_val, "val").otherwise("test")
-    return keys.join(ranked.select(key, "_r"), key, "left").select(key, split.alias("split"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = drawn.groupBy("_c").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", before)  # 65,536 rows at the most
+    split = lambda at: F.when(at < n_val, "val").when(at < n_val + n_test, "test").otherwise("train")
+    cells = cells.select("_c", "_b", split(F.col("_b")).alias("split"), (split(F.col("_b")) != split(F.col("_b") + F.col("_n") - 1)).alias("_cut"))
+    placed = drawn.join(F.broadcast(cells), "_c")
+    rank = F.col("_b") + F.row_number().over(Window.partitionBy("_c").orderBy("_d", key)) - 1
+    cut = placed.filter("_cut").withColumn("split", split(rank))
+    return placed.filter("not _cut").select(key, "split").unionByName(cut.select(key, "split"))
 
 
 def fold_holdout(df: DataFrame, items: DataFrame, seed: int, draws: int, min_items: int, share: float = 0.2) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import models, prepare, retrieval, splits, tags
 from .operators.rounds import Rounds
+from .sources import store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -352,6 +353,34 @@ def cold_target_items(spark, sf_dir):
     return item_split(spark, sf_dir).filter("split = 'test'").select("item_id")
 
 
+@query(ORACLE_SQL["sparse_matrix"])
+def checkpoint_roundtrip(spark, sf_dir):
+    """The train matrix of a checkpoint that was written without one, after another update has added a stage."""
+    x, path = liked(spark, sf_dir), Rounds(spark).base
+    with store.update(spark, path) as c:
+        c.put("data", {"train": x, "items": prepare.vocabulary(x, "item_id", "item_idx")})
+    with store.update(spark, path) as c:
+        c.put("text", {"vectors": _vectors(spark, sf_dir)})
+    return store.load_split(store.read(spark, path))["matrix"]
+
+
+@query("SELECT event_id, 'tags: a ' || event_type || ' seen: ' || CASE WHEN value > 50 THEN 'True' ELSE 'False' END || ' more: k: ' || user_id || CASE WHEN value > 50 THEN ' deep: x: ' || event_type ELSE '' END AS text FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
+def nested_text(spark, sf_dir):
+    """Lists in a struct, and structs in a map beside it; what is empty leaves no key."""
+    e = table(spark, sf_dir, "events").filter("user_id is not null and event_type is not null and value is not null and not isnan(value)")
+    high = F.col("value") > 50
+    deep = F.when(high, F.create_map(F.lit("x"), F.array("event_type", F.lit(" "))))
+    e = e.withColumn("v", F.struct(F.array(F.array(F.lit(" a ")), F.array("event_type")).alias("tags"), high.alias("seen"), F.struct(F.col("user_id").alias("k"), deep.alias("deep")).alias("more")))
+    return e.select("event_id", T.value_text(F.col("v"), e.schema["v"].dataType).alias("text"))
+
+
+@query(f"WITH {_LIKED}, n AS (SELECT count(*) AS n FROM (SELECT DISTINCT item_id FROM x)), r AS (SELECT item_id, row_number() OVER (ORDER BY md5(concat_ws(':', '7', item_id)), item_id) AS r FROM (SELECT DISTINCT item_id FROM x)) SELECT item_id, CASE WHEN r <= n * 3 // 10 THEN 'val' WHEN r <= n * 3 // 10 + n * 4 // 10 THEN 'test' ELSE 'train' END AS split FROM r, n")
+def item_split_shares(spark, sf_dir):
+    items = Rounds(spark).write(liked(spark, sf_dir).select("item_id").distinct())
+    n = items.count()
+    return splits.three_way(items, "item_id", n * 3 // 10, n * 4 // 10, 7)
+
+
 @query()
 def elsa_vectors(spark, sf_dir):
     return models.fit_elsa(liked(spark, sf_dir), dim=16, epochs=1)[0]

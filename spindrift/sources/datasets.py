@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, StringType
 from ..functions import text as T
 from ..operators.prepare import canonical, keep_first, number
 from ..operators.rounds import Rounds
+from . import arrow_files
 
 
 @dataclass(frozen=True)
@@ -45,8 +46,14 @@ def exists(spark: SparkSession, pattern: str) -> bool:
 
 
 def read_feather(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """Columns of Feather files as text.  A file is read by one task, whole (2 GB at most), as its index is at its end."""
+    """Columns of a Feather file as text.
+
+    Version 2 files are read by many tasks, record batches apart, where Arrow knows the file system.  Other files are read whole by
+    one task (2 GB at most)."""
     names, schema = list(columns), pa.schema([(c, pa.string()) for c in columns])
+    if arrow_files.is_ipc(path):
+        spark.dataSource.register(arrow_files.ArrowFiles)
+        return spark.read.format("arrow_file").option("columns", ",".join(names)).load(path)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
