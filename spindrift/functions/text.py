@@ -69,8 +69,8 @@ def join_non_empty(parts: Sequence[Column], separator: str) -> Column:
 
 
 def entity_text(df: DataFrame, fields: Sequence[str]) -> Column:
-    """Cleaned fields in order, one a line; fields that df lacks are skipped."""
-    return join_non_empty([clean(F.col(f)) for f in fields if f in df.columns], "\n")
+    """Cleaned fields in order, one a line, as are their members if they are nested; fields that df lacks are skipped."""
+    return join_non_empty([value_text(F.col(f), df.schema[f].dataType, "\n") for f in fields if f in df.columns], "\n")
 
 
 def labelled_entity_text(df: DataFrame, fields: Sequence[str]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .rounds import Rounds
@@ -35,13 +35,16 @@ def with_support(df: DataFrame, key: str, at_least: int, distinct: str | None =
     return df.join(df.groupBy(key).agg(n.alias("_n")).filter(F.col("_n") >= at_least).select(key), key, "left_semi").select(df.columns)
 
 
-def kcore(df: DataFrame, user_min: int, item_min: int, max_steps: int = 0) -> DataFrame:
-    """Drops rare items, then rare users among what is left, until no row goes (or max_steps rounds).
+def kcore(df: DataFrame, user_min: int, item_min: int, max_steps: int = 0, recount: int = 10_000_000) -> DataFrame:
+    """Drops rare items, then rare users among what is left, until no row goes (or max_steps rounds).  Rows with a null id whose
+    side has a least support go.
 
-    Each round is a written table: the plan stays short, and lost executors cost one round.  Rows are counted as they are
-    written."""
+    Each round is a written table: the plan stays short, and lost executors cost one round.  Up to ``recount`` rows are counted
+    anew in each round, as small jobs cost more than counting; more are peeled by differences, with the same result."""
     rounds = Rounds(df.sparkSession)
-    kept, n = rounds.counted(df)
+    kept, n = rounds.counted(df.na.drop(subset=[k for k, least in (("item_id", item_min), ("user_id", user_min)) if least > 1]))
+    if n > recount and min(item_min, user_min) > 1:
+        return peeled(kept, user_min, item_min, max_steps)
     step = 0
     while True:
         kept, after = rounds.counted(with_support(with_support(kept, "item_id", item_min), "user_id", user_min), kept)
@@ -50,6 +53,61 @@ def kcore(df: DataFrame, user_min: int, item_min: int, max_steps: int = 0) -> Da
             return kept
 
 
+def peeled(df: DataFrame, user_min: int, item_min: int, max_steps: int = 0, report: list | None = None) -> DataFrame:
+    """``kcore`` of rows without null ids, for large tables and long tails of rounds.
+
+    Degrees are counted once.  A half-round then looks only at keys that lost rows in the one before: what they lost is taken
+    from their degrees, and the rows of those that fall below are read from their own buckets of a table kept by that key.
+    ``report`` gets (key, rows read, rows that went) of each half-round."""
+    least, bound = {"item_id": item_min, "user_id": user_min}, ["item_id", "user_id"]
+    rounds = Rounds(df.sparkSession)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets, salts = max(32, parts), -(-parts // 32)
+
+    def by(rows: DataFrame, key: str, other: str) -> DataFrame:
+        """Rows in buckets of a key; a frequent key's rows are dealt to several tasks by the other key."""
+        rows = rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        return rounds.write(rows.repartition(parts, "_b", F.pmod(F.xxhash64(other), F.lit(salts))), by=("_b",))
+
+    tables = {"item_id": by(df, "item_id", "user_id")}
+    tables["user_id"] = by(tables["item_id"].select("item_id", "user_id"), "user_id", "item_id")
+    degrees = {key: rounds.write(t.groupBy("_b", key).agg(F.count(F.lit(1)).alias("n"))) for key, t in tables.items()}
+    gone: dict[str, list[DataFrame]] = {key: [] for key in bound}
+    lost: dict[str, list[DataFrame]] = {key: [] for key in bound}
+    half, (key, other) = 0, bound
+    while not (max_steps and half >= 2 * max_steps):
+        half += 1
+        now = degrees[key]
+        if lost[other]:
+            fallen = rounds.union(lost[other])
+            if half > 2:
+                fallen = fallen.join(lost[other][-1].select(key).distinct(), key, "left_semi")
+            now = now.join(fallen.groupBy(key).agg(F.count(F.lit(1)).alias("_lost")), key, "inner" if half > 2 else "left")
+            now = now.withColumn("n", F.col("n") - F.coalesce("_lost", F.lit(0)))
+        out, n = rounds.counted(now.filter(F.col("n").between(1, least[key] - 1)).select("_b", key))
+        if not n and half > 1:
+            break
+        if n:
+            rows = tables[key].select("_b", *bound)
+            if n <= 4 * buckets:
+                rows = rows.filter(F.col("_b").isin([r[0] for r in out.select("_b").distinct().collect()]))
+            read = Observation()
+            rows = rows.observe(read, F.count(F.lit(1)).alias("n")).join(out.select(key), key, "left_semi")
+            if gone[other]:
+                rows = rows.join(rounds.union(gone[other]).select(other), other, "left_anti")
+            rows, went = rounds.counted(rows.select(*bound))
+            gone[key].append(out)
+            lost[key].append(rows)
+            if report is not None:
+                report.append((key, read.get["n"], went))
+        key, other = other, key
+    kept = tables["item_id"]
+    for key in bound:
+        if gone[key]:
+            kept = kept.join(rounds.union(gone[key]).select(key), key, "left_anti")
+    return kept.select(df.columns)
+
+
 def restrict(df: DataFrame, items: DataFrame) -> DataFrame:
     return df.join(items.select("item_id").distinct(), "item_id", "left_semi").select(df.columns)
 

@@ -50,6 +50,10 @@ class Rounds:
         out._path = path
         return out
 
+    def union(self, tables: list[DataFrame]) -> DataFrame:
+        """The rows of several written tables of one schema."""
+        return self.spark.read.schema(tables[0].schema).parquet(*[t._path for t in tables])
+
     def drop(self, table: DataFrame) -> None:
         _delete(self.spark, table._path)
 

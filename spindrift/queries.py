@@ -100,6 +100,11 @@ def kcore_prune(spark, sf_dir):
     return prepare.kcore(liked(spark, sf_dir), 10, 8)
 
 
+@query(_kcore_sql())
+def kcore_by_differences(spark, sf_dir):
+    return prepare.peeled(liked(spark, sf_dir), 10, 8)
+
+
 @query(f"WITH {_LIKED} SELECT * FROM x WHERE item_id IN (SELECT CAST(vec_id AS VARCHAR) FROM embeddings)")
 def restrict_to_metadata(spark, sf_dir):
     return prepare.restrict(liked(spark, sf_dir), table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("item_id")))

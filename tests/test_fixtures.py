@@ -51,6 +51,29 @@ def test_pruning_ends_at_nothing(spark):
     assert prepare.kcore(df, 2, 2, 1).count() == 2 and prepare.kcore(df, 2, 2).count() == 0
 
 
+def test_pruning_by_differences(spark):
+    """A chain loses its two ends in each round, far from a core that stays."""
+    chain = [(f"u{k}", f"i{k + d}") for k in range(6) for d in (0, 1)]
+    core = [(f"w{a}", f"c{b}") for a in range(40) for b in range(3)] + [("w0", "c0")] * 2
+    df = spark.createDataFrame([(u, i, n) for n, (u, i) in enumerate(chain + core)], "user_id string, item_id string, n int")
+    rows = lambda x: sorted(tuple(r) for r in x.collect())
+    for steps in (1, 0):
+        assert rows(prepare.kcore(df, 2, 2, steps, recount=0)) == rows(prepare.kcore(df, 2, 2, steps))
+    report = []
+    assert rows(prepare.peeled(df, 2, 2, report=report)) == sorted((u, i, n) for n, (u, i) in enumerate(core, len(chain)))
+    assert [went for _, _, went in report] == [2] * 6 and max(read for _, read, _ in report) < df.count()
+    odd = df.unionByName(spark.createDataFrame([(None, "c0", -1), ("w0", None, -2), (None, None, -3)], df.schema))
+    assert rows(prepare.kcore(odd, 2, 2, recount=0)) == rows(prepare.kcore(odd, 2, 2)) == rows(prepare.kcore(df, 2, 2))
+    assert prepare.kcore(odd, 1, 1).count() == odd.count() and prepare.kcore(df.limit(0), 2, 2, recount=-1).count() == 0
+
+
+def test_entity_text_of_any_depth(spark):
+    kind = "title string, names array<string>, more map<string, array<string>>, score double"
+    df = spark.createDataFrame([(" A ", ["x ", "", "y"], {"k": ["1", "2"], "e": []}, 1.5), (None, None, None, float("nan"))], kind)
+    fields = ["title", "names", "absent", "more", "score"]
+    assert [r.entity_text for r in T.add_entity_text(df, fields).collect()] == ["A\nx\ny\nk: 1\n2\n1.5", ""]
+
+
 def test_top_k_and_metrics(spark):
     vectors = spark.createDataFrame([("0", [1.0, 0.0]), ("1", [0.0, 1.0]), ("2", [0.6, 0.8])], "item_id string, vector array<double>")
     holdout = spark.createDataFrame([("u", ["0"], ["1"]), ("v", ["0"], [])], "user_id string, source array<string>, target array<string>")
