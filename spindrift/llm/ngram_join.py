@@ -10,8 +10,10 @@ which is counted over all documents (``packed.py``); prefix tokens that no other
    blocks of ``block`` members.
 2. The matrix has a row per prefix token and block.  A class is a query for the blocks of *other* groups that it shares a
    prefix token with and that can still overlap enough from that token on: of a pair that links, all common tokens stand at
-   or after the first one in either order, which bounds the overlap by what is left of either set.  Each block stores the union of its members' tokens; if the query's overlap with that union is below
-   the least overlap that any member could need, the block stays closed, else its members are compared until one links.
+   or after the first one in either order, which bounds the overlap by what is left of either set.  Each block stores the
+   union of its members' tokens; if the query's overlap with that union is below the least overlap that any member could
+   need, the block stays closed.  Only opened blocks gather their members' sets, a megabyte to a row, and each of these rows
+   is searched until a member links.
 3. The links of both steps are connected to components.
 
 No link between groups is lost: any such link shares a prefix token, and its block is opened unless the bound rules the link
@@ -224,11 +226,15 @@ def jaccard_components(df: DataFrame, key: str, text: str, n: int = 3, percent:
     wanted = queries.select(F.col("g").alias("grp"), F.col("g_lot").alias("lot")).distinct()
     inside = scratch.write(members.join(wanted, ["grp", "lot"]).select("grp", "lot", "node"))
     sets = sets_of(inside.select("node").unionByName(queries.select("node")))
-    opened = inside.join(sets, "node")
-    unions = scratch.write(opened.withColumn("bucket", F.pmod(F.xxhash64("grp", "lot"), F.lit(4 * parallelism(spark)))).groupBy("bucket").applyInArrow(_block_rows, BLOCK_ROWS))
-    asked = queries.join(own(sets, "node", "a_tokens"), "node").join(unions.select(F.col("grp").alias("g"), F.col("lot").alias("g_lot"), "low", "tokens", "members", "sets"), ["g", "g_lot"])
-    more = scratch.write(_open(asked.select("node", "a_tokens", "low", "tokens", "members", "sets"), percent))
-    scratch.drop(shared, pairs, sets, rated, queries, unions)
+    held = inside.join(sets, "node").withColumn("bucket", F.pmod(F.xxhash64("grp", "lot"), F.lit(4 * parallelism(spark))))
+    unions = scratch.write(held.groupBy("bucket").applyInArrow(_unions, UNIONS))
+    asks_of = lambda asked, blocks, *columns: asked.join(own(sets, "node", "a_tokens"), "node").join(blocks.select(F.col("grp").alias("g"), F.col("lot").alias("g_lot"), *columns), ["g", "g_lot"])
+    asked = asks_of(queries, unions, "low", "tokens").select("node", "g", "g_lot", "a_tokens", "low", "tokens")
+    opened = scratch.write(asked.mapInArrow(_bound(percent), "node binary, g binary, g_lot int"))
+    within = held.join(opened.select(F.col("g").alias("grp"), F.col("g_lot").alias("lot")).distinct(), ["grp", "lot"], "left_semi")
+    pieces = scratch.write(within.groupBy("bucket").applyInArrow(_pieces, PIECES))
+    more = scratch.write(asks_of(opened, pieces, "members", "sets").select("node", "a_tokens", "members", "sets").mapInArrow(_compare(percent), "a binary, b binary"))
+    scratch.drop(shared, pairs, sets, rated, queries, inside, unions, opened, pieces)
 
     final = groups if more.isEmpty() else components(links.unionByName(more), scratch)
     labelled = classes.join(final.withColumnRenamed("v", "node"), "node").select("node", "_key", "label")
@@ -240,43 +246,74 @@ def jaccard_components(df: DataFrame, key: str, text: str, n: int = 3, percent:
     return out.select(F.col("_key").alias(key), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("_tid").alias("text_id"))
 
 
-BLOCK_ROWS = "grp binary, lot int, low int, tokens binary, members array<binary>, sets array<binary>"
+UNIONS = "grp binary, lot int, low int, tokens binary"
+PIECES = "grp binary, lot int, members array<binary>, sets array<binary>"
+PIECE_BYTES = 1 << 20
 
 
-def _block_rows(table: pa.Table) -> pa.Table:
-    """Gathers blocks: one row with the union of tokens, the least set size, and the members with their sets."""
+def _by_block(table: pa.Table):
+    """The rows of each block of a table."""
     at: dict[tuple, list[int]] = {}
     for i, k in enumerate(zip(table["grp"].to_pylist(), table["lot"].to_pylist(), strict=True)):
         at.setdefault(k, []).append(i)
-    blobs, keys = table["tokens"].to_pylist(), table["node"].to_pylist()
-    out = {c: [] for c in ("grp", "lot", "low", "tokens", "members", "sets")}
-    for (g, lot), rows in at.items():
-        own = [np.frombuffer(blobs[i], np.uint64) for i in rows]
-        values = (g, lot, min(x.size for x in own), np.unique(np.concatenate(own)).tobytes(), [keys[i] for i in rows], [blobs[i] for i in rows])
-        for c, v in zip(out, values, strict=True):
-            out[c].append(v)
-    kinds = (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()))
-    return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+    return at.items()
+
+
+def _unions(table: pa.Table) -> pa.Table:
+    """(grp, lot, low, tokens): the union of a block's tokens and its least set size."""
+    blobs, out = table["tokens"], []
+    for (g, lot), rows in _by_block(table):
+        own = [np.frombuffer(blobs[i].as_py(), np.uint64) for i in rows]
+        out.append((g, lot, min(x.size for x in own), np.unique(np.concatenate(own)).tobytes()))
+    kinds = (pa.binary(), pa.int32(), pa.int32(), pa.binary())
+    return pa.table([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["grp", "lot", "low", "tokens"])
+
+
+def _pieces(table: pa.Table) -> pa.Table:
+    """(grp, lot, members, sets): a block's members with their sets, in rows of about a megabyte."""
+    keys, blobs, out = table["node"], table["tokens"], []
+    for (g, lot), rows in _by_block(table):
+        size = PIECE_BYTES
+        for i in rows:
+            blob = blobs[i].as_py()
+            if size + len(blob) > PIECE_BYTES:
+                size = 0
+                out.append((g, lot, [], []))
+            size += len(blob)
+            out[-1][2].append(keys[i].as_py())
+            out[-1][3].append(blob)
+    kinds = (pa.binary(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary()))
+    return pa.table([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["grp", "lot", "members", "sets"])
+
+
+def _bound(percent: int):
+    """Those queries (node, g, g_lot) whose overlap with the block's union doesn't rule the block out."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for own, low, union in zip(batch.column("a_tokens"), batch.column("low").to_pylist(), batch.column("tokens"), strict=True):
+                q = np.frombuffer(own.as_py(), np.uint64)
+                common = np.intersect1d(q, np.frombuffer(union.as_py(), np.uint64), assume_unique=True).size
+                keep.append((100 + percent) * common >= percent * (q.size + max(low, -(-percent * q.size // 100))))
+            yield batch.select(["node", "g", "g_lot"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
-def _open(asked: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of queries with members of the blocks that their union doesn't rule out; one for each block."""
+def _compare(percent: int):
+    """Links (a, b) of queries with members of opened blocks; one for each piece of a block."""
 
     def run(batches):
         for batch in batches:
             a, b = [], []
             for i in range(batch.num_rows):
-                r = {name: batch.column(name)[i].as_py() for name in ("node", "a_tokens", "low", "tokens")}
-                q = np.frombuffer(r["a_tokens"], np.uint64)
-                common = np.intersect1d(q, np.frombuffer(r["tokens"], np.uint64), assume_unique=True).size
-                least = max(r["low"], -(-percent * q.size // 100))
-                if (100 + percent) * common < percent * (q.size + least):
-                    continue
-                for m, blob in zip(batch.column("members")[i].as_py(), batch.column("sets")[i].as_py(), strict=True):
-                    if _linked(q, np.frombuffer(blob, np.uint64), percent):
-                        a.append(r["node"])
-                        b.append(m)
-                        break
+                q = np.frombuffer(batch.column("a_tokens")[i].as_py(), np.uint64)
+                members, sets = batch.column("members")[i], batch.column("sets")[i]
+                found = next((k for k in range(len(members)) if _linked(q, np.frombuffer(sets[k].as_py(), np.uint64), percent)), None)
+                if found is not None:
+                    a.append(batch.column("node")[i].as_py())
+                    b.append(members[found].as_py())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return asked.mapInArrow(run, "a binary, b binary")
+    return run
