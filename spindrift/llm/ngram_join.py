@@ -7,13 +7,15 @@ which is counted over all documents (``packed.py``); prefix tokens that no other
 
 1. Every class tries to join the smallest class that it shares a prefix token with, so that copies of one document hang
    together without being paired with each other.  Connected classes are similar: they make up the groups, split into
-   blocks of ``block`` members.
+   blocks of ``block`` members.  Classes without a link yet gather in bins of similar ones, which are split likewise, so that
+   many classes that share a token but don't link aren't all paired.
 2. The matrix has a row per prefix token and block.  A class is a query for the blocks of *other* groups that it shares a
    prefix token with and that can still overlap enough from that token on: of a pair that links, all common tokens stand at
    or after the first one in either order, which bounds the overlap by what is left of either set.  Each block stores the
    union of its members' tokens; if the query's overlap with that union is below the least overlap that any member could
    need, the block stays closed.  Only opened blocks gather their members' sets, a megabyte to a row, and each of these rows
-   is searched until a member links.
+   is searched until a member links; in a bin's, until one of each part that is connected inside the row has been tried.
+   A bin's classes ask for the blocks of their own bin too.
 3. The links of both steps are connected to components.
 
 No link between groups is lost: any such link shares a prefix token, and its block is opened unless the bound rules the link
@@ -28,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -211,16 +213,19 @@ def jaccard_components(df: DataFrame, key: str, text: str, n: int = 3, percent:
     groups = components(links, scratch)
 
     # Queries and blocks of different groups that meet in a prefix token.  Of two groups the one with fewer members asks.
-    members = shared.select("node", "n").distinct().join(groups.withColumnRenamed("v", "node"), "node", "left").select("node", "n", F.coalesce("label", "node").alias("grp"))
+    # Classes without a link gather in bins, by the smallest class that they share a prefix token with.
+    near = shared.groupBy("node", "n").agg(F.min("lead.node").alias("near"))
+    members = near.join(groups.withColumnRenamed("v", "node"), "node", "left").select("node", "n", F.coalesce("label", F.concat("near", F.lit(bytes(1)))).alias("grp"))
     members = members.join(members.groupBy("grp").agg(F.count(F.lit(1)).alias("members")), "grp")
     lots = F.greatest(F.lit(1), F.ceil(F.col("members") / block)).cast("int")
     members = scratch.write(members.withColumn("lot", F.pmod(F.xxhash64("node"), lots).cast("int")))
     rated = shared.select("token", "node", "reach").join(members, "node")
-    mixed = rated.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x <> y").select("token")
+    mixed = rated.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).filter((F.col("x") != F.col("y")) | _bin("x")).select("token")
     rated = scratch.write(rated.join(mixed, "token"))
     blocks = rated.groupBy("token", "grp", "lot", "members").agg(F.min("n").alias("low"), F.max("reach").alias("most"))
     blocks = blocks.select("token", F.col("grp").alias("g"), F.col("lot").alias("g_lot"), F.col("members").alias("g_members"), "low", "most")
-    asks = (F.struct("members", "grp") < F.struct(F.col("g_members").alias("members"), F.col("g").alias("grp"))) & (F.col("most") >= F.col("n") * percent) & (F.col("reach") >= F.col("low") * percent)
+    asks = (F.struct("members", "grp") < F.struct(F.col("g_members").alias("members"), F.col("g").alias("grp"))) | (_bin("g") & (F.col("grp") == F.col("g")) & (F.col("lot") <= F.col("g_lot")))
+    asks &= (F.col("most") >= F.col("n") * percent) & (F.col("reach") >= F.col("low") * percent)
     queries = scratch.write(rated.join(blocks, "token").filter(asks).select("node", "g", "g_lot").distinct())
 
     wanted = queries.select(F.col("g").alias("grp"), F.col("g_lot").alias("lot")).distinct()
@@ -232,8 +237,10 @@ def jaccard_components(df: DataFrame, key: str, text: str, n: int = 3, percent:
     asked = asks_of(queries, unions, "low", "tokens").select("node", "g", "g_lot", "a_tokens", "low", "tokens")
     opened = scratch.write(asked.mapInArrow(_bound(percent), "node binary, g binary, g_lot int"))
     within = held.join(opened.select(F.col("g").alias("grp"), F.col("g_lot").alias("lot")).distinct(), ["grp", "lot"], "left_semi")
-    pieces = scratch.write(within.groupBy("bucket").applyInArrow(_pieces, PIECES))
-    more = scratch.write(asks_of(opened, pieces, "members", "sets").select("node", "a_tokens", "members", "sets").mapInArrow(_compare(percent), "a binary, b binary"))
+    pieces = scratch.write(within.groupBy("bucket").applyInArrow(_pieces(percent), PIECES))
+    met = asks_of(opened, pieces, "members", "sets", "parts").select("node", "a_tokens", "members", "sets", "parts").mapInArrow(_compare(percent), "a binary, b binary")
+    tied = pieces.select(F.explode(F.transform("members", lambda m, i: F.struct(m.alias("a"), F.element_at("members", F.element_at("parts", i + 1) + 1).alias("b")))).alias("l"), "grp")
+    more = scratch.write(met.unionByName(tied.filter(_bin("grp") & (F.col("l.a") != F.col("l.b"))).select("l.a", "l.b")))
     scratch.drop(shared, pairs, sets, rated, queries, inside, unions, opened, pieces)
 
     final = groups if more.isEmpty() else components(links.unionByName(more), scratch)
@@ -247,8 +254,13 @@ def jaccard_components(df: DataFrame, key: str, text: str, n: int = 3, percent:
 
 
 UNIONS = "grp binary, lot int, low int, tokens binary"
-PIECES = "grp binary, lot int, members array<binary>, sets array<binary>"
-PIECE_BYTES = 1 << 20
+PIECES = "grp binary, lot int, members array<binary>, sets array<binary>, parts array<int>"
+PIECE_BYTES, NODE_BYTES = 1 << 20, 16
+
+
+def _bin(grp: str) -> Column:
+    """Whether a name is a bin's: one byte longer than a class's."""
+    return F.length(grp) > NODE_BYTES
 
 
 def _by_block(table: pa.Table):
@@ -269,21 +281,39 @@ def _unions(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["grp", "lot", "low", "tokens"])
 
 
-def _pieces(table: pa.Table) -> pa.Table:
-    """(grp, lot, members, sets): a block's members with their sets, in rows of about a megabyte."""
-    keys, blobs, out = table["node"], table["tokens"], []
-    for (g, lot), rows in _by_block(table):
-        size = PIECE_BYTES
-        for i in rows:
-            blob = blobs[i].as_py()
-            if size + len(blob) > PIECE_BYTES:
-                size = 0
-                out.append((g, lot, [], []))
-            size += len(blob)
-            out[-1][2].append(keys[i].as_py())
-            out[-1][3].append(blob)
-    kinds = (pa.binary(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary()))
-    return pa.table([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["grp", "lot", "members", "sets"])
+def _pieces(percent: int):
+    """(grp, lot, members, sets, parts): a block's members with their sets, in rows of about a megabyte.  Members of one part of a
+    row, named by the place of its first member, are connected: all members of a group, those that link in a bin."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, blobs, out = table["node"], table["tokens"], []
+        for (g, lot), rows in _by_block(table):
+            size = PIECE_BYTES
+            for i in rows:
+                blob = blobs[i].as_py()
+                if size + len(blob) > PIECE_BYTES:
+                    size = 0
+                    out.append((g, lot, [], []))
+                size += len(blob)
+                out[-1][2].append(keys[i].as_py())
+                out[-1][3].append(blob)
+        parts = [_parts(r[3], percent) if len(r[0]) > NODE_BYTES else [0] * len(r[2]) for r in out]
+        kinds = (pa.binary(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary()))
+        columns = [pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)]
+        return pa.table([*columns, pa.array(parts, pa.list_(pa.int32()))], names=["grp", "lot", "members", "sets", "parts"])
+
+    return run
+
+
+def _parts(blobs: list[bytes], percent: int) -> list[int]:
+    """For each set the place of the first one that it is connected with."""
+    sets, part = [np.frombuffer(x, np.uint64) for x in blobs], list(range(len(blobs)))
+    for i, x in enumerate(sets):
+        for k in range(i):
+            if part[k] != part[i] and 100 * min(x.size, sets[k].size) >= percent * max(x.size, sets[k].size) and _linked(x, sets[k], percent):
+                low, high = sorted((part[k], part[i]))
+                part = [low if p == high else p for p in part]
+    return part
 
 
 def _bound(percent: int):
@@ -302,18 +332,21 @@ def _bound(percent: int):
 
 
 def _compare(percent: int):
-    """Links (a, b) of queries with members of opened blocks; one for each piece of a block."""
+    """Links (a, b) of queries with members of opened blocks; one for each part of a piece."""
 
     def run(batches):
         for batch in batches:
             a, b = [], []
             for i in range(batch.num_rows):
                 q = np.frombuffer(batch.column("a_tokens")[i].as_py(), np.uint64)
-                members, sets = batch.column("members")[i], batch.column("sets")[i]
-                found = next((k for k in range(len(members)) if _linked(q, np.frombuffer(sets[k].as_py(), np.uint64), percent)), None)
-                if found is not None:
-                    a.append(batch.column("node")[i].as_py())
-                    b.append(members[found].as_py())
+                node, members, sets, parts = (batch.column(c)[i] for c in ("node", "members", "sets", "parts"))
+                node, members, parts = node.as_py(), members.as_py(), parts.as_py()
+                done = {parts[members.index(node)]} if node in members else set()
+                for k, part in enumerate(parts):
+                    if part not in done and _linked(q, np.frombuffer(sets[k].as_py(), np.uint64), percent):
+                        done.add(part)
+                        a.append(node)
+                        b.append(members[k])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return run
