@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rounds import Rounds
 
 
 def unit(df: DataFrame, vector: str) -> DataFrame:
-    norm = _size(vector)
-    return df.withColumn(vector, F.transform(vector, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12))))
+    # The length is an element of a list, so that Spark works it out once for a vector and not for each of its numbers.
+    scaled = F.transform(F.array(F.greatest(_size(vector), F.lit(1e-12))), lambda n: F.transform(vector, lambda x: x.cast("double") / n))
+    return df.withColumn(vector, F.get(scaled, F.lit(0)))
 
 
 def profiles(holdout: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -45,32 +49,28 @@ def profiles(holdout: DataFrame, vectors: DataFrame) -> DataFrame:
     return sums.groupBy("user_id").applyInArrow(whole, kind).join(holdout.select("user_id", "source"), "user_id")
 
 
+def user_blocks(n: int, row_bytes: int, block_bytes: int, cores: int) -> int:
+    """Into how many blocks n users go: of about ``block_bytes``, and at least two for each core unless they would be very small."""
+    return max(1, -(-n * row_bytes // block_bytes), min(2 * cores, n // 256))
+
+
 def top_k(holdout: DataFrame, vectors: DataFrame, k: int, block_bytes: int = 32 << 20) -> DataFrame:
     """(user_id, rank, item_id, score): scores relu(x E E') of items outside the source, ties by item id.
 
-    Users and items are dealt to blocks of about ``block_bytes``, items by falling length, and blocks meet by cogroup, so that no
-    vector passes the driver and a task holds one block of each.  All users meet the first block; a user meets a later one only
-    if the length of its profile times the largest length there reaches the k-th score that it has already.  What the blocks
-    leave, k rows of each for a user at the most, is ranked together.
+    Users are dealt to blocks of about ``block_bytes``, at least two for each core.  A task holds one block with its users' k best so
+    far, and all items pass it by falling length in Arrow batches, so that no vector passes the driver and its memory doesn't grow
+    with the items.  A user is scored against a batch only if the length of its profile times the largest length there
+    reaches the k-th score that it has already.
 
     Items without a vector are no candidates.  Vectors of unequal length, entries that are null and ids that occur twice are
     errors.  A user whose source has no vectors has no profile and no rows."""
-    rounds = Rounds(holdout.sparkSession)
+    rounds, context = Rounds(holdout.sparkSession), holdout.sparkSession.sparkContext
     clean, dim = _checked(rounds.write(vectors.select("item_id", "vector").filter("vector is not null")))
-    users = rounds.write(profiles(holdout, clean))
-    blocks = lambda n: max(1, -(-n * dim * 8 // block_bytes))
-    deal = blocks(users.count())
+    users, n = rounds.counted(profiles(holdout, clean))
+    deal = user_blocks(n, dim * 8 + k * 24, block_bytes, context.defaultParallelism)
     users = users.withColumn("ub", F.pmod(F.xxhash64("user_id"), F.lit(deal)).cast("int"))
-    items = rounds.write(item_blocks(clean, blocks(clean.count())))
-    found = rounds.write(_meet(users.withColumn("ib", F.lit(0)), items.filter("ib = 0").withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(deal - 1)))), k))
-    longest = [r["m"] for r in items.groupBy("ib").agg(F.max("norm").alias("m")).orderBy("ib").collect()]  # one number a block
-    if len(longest) > 1:
-        later = rounds.write(open_blocks(users, found, longest, k).filter("last > 0"))
-        of_items = later.groupBy("ub").agg(F.max("last").alias("last")).select("ub", F.explode(F.sequence(F.lit(1), "last")).alias("ib"))
-        each = later.withColumn("ib", F.explode(F.sequence(F.lit(1), "last"))).drop("last")
-        found = found.unionByName(_meet(each, items.join(of_items, "ib"), k))
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id"))
-    return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("user_id", "rank", "item_id", "score")
+    items = clean.withColumn("norm", _size("vector")).withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
+    return rounds.write(_meet(users, items, k, deal))
 
 
 def _checked(vectors: DataFrame) -> tuple[DataFrame, int]:
@@ -104,30 +104,99 @@ def open_blocks(users: DataFrame, found: DataFrame, longest: list[float], k: int
     return users.join(kth, "user_id", "left").withColumn("last", F.size(F.filter(longest, lambda x: x >= need)) - 1).drop("kth")
 
 
-def _meet(users: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """(user_id, item_id, score): each user's k best of each item block that meets it, by (ub, ib)."""
-
-    def score(_key, mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        out = [pa.table({"user_id": pa.array([], pa.string()), "item_id": pa.array([], pa.string()), "score": pa.array([], pa.float64())})]
-        if mine.num_rows and theirs.num_rows:
-            theirs = theirs.sort_by("item_id")
-            names = theirs["item_id"].combine_chunks()
-            place = {name: n for n, name in enumerate(names.to_pylist())}
-            matrix = theirs["vector"].combine_chunks().flatten().to_numpy().reshape(len(names), -1).astype(np.float64)
-            for at in range(0, mine.num_rows, 256):
-                part = mine.slice(at, 256)
-                profile = part["profile"].combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1)
-                scores = np.round(np.maximum(profile @ matrix.T, 0), 9)
-                for row, seen in enumerate(part["source"].to_pylist()):
-                    scores[row, [place[s] for s in seen if s in place]] = -1
-                order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                best = np.take_along_axis(scores, order, axis=1)
-                row, column = np.nonzero(best >= 0)
-                out.append(pa.table({"user_id": part["user_id"].take(pa.array(row)), "item_id": names.take(pa.array(order[row, column])), "score": pa.array(best[row, column])}))
-        return pa.concat_tables(out)
-
-    users, items = users.select("ub", "ib", "user_id", "profile", "source"), items.select(F.col("ub").alias("ub"), F.col("ib").alias("ib"), "item_id", "vector")
-    return users.groupBy("ub", "ib").cogroup(items.groupBy("ub", "ib")).applyInArrow(score, "user_id string, item_id string, score double")
+class _Best:
+    """The k best items so far of a block of users, by falling score and then by id."""
+
+    def __init__(self, users: list[pa.RecordBatch], k: int):
+        table = pa.Table.from_batches(users).combine_chunks()
+        self.k, self.users, source = k, table["id"].combine_chunks(), table["source"].combine_chunks()
+        self.profile = table["vector"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+        self.length = np.linalg.norm(self.profile, axis=1)
+        self.seen, self.owner = source.flatten(), np.repeat(np.arange(table.num_rows), source.value_lengths().fill_null(0))
+        self.score, self.items = np.full((table.num_rows, k), -1.0), np.full((table.num_rows, k), None, object)
+
+    def meet(self, batch: pa.RecordBatch) -> None:
+        batch = batch.sort_by("id")
+        names = batch["id"]
+        matrix = batch["vector"].flatten().to_numpy().reshape(len(names), -1)
+        longest, labels = np.linalg.norm(matrix, axis=1).max(), names.to_numpy(zero_copy_only=False)
+        place = pc.index_in(self.seen, value_set=names).fill_null(-1).to_numpy()
+        owner, place = self.owner[place >= 0], place[place >= 0]
+        for at in range(0, len(self.users), 512):
+            floor = self.score[at : at + 512, -1]
+            if not (self.length[at : at + 512] * longest >= floor - 2e-9).any():
+                continue  # scores are rounded to 9 places
+            scores = self.profile[at : at + 512] @ matrix.T
+            low, high = np.searchsorted(owner, (at, at + 512))
+            scores[owner[low:high] - at, place[low:high]] = -np.inf
+            better = scores > floor[:, None] - 1e-9
+            many = (floor <= 0) | (better.sum(1) > self.k)
+            if many.any():
+                better[many] = self._first(scores[many])
+            row, column = np.nonzero(better)
+            if len(row):
+                self._merge(at, row, labels[column], np.round(np.maximum(scores[row, column], 0), 9))
+
+    def _first(self, scores: np.ndarray) -> np.ndarray:
+        """True at the k best of each row; of equal scores the first columns."""
+        seen, scores = np.isneginf(scores), np.round(np.maximum(scores, 0), 9)
+        scores[seen] = -1
+        if scores.shape[1] <= self.k:
+            return ~seen
+        kth = np.partition(scores, -self.k, axis=1)[:, [-self.k]]
+        above, equal = scores > kth, scores == kth
+        return (above | (equal & (equal.cumsum(1) <= self.k - above.sum(1, keepdims=True)))) & ~seen
+
+    def _merge(self, at: int, row: np.ndarray, items: np.ndarray, scores: np.ndarray) -> None:
+        who, start, size = np.unique(row, return_index=True, return_counts=True)
+        shape = len(who), self.k + size.max()
+        all_scores, all_items = np.full(shape, -1.0), np.full(shape, None, object)
+        all_scores[:, : self.k], all_items[:, : self.k] = self.score[at + who], self.items[at + who]
+        to = np.repeat(np.arange(len(who)), size), self.k + np.arange(len(row)) - np.repeat(start, size)
+        all_scores[to], all_items[to] = scores, items
+        order = np.argsort(-all_scores, axis=1, kind="stable")
+        all_scores, all_items = np.take_along_axis(all_scores, order, axis=1), np.take_along_axis(all_items, order, axis=1)
+        ties = (all_scores[:, : self.k] == all_scores[:, 1 : self.k + 1]) & (all_scores[:, : self.k] >= 0)
+        for r in np.flatnonzero(ties.any(1)):
+            n = (all_scores[r] >= 0).sum()
+            all_items[r, :n] = [i for _, i in sorted(zip(-all_scores[r, :n], all_items[r, :n], strict=True))]
+        self.score[at + who], self.items[at + who] = all_scores[:, : self.k], all_items[:, : self.k]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(self.users), 4096):
+            scores = self.score[at : at + 4096]
+            row, rank = np.nonzero(scores >= 0)
+            columns = self.users.take(pa.array(at + row)), pa.array(rank + 1), pa.array(self.items[at + row, rank], pa.string()), pa.array(scores[row, rank])
+            yield pa.RecordBatch.from_arrays([*columns], ["user_id", "rank", "item_id", "score"])
+
+
+def _meet(users: DataFrame, items: DataFrame, k: int, deal: int = 1) -> DataFrame:
+    """(user_id, rank, item_id, score): each user's k best of the items of its block ``ub``, of ``deal`` blocks."""
+
+    def best(batches):
+        block, held, state = None, [], None
+        for batch in batches:
+            key = np.asarray(batch["ub"]) * 2 + np.asarray(batch["kind"])  # users go before the items of their block
+            ends = [*(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)] if len(key) else []
+            for low, high in zip([0, *ends], ends, strict=False):
+                part, (ub, kind) = batch.slice(low, high - low), divmod(int(key[low]), 2)
+                if ub != block:
+                    if state:
+                        yield from state.rows()
+                    block, held, state = ub, [], None
+                if kind == 0:
+                    held.append(part)
+                elif held or state:
+                    if state is None:
+                        state, held = _Best(held, k), []
+                    state.meet(part)
+        if state:
+            yield from state.rows()
+
+    users = users.select("ub", F.lit(0).alias("kind"), F.col("user_id").alias("id"), F.col("profile").alias("vector"), "source", F.lit(None).cast("double").alias("norm"))
+    items = items.select("ub", F.lit(1).alias("kind"), F.col("item_id").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.lit(None).cast("array<string>").alias("source"), "norm")
+    dealt = users.unionByName(items).repartitionById(deal, "ub").sortWithinPartitions("ub", "kind", F.desc("norm"))
+    return dealt.mapInArrow(best, "user_id string, rank long, item_id string, score double")
 
 
 def decoded(codes: DataFrame, decoder: np.ndarray) -> DataFrame:

@@ -160,3 +160,26 @@ def test_top_k_refuses_what_it_cannot_score(spark):
         with pytest.raises(ValueError, match=what):
             retrieval.top_k(holdout, spark.createDataFrame(bad, "item_id string, vector array<double>"), 2)
     assert retrieval.top_k(holdout, spark.createDataFrame([("a", None)], "item_id string, vector array<double>"), 2).collect() == []
+
+
+def test_top_k_with_ties_and_zeros_equals_one_matrix(spark):
+    """Copies of items across blocks and Arrow batches, scores of zero, and users that have seen nearly everything."""
+    rng = np.random.default_rng(4)
+    e = np.concatenate([rng.integers(-1, 2, (150, 3)).astype(float)] * 2)
+    items = [f"i{i:03}" for i in rng.permutation(300)]
+    users = [(f"u{u:02}", sorted(rng.choice(items, n, replace=False).tolist())) for u, n in enumerate([1, 2, 3, 5, 297, 300] * 4)]
+    holdout = spark.createDataFrame([(u, s, ["i000"]) for u, s in users], "user_id string, source array<string>, target array<string>")
+    vectors = spark.createDataFrame(list(zip(items, e.tolist(), strict=True)), "item_id string, vector array<double>").repartition(5)
+    expected, by_id = {}, np.argsort(items)
+    for u, source in users:
+        seen = [items.index(s) for s in source]
+        score = np.round(np.maximum(e[seen].sum(0) @ e.T, 0), 9)
+        score[seen] = -1
+        best = [j for j in by_id[np.argsort(-score[by_id], kind="stable")][:7] if score[j] >= 0]
+        expected |= {(u, n): (items[j], score[j]) for n, j in enumerate(best, 1)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        for size in (1 << 25, 512):
+            assert {(r.user_id, r["rank"]): (r.item_id, r.score) for r in retrieval.top_k(holdout, vectors, 7, size).collect()} == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
