@@ -183,3 +183,9 @@ def test_top_k_with_ties_and_zeros_equals_one_matrix(spark):
             assert {(r.user_id, r["rank"]): (r.item_id, r.score) for r in retrieval.top_k(holdout, vectors, 7, size).collect()} == expected
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_top_k_deals_users_to_all_cores():
+    """75,000 users of 16 numbers took one task, as their profiles have less than 32 MB."""
+    assert retrieval.user_blocks(75_000, 16 * 8 + 20 * 24, 32 << 20, 12) == 24
+    assert retrieval.user_blocks(10_000_000, 64 * 8 + 100 * 24, 32 << 20, 12) == 868 and retrieval.user_blocks(0, 8, 1, 12) == 1
