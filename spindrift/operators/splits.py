@@ -34,11 +34,14 @@ def three_way(keys: DataFrame, key: str, n_val: int, n_test: int, seed: int) ->
 def fold_holdout(df: DataFrame, items: DataFrame, seed: int, draws: int, min_items: int, share: float = 0.2) -> DataFrame:
     """(draw, user_id, item_id, is_target): of each user's distinct known items, in each draw the first ceil(share n) of a
     seeded order are targets.  Draws are independent."""
-    own = df.join(items.select("item_id").distinct(), "item_id", "left_semi").select("user_id", "item_id").distinct()
+    own = df.join(items.select("item_id").distinct(), "item_id", "left_semi") if items is not df else df
+    # One shuffle by user serves the distinct items, their number and all draws; only then is each row repeated for its draws.
+    own = own.filter(F.col("item_id").isNotNull()).select("user_id", "item_id").repartition("user_id").distinct()
     own = own.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("user_id"))).filter(F.col("_n") >= min_items)
-    own = own.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    rank = F.row_number().over(Window.partitionBy("draw", "user_id").orderBy(draw(seed, F.col("draw"), F.col("user_id"), F.col("item_id")), "item_id"))
-    return own.withColumn("_r", rank).select(F.col("draw").cast("long").alias("draw"), "user_id", "item_id", (F.col("_r") <= F.ceil(F.col("_n") * F.lit(share))).alias("is_target"))
+    order = lambda d: [draw(seed, F.lit(d), F.col("user_id"), F.col("item_id")), "item_id"]
+    ranks = [F.row_number().over(Window.partitionBy("user_id").orderBy(*order(d))) <= F.ceil(F.col("_n") * F.lit(share)) for d in range(draws)]
+    own = own.select("user_id", "item_id", F.array(*ranks).alias("_t")).select("user_id", "item_id", F.posexplode("_t").alias("draw", "is_target"))
+    return own.select(F.col("draw").cast("long").alias("draw"), "user_id", "item_id", "is_target")
 
 
 def _both(df: DataFrame, source: Column, target: Column, min_source: int, min_target: int) -> DataFrame:

@@ -189,3 +189,13 @@ def test_top_k_deals_users_to_all_cores():
     """75,000 users of 16 numbers took one task, as their profiles have less than 32 MB."""
     assert retrieval.user_blocks(75_000, 16 * 8 + 20 * 24, 32 << 20, 12) == 24
     assert retrieval.user_blocks(10_000_000, 64 * 8 + 100 * 24, 32 << 20, 12) == 868 and retrieval.user_blocks(0, 8, 1, 12) == 1
+
+
+def test_fold_holdout_shuffles_rows_once(spark):
+    """All draws share one shuffle by user; each draw had its own copy of the rows shuffled."""
+    df = spark.createDataFrame([(f"u{u}", f"i{i}") for u in range(9) for i in range(u)] * 2 + [("u1", None)], "user_id string, item_id string")
+    out = splits.fold_holdout(df, df, 42, 3, 4, 0.3)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    other = splits.fold_holdout(df, df.select("item_id"), 42, 3, 4, 0.3)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, other.collect()))
+    assert {(r.draw, r.user_id, r.n) for r in out.filter("is_target").groupBy("draw", "user_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {(d, f"u{u}", -(-3 * u // 10)) for d in range(3) for u in range(4, 9)}
