@@ -199,3 +199,11 @@ def test_fold_holdout_shuffles_rows_once(spark):
     other = splits.fold_holdout(df, df.select("item_id"), 42, 3, 4, 0.3)
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, other.collect()))
     assert {(r.draw, r.user_id, r.n) for r in out.filter("is_target").groupBy("draw", "user_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {(d, f"u{u}", -(-3 * u // 10)) for d in range(3) for u in range(4, 9)}
+
+
+def test_kcore_sends_no_keys_through_the_driver(spark):
+    """Keys with enough rows were broadcast, so that what reached the driver grew with the data."""
+    df = spark.createDataFrame([(f"u{u}", f"i{i}") for u in range(6) for i in range(u)], "user_id string, item_id string")
+    kept = prepare.with_support(prepare.with_support(df, "item_id", 2), "user_id", 2)
+    assert kept.count() == 13 and "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in prepare.peeled(df, 2, 2)._jdf.queryExecution().executedPlan().toString()
