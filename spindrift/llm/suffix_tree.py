@@ -16,8 +16,8 @@ than what its own and its suffixes' predictions leave, the sum of -log10 of the
 
 How it runs (see ``packed.py``): words are hashed once, into blocks of texts.  A first round counts words and pairs.  A
 second gathers what all occurrences say about contexts of one word, and counts those n-grams of three and four words whose
-pairs were all seen often enough; a third does the same for contexts of two and three words and n-grams of five and six, and
-so on.  The last pass scores.
+pairs were all seen often enough; a third does the same for contexts of two words and n-grams of five and six, and so on, the
+last one for all contexts that are left.  The last pass scores.
 
 Null texts are empty: one end.  Rows with a null key aren't learnt from, as ``train`` is null for them.  Repeated rows are
 scored and learnt from as often as they come.  Extra columns are ignored; an empty table gives an empty result.
@@ -25,7 +25,6 @@ scored and learnt from as often as they come.  Extra columns are ignored; an emp
 
 from __future__ import annotations
 
-import numpy as np
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Scratch, mix, parallelism, release
-from .packed import ANSWER, ASK, BLOCK_BYTES, MOST_BUCKETS, SAID, TOLD, Block, Lookup, answer, answered, blocks_of, dealt, level_of, packed_texts, short, table_of, tally, tell, unpack, unpack_keys
+from .packed import ANSWER, ASK, BLOCK_BYTES, MOST_BUCKETS, SAID, TOLD, Block, answer, answered, blocks_of, dealt, grouped, level_of, packed_texts, short, table_of, tally, tell, unpack, unpack_keys
 
 END = np.uint64(0xE7D0_0000_0000_0001)
 SAID_BOUNDS = f"{SAID}, bounds binary"
@@ -56,52 +55,66 @@ class Walk:
         self.buckets, self.least = buckets, least
         size = block.sizes + 1
         ends = np.cumsum(size)
-        end = int(np.searchsorted(block.vocabulary, END))
-        self.vocabulary = np.insert(block.vocabulary, end, END)
-        self.tokens = np.full(int(ends[-1]) if len(ends) else 0, end, np.uint32)
+        self.vocabulary = np.append(block.vocabulary, END)
+        self.tokens = np.full(int(ends[-1]) if len(ends) else 0, len(block.vocabulary), np.uint32)
         inner = np.ones(len(self.tokens), bool)
         inner[ends - 1] = False
-        self.tokens[inner] = block.tokens + (block.tokens >= end)
+        self.tokens[inner] = block.tokens
         self.doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
         self.place = np.arange(len(self.tokens), dtype=np.int32) - np.repeat((ends - size).astype(np.int32), size)
         self.size, self.learnt = size, block.extra.astype(bool)[self.doc]
-        self.whole, self.hashed, self.counts, self.places, self.told = None, 1, [], [], []
+        self.words, self.whole, self.hashed, self.counts, self.places, self.told = None, None, 1, [], [], []
 
-    def wanted(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct n-grams of level n to ask for, and how often training texts of the block have each: all words and
-        pairs, and those longer n-grams that can have been seen twice and whose context can be kept."""
-        if n == 1:
-            return self.vocabulary, np.bincount(self.tokens, self.learnt, len(self.vocabulary)).astype(np.uint32)
-        at = np.flatnonzero(self.place >= n - 1)
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the n-grams of level n end that are asked for, and their keys: all pairs, and those longer n-grams that can
+        have been seen twice and whose context can be kept."""
+        asked = self.place >= n - 1
         if n > 2:  # levels are asked for two at a time: what was known then is the level before the first of the two
             known = self.counts[n - 2 - (n % 2 == 0)]
-            for k in range(1 + (n % 2 == 0), -1, -1):
-                at = at[known[at - k] >= (self.least if k else 2)]
+            asked &= known >= 2
+            often = known >= self.least
+            for k in range(1, 2 + (n % 2 == 0)):
+                asked[k:] &= often[:-k]
+        at = np.flatnonzero(asked)
         if self.hashed < n:  # in place: what later levels read was hashed at every level before
             if n == 2:
-                self.whole = self.vocabulary[self.tokens]
-            words = self.vocabulary[self.tokens[at]]
-            self.whole[at] = mix(self.whole[at - 1] * (_K2 if n == 2 else _K3) + words)
+                self.words = self.vocabulary[self.tokens]
+                self.whole = self.words.copy()
+                self.whole[1:] = mix(self.words[:-1] * _K2 + self.words[1:])
+            else:
+                self.whole[at] = mix(self.whole[at - 1] * _K3 + self.words[at])
             self.hashed = n
-        self.at, self.key = at, short(self.whole[at], self.buckets)
-        return tally(self.key, self.learnt[at])
+        return at, short(self.whole[at], self.buckets)
+
+    def wanted(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct n-grams of level n to ask for, all words at level 1, and how often training texts of the block have each."""
+        if n == 1:
+            return self.vocabulary, np.bincount(self.tokens, self.learnt, len(self.vocabulary)).astype(np.uint32)
+        at, keys = self.grams(n)
+        return tally(keys, self.learnt[at])
 
     def hear(self, answers: pa.Table) -> None:
-        """Takes the answers to what ``wanted`` gives next."""
+        """Takes the answers to what was asked for at the next level."""
         n = len(self.counts) + 1
-        keys, _ = self.wanted(n)
+        if n == 1:
+            keys, where = self.vocabulary, self.tokens
+        else:
+            at, keys = self.grams(n)
+            keys, where = grouped(keys)
         values = answered(n, keys, self.buckets, level_of(answers, n))
         there = values > 0
+        place = np.where(there, np.cumsum(there, dtype=np.int32) - np.int32(1), np.int32(-1))[where]
         keys, values = keys[there], values[there]
-        if n == 1:
-            place = np.where(there, np.cumsum(there) - 1, -1).astype(np.int32)[self.tokens]
-            count = np.where(place >= 0, values[place], 0).astype(np.uint32) if len(values) else np.zeros(len(place), np.uint32)
-        else:
+        if n > 1:
+            found = place >= 0
+            rows, found = at[found], place[found]
+            seen = (self.counts[-1][rows] > 1) & (self.counts[-1][rows - 1] > 1)
+            if not seen.all():
+                rows, found = rows[seen], found[seen]
             place, count = np.full(len(self.tokens), -1, np.int32), np.zeros(len(self.tokens), np.uint32)
-            seen = (self.counts[-1][self.at] > 1) & (self.counts[-1][self.at - 1] > 1)
-            rows, found = Lookup(keys).find(self.key[seen])
-            rows = self.at[seen][rows]
             place[rows], count[rows] = found, values[found]
+        else:
+            count = np.where(place >= 0, values[place], 0).astype(np.uint32) if len(values) else np.zeros(len(place), np.uint32)
         self.told.append((keys, values))
         self.counts.append(count)
         self.places.append(place)
@@ -128,20 +141,23 @@ def _ask(buckets: int):
     return run
 
 
-def _evidence(walk: Walk, n: int, z: float, prior: float) -> list[np.ndarray]:
+def _evidence(walk: Walk, n: int, z: float, prior: float, bounds: bool) -> list[np.ndarray]:
     """What a block's training occurrences say about each n-gram told as a context: how many were followed by a token that
-    follows only once, the gain so far, and what longer contexts can gain at most."""
+    follows only once, the gain so far, and with ``bounds`` what longer contexts can gain at most."""
     counts = walk.counts
-    at = np.flatnonzero((walk.place >= n) & walk.learnt)
-    at = at[counts[n - 1][at - 1] >= walk.least]
+    used = (walk.place >= n) & walk.learnt
+    used[1:] &= counts[n - 1][:-1] >= walk.least
+    at = np.flatnonzero(used)
     c, f = counts[n - 1][at - 1].astype(np.float64), counts[n][at].astype(np.float64)
     better = (counts[0][at] + 0.5) / z
     for k in range(1, n):
         better = np.maximum(better, counts[k][at] / (counts[k - 1][at - 1] + prior))
     twice = f >= 2
-    gain = np.where(twice, np.log10(np.maximum(f - 1, 1) / better), 0) - np.log10(c - 1 + prior)
-    bound = np.where(twice, np.maximum(0, -np.log10(np.maximum(better, f / (c + prior)))), 0)
-    return [np.bincount(walk.places[n - 1][at - 1], x, len(walk.told[n - 1][0])) for x in (~twice, gain, bound)]
+    said = [~twice, np.where(twice, np.log10(np.maximum(f - 1, 1) / better), 0) - np.log10(c - 1 + prior)]
+    if bounds:
+        said.append(np.where(twice, np.maximum(0, -np.log10(np.maximum(better, f / (c + prior)))), 0))
+    context = walk.places[n - 1][at - 1]
+    return [np.bincount(context, x, len(walk.told[n - 1][0])) for x in said]
 
 
 def _say(steps: range, ask: range, heard: int, bounds: bool, buckets: int, z: float, least: int, prior: float):
@@ -159,8 +175,8 @@ def _say(steps: range, ask: range, heard: int, bounds: bool, buckets: int, z: fl
             walk.hear(answers)
         for n in steps:
             there = walk.contexts(n)
-            once, *other = (x[there] for x in _evidence(walk, n, z, prior))
-            rows += dealt(n, block.number, buckets, walk.told[n - 1][0][there], once.astype(np.uint32), *(x.astype(np.float32) for x in other[: 1 + bounds]))
+            once, *other = (x[there] for x in _evidence(walk, n, z, prior, bounds))
+            rows += dealt(n, block.number, buckets, walk.told[n - 1][0][there], once.astype(np.uint32), *(x.astype(np.float32) for x in other))
         for n in ask:
             rows += [(*row, None, *[None] * bounds) for row in dealt(n, block.number, buckets, *walk.wanted(n))]
         return table_of(kind, rows)
@@ -186,7 +202,7 @@ def _keep(table: pa.Table, least_gain: float, prior: float) -> pa.Table:
     block -1 says that longer contexts can be kept."""
     level, bucket = table["level"][0].as_py() + KEPT, table["bucket"][0].as_py()
     said = [unpack_keys(b) for b in table["keys"].to_pylist()]
-    keys, where = np.unique(np.concatenate(said), return_inverse=True)
+    keys, where = grouped(np.concatenate(said))
     once = np.bincount(where, np.concatenate([unpack(b, np.uint32) for b in table["counts"].to_pylist()]), len(keys))
     gain = np.bincount(where, np.concatenate([unpack(b, np.float32) for b in table["gains"].to_pylist()]), len(keys))
     gain += once * np.log10(np.maximum(once - 1 + prior, prior))
@@ -224,10 +240,9 @@ def _score(depth: int, buckets: int, z: float, least: int, prior: float, key_typ
             there = np.flatnonzero(walk.contexts(n))
             rest = np.zeros(len(walk.told[n - 1][0]), np.int64)  # r(s) + 1 of kept contexts
             rest[there] = answered(n, walk.told[n - 1][0][there], buckets, level_of(answers, n + KEPT))
-            at = np.flatnonzero(walk.place >= n)
-            place = walk.places[n - 1][at - 1]
-            at, place = at[place >= 0], place[place >= 0]
-            at, rest = at[rest[place] > 0], rest[place][rest[place] > 0]
+            at = np.flatnonzero((walk.places[n - 1][:-1] >= 0) & (walk.place[1:] >= n)) + 1
+            rest = rest[walk.places[n - 1][at - 1]]
+            at, rest = at[rest > 0], rest[rest > 0]
             p[at] = (c[n][at] + (rest - 1 + prior) * p[at]) / (c[n - 1][at - 1] + prior)
         known, plain, score = (np.bincount(walk.doc, x, len(walk.size)) for x in (c[0] > 0, np.log10(base), np.log10(p)))
         columns = [block.keys, *map(pa.array, (block.extra.astype(bool), walk.size, known.astype(np.int64), plain, score))]
@@ -255,8 +270,9 @@ def score_texts(df: DataFrame, key: str, text: str, train: Column, least: int =
     answers, step, heard = told.drop("n_distinct", "n_total"), 0, 2
     more = depth != 0
     while more:
-        steps = range(step + 1, heard if depth is None else min(heard, depth + 1))
         ask = range(heard + 1, heard + 3 if depth is None else min(heard + 2, depth + 1) + 1)
+        # With a bound, evidence on the longest contexts waits a round while more is asked for, so that no round shuffles much more than another.
+        steps = range(step + 1, heard if depth is None else min(heard - (heard > 2 and len(ask) > 0), depth + 1))
         counted = answers.filter(F.col("level") < KEPT).groupBy("block")
         said = docs.groupBy("block").cogroup(counted).applyInArrow(_say(steps, ask, heard, depth is None, buckets, z, least, prior), SAID if depth else SAID_BOUNDS)
         new = scratch.write(said.groupBy("level", "bucket").applyInArrow(_answer(steps, gain, prior), ANSWER))

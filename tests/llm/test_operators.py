@@ -5,12 +5,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spindrift.llm import bpe_codec, chat, decontaminate, ngram_join, sharding, substring_dedup, suffix_tree, tiff, token_counts, toxicity
+from spindrift.llm import bpe_codec, chat, common, decontaminate, ngram_join, packed, sharding, substring_dedup, suffix_tree, tiff, token_counts, toxicity
 from spindrift.llm import queries as Q
 
 from ..oracle import compare
@@ -61,6 +62,46 @@ def test_suffix_tree_odd_rows(spark, texts, no_texts):
     assert suffix_tree.score_texts(no_texts, "doc_id", "text", F.lit(True)).collect() == []
 
 
+def test_suffix_tree_rounds_share_the_evidence(spark, monkeypatch):
+    """No round says evidence on two levels while it asks for two more; the last says all that is left."""
+    rounds, say = [], suffix_tree._say
+    monkeypatch.setattr(suffix_tree, "_say", lambda steps, ask, *rest: rounds.append((list(steps), list(ask))) or say(steps, ask, *rest))
+    docs = spark.createDataFrame([(i, "a b c d e f g") for i in range(3)], "doc_id long, text string")
+    expected = {1: [([1], [])], 2: [([1], [3]), ([2], [])], 4: [([1], [3, 4]), ([2], [5]), ([3, 4], [])], 5: [([1], [3, 4]), ([2], [5, 6]), ([3, 4, 5], [])], 7: [([1], [3, 4]), ([2], [5, 6]), ([3, 4], [7, 8]), ([5, 6, 7], [])]}
+    for depth, wanted in expected.items():
+        rounds.clear()
+        assert suffix_tree.score_texts(docs, "doc_id", "text", F.lit(True), depth=depth).count() == 3
+        assert rounds == wanted
+
+
+def test_packed_words_frequent_first(spark):
+    """A block's frequent words have small numbers, so that tokens take little more than their entropy; the words are the same."""
+    words = np.random.default_rng(1).zipf(1.3, 200_000) % 50_000
+    text = " ".join(f"w{x}" for x in words)
+    rows = spark.createDataFrame([(1, 0, text), (2, 0, ""), (3, 0, "W5 w7")], "_key long, _extra long, _text string").coalesce(1)
+    (row,) = packed.packed_texts(rows, common.Scratch(spark, "test")).collect()
+    block = packed.Block({**row.asDict(), **{k: bytes(row[k]) for k in ("extra", "sizes", "vocabulary", "tokens")}})
+    assert block.sizes.tolist() == [200_000, 0, 2]
+    hashes, _ = common.word_hashes(pa.array([text, "", "W5 w7"]))
+    assert (block.words(0, 3) == hashes).all()
+    _, times = np.unique(hashes, return_counts=True)
+    entropy = -(times * np.log2(times / times.sum())).sum() / 8
+    assert len(row.tokens) < 1.15 * entropy
+    counts = np.bincount(block.tokens)
+    assert (np.diff(np.frexp(counts)[1]) <= 0).all()
+
+
+@pytest.mark.parametrize("keys", [[], [7], [3, 1, 3, 2**64 - 1, 0, 1], "random", "alike"])
+def test_grouped_keys(keys):
+    """As np.unique says, also for keys that agree in all leading bits."""
+    rng = np.random.default_rng(0)
+    made = {"random": lambda: rng.integers(0, 2**63, 5000, dtype=np.uint64)[rng.integers(0, 5000, 9000)], "alike": lambda: np.uint64(2**63) + rng.integers(0, 64, 3000, dtype=np.uint64)}
+    keys = made[keys]() if isinstance(keys, str) else np.array(keys, np.uint64)
+    distinct, where = packed.grouped(keys)
+    expected, index = np.unique(keys, return_inverse=True)
+    assert distinct.tolist() == expected.tolist() and where.tolist() == index.tolist()
+
+
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
 def test_jaccard_equals_brute_force(spark, n, percent):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
