@@ -6,9 +6,11 @@ the smallest key goes on.  Two sets of Jaccard similarity t or more share a toke
 which is counted over all documents (``packed.py``); prefix tokens that no other document has can't link and are left out.
 
 1. Every class tries to join the smallest class that it shares a prefix token with, so that copies of one document hang
-   together without being paired with each other.  Connected classes are similar: they make up the groups, split into
-   blocks of ``block`` members.  Classes without a link yet gather in bins of similar ones, which are split likewise, so that
-   many classes that share a token but don't link aren't all paired.
+   together without being paired with each other.  Where more than ``block`` classes share a token, those outside the
+   component of one drawn from them try to join it, with another draw for each token and round, as long as a quarter of those
+   that try find a link: large groups of near copies that don't all resemble the smallest one hang together too.  Connected
+   classes are similar: they make up the groups, split into blocks of ``block`` members.  Classes without a link yet gather in
+   bins of similar ones, which are split likewise, so that many classes that share a token but don't link aren't all paired.
 2. The matrix has a row per prefix token and block.  A class is a query for the blocks of *other* groups that it shares a
    prefix token with and that can still overlap enough from that token on: of a pair that links, all common tokens stand at
    or after the first one in either order, which bounds the overlap by what is left of either set.  Each block stores the
@@ -16,7 +18,7 @@ which is counted over all documents (``packed.py``); prefix tokens that no other
    need, the block stays closed.  Only opened blocks gather their members' sets, a megabyte to a row, and each of these rows
    is searched until a member links; in a bin's, until one of each part that is connected inside the row has been tried.
    A bin's classes ask for the blocks of their own bin too.
-3. The links of both steps are connected to components.
+3. The links of both steps are connected to components, of those between two groups one.
 
 No link between groups is lost: any such link shares a prefix token, and its block is opened unless the bound rules the link
 out.  Classes are named by 128 bits of their sets; a row is told from others of its key by a hash of its text.  Texts with
@@ -28,6 +30,8 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,6 +41,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import Scratch, by_bytes, mix, parallelism, release, word_hashes
 from .packed import ASK, MOST_BUCKETS, TOLD, Block, Lookup, answered, blocks_of, dealt, packed_texts, short, table_of, tally, tell
 
+#: A class tries so many others in a round at the most.
+TRIES = 8
 MARKS = "_tid long, n int, node binary, prefix array<long>, places array<int>"
 
 
@@ -160,6 +166,17 @@ def _verify(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "a_tokens", "b_tokens").mapInArrow(check, "a binary, b binary")
 
 
+def _tries(busy: DataFrame, groups: DataFrame, turn: int, fits: Column) -> DataFrame:
+    """Pairs (a, b) to be tried: classes with one drawn for each of their tokens, in another component; up to TRIES a class."""
+    rows = busy.join(groups.withColumnRenamed("v", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    drawn = F.struct(F.xxhash64("node", "token", F.lit(turn)).alias("h"), "node", "n", "reach", "label")
+    leads = rows.groupBy("token").agg(F.min(drawn).alias("lead"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
+    pairs = rows.join(leads, "token").filter((F.col("label") != F.col("lead.label")) & fits)
+    order = F.struct(F.xxhash64("node", "lead.node", F.lit(turn)).alias("h"), F.col("lead.node").alias("b"))
+    some = F.slice(F.array_sort(F.collect_set(order)), 1, TRIES)
+    return pairs.groupBy("node").agg(some.alias("some")).select(F.col("node").alias("a"), F.explode("some.b").alias("b"))
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(v, label) for every node of the edges (a, b): the smallest node that it is connected with.
 
@@ -181,6 +198,15 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
+def _merged(groups: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(v, label) after more links (a, b): components of the components that they connect, in which a link is one of many no longer."""
+    ends = [groups.select(F.col("v").alias(v), F.col("label").alias(name)) for v, name in (("a", "x"), ("b", "y"))]
+    edges = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    joined = components(edges.filter("a <> b").distinct(), scratch)
+    kept = groups.join(joined.select(F.col("v").alias("label"), F.col("label").alias("to")), "label", "left").select("v", F.coalesce("to", "label").alias("label"))
+    return scratch.write(kept.unionByName(joined.join(groups, "v", "left_anti")))
+
+
 def jaccard_components(df: DataFrame, key: str, text: str, n: int = 3, percent: int = 90, block: int = 64) -> DataFrame:
     """``(key, n_shingles, component_id, text_id)`` of every row; the component's id is its smallest key, ``text_id`` the xxhash64 of
     the row's text, by which rows of one key can be told apart."""
@@ -196,7 +222,7 @@ def jaccard_components(df: DataFrame, key: str, text: str, n: int = 3, percent:
     # reach: a set of up to reach / percent tokens can link with the class if this is their first common token.
     reach = 100 * F.col("n") - (100 + percent) * F.col("p.places")
     postings = classes.select("node", "n", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("node", "n", F.col("p.prefix").alias("token"), reach.alias("reach"))
-    shared = postings.groupBy("token").agg(F.min(F.struct("node", "n", "reach")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    shared = postings.groupBy("token").agg(F.min(F.struct("node", "n", "reach")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     shared = scratch.write(postings.join(shared, "token"))
     fits = (F.col("reach") >= F.col("lead.n") * percent) & (F.col("lead.reach") >= F.col("n") * percent)
     pairs = scratch.write(shared.filter((F.col("node") != F.col("lead.node")) & fits).select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct())
@@ -207,10 +233,20 @@ def jaccard_components(df: DataFrame, key: str, text: str, n: int = 3, percent:
         return scratch.write(_sets(found.dropDuplicates(["node"]), n))
 
     own = lambda sets, name, tokens: sets.select(F.col("node").alias(name), F.col("tokens").alias(tokens))
-    sets = sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
-    links = scratch.write(_verify(pairs.join(own(sets, "a", "a_tokens"), "a").join(own(sets, "b", "b_tokens"), "b"), percent))
-    scratch.drop(sets)
-    groups = components(links, scratch)
+    busy = scratch.write(shared.filter(F.col("c") > block).select("token", "node", "n", "reach"))
+    sets = sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(busy.select("node")))
+    linked = lambda pairs: scratch.write(_verify(pairs.join(own(sets, "a", "a_tokens"), "a").join(own(sets, "b", "b_tokens"), "b"), percent))
+    groups = components(linked(pairs), scratch)
+    for turn in itertools.count():
+        tried = scratch.write(_tries(busy, groups, turn, fits))
+        found = linked(tried)
+        asked, told = (t.agg(F.countDistinct("a")).first()[0] for t in (tried, found))
+        scratch.drop(tried)
+        if told:
+            groups = _merged(groups, found, scratch)
+        if 4 * told < max(asked, 1):
+            break
+    scratch.drop(sets, busy)
 
     # Queries and blocks of different groups that meet in a prefix token.  Of two groups the one with fewer members asks.
     # Classes without a link gather in bins, by the smallest class that they share a prefix token with.
@@ -226,7 +262,7 @@ def jaccard_components(df: DataFrame, key: str, text: str, n: int = 3, percent:
     blocks = blocks.select("token", F.col("grp").alias("g"), F.col("lot").alias("g_lot"), F.col("members").alias("g_members"), "low", "most")
     asks = (F.struct("members", "grp") < F.struct(F.col("g_members").alias("members"), F.col("g").alias("grp"))) | (_bin("g") & (F.col("grp") == F.col("g")) & (F.col("lot") <= F.col("g_lot")))
     asks &= (F.col("most") >= F.col("n") * percent) & (F.col("reach") >= F.col("low") * percent)
-    queries = scratch.write(rated.join(blocks, "token").filter(asks).select("node", "g", "g_lot").distinct())
+    queries = scratch.write(rated.join(blocks, "token").filter(asks).select("node", "grp", "g", "g_lot").distinct())
 
     wanted = queries.select(F.col("g").alias("grp"), F.col("g_lot").alias("lot")).distinct()
     inside = scratch.write(members.join(wanted, ["grp", "lot"]).select("grp", "lot", "node"))
@@ -234,16 +270,19 @@ def jaccard_components(df: DataFrame, key: str, text: str, n: int = 3, percent:
     held = inside.join(sets, "node").withColumn("bucket", F.pmod(F.xxhash64("grp", "lot"), F.lit(4 * parallelism(spark))))
     unions = scratch.write(held.groupBy("bucket").applyInArrow(_unions, UNIONS))
     asks_of = lambda asked, blocks, *columns: asked.join(own(sets, "node", "a_tokens"), "node").join(blocks.select(F.col("grp").alias("g"), F.col("lot").alias("g_lot"), *columns), ["g", "g_lot"])
-    asked = asks_of(queries, unions, "low", "tokens").select("node", "g", "g_lot", "a_tokens", "low", "tokens")
-    opened = scratch.write(asked.mapInArrow(_bound(percent), "node binary, g binary, g_lot int"))
+    asked = asks_of(queries, unions, "low", "tokens").select("node", F.col("grp").alias("own"), "g", "g_lot", "a_tokens", "low", "tokens")
+    opened = scratch.write(asked.mapInArrow(_bound(percent), "node binary, own binary, g binary, g_lot int"))
     within = held.join(opened.select(F.col("g").alias("grp"), F.col("g_lot").alias("lot")).distinct(), ["grp", "lot"], "left_semi")
     pieces = scratch.write(within.groupBy("bucket").applyInArrow(_pieces(percent), PIECES))
-    met = asks_of(opened, pieces, "members", "sets", "parts").select("node", "a_tokens", "members", "sets", "parts").mapInArrow(_compare(percent), "a binary, b binary")
+    met = asks_of(opened, pieces, "members", "sets", "parts").select("node", "own", "g", "a_tokens", "members", "sets", "parts").mapInArrow(_compare(percent), "a binary, b binary, own binary, g binary")
+    # A group is connected: one link with it is enough.
+    ends = [F.when(_bin(g), F.col(v)).otherwise(F.col(g)) for g, v in (("own", "a"), ("g", "b"))]
+    met = met.groupBy(ends[0].alias("x"), ends[1].alias("y")).agg(F.min(F.struct("a", "b")).alias("l")).select("l.a", "l.b")
     tied = pieces.select(F.explode(F.transform("members", lambda m, i: F.struct(m.alias("a"), F.element_at("members", F.element_at("parts", i + 1) + 1).alias("b")))).alias("l"), "grp")
     more = scratch.write(met.unionByName(tied.filter(_bin("grp") & (F.col("l.a") != F.col("l.b"))).select("l.a", "l.b")))
     scratch.drop(shared, pairs, sets, rated, queries, inside, unions, opened, pieces)
 
-    final = groups if more.isEmpty() else components(links.unionByName(more), scratch)
+    final = groups if more.isEmpty() else _merged(groups, more, scratch)
     labelled = classes.join(final.withColumnRenamed("v", "node"), "node").select("node", "_key", "label")
     named = labelled.groupBy("label").agg(F.min("_key").alias("component"))
     labelled = labelled.join(named, "label").select("node", "component")
@@ -317,7 +356,7 @@ def _parts(blobs: list[bytes], percent: int) -> list[int]:
 
 
 def _bound(percent: int):
-    """Those queries (node, g, g_lot) whose overlap with the block's union doesn't rule the block out."""
+    """Those queries (node, own, g, g_lot) whose overlap with the block's union doesn't rule the block out."""
 
     def run(batches):
         for batch in batches:
@@ -326,17 +365,17 @@ def _bound(percent: int):
                 q = np.frombuffer(own.as_py(), np.uint64)
                 common = np.intersect1d(q, np.frombuffer(union.as_py(), np.uint64), assume_unique=True).size
                 keep.append((100 + percent) * common >= percent * (q.size + max(low, -(-percent * q.size // 100))))
-            yield batch.select(["node", "g", "g_lot"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["node", "own", "g", "g_lot"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _compare(percent: int):
-    """Links (a, b) of queries with members of opened blocks; one for each part of a piece."""
+    """Links (a, b) of queries with members of opened blocks, and the names of both sides' groups; one for each part of a piece."""
 
     def run(batches):
         for batch in batches:
-            a, b = [], []
+            a, b, at = [], [], []
             for i in range(batch.num_rows):
                 q = np.frombuffer(batch.column("a_tokens")[i].as_py(), np.uint64)
                 node, members, sets, parts = (batch.column(c)[i] for c in ("node", "members", "sets", "parts"))
@@ -347,6 +386,8 @@ def _compare(percent: int):
                         done.add(part)
                         a.append(node)
                         b.append(members[k])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                        at.append(i)
+            groups = batch.select(["own", "g"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), *groups.columns], ["a", "b", "own", "g"])
 
     return run
