@@ -120,6 +120,31 @@ def test_jaccard_chains_and_groups(spark):
     assert found == jaccard_components(rows, 3, 90)
 
 
+def test_jaccard_links_of_near_copies_grow_with_the_group(spark, monkeypatch):
+    """Near copies of one text, a quarter of which resemble each other enough: twice as many have no four times as many links, and large
+    groups are found as by brute force."""
+    rng, counts, plain = np.random.default_rng(1), [], ngram_join.components
+
+    def counted(edges, scratch):
+        counts[-1] += edges.count()
+        return plain(edges, scratch)
+
+    monkeypatch.setattr(ngram_join, "components", counted)
+    for size in (100, 200):
+        rows = []
+        for i in range(size):
+            words = [f"b{j}" for j in range(100)]
+            for j in rng.permutation(100)[:10]:
+                words[j] = f"x{i}y{j}"
+            rows.append((i, " ".join(words)))
+        counts.append(0)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs, "doc_id", "text", 1, 69, block=4).collect()}
+        assert found == jaccard_components(rows, 1, 69)
+    assert counts[1] < 3 * counts[0]
+    assert counts[1] < 10 * 200
+
+
 def test_jaccard_odd_rows(spark, texts, no_texts):
     out = ngram_join.jaccard_components(texts, "doc_id", "text").collect()
     assert [(r.n_shingles, r.component_id) for r in out if r.doc_id is None] == [(3, None)]
